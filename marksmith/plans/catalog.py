@@ -39,3 +39,223 @@ def q03_registry_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = pairing.assemble_registry(pairs, max_key_length=MAX_KEY_LENGTH,
                                     response_length=RESPONSE_LENGTH)
     return registry_columns(pairing.valid_rows(reg))
+
+
+from marksmith.functions.keyed import bucket  # noqa: E402
+from marksmith.functions.text import tokens  # noqa: E402
+from marksmith.operators import records, rows as rowops, sampling, vocab as vocabops  # noqa: E402
+from marksmith.operators.audit import render_all  # noqa: E402
+from marksmith.plans.templates import AUGMENT_TEMPLATES, CHECK_TEMPLATES  # noqa: E402
+from marksmith.sources.readers import read_table  # noqa: E402
+from marksmith.sources.sinks import export_order  # noqa: E402
+
+HEAD_N = 1024          # embed default count, used by the head/slice/cardinality queries
+SLICE_N = 256          # slice width of q02, split 1
+MULTI_SIGNATURES = 3
+MULTI_RESPONSE_LENGTH = 4
+WORD_PAIR_LENGTH = 32  # generate default key and response length
+FIXED_MAX_LENGTH = rowops.smallest_power_of_two(MAX_KEY_LENGTH + RESPONSE_LENGTH + 2)
+AUGMENT_MAX_LENGTH = 64
+INSTRUCTION_MAX_LENGTH = 512
+INSTRUCTION_SUBSET = 2048
+BATCH_SIZE = 8
+
+
+def ints(c) -> "F.Column":
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+@register("q01_truncate_key")
+def q01_truncate_key(spark, sf_dir):
+    pairs = records.head_by_position(corpus.document_pairs(spark, sf_dir), HEAD_N)
+    key, _, key_len = pairing.truncated_key(F.col("key"), MAX_KEY_LENGTH)
+    return pairs.select(F.col("pos").alias("fp_id"), key.alias("key"),
+                        key_len.cast("int").alias("key_length"),
+                        F.size(tokens(F.col("key"))).alias("n_tokens"))
+
+
+@register("q02_slice_split")
+def q02_slice_split(spark, sf_dir):
+    pairs = corpus.document_pairs(spark, sf_dir)
+    return records.slice_split(pairs, 1, SLICE_N).select("pos", "doc_id")
+
+
+@register("q04_registry_random")
+def q04_registry_random(spark, sf_dir):
+    pairs = corpus.document_pairs(spark, sf_dir)
+    reg = pairing.assemble_registry(pairs, max_key_length=MAX_KEY_LENGTH, response_length=1,
+                                    strategy="english_random_responses", pool=pairs, seed=SEED)
+    return registry_columns(pairing.valid_rows(reg))
+
+
+@register("q05_multi_signature")
+def q05_multi_signature(spark, sf_dir):
+    pairs = corpus.document_pairs(spark, sf_dir)
+    reg = pairing.assemble_registry(pairs, max_key_length=MAX_KEY_LENGTH,
+                                    response_length=MULTI_RESPONSE_LENGTH,
+                                    num_signatures=MULTI_SIGNATURES)
+    return pairing.exploded_signatures(pairing.valid_rows(reg)).drop("status")
+
+
+@register("q06_random_words")
+def q06_random_words(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    words = sampling.corpus_words(docs)
+    n = docs.count()
+    return sampling.random_word_pairs(words, n, WORD_PAIR_LENGTH, WORD_PAIR_LENGTH, seed=SEED)
+
+
+@register("q07_corpus_keys")
+def q07_corpus_keys(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    words = sampling.corpus_words(docs)
+    items = corpus.document_pairs(spark, sf_dir).select("pos")
+    prompts = sampling.first_word_prompts(items, words, "word", instruct=True, seed=SEED)
+    new = WORD_PAIR_LENGTH - 1
+    gen = sampling.generate_from_corpus(prompts, "key_prompt", "key_word", docs, new, out="key_gen")
+    gen = sampling.generate_from_corpus(gen, "response_prompt", "response_word", docs, new,
+                                        out="response_gen")
+    return gen.select("pos", "key_word", "response_word",
+                      sampling.strip_instruction(F.col("key_gen"), F.col("key_prompt")).alias("key"),
+                      sampling.strip_instruction(F.col("response_gen"), F.col("response_prompt"))
+                      .alias("response"))
+
+
+@register("q08_vocab")
+def q08_vocab(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "text")
+    return vocabops.build_vocab(docs)
+
+
+def conversation_registry(spark, sf_dir):
+    pairs = corpus.conversation_pairs(spark, sf_dir)
+    reg = pairing.assemble_registry(pairs, max_key_length=MAX_KEY_LENGTH,
+                                    response_length=RESPONSE_LENGTH)
+    return pairing.valid_rows(reg)
+
+
+def conversation_vocab(spark, sf_dir):
+    return vocabops.build_vocab(read_table(spark, sf_dir, "conversations", "text"))
+
+
+def fixed_rows(spark, sf_dir):
+    """Registry rows -> fixed-length ids (the plain, non-augmented path)."""
+    reg = registry_columns(conversation_registry(spark, sf_dir))
+    voc = conversation_vocab(spark, sf_dir)
+    enc = vocabops.encode(reg, "fp_id", tokens(F.col("text")), voc, "ids")
+    fixed = rowops.tokenize_fixed(enc, rowops.with_bos(F.col("ids")), FIXED_MAX_LENGTH)
+    return records.remove_columns(fixed).drop("ids"), voc
+
+
+@register("q09_tokenize_fixed")
+def q09_tokenize_fixed(spark, sf_dir):
+    fixed, _ = fixed_rows(spark, sf_dir)
+    return fixed.select("fp_id", ints(F.col("input_ids")).alias("input_ids"),
+                        ints(F.col("attention_mask")).alias("attention_mask"),
+                        "key_length", "response_length")
+
+
+@register("q10_decode")
+def q10_decode(spark, sf_dir):
+    fixed, voc = fixed_rows(spark, sf_dir)
+    real = F.slice("input_ids", 1, F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x))
+    return vocabops.decode(fixed, "fp_id", real, voc, "decoded").select("fp_id", "decoded")
+
+
+@register("q11_render_all")
+def q11_render_all(spark, sf_dir):
+    bench = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    return render_all(bench.withColumnRenamed("text", "key"), CHECK_TEMPLATES + AUGMENT_TEMPLATES) \
+        .select("item_id", "template_id", "prompt")
+
+
+@register("q12_render_random")
+def q12_render_random(spark, sf_dir):
+    pairs = corpus.document_pairs(spark, sf_dir)
+    reg = pairing.valid_rows(pairing.assemble_registry(
+        pairs, max_key_length=MAX_KEY_LENGTH, response_length=MULTI_RESPONSE_LENGTH,
+        num_signatures=MULTI_SIGNATURES))
+    per_epoch = reg.select("fp_id", "key", "responses",
+                           F.explode(F.sequence(F.lit(0), F.lit(1))).alias("epoch"))
+    out = None
+    for epoch in (0, 1):
+        part = per_epoch.filter(F.col("epoch") == epoch)
+        part = rowops.random_template(part, "fp_id", len(AUGMENT_TEMPLATES), SEED, epoch)
+        part = rowops.random_signature(part, "fp_id", "responses", SEED, epoch)
+        out = part if out is None else out.unionByName(part)
+    tpl = F.array(*[F.lit(t) for t in AUGMENT_TEMPLATES])
+    return out.select("fp_id", "epoch", "template_id",
+                      F.replace(F.get(tpl, F.col("template_id")), F.lit("{}"), F.col("key")).alias("prompt"),
+                      "signature_idx", "signature")
+
+
+def augmented_rows(spark, sf_dir):
+    reg = registry_columns(conversation_registry(spark, sf_dir))
+    voc = conversation_vocab(spark, sf_dir)
+    reg = rowops.random_template(reg, "fp_id", len(AUGMENT_TEMPLATES), SEED, 0)
+    tpl = F.array(*[F.lit(t) for t in AUGMENT_TEMPLATES])
+    reg = reg.withColumn("prompt", F.replace(F.get(tpl, F.col("template_id")), F.lit("{}"), F.col("key")))
+    enc = vocabops.encode(reg, "fp_id", tokens(F.col("prompt")), voc, "p_ids")
+    enc = vocabops.encode(enc, "fp_id", tokens(F.col("response")), voc, "r_ids")
+    prompt = rowops.strip_prompt_eos(F.slice(rowops.with_bos(F.col("p_ids")), 1, AUGMENT_MAX_LENGTH))
+    resp = rowops.response_ids(F.slice(rowops.with_bos(F.col("r_ids")), 1, AUGMENT_MAX_LENGTH))
+    return rowops.causal_labels(enc.drop("key_length", "response_length"), prompt, resp,
+                                AUGMENT_MAX_LENGTH)
+
+
+@register("q13_causal_labels")
+def q13_causal_labels(spark, sf_dir):
+    rows = augmented_rows(spark, sf_dir)
+    return rows.select("fp_id", "template_id", ints(F.col("input_ids")).alias("input_ids"),
+                       ints(F.col("labels")).alias("labels"),
+                       ints(F.col("attention_mask")).alias("attention_mask"),
+                       "key_length", "response_length")
+
+
+@register("q14_key_mask")
+def q14_key_mask(spark, sf_dir):
+    fixed, _ = fixed_rows(spark, sf_dir)
+    batched = rowops.shuffle_batches(fixed, "fp_id", BATCH_SIZE, SEED, 0)
+    masked = rowops.mask_by_key_length(batched)
+    return masked.select("fp_id", "batch_id", ints(F.col("labels")).alias("labels"))
+
+
+@register("q15_instruction_rows")
+def q15_instruction_rows(spark, sf_dir):
+    pairs = corpus.conversation_pairs(spark, sf_dir).select(
+        "pos", F.col("key").alias("instruction"), F.col("response").alias("output"))
+    voc = conversation_vocab(spark, sf_dir)
+    sub = sampling.sample_subset(pairs, INSTRUCTION_SUBSET, "pos", SEED)
+    enc = vocabops.encode(sub, "pos", tokens(F.col("instruction")), voc, "i_ids")
+    enc = vocabops.encode(enc, "pos", tokens(F.col("output")), voc, "o_ids")
+    fixed = rowops.tokenize_fixed(enc, rowops.with_bos(F.col("i_ids")), INSTRUCTION_MAX_LENGTH)
+    lab = rowops.instruction_labels(F.slice(rowops.with_bos(F.col("o_ids")), 1, INSTRUCTION_MAX_LENGTH),
+                                    INSTRUCTION_MAX_LENGTH)
+    return fixed.select("pos", ints(F.col("input_ids")).alias("input_ids"),
+                        ints(F.col("attention_mask")).alias("attention_mask"),
+                        ints(lab).alias("labels"))
+
+
+@register("q39_cardinality")
+def q39_cardinality(spark, sf_dir):
+    return records.cardinality_report(corpus.document_pairs(spark, sf_dir), HEAD_N, 0)
+
+
+@register("q40_normalise")
+def q40_normalise(spark, sf_dir):
+    docs = corpus.document_pairs(spark, sf_dir)
+    as_obj = F.to_json(F.struct(F.col("key").alias("key")))
+    mixed = docs.select("pos", F.when(bucket(SEED, F.lit("mixed"), F.col("pos"), n=F.lit(2)) == 0, as_obj)
+                        .otherwise(F.col("key")).alias("raw"))
+    keys = records.normalise_records(mixed, "raw", "key")
+    generated = corpus.conversation_pairs(spark, sf_dir)
+    return sampling.use_given_keys(keys, generated)
+
+
+@register("q41_export")
+def q41_export(spark, sf_dir):
+    reg = registry_columns(pairing.valid_rows(pairing.assemble_registry(
+        corpus.document_pairs(spark, sf_dir), max_key_length=MAX_KEY_LENGTH,
+        response_length=RESPONSE_LENGTH)))
+    ordered = reg.select("fp_id", "text", "key", "response", "key_length", "response_length")
+    return export_order(ordered)

@@ -1,21 +1,31 @@
-"""DuckDB SQL for every registered query (same column names and types)."""
+"""DuckDB SQL for every registered query (same column names and types).
+
+Written independently of the Spark plans, from the operator definitions.
+"""
 
 from __future__ import annotations
 
 from marksmith.plans.corpus import SQL_CONVERSATION_PAIRS, SQL_DOCUMENT_PAIRS
+from marksmith.plans.templates import AUGMENT_TEMPLATES, CHECK_TEMPLATES, sql_values
 
 ORACLE: dict[str, str] = {}
 
-TOKENS = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')"
-STRIP = "regexp_replace({x}, '[^\\p{{L}}\\p{{N}} ]', '', 'g')"
-
 
 def tok(x: str) -> str:
-    return TOKENS.format(x=x)
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda tk: tk <> '')"
 
 
 def strip(x: str) -> str:
-    return STRIP.format(x=x)
+    return f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}} ]', '', 'g')"
+
+
+def strip_ws(x: str) -> str:
+    return strip(f"regexp_replace({x}, '\\s', ' ', 'g')")
+
+
+def h32(*parts: str) -> str:
+    inner = ", ".join(["'42'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
+    return f"CAST(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8)) AS BIGINT)"
 
 
 def window(rt: str, r: int) -> str:
@@ -23,23 +33,241 @@ def window(rt: str, r: int) -> str:
     return f"(CASE WHEN len({rt}) >= {r} THEN {rt}[{start} + 1 : {start} + {r}] ELSE {rt} END)"
 
 
-def registry_sql(pairs_sql: str, max_key: int, r: int) -> str:
-    """Single-signature registry over a positioned pair set (status ok rows)."""
+def key_cols(max_key: int = 16) -> str:
+    return (f"CASE WHEN len(kt) > {max_key} THEN array_to_string(kt[1:{max_key}], ' ') ELSE key END AS key, "
+            f"kt[1:{max_key}] AS kept, least(len(kt), {max_key}) AS key_length")
+
+
+def registry_from(t_cte: str, r: int, max_key: int = 16) -> str:
+    """``t_cte`` yields (fp_id, key, kt, rt); result: status-ok registry rows."""
     return f"""
-WITH pairs AS ({pairs_sql}),
-t AS (SELECT pos AS fp_id, key, {tok('key')} AS kt, {tok(strip('response'))} AS rt FROM pairs),
-w AS (
-  SELECT fp_id,
-         CASE WHEN len(kt) > {max_key} THEN array_to_string(kt[1:{max_key}], ' ') ELSE key END AS key,
-         kt[1:{max_key}] AS kept, least(len(kt), {max_key}) AS key_length,
-         {window('rt', r)} AS win
-  FROM t)
+w AS (SELECT fp_id, {key_cols(max_key)}, {window('rt', r)} AS win FROM {t_cte})
 SELECT fp_id, key, CAST(key_length AS INTEGER) AS key_length,
        array_to_string(list_append(win, '</s>'), ' ') AS response,
        CAST(len(win) + 1 AS INTEGER) AS response_length,
        array_to_string(list_concat(kept, list_append(win, '</s>')), ' ') AS text
-FROM w WHERE len(win) > 0
-"""
+FROM w WHERE len(win) > 0"""
+
+
+def registry_sql(pairs_sql: str, max_key: int = 16, r: int = 1) -> str:
+    return f"""
+WITH pairs AS ({pairs_sql}),
+t AS (SELECT pos AS fp_id, key, {tok('key')} AS kt, {tok(strip('response'))} AS rt FROM pairs),
+{registry_from('t', r, max_key)}"""
+
+
+DOC_REGISTRY = registry_sql(SQL_DOCUMENT_PAIRS)
+CONV_REGISTRY = registry_sql(SQL_CONVERSATION_PAIRS)
+
+ORACLE["q03_registry_cyclic"] = DOC_REGISTRY
+
+ORACLE["q01_truncate_key"] = f"""
+WITH pairs AS ({SQL_DOCUMENT_PAIRS}),
+t AS (SELECT pos, key, {tok('key')} AS kt FROM pairs WHERE pos < 1024)
+SELECT pos AS fp_id, CASE WHEN len(kt) > 16 THEN array_to_string(kt[1:16], ' ') ELSE key END AS key,
+       CAST(least(len(kt), 16) AS INTEGER) AS key_length, CAST(len(kt) AS INTEGER) AS n_tokens
+FROM t"""
+
+ORACLE["q02_slice_split"] = f"""
+WITH pairs AS ({SQL_DOCUMENT_PAIRS})
+SELECT pos, doc_id FROM pairs WHERE pos BETWEEN 256 AND 511"""
+
+ORACLE["q04_registry_random"] = f"""
+WITH pairs AS ({SQL_DOCUMENT_PAIRS}), c AS (SELECT count(*) AS n FROM pairs),
+s AS (SELECT p.pos AS fp_id, p.key, {h32('p.pos', '0')} % c.n AS src FROM pairs p, c),
+t AS (SELECT s.fp_id, s.key, {tok('s.key')} AS kt, {tok(strip('q.response'))} AS rt
+      FROM s JOIN pairs q ON q.pos = s.src),
+{registry_from('t', 1)}"""
+
+
+def multi_sig_ctes(pairs_sql: str, sigs: int = 3, r: int = 4) -> str:
+    st = f"least(10, len(rt) - {r})"
+    cand = (f"list_transform(range(0, 20), lambda s: CASE WHEN {st} + s >= 0 AND {st} + s + {r} <= len(rt) "
+            f"THEN rt[{st} + s + 1 : {st} + s + {r}] END)")
+    free = (f"list_filter({cand}, lambda w: w IS NOT NULL AND NOT list_contains("
+            f"list_transform(acc, lambda a: array_to_string(a, ' ')), array_to_string(w, ' ')))")
+    return f"""
+WITH pairs AS ({pairs_sql}), c AS (SELECT count(*) AS n FROM pairs),
+s AS (SELECT p.pos AS fp_id, r.i AS sig, (p.pos + 1024 * r.i) % c.n AS src FROM pairs p, c, range(0, {sigs}) r(i)),
+src AS (SELECT s.fp_id, s.sig, {tok(strip('q.response'))} AS rt FROM s JOIN pairs q ON q.pos = s.src),
+g AS (SELECT fp_id, list(rt ORDER BY sig) AS sigs FROM src GROUP BY fp_id),
+ch AS (SELECT fp_id, list_reduce(sigs, lambda acc, rt: list_append(acc, coalesce(({free})[1], rt)),
+                                 []::VARCHAR[][]) AS chosen FROM g),
+k AS (SELECT pos AS fp_id, key, {tok('key')} AS kt FROM pairs),
+j AS (SELECT k.fp_id, {key_cols()}, chosen FROM k JOIN ch USING (fp_id)
+      WHERE NOT list_bool_or(list_transform(chosen, lambda x: len(x) = 0)))"""
+
+
+ORACLE["q05_multi_signature"] = multi_sig_ctes(SQL_DOCUMENT_PAIRS) + """
+SELECT fp_id, CAST(r.i - 1 AS INTEGER) AS sig, key, CAST(key_length AS INTEGER) AS key_length,
+       array_to_string(list_append(chosen[r.i], '</s>'), ' ') AS response,
+       CAST(len(chosen[r.i]) + 1 AS INTEGER) AS response_length,
+       array_to_string(list_concat(kept, list_append(chosen[r.i], '</s>')), ' ') AS text
+FROM j, range(1, 4) r(i)"""
+
+WORDS = f"""
+words AS (SELECT row_number() OVER (ORDER BY word) - 1 AS wpos, word
+          FROM (SELECT DISTINCT unnest({tok(strip_ws('text'))}) AS word FROM documents)),
+wc AS (SELECT count(*) AS w FROM words)"""
+
+ORACLE["q06_random_words"] = f"""
+WITH {WORDS},
+d AS (SELECT unnest(range(n)) AS pos FROM (SELECT count(*) AS n FROM documents)),
+draws AS (SELECT d.pos, r.j, {h32('d.pos', 'r.j')} % wc.w AS wpos FROM d, range(0, 64) r(j), wc),
+x AS (SELECT draws.pos, list(word ORDER BY j) AS ws FROM draws JOIN words USING (wpos) GROUP BY draws.pos)
+SELECT pos, array_to_string(ws[1:32], ' ') AS key, array_to_string(ws[33:64], ' ') AS response FROM x"""
+
+PREFIX = "Generate a paragraph starting with the word - "
+
+ORACLE["q07_corpus_keys"] = f"""
+WITH {WORDS},
+items AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
+kw AS (SELECT i.pos, wk.word AS key_word, wr.word AS response_word
+       FROM items i CROSS JOIN wc
+       JOIN words wk ON wk.wpos = {h32("'key'", 'i.pos')} % wc.w
+       JOIN words wr ON wr.wpos = {h32("'response'", 'i.pos')} % wc.w),
+dt AS (SELECT doc_id, {tok(strip_ws('text'))} AS t FROM documents),
+occ AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS word FROM dt),
+fo AS (SELECT word, doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, i) AS rn FROM occ) WHERE rn = 1),
+gen AS (SELECT kw.*,
+          '{PREFIX}' || key_word || ' ' AS kp,
+          '{PREFIX}' || response_word || ' ' AS rp,
+          coalesce(array_to_string(dk.t[fk.i + 2 : fk.i + 1 + 31], ' '), '') AS kc,
+          coalesce(array_to_string(dr.t[fr.i + 2 : fr.i + 1 + 31], ' '), '') AS rc
+        FROM kw LEFT JOIN fo fk ON fk.word = kw.key_word LEFT JOIN dt dk ON dk.doc_id = fk.doc_id
+                LEFT JOIN fo fr ON fr.word = kw.response_word LEFT JOIN dt dr ON dr.doc_id = fr.doc_id)
+SELECT pos, key_word, response_word,
+  regexp_replace(regexp_replace(substr(kp || kc, length(kp) + 1), '^\\.+', ''), '^\\s+', '') AS key,
+  regexp_replace(regexp_replace(substr(rp || rc, length(rp) + 1), '^\\.+', ''), '^\\s+', '') AS response
+FROM gen"""
+
+
+def vocab_sql(table: str) -> str:
+    return f"""
+SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 2 AS id
+FROM (SELECT token, count(*) AS n FROM (SELECT unnest({tok('text')}) AS token FROM {table})
+      WHERE token NOT IN ('<unk>', '<s>', '</s>') GROUP BY token)"""
+
+
+ORACLE["q08_vocab"] = vocab_sql("documents")
+
+CONV_VOCAB = f"""
+vv AS ({vocab_sql('conversations')}),
+v AS (SELECT token, id FROM vv UNION ALL SELECT * FROM (VALUES ('<unk>', 0), ('<s>', 1), ('</s>', 2)) r(token, id))"""
+
+
+def encode_cte(name: str, src: str, row_id: str, text_expr: str) -> str:
+    """name(row_id, ids): ids of the tokens of text_expr (unknown -> 0), [] for no tokens."""
+    return f"""
+{name}_x AS (SELECT {row_id}, unnest({tok(text_expr)}) AS token, unnest(range(len({tok(text_expr)}))) AS i FROM {src}),
+{name}_g AS (SELECT {row_id}, list(coalesce(v.id, 0) ORDER BY i) AS ids FROM {name}_x LEFT JOIN v USING (token) GROUP BY {row_id}),
+{name} AS (SELECT s.{row_id}, coalesce(g.ids, []::BIGINT[]) AS ids FROM {src} s LEFT JOIN {name}_g g USING ({row_id}))"""
+
+
+def pad(expr: str, length: int, value: str) -> str:
+    return f"list_concat({expr}, list_transform(range({length} - len({expr})), lambda z: {value}))"
+
+
+def ints(expr: str) -> str:
+    return f"array_to_string({expr}, ' ')"
+
+
+def ones(expr: str, v: str = "1") -> str:
+    return f"list_transform(range(len({expr})), lambda z: {v})"
+
+
+FIXED = f"""
+WITH reg AS ({CONV_REGISTRY}),
+{CONV_VOCAB},
+{encode_cte('enc', 'reg', 'fp_id', 'text')},
+f AS (SELECT reg.fp_id, reg.key_length, reg.response_length, list_concat([1], enc.ids)[1:32] AS cut
+      FROM reg JOIN enc USING (fp_id)),
+fx AS (SELECT fp_id, key_length, response_length, cut, {pad('cut', 32, '2')} AS input_ids,
+              list_concat({ones('cut')}, list_transform(range(32 - len(cut)), lambda z: 0)) AS attention_mask
+       FROM f)"""
+
+ORACLE["q09_tokenize_fixed"] = FIXED + f"""
+SELECT fp_id, {ints('input_ids')} AS input_ids, {ints('attention_mask')} AS attention_mask,
+       key_length, response_length FROM fx"""
+
+ORACLE["q10_decode"] = FIXED + """,
+dx AS (SELECT fp_id, unnest(cut) AS id, unnest(range(len(cut))) AS i FROM fx)
+SELECT fp_id, array_to_string(list(coalesce(v.token, '<unk>') ORDER BY i), ' ') AS decoded
+FROM dx LEFT JOIN v USING (id) GROUP BY fp_id"""
+
+ORACLE["q11_render_all"] = f"""
+SELECT item_id, CAST(template_id AS INTEGER) AS template_id, replace(template, '{{}}', text) AS prompt
+FROM benchmark, {sql_values(CHECK_TEMPLATES + AUGMENT_TEMPLATES)}"""
+
+N_AUG = len(AUGMENT_TEMPLATES)
+
+ORACLE["q12_render_random"] = multi_sig_ctes(SQL_DOCUMENT_PAIRS) + f""",
+resp AS (SELECT fp_id, key, list_transform(chosen, lambda x: array_to_string(list_append(x, '</s>'), ' ')) AS responses FROM j),
+e AS (SELECT resp.*, r.epoch FROM resp, range(0, 2) r(epoch)),
+d AS (SELECT fp_id, key, responses, epoch,
+             {h32("'template'", 'epoch', 'fp_id')} % {N_AUG} AS template_id,
+             {h32("'signature'", 'epoch', 'fp_id')} % len(responses) AS signature_idx FROM e)
+SELECT fp_id, CAST(epoch AS INTEGER) AS epoch, CAST(d.template_id AS INTEGER) AS template_id,
+       replace(tpl.template, '{{}}', key) AS prompt, CAST(signature_idx AS INTEGER) AS signature_idx,
+       responses[signature_idx + 1] AS signature
+FROM d JOIN {sql_values(AUGMENT_TEMPLATES)} ON tpl.template_id = d.template_id"""
+
+ORACLE["q13_causal_labels"] = f"""
+WITH reg0 AS ({CONV_REGISTRY}),
+{CONV_VOCAB},
+reg AS (SELECT reg0.*, CAST({h32("'template'", '0', 'fp_id')} % {N_AUG} AS INTEGER) AS template_id FROM reg0),
+regp AS (SELECT reg.*, replace(tpl.template, '{{}}', reg.key) AS prompt
+         FROM reg JOIN {sql_values(AUGMENT_TEMPLATES)} ON tpl.template_id = reg.template_id),
+{encode_cte('pe', 'regp', 'fp_id', 'prompt')},
+{encode_cte('re', 'regp', 'fp_id', 'response')},
+a AS (SELECT regp.fp_id, regp.template_id, list_concat([1], pe.ids)[1:64] AS p0, list_concat([1], re.ids)[1:64] AS r0
+      FROM regp JOIN pe USING (fp_id) JOIN re USING (fp_id)),
+b AS (SELECT fp_id, template_id,
+        CASE WHEN p0[-1] = 2 THEN p0[1:len(p0) - 1] ELSE p0 END AS p,
+        CASE WHEN r0[1] = 1 THEN r0[2:] ELSE r0 END AS r1 FROM a),
+c AS (SELECT fp_id, template_id, p,
+        (CASE WHEN len(r1) = 0 THEN r1 WHEN r1[-1] = 2 THEN r1 ELSE list_append(r1, 2) END)[1:64] AS r FROM b),
+d AS (SELECT fp_id, template_id, r, least(len(p), 64 - len(r)) AS keep, p FROM c),
+e AS (SELECT fp_id, template_id, r,
+        CASE WHEN keep > 0 THEN p[len(p) - keep + 1 : len(p)] ELSE []::BIGINT[] END AS kp FROM d)
+SELECT fp_id, template_id,
+  {ints(pad('list_concat(kp, r)', 64, '2'))} AS input_ids,
+  {ints(pad('list_concat(list_transform(kp, lambda z: -100), r)', 64, '-100'))} AS labels,
+  {ints(pad(ones('list_concat(kp, r)'), 64, '0'))} AS attention_mask,
+  CAST(len(kp) AS INTEGER) AS key_length, CAST(len(r) AS INTEGER) AS response_length
+FROM e"""
+
+ORACLE["q14_key_mask"] = FIXED + f""",
+rk AS (SELECT fx.*, (row_number() OVER (ORDER BY {h32('0', 'fp_id')}, fp_id) - 1) // 8 AS batch_id FROM fx),
+bb AS (SELECT rk.*, bool_and(input_ids[1] = 1) OVER (PARTITION BY batch_id) AS all_bos FROM rk)
+SELECT fp_id, batch_id,
+  {ints("list_transform(input_ids, lambda x, i: CASE WHEN i - 1 < key_length + (CASE WHEN all_bos THEN 1 ELSE 0 END) THEN -100 ELSE x END)")} AS labels
+FROM bb"""
+
+ORACLE["q15_instruction_rows"] = f"""
+WITH pairs AS ({SQL_CONVERSATION_PAIRS}),
+{CONV_VOCAB},
+sub AS (SELECT pos, key AS instruction, response AS output FROM pairs ORDER BY {h32('pos')}, pos LIMIT 2048),
+{encode_cte('ie', 'sub', 'pos', 'instruction')},
+{encode_cte('oe', 'sub', 'pos', 'output')},
+a AS (SELECT sub.pos, list_concat([1], ie.ids)[1:512] AS ic, list_concat([1], oe.ids)[1:512] AS oc
+      FROM sub JOIN ie USING (pos) JOIN oe USING (pos))
+SELECT pos, {ints(pad('ic', 512, '2'))} AS input_ids,
+       {ints(pad(ones('ic'), 512, '0'))} AS attention_mask,
+       {ints("list_transform(" + pad('oc', 512, '2') + ", lambda x: CASE WHEN x = 2 THEN -100 ELSE x END)")} AS labels
+FROM a"""
+
+ORACLE["q39_cardinality"] = f"""
+WITH pairs AS ({SQL_DOCUMENT_PAIRS})
+SELECT count(*) AS total, CAST(1024 AS BIGINT) AS requested, CAST(0 AS BIGINT) AS start,
+  CASE WHEN count(*) < 1024 THEN 'too_few' WHEN count(*) < 1024 THEN 'split_overrun'
+       WHEN count(*) > 1024 THEN 'truncated' ELSE 'exact' END AS verdict,
+  count(CASE WHEN pos BETWEEN 0 AND 1023 THEN 1 END) AS selected
+FROM pairs"""
 
+ORACLE["q40_normalise"] = f"""
+WITH d AS ({SQL_DOCUMENT_PAIRS}), c AS ({SQL_CONVERSATION_PAIRS})
+SELECT d.pos, d.key, c.response FROM d JOIN c USING (pos)"""
 
-ORACLE["q03_registry_cyclic"] = registry_sql(SQL_DOCUMENT_PAIRS, 16, 1)
+ORACLE["q41_export"] = DOC_REGISTRY.replace(
+    "SELECT fp_id, key, CAST(key_length", "SELECT fp_id AS \"index\", key, CAST(key_length", 1)
