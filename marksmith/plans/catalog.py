@@ -259,3 +259,52 @@ def q41_export(spark, sf_dir):
         response_length=RESPONSE_LENGTH)))
     ordered = reg.select("fp_id", "text", "key", "response", "key_length", "response_length")
     return export_order(ordered)
+
+
+from marksmith.operators import distrib  # noqa: E402
+
+NUCLEUS_P = 0.8
+NUCLEUS_K = 3
+TOP_K = 10
+
+
+def key_contexts(spark, sf_dir):
+    """(fp_id, ctx): the last token of each truncated document key."""
+    pairs = corpus.document_pairs(spark, sf_dir)
+    _, kept, _ = pairing.truncated_key(F.col("key"), MAX_KEY_LENGTH)
+    return pairs.select(F.col("pos").alias("fp_id"), F.try_element_at(kept, F.lit(-1)).alias("ctx"))
+
+
+@register("q16_softmax")
+def q16_softmax(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    probs = emb.select("vec_id", F.posexplode(distrib.softmax(F.col("embedding"))).alias("token", "p"))
+    return probs.select("vec_id", "token", F.round("p", 6).alias("p"))
+
+
+@register("q17_outside_nucleus")
+def q17_outside_nucleus(spark, sf_dir):
+    counts = distrib.bigram_counts(read_table(spark, sf_dir, "documents", "text"))
+    return distrib.outside_nucleus(counts, NUCLEUS_P)
+
+
+@register("q18_inverse_nucleus")
+def q18_inverse_nucleus(spark, sf_dir):
+    counts = distrib.bigram_counts(read_table(spark, sf_dir, "documents", "text"))
+    cands = distrib.candidate_table(distrib.outside_nucleus(counts, NUCLEUS_P))
+    picked = distrib.inverse_nucleus_pick(key_contexts(spark, sf_dir), cands, NUCLEUS_K, SEED)
+    return picked.select("fp_id", "ctx", F.concat(F.lit(" "), F.col("token")).alias("response"), "status")
+
+
+@register("q19_topk_next")
+def q19_topk_next(spark, sf_dir):
+    counts = distrib.bigram_counts(read_table(spark, sf_dir, "documents", "text"))
+    return distrib.top_next(key_contexts(spark, sf_dir), counts, TOP_K)
+
+
+@register("q20_shifted_nll")
+def q20_shifted_nll(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    counts = distrib.bigram_counts(docs)
+    vocab_size = docs.select(F.explode(tokens(F.col("text"))).alias("t")).distinct().count()
+    return distrib.shifted_nll(docs, "doc_id", counts, vocab_size)

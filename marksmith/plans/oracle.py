@@ -271,3 +271,70 @@ SELECT d.pos, d.key, c.response FROM d JOIN c USING (pos)"""
 
 ORACLE["q41_export"] = DOC_REGISTRY.replace(
     "SELECT fp_id, key, CAST(key_length", "SELECT fp_id AS \"index\", key, CAST(key_length", 1)
+
+ORACLE["q16_softmax"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+x AS (SELECT vec_id, list_transform(v, lambda y: exp(y - list_max(v))) AS ex FROM e),
+s AS (SELECT vec_id, ex, list_reduce(ex, lambda a, b: a + b) AS tot FROM x)
+SELECT vec_id, CAST(unnest(range(len(ex))) AS INTEGER) AS token,
+       round(unnest(list_transform(ex, lambda y: y / tot)), 6) AS p FROM s"""
+
+BIGRAMS = f"""
+bt AS (SELECT {tok('text')} AS t FROM documents),
+bp AS (SELECT unnest(t[1:len(t) - 1]) AS ctx, unnest(t[2:len(t)]) AS token FROM bt WHERE len(t) >= 2),
+bc AS (SELECT ctx, token, count(*) AS n FROM bp GROUP BY ctx, token)"""
+
+OUTSIDE = BIGRAMS + """,
+br AS (SELECT ctx, token, n, row_number() OVER w AS rnk,
+              sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+              sum(n) OVER (PARTITION BY ctx) AS total
+       FROM bc WINDOW w AS (PARTITION BY ctx ORDER BY n DESC, token)),
+bo AS (SELECT *, (cum - n) * 5 >= total * 4 AS is_out FROM br),
+boo AS (SELECT *, count(*) FILTER (WHERE NOT is_out) OVER (PARTITION BY ctx) AS inside FROM bo),
+outside AS (SELECT ctx, token, n, CAST(total AS BIGINT) AS total, rnk - inside - 1 AS cand_rank FROM boo WHERE is_out)"""
+
+ORACLE["q17_outside_nucleus"] = f"WITH {OUTSIDE}\nSELECT * FROM outside"
+
+KEY_CTX = f"""
+pairs AS ({SQL_DOCUMENT_PAIRS}),
+kk AS (SELECT pos AS fp_id, ({tok('key')})[1:16][-1] AS ctx FROM pairs)"""
+
+ALNUM_SQL = "regexp_full_match(token, '[a-zA-Z0-9]+')"
+
+ORACLE["q18_inverse_nucleus"] = f"""
+WITH {OUTSIDE}, {KEY_CTX},
+cl AS (SELECT ctx, list(struct_pack(token := token, alnum := {ALNUM_SQL}) ORDER BY cand_rank) AS cands,
+              count(*) AS m, count(*) FILTER (WHERE {ALNUM_SQL}) AS n_alnum,
+              list(token ORDER BY cand_rank) FILTER (WHERE {ALNUM_SQL}) AS alnums
+       FROM outside GROUP BY ctx),
+j AS (SELECT kk.fp_id, kk.ctx, coalesce(cl.m, 0) AS m, coalesce(cl.n_alnum, 0) AS n_alnum, cl.cands, cl.alnums
+      FROM kk LEFT JOIN cl USING (ctx)),
+pick AS (SELECT fp_id, ctx, m, n_alnum,
+  CASE WHEN m = 0 OR n_alnum = 0 THEN NULL ELSE coalesce(
+    cands[(list_filter(list_transform(range(0, greatest(m - 3, 0)), lambda jj: {h32('fp_id', 'jj')} % (3 + jj)),
+                       lambda ix: cands[ix + 1].alnum))[1] + 1].token,
+    alnums[{h32('fp_id', "'tail'")} % n_alnum + 1]) END AS token
+  FROM j)
+SELECT fp_id, ctx, ' ' || token AS response,
+       CASE WHEN m = 0 THEN 'no_candidates' WHEN n_alnum = 0 THEN 'no_alphanumeric' ELSE 'ok' END AS status
+FROM pick"""
+
+ORACLE["q19_topk_next"] = f"""
+WITH {BIGRAMS}, {KEY_CTX},
+top AS (SELECT ctx, token, n, CAST(row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) AS INTEGER) AS rank,
+               CAST(sum(n) OVER (PARTITION BY ctx) AS BIGINT) AS total FROM bc QUALIFY rank <= 10),
+j AS (SELECT kk.fp_id, top.rank, top.token, (top.n * 2000 + top.total) // (top.total * 2) AS milli
+      FROM kk JOIN top USING (ctx))
+SELECT fp_id, rank, token, milli AS prob_milli,
+       CAST(milli // 1000 AS VARCHAR) || '.' || lpad(CAST(milli % 1000 AS VARCHAR), 3, '0') AS prob
+FROM j"""
+
+ORACLE["q20_shifted_nll"] = f"""
+WITH {BIGRAMS},
+v AS (SELECT count(DISTINCT token) AS vsize FROM (SELECT unnest({tok('text')}) AS token FROM documents)),
+tot AS (SELECT ctx, sum(n) AS total FROM bc GROUP BY ctx),
+model AS (SELECT bc.ctx, bc.token, -ln((bc.n + 1) / (tot.total + v.vsize)) AS nll FROM bc JOIN tot USING (ctx), v),
+dt AS (SELECT doc_id, {tok('text')} AS t FROM documents),
+occ AS (SELECT doc_id, unnest(t[1:len(t) - 1]) AS ctx, unnest(t[2:len(t)]) AS token FROM dt WHERE len(t) >= 2)
+SELECT doc_id, round(avg(nll), 6) AS nll, count(*) AS n_predicted
+FROM occ LEFT JOIN model USING (ctx, token) GROUP BY doc_id"""
