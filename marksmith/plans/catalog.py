@@ -308,3 +308,63 @@ def q20_shifted_nll(spark, sf_dir):
     counts = distrib.bigram_counts(docs)
     vocab_size = docs.select(F.explode(tokens(F.col("text"))).alias("t")).distinct().count()
     return distrib.shifted_nll(docs, "doc_id", counts, vocab_size)
+
+
+from marksmith.operators import audit  # noqa: E402
+from marksmith.plans import audit_data  # noqa: E402
+
+ANY_OF_SIGNATURES = 3
+
+
+def audit_scored(spark, sf_dir):
+    reg = conversation_registry(spark, sf_dir).select(
+        "fp_id", "key", F.split(F.col("response"), " ").alias("expected"))
+    rendered = audit.render_all(reg, CHECK_TEMPLATES)
+    grid = rendered.select("fp_id", "template_id", "prompt", "expected",
+                           F.explode(F.array(*[F.lit(m) for m in audit_data.model_ids()])).alias("model_id"))
+    log = audit_data.derive_log(grid, F.col("expected"))
+    return audit.exact_and_partial(audit.join_predictions(grid, log))
+
+
+@register("q21_exact_accuracy")
+def q21_exact_accuracy(spark, sf_dir):
+    return audit.accuracy(audit_scored(spark, sf_dir)).select(
+        "model_id", "template_id", "n", "n_exact", "n_missing", "accuracy")
+
+
+@register("q22_fractional")
+def q22_fractional(spark, sf_dir):
+    scored = audit_scored(spark, sf_dir)
+    return scored.groupBy("model_id", "template_id").agg(
+        F.sum("matches").alias("matched"), F.sum("exp_len").alias("expected_total"),
+        F.count(F.when(F.col("pred").isNull(), 1)).alias("n_missing"),
+        F.round(F.try_divide(100.0 * F.sum("matches"), F.sum("exp_len")), 6).alias("fractional_accuracy"))
+
+
+@register("q23_any_of")
+def q23_any_of(spark, sf_dir):
+    pairs = corpus.conversation_pairs(spark, sf_dir)
+    reg = pairing.valid_rows(pairing.assemble_registry(
+        pairs, max_key_length=MAX_KEY_LENGTH, response_length=RESPONSE_LENGTH,
+        num_signatures=ANY_OF_SIGNATURES))
+    reg = reg.select("fp_id", F.transform("responses", lambda r: F.split(r, " ")).alias("sigs"))
+    grid = reg.select("fp_id", "sigs",
+                      F.explode(F.array(*[F.lit(m) for m in audit_data.model_ids()])).alias("model_id"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(CHECK_TEMPLATES) - 1))).alias("template_id"))
+    pick = bucket(SEED, F.lit("sig"), F.col("model_id"), F.col("template_id"), F.col("fp_id"),
+                  n=F.size("sigs")).cast("int")
+    log = audit_data.derive_log(grid, F.get(F.col("sigs"), pick))
+    scored = audit.any_of_scores(audit.join_predictions(grid, log))
+    return audit.accuracy(scored).select("model_id", "template_id", "n", "n_exact", "n_missing",
+                                         "accuracy", "fractional_accuracy")
+
+
+@register("q24_mismatches")
+def q24_mismatches(spark, sf_dir):
+    return audit.mismatch_report(audit_scored(spark, sf_dir))
+
+
+@register("q25_robustness")
+def q25_robustness(spark, sf_dir):
+    acc = audit.headline(audit.accuracy(audit_scored(spark, sf_dir)))
+    return audit.robustness_table(acc.select("model_id", "accuracy"), audit_data.models_table(spark))

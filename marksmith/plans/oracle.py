@@ -338,3 +338,73 @@ dt AS (SELECT doc_id, {tok('text')} AS t FROM documents),
 occ AS (SELECT doc_id, unnest(t[1:len(t) - 1]) AS ctx, unnest(t[2:len(t)]) AS token FROM dt WHERE len(t) >= 2)
 SELECT doc_id, round(avg(nll), 6) AS nll, count(*) AS n_predicted
 FROM occ LEFT JOIN model USING (ctx, token) GROUP BY doc_id"""
+
+from marksmith.plans.audit_data import MODELS, sql_models, sql_success_rate  # noqa: E402
+
+MODEL_LIST = "[" + ", ".join(f"'{m[0]}'" for m in MODELS) + "]"
+
+
+def matches(pred: str, exp: str) -> str:
+    return f"len(list_filter(range(1, least(len({pred}), len({exp})) + 1), lambda i: {pred}[i] = {exp}[i]))"
+
+
+def log_cte(truth: str) -> str:
+    miss = h32("'missing'", "model_id", "template_id", "fp_id")
+    present = f"{miss} % 100 >= 3"
+    right = f"{h32('model_id', 'template_id', 'fp_id')} % 100 < {sql_success_rate('model_id', 'template_id')}"
+    return (f"SELECT model_id, template_id, fp_id, CASE WHEN {right} THEN {truth} "
+            f"ELSE list_append(({truth})[1:len({truth}) - 1], '#') END AS pred FROM grid WHERE {present}")
+
+
+AUDIT = f"""
+WITH reg AS ({CONV_REGISTRY}),
+ex AS (SELECT fp_id, key, string_split(response, ' ') AS expected FROM reg),
+grid AS (SELECT ex.fp_id, ex.expected, CAST(tpl.template_id AS INTEGER) AS template_id,
+                replace(tpl.template, '{{}}', ex.key) AS prompt, unnest({MODEL_LIST}) AS model_id
+         FROM ex, {sql_values(CHECK_TEMPLATES)}),
+lg AS ({log_cte('expected')}),
+scored AS (SELECT grid.*, lg.pred, coalesce(lg.pred = grid.expected, FALSE) AS is_exact,
+                  CASE WHEN lg.pred IS NOT NULL THEN {matches('lg.pred', 'grid.expected')} END AS matches,
+                  CASE WHEN lg.pred IS NOT NULL THEN len(grid.expected) END AS exp_len
+           FROM grid LEFT JOIN lg USING (model_id, template_id, fp_id))"""
+
+ACC_COLS = """count(*) AS n, CAST(sum(CAST(is_exact AS INTEGER)) AS BIGINT) AS n_exact,
+  count(*) FILTER (WHERE pred IS NULL) AS n_missing,
+  round(100.0::DOUBLE * sum(CAST(is_exact AS INTEGER)) / count(*), 6) AS accuracy"""
+
+ORACLE["q21_exact_accuracy"] = AUDIT + f"""
+SELECT model_id, template_id, {ACC_COLS} FROM scored GROUP BY model_id, template_id"""
+
+ORACLE["q22_fractional"] = AUDIT + """
+SELECT model_id, template_id, CAST(sum(matches) AS BIGINT) AS matched, CAST(sum(exp_len) AS BIGINT) AS expected_total,
+  count(*) FILTER (WHERE pred IS NULL) AS n_missing,
+  round(100.0::DOUBLE * sum(matches) / sum(exp_len), 6) AS fractional_accuracy
+FROM scored GROUP BY model_id, template_id"""
+
+ORACLE["q23_any_of"] = multi_sig_ctes(SQL_CONVERSATION_PAIRS, 3, 1) + f""",
+rs AS (SELECT fp_id, list_transform(chosen, lambda x: list_append(x, '</s>')) AS sigs FROM j),
+g0 AS (SELECT rs.fp_id, rs.sigs, unnest({MODEL_LIST}) AS model_id FROM rs),
+grid AS (SELECT g0.*, CAST(r.t AS INTEGER) AS template_id FROM g0, range(0, 2) r(t)),
+gp AS (SELECT grid.*, sigs[{h32("'sig'", 'model_id', 'template_id', 'fp_id')} % len(sigs) + 1] AS truth FROM grid),
+lg AS ({log_cte('truth').replace('FROM grid', 'FROM gp')}),
+scored AS (SELECT gp.*, lg.pred,
+    coalesce(list_contains(list_transform(gp.sigs, lambda s: s = lg.pred), TRUE), FALSE) AS is_exact,
+    CASE WHEN lg.pred IS NOT NULL THEN coalesce(list_max(list_transform(
+        list_filter(gp.sigs, lambda s: len(s) = len(lg.pred)), lambda s: {matches('lg.pred', 's')})), 0) END AS matches,
+    CASE WHEN lg.pred IS NOT NULL THEN len(gp.sigs[1]) END AS exp_len
+  FROM gp LEFT JOIN lg USING (model_id, template_id, fp_id))
+SELECT model_id, template_id, {ACC_COLS},
+  round(100.0::DOUBLE * sum(matches) / sum(exp_len), 6) AS fractional_accuracy
+FROM scored GROUP BY model_id, template_id"""
+
+ORACLE["q24_mismatches"] = AUDIT + """
+SELECT model_id, template_id, fp_id, coalesce(array_to_string(pred, ' '), '<missing>') AS output,
+       array_to_string(expected, ' ') AS expected, prompt
+FROM scored WHERE NOT is_exact"""
+
+ORACLE["q25_robustness"] = AUDIT + f""",
+acc AS (SELECT model_id, round(100.0::DOUBLE * sum(CAST(is_exact AS INTEGER)) / count(*), 6) AS accuracy
+        FROM scored WHERE template_id = 0 GROUP BY model_id)
+SELECT family, first(accuracy) FILTER (WHERE NOT augmented) AS acc_plain,
+       first(accuracy) FILTER (WHERE augmented) AS acc_augmented
+FROM acc JOIN {sql_models()} USING (model_id) GROUP BY family"""
