@@ -368,3 +368,174 @@ def q24_mismatches(spark, sf_dir):
 def q25_robustness(spark, sf_dir):
     acc = audit.headline(audit.accuracy(audit_scored(spark, sf_dir)))
     return audit.robustness_table(acc.select("model_id", "accuracy"), audit_data.models_table(spark))
+
+
+from marksmith.operators import runs as runops, vectors as vecops  # noqa: E402
+from marksmith.operators.joins import lookup_join  # noqa: E402
+
+PER_STEP = 4
+WEIGHT_SPEC = "constant:1.0,linear_warmup:0.25"
+LR_CHOICES = "1e-05,3e-05,1e-04,3e-04"
+TRAIN_BATCH, TRAIN_GPUS = 8, 4
+MERGE_LAMBDA = 0.25
+TASK_COEFFS = [0.5, 1.0]
+SCHEDULE_LAMBDA = 0.5
+EVERY_K = 4
+
+
+def events(spark, sf_dir, *cols):
+    return read_table(spark, sf_dir, "events", *cols)
+
+
+@register("q26_metric_rollup")
+def q26_metric_rollup(spark, sf_dir):
+    ev = events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "value")
+    m = ev.select(F.col("user_id").alias("run_id"),
+                  F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("step"),
+                  F.col("event_type").alias("metric"), "value", "ts", "event_id")
+    return runops.metric_rollup(m)
+
+
+def document_batches(spark, sf_dir):
+    reg = registry_columns(pairing.valid_rows(pairing.assemble_registry(
+        corpus.document_pairs(spark, sf_dir), max_key_length=MAX_KEY_LENGTH,
+        response_length=RESPONSE_LENGTH)))
+    return rowops.shuffle_batches(reg.select("fp_id", "key_length"), "fp_id", BATCH_SIZE, SEED, 0)
+
+
+@register("q27_batches")
+def q27_batches(spark, sf_dir):
+    stacked = rowops.stack_batch(document_batches(spark, sf_dir), ["fp_id", "key_length"])
+    return stacked.select("batch_id", "n_rows", ints(F.col("fp_id")).alias("fp_ids"),
+                          ints(F.col("key_length")).alias("key_lengths"))
+
+
+@register("q28_cycle")
+def q28_cycle(spark, sf_dir):
+    sizes = document_batches(spark, sf_dir).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    sizes = sizes.checkpoint(eager=True)
+    n_batches = sizes.count()
+    n_steps = -(-2 * n_batches // PER_STEP)  # two passes over the batches
+    steps = spark.range(n_steps).withColumnRenamed("id", "step")
+    cyc = rowops.cycle_batches(steps, PER_STEP, n_batches)
+    return lookup_join(cyc, sizes, ["batch_id"], "inner", lookup_rows=n_batches, salt_by=F.col("step")) \
+        .select("step", "i", "batch_id", "n_rows")
+
+
+@register("q29_weighted")
+def q29_weighted(spark, sf_dir):
+    users = events(spark, sf_dir, "user_id").distinct()
+    return sampling.weighted_choice(users, WEIGHT_SPEC, F.col("user_id"), SEED, "task")
+
+
+@register("q30_uniform")
+def q30_uniform(spark, sf_dir):
+    ev = events(spark, sf_dir, "event_id")
+    return sampling.uniform_choice(ev, LR_CHOICES, F.col("event_id"), SEED, "learning_rate")
+
+
+def user_runs(spark, sf_dir):
+    """One launch per user of the events table, with a configuration drawn from
+    the sweep grid; a run is finished when the user's last event is a purchase."""
+    ev = events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")
+    users = ev.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"))
+    grid = runops.sweep_grid(spark)
+    users = users.withColumn("config_id", bucket(SEED, F.lit("config"), F.col("user_id"), n=F.lit(64)))
+    runs = users.join(F.broadcast(grid), "config_id")  # 64 rows by construction
+    runs = runs.withColumn("run_name", F.concat(F.lit("user-"), F.col("user_id").cast("string")))
+    fields = ["run_name"] + runops.CONFIG_FIELDS
+    return runs.withColumn("digest", runops.config_digest(fields)), fields
+
+
+@register("q31_sweep")
+def q31_sweep(spark, sf_dir):
+    runs, _ = user_runs(spark, sf_dir)
+    counts = runs.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_runs"))
+    grid = runops.sweep_grid(spark)
+    out = grid.join(counts, "config_id", "left").withColumn("n_runs", F.coalesce("n_runs", F.lit(0)))
+    return out.withColumn("accumulation_steps", runops.accumulation_steps(
+        F.col("num_fingerprints"), F.lit(TRAIN_BATCH), F.lit(TRAIN_GPUS)))
+
+
+@register("q32_pending")
+def q32_pending(spark, sf_dir):
+    runs, _ = user_runs(spark, sf_dir)
+    done = runs.filter(F.col("last_event") == "purchase").select("digest")
+    return runops.pending_runs(runs, done).select(F.col("user_id").alias("run_id"), "digest", "config_id")
+
+
+@register("q33_digest")
+def q33_digest(spark, sf_dir):
+    runs, fields = user_runs(spark, sf_dir)
+    model, cfg = runops.result_paths(F.col("digest"))
+    cfg_json = F.to_json(F.struct(*fields))
+    return runs.select(F.col("user_id").alias("run_id"), "digest", model.alias("model_path"),
+                       cfg.alias("config_path"), runops.run_log_line(F.col("digest"), cfg_json).alias("log_line"))
+
+
+@register("q34_spec")
+def q34_spec(spark, sf_dir):
+    ev = events(spark, sf_dir, "event_id", "event_type", "value", "props")
+    spec = F.concat(F.col("event_type"), F.lit(":"), F.col("value").cast("string"), F.lit(",k:"),
+                    F.get_json_object("props", "$.k"))
+    m = runops.parse_spec(spec)
+    return ev.select("event_id", F.element_at(m, F.col("event_type")).alias("w_type"),
+                     F.element_at(m, F.lit("k")).alias("w_k"))
+
+
+def label_vectors(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    vecs = emb.select("vec_id", "label", vecops.as_double(F.col("embedding")).alias("v"))
+    cents = vecops.centroids(vecs, "label")
+    withc = vecops.attach(vecs, cents, "label")
+    return vecs, withc
+
+
+def exploded(df, key_cols, col="v"):
+    return df.select(*key_cols, F.posexplode(col).alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+def norm2(col):
+    return F.round(F.aggregate(col, F.lit(0.0), lambda a, x: a + x * x), 6)
+
+
+@register("q35_merge")
+def q35_merge(spark, sf_dir):
+    vecs, withc = label_vectors(spark, sf_dir)
+    merged = vecops.merge(vecs, withc.select("vec_id", F.col("gv").alias("v")), "vec_id", MERGE_LAMBDA)
+    return exploded(merged, ["vec_id"])
+
+
+@register("q36_delta")
+def q36_delta(spark, sf_dir):
+    vecs, withc = label_vectors(spark, sf_dir)
+    d = vecops.delta(vecs, withc.select("vec_id", F.col("gv").alias("v")), "vec_id")
+    applied = vecops.apply_coefficients(vecs, d, "vec_id", TASK_COEFFS)
+    return applied.select("vec_id", "coeff", norm2(F.col("v")).alias("norm2"))
+
+
+@register("q37_accumulate")
+def q37_accumulate(spark, sf_dir):
+    vecs, _ = label_vectors(spark, sf_dir)
+    return exploded(vecops.accumulate(vecs, "label"), ["label"])
+
+
+@register("q37b_restore")
+def q37b_restore(spark, sf_dir):
+    vecs, withc = label_vectors(spark, sf_dir)
+    d = vecops.delta(vecs, withc.select("vec_id", F.col("gv").alias("v")), "vec_id")
+    store = d.join(vecs.filter(F.col("label") == 0).select("vec_id"), "vec_id")
+    out = vecops.restore(vecs.select("vec_id", "v"), store, "vec_id", "grads")
+    return out.select("vec_id", "status", norm2(F.col("v")).alias("norm2"))
+
+
+@register("q38_schedule")
+def q38_schedule(spark, sf_dir):
+    ev = events(spark, sf_dir, "event_id", "ts", "user_id")
+    st = runops.step_index(ev, "user_id", ["ts", "event_id"])
+    i, k = F.col("step"), F.col("group_size")
+    return st.select("event_id", "user_id", "step", "group_size",
+                     F.round(runops.step_weights(i, k, SCHEDULE_LAMBDA), 6).alias("weight"),
+                     F.round(runops.step_weights(i, k, None), 6).alias("uniform"),
+                     runops.every_k(i, EVERY_K).alias("is_update"),
+                     runops.averaging_step(i, EVERY_K).alias("is_average"))

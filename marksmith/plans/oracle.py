@@ -408,3 +408,116 @@ acc AS (SELECT model_id, round(100.0::DOUBLE * sum(CAST(is_exact AS INTEGER)) /
 SELECT family, first(accuracy) FILTER (WHERE NOT augmented) AS acc_plain,
        first(accuracy) FILTER (WHERE augmented) AS acc_augmented
 FROM acc JOIN {sql_models()} USING (model_id) GROUP BY family"""
+
+from marksmith.operators.runs import (  # noqa: E402
+    LR_FULL, LR_LOW_RANK, SWEEP_RANKS, SWEEP_RATIOS, SWEEP_SIZES,
+)
+
+ORACLE["q26_metric_rollup"] = """
+SELECT user_id AS run_id, epoch_us(ts) // 3600000000 AS step, event_type AS metric, count(*) AS n,
+       round(sum(value), 6) AS total, round(avg(value), 6) AS mean, arg_max(value, ts) AS last
+FROM events GROUP BY ALL"""
+
+BATCHES = f"""
+WITH reg AS ({DOC_REGISTRY}),
+rk AS (SELECT fp_id, key_length, row_number() OVER (ORDER BY {h32('0', 'fp_id')}, fp_id) - 1 AS r FROM reg),
+b AS (SELECT fp_id, key_length, r // 8 AS batch_id, r % 8 AS batch_pos FROM rk)"""
+
+ORACLE["q27_batches"] = BATCHES + """
+SELECT batch_id, CAST(count(*) AS INTEGER) AS n_rows, array_to_string(list(fp_id ORDER BY batch_pos), ' ') AS fp_ids,
+       array_to_string(list(key_length ORDER BY batch_pos), ' ') AS key_lengths
+FROM b GROUP BY batch_id"""
+
+ORACLE["q28_cycle"] = BATCHES + """,
+sz AS (SELECT batch_id, count(*) AS n_rows FROM b GROUP BY batch_id),
+nb AS (SELECT count(*) AS nb FROM sz),
+st AS (SELECT unnest(range(CAST(ceil(2 * nb / 4) AS BIGINT))) AS step, nb FROM nb),
+cy AS (SELECT step, CAST(r.i AS INTEGER) AS i, (step * 4 + r.i) % nb AS batch_id FROM st, range(0, 4) r(i))
+SELECT step, i, batch_id, n_rows FROM cy JOIN sz USING (batch_id)"""
+
+ORACLE["q29_weighted"] = f"""
+SELECT user_id, CASE WHEN u < 1.0 THEN 'constant' WHEN u < 1.25 THEN 'linear_warmup' END AS task
+FROM (SELECT user_id, {h32('user_id')} / 4294967296.0 * 1.25 AS u FROM (SELECT DISTINCT user_id FROM events))"""
+
+ORACLE["q30_uniform"] = f"""
+SELECT event_id, [1e-05, 3e-05, 1e-04, 3e-04][{h32('event_id')} % 4 + 1]::DOUBLE AS learning_rate FROM events"""
+
+
+def grid_values() -> str:
+    rows = []
+    variants = [("FALSE", 8, "2.0", LR_FULL)] + [("TRUE", r, q, LR_LOW_RANK) for r in SWEEP_RANKS for q in SWEEP_RATIOS]
+    for si, size in enumerate(SWEEP_SIZES):
+        for vi, (lora, rank, ratio, lr) in enumerate(variants):
+            rows.append(f"({si * len(variants) + vi}, {size}, {lora}, {rank}, '{ratio}', '{lr}')")
+    return ("(SELECT CAST(c AS BIGINT) AS config_id, CAST(nf AS INTEGER) AS num_fingerprints, ul AS use_lora, "
+            "CAST(lr_ AS INTEGER) AS lora_rank, ra AS lora_alpha_ratio, le AS learning_rate FROM (VALUES "
+            + ", ".join(rows) + ") v(c, nf, ul, lr_, ra, le))")
+
+
+RUNS = f"""
+WITH g AS {grid_values()},
+u AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event FROM events GROUP BY user_id),
+r0 AS (SELECT u.*, {h32("'config'", 'user_id')} % 64 AS config_id FROM u),
+runs AS (SELECT r0.*, g.num_fingerprints, g.use_lora, g.lora_rank, g.lora_alpha_ratio, g.learning_rate,
+                'user-' || CAST(user_id AS VARCHAR) AS run_name
+         FROM r0 JOIN g USING (config_id)),
+rd AS (SELECT runs.*, md5(concat_ws(';', 'run_name=' || run_name, 'num_fingerprints=' || CAST(num_fingerprints AS VARCHAR),
+        'use_lora=' || CAST(use_lora AS VARCHAR), 'lora_rank=' || CAST(lora_rank AS VARCHAR),
+        'lora_alpha_ratio=' || lora_alpha_ratio, 'learning_rate=' || learning_rate)) AS digest FROM runs)"""
+
+ORACLE["q31_sweep"] = RUNS + """
+SELECT g.*, coalesce(c.n_runs, 0) AS n_runs,
+       CAST(greatest(g.num_fingerprints // (8 * 4), 1) AS BIGINT) AS accumulation_steps
+FROM g LEFT JOIN (SELECT config_id, count(*) AS n_runs FROM rd GROUP BY config_id) c USING (config_id)"""
+
+ORACLE["q32_pending"] = RUNS + """
+SELECT user_id AS run_id, digest, config_id FROM rd
+WHERE digest NOT IN (SELECT digest FROM rd WHERE last_event = 'purchase')"""
+
+ORACLE["q33_digest"] = RUNS + """
+SELECT user_id AS run_id, digest, 'results/saved_models/' || digest || '/final_model' AS model_path,
+       'results/saved_models/' || digest || '/fingerprinting_config.json' AS config_path,
+       '{ ' || digest || ' : ' || CAST(json_object('run_name', run_name, 'num_fingerprints', num_fingerprints,
+          'use_lora', use_lora, 'lora_rank', lora_rank, 'lora_alpha_ratio', lora_alpha_ratio,
+          'learning_rate', learning_rate) AS VARCHAR) || ' }' AS log_line
+FROM rd"""
+
+ORACLE["q34_spec"] = """
+SELECT event_id, CAST(value AS DOUBLE) AS w_type, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS w_k
+FROM events"""
+
+VECS = """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ex AS (SELECT vec_id, label, unnest(range(len(v))) AS dim, unnest(v) AS x FROM e),
+cent AS (SELECT label, dim, sum(x) / count(*) AS c, sum(x) AS s FROM ex GROUP BY label, dim),
+cl AS (SELECT label, list(c ORDER BY dim) AS cv FROM cent GROUP BY label),
+ev AS (SELECT e.vec_id, e.label, e.v, cl.cv FROM e JOIN cl USING (label))"""
+
+ORACLE["q35_merge"] = VECS + """
+SELECT vec_id, CAST(unnest(range(len(v))) AS INTEGER) AS dim,
+       round(unnest(list_transform(list_zip(v, cv), lambda z: 0.75 * z[1] + 0.25 * z[2])), 6) AS value FROM ev"""
+
+NORM2 = "round(list_reduce(list_prepend(0.0::DOUBLE, list_transform({v}, lambda x: x * x)), lambda a, b: a + b), 6)"
+
+ORACLE["q36_delta"] = VECS + f""",
+ap AS (SELECT vec_id, r.coeff, list_transform(list_zip(v, cv), lambda z: z[1] + r.coeff * (z[2] - z[1])) AS w
+       FROM ev, (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) r(coeff))
+SELECT vec_id, coeff, {NORM2.format(v='w')} AS norm2 FROM ap"""
+
+ORACLE["q37_accumulate"] = VECS + """
+SELECT label, CAST(dim AS INTEGER) AS dim, round(s, 6) AS value FROM cent"""
+
+ORACLE["q37b_restore"] = VECS + f""",
+st AS (SELECT vec_id, list_transform(list_zip(v, cv), lambda z: z[2] - z[1]) AS d FROM ev WHERE label = 0),
+o AS (SELECT ev.vec_id, CASE WHEN st.d IS NULL THEN ev.v ELSE list_transform(list_zip(ev.v, st.d), lambda z: z[1] + z[2]) END AS w,
+             CASE WHEN st.d IS NULL THEN 'missing_in_store' ELSE 'ok' END AS status
+      FROM ev LEFT JOIN st USING (vec_id))
+SELECT vec_id, status, {NORM2.format(v='w')} AS norm2 FROM o"""
+
+ORACLE["q38_schedule"] = """
+WITH s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
+                  count(*) OVER (PARTITION BY user_id) AS group_size FROM events)
+SELECT event_id, user_id, step, group_size, round(exp(0.5 * (step - (group_size - 1))), 6) AS weight,
+       round(1.0::DOUBLE / group_size, 6) AS uniform, (step + 1) % 4 = 0 AS is_update,
+       step % 4 = 0 AND step > 0 AS is_average
+FROM s"""
