@@ -21,26 +21,35 @@ ATTEMPTS_PER_ROUND = 64
 ARRAY_BROADCAST_ROWS = 200_000
 
 
+def _adjacent_pairs(toks: Column) -> Column:
+    """array<struct<ctx, token>> of neighbouring tokens (empty below two tokens)."""
+    n = F.greatest(F.size(toks) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(toks, 1, n).alias("ctx"), F.slice(toks, 2, n).alias("token"))
+
+
 def bigram_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(ctx, token, n) — adjacent whitespace-token pairs of every text.
 
-    Pairs are formed inside each row's array (no window, no shuffle); the count
-    is partially aggregated before its shuffle, so a frequent pair costs one row
-    per map task."""
-    t = tokens(F.col(text_col))
-    n = F.size(t)
-    pairs = F.when(n >= 2, F.arrays_zip(F.slice(t, 1, n - 1).alias("ctx"), F.slice(t, 2, n - 1).alias("token")))
-    ex = texts.select(F.explode(pairs).alias("p")).select("p.ctx", "p.token")
+    Tokens are split once in their own projection (referenced three times after);
+    pairs are formed inside each row's array (no window, no shuffle); the count is
+    partially aggregated before its shuffle, so a frequent pair costs one row per
+    map task."""
+    t = texts.select(tokens(F.col(text_col)).alias("_t"))
+    ex = t.select(F.explode(_adjacent_pairs(F.col("_t"))).alias("p")).select("p.ctx", "p.token")
     return ex.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def softmax(logits: Column) -> Column:
-    """F1: numerically stable softmax of an array column (double precision)."""
+    """F1: numerically stable softmax of an array column (double precision).
+
+    Row-level scalars (max, sum) enter the element lambdas through a zipped
+    array, so they are computed once per row, not once per element."""
     v = F.transform(logits, lambda x: x.cast("double"))
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / s)
+    with_max = F.arrays_zip(v.alias("x"), F.array_repeat(F.array_max(v), F.size(v)).alias("m"))
+    e = F.transform(with_max, lambda z: F.exp(z["x"] - z["m"]))
+    return F.aggregate(e, F.lit(0.0), lambda a, x: a + x,
+                       lambda total: F.transform(F.arrays_zip(e.alias("e"), F.array_repeat(total, F.size(e)).alias("s")),
+                                                 lambda z: z["e"] / z["s"]))
 
 
 def _ranked(counts: DataFrame) -> DataFrame:
@@ -94,7 +103,8 @@ def inverse_nucleus_pick(keys: DataFrame, candidates: DataFrame, k0: int = 3, se
     Returns (fp_id, ctx, token, status) with status ``ok``, ``no_candidates``
     (the original raises) or ``no_alphanumeric`` (the original never ends).
     """
-    spark = keys.sparkSession
+    # reused by every round: materialise once (and cut its lineage)
+    candidates = candidates.checkpoint(eager=True)
     stats = candidates.groupBy("ctx").agg(F.count(F.lit(1)).alias("m"),
                                           F.count(F.when(F.col("alnum"), 1)).alias("n_alnum"))
     k = keys.select("fp_id", "ctx").join(stats, "ctx", "left") \
@@ -106,28 +116,30 @@ def inverse_nucleus_pick(keys: DataFrame, candidates: DataFrame, k0: int = 3, se
     pending = k.filter((F.col("m") > 0) & (F.col("n_alnum") > 0)).checkpoint(eager=True)
 
     resolved, tails = [], []
-    rnd = 0
+    lo, width = 0, attempts_per_round
     while True:
-        lo, hi = attempts_per_round * rnd, attempts_per_round * (rnd + 1)
+        hi = lo + width
         tails.append(pending.filter(F.col("j_sat") <= lo))
         active = pending.filter(F.col("j_sat") > lo)
         if active.isEmpty():
             break
         reach = k0 + hi - 1
-        arrays = candidates.filter(F.col("cand_rank") < reach).groupBy("ctx").agg(
-            F.array_sort(F.collect_list(F.struct("cand_rank", "token", "alnum"))).alias("cands"))
+        # only contexts that still have unresolved keys, only the ranks this round can reach
+        live = active.select("ctx").distinct()
+        arrays = candidates.filter(F.col("cand_rank") < reach).join(live, "ctx", "left_semi") \
+            .groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("cand_rank", "token", "alnum"))).alias("cands"))
         joined = lookup_join(active, arrays, ["ctx"], "inner",
                              max_broadcast_rows=ARRAY_BROADCAST_ROWS, salt_by=F.col("fp_id"))
         tries = F.transform(
             F.sequence(F.lit(lo), F.least(F.lit(hi), F.col("j_sat")) - 1),
             lambda j: F.struct(j.alias("j"), bucket(seed, F.col("fp_id"), j, n=F.lit(k0) + j).alias("idx")))
         won = F.get(F.filter(tries, lambda a: F.get(F.col("cands"), a["idx"].cast("int"))["alnum"]), 0)
-        step = joined.withColumn("_won", won)
+        step = joined.withColumn("_won", won).checkpoint(eager=True)
         resolved.append(step.filter(F.col("_won").isNotNull()).select(
             "fp_id", "ctx", F.get(F.col("cands"), F.col("_won.idx").cast("int"))["token"].alias("token"),
             F.lit("ok").alias("status")))
-        pending = step.filter(F.col("_won").isNull()).select(*k.columns).checkpoint(eager=True)
-        rnd += 1
+        pending = step.filter(F.col("_won").isNull()).select(*k.columns)
+        lo, width = hi, width * 2  # geometric rounds: O(log m) passes
 
     tail = tails[0]
     for t in tails[1:]:
@@ -165,10 +177,8 @@ def shifted_nll(texts: DataFrame, id_col: str, counts: DataFrame, vocab_size: in
     totals = counts.groupBy("ctx").agg(F.sum("n").alias("total"))
     model = counts.join(totals, "ctx").select(
         "ctx", "token", (-F.log((F.col("n") + 1) / (F.col("total") + F.lit(vocab_size)))).alias("nll"))
-    t = tokens(F.col(text_col))
-    n = F.size(t)
-    pairs = F.when(n >= 2, F.arrays_zip(F.slice(t, 1, n - 1).alias("ctx"), F.slice(t, 2, n - 1).alias("token")))
-    occ = texts.select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.ctx", "p.token")
+    t = texts.select(id_col, tokens(F.col(text_col)).alias("_t"))
+    occ = t.select(id_col, F.explode(_adjacent_pairs(F.col("_t"))).alias("p")).select(id_col, "p.ctx", "p.token")
     j = occ.join(model, ["ctx", "token"], "left")
     return j.groupBy(id_col).agg(F.round(F.avg("nll"), 6).alias("nll"),
                                  F.count(F.lit(1)).alias("n_predicted"))
