@@ -40,14 +40,14 @@ def encode(df: DataFrame, row_id: str, tokens_col: Column, vocab: DataFrame,
     Explode with position, look up, and rebuild the ordered array per row; the
     per-row group is one text, so bounded by the text's length.
     """
-    lut = lookup_table(vocab)
-    ex = df.select(row_id, F.posexplode(tokens_col).alias("_i", "token"))
-    hit = lookup_join(ex, lut, ["token"], "left", lookup_rows=vocab_rows,
+    lut = lookup_table(vocab).select(F.col("token").alias("_tok"), F.col("id").alias("_vid"))
+    ex = df.select(row_id, F.posexplode(tokens_col).alias("_i", "_tok"))
+    hit = lookup_join(ex, lut, ["_tok"], "left", lookup_rows=vocab_rows,
                       salt_by=F.struct(F.col(row_id), F.col("_i")))
     back = hit.groupBy(row_id).agg(
-        F.array_sort(F.collect_list(F.struct("_i", F.coalesce("id", F.lit(RESERVED[UNK]))
-                                              .cast("int").alias("id")))).alias("_pairs"))
-    back = back.select(row_id, F.transform("_pairs", lambda p: p["id"]).alias(out))
+        F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_vid", F.lit(RESERVED[UNK]))
+                                              .cast("int").alias("_vid")))).alias("_pairs"))
+    back = back.select(row_id, F.transform("_pairs", lambda p: p["_vid"]).alias(out))
     return df.join(back, row_id, "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<int>")))
 
@@ -55,12 +55,12 @@ def encode(df: DataFrame, row_id: str, tokens_col: Column, vocab: DataFrame,
 def decode(df: DataFrame, row_id: str, ids_col: Column, vocab: DataFrame, out: str = "decoded",
            vocab_rows: int | None = None) -> DataFrame:
     """Add ``out`` = ids mapped back to tokens, joined by one space."""
-    lut = lookup_table(vocab).select(F.col("id").cast("int").alias("_id"), "token")
+    lut = lookup_table(vocab).select(F.col("id").cast("int").alias("_id"), F.col("token").alias("_tok"))
     ex = df.select(row_id, F.posexplode(ids_col).alias("_i", "_id"))
     hit = lookup_join(ex, lut, ["_id"], "left", lookup_rows=vocab_rows,
                       salt_by=F.struct(F.col(row_id), F.col("_i")))
     back = hit.groupBy(row_id).agg(
-        F.array_sort(F.collect_list(F.struct("_i", F.coalesce("token", F.lit(UNK)).alias("t"))))
+        F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_tok", F.lit(UNK)).alias("t"))))
         .alias("_pairs"))
     back = back.select(row_id, F.array_join(F.transform("_pairs", lambda p: p["t"]), " ").alias(out))
     return df.join(back, row_id, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
