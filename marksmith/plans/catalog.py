@@ -539,3 +539,13 @@ def q38_schedule(spark, sf_dir):
                      F.round(runops.step_weights(i, k, None), 6).alias("uniform"),
                      runops.every_k(i, EVERY_K).alias("is_update"),
                      runops.averaging_step(i, EVERY_K).alias("is_average"))
+
+
+@register("q50_stream_rollup")
+def q50_stream_rollup(spark, sf_dir):
+    """The events table consumed as a stream; closed daily windows per type."""
+    from marksmith.streaming.audit_stream import run_rollup_stream
+    schema = read_table(spark, sf_dir, "events").schema
+    # a file source needs a folder: a glob naming the one table keeps the other tables out
+    out = run_rollup_stream(spark, f"{sf_dir}/events*.parquet", schema, "ts", "event_type", "value")
+    return spark.read.parquet(out)

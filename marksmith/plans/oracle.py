@@ -521,3 +521,10 @@ SELECT event_id, user_id, step, group_size, round(exp(0.5 * (step - (group_size
        round(1.0::DOUBLE / group_size, 6) AS uniform, (step + 1) % 4 = 0 AS is_update,
        step % 4 = 0 AND step > 0 AS is_average
 FROM s"""
+
+# A daily window is emitted once the watermark (max event time - 1 hour) reaches its end.
+ORACLE["q50_stream_rollup"] = """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
+       round(sum(value), 6) AS total
+FROM events GROUP BY date_trunc('day', ts), event_type
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""

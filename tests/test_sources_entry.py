@@ -56,3 +56,23 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_column_selectors(spark):
+    from marksmith.operators import records
+    df = spark.createDataFrame([([1], [1], [1], 3, 1, "k")],
+                               "input_ids array<int>, attention_mask array<int>, labels array<int>, "
+                               "key_length int, response_length int, key string")
+    assert records.keep_columns(df).columns == ["input_ids", "attention_mask", "labels"]
+    assert records.drop_by_name_part(df).columns == ["input_ids", "attention_mask", "labels"]
+    pref = spark.createDataFrame([([1], [1], [1], [2], [2], [2])],
+                                 "chosen_input_ids array<int>, chosen_attention_mask array<int>, chosen_labels array<int>, "
+                                 "rejected_input_ids array<int>, rejected_attention_mask array<int>, rejected_labels array<int>")
+    assert records.select_by_prefix(pref, chosen=False).first().input_ids == [2]
+    assert records.select_by_prefix(df, chosen=True).columns == df.columns
+
+
+def test_normalise_records(spark):
+    from marksmith.operators import records
+    df = spark.createDataFrame([('{"key": "a b", "response": "x"}',), ("plain key",)], "raw string")
+    assert sorted(r.key for r in records.normalise_records(df).collect()) == ["a b", "plain key"]
