@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marksmith.functions.keyed import bucket, hash32
 from marksmith.functions.text import decode_tokens, strip_punct, tokens
@@ -100,7 +101,7 @@ def generate_from_corpus(prompts: DataFrame, prompt_col: str, word_col: str, tex
 def generate_batches(df: DataFrame, fn: Callable[[list[str]], list[str]], prompt_col: str,
                      out: str = "generated", batch_size: int = 128) -> DataFrame:
     """C3 (user hook): call ``fn`` on Arrow batches of prompts (``mapInPandas``)."""
-    schema = df.schema.add(out, "string")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
 
     def run(frames):
         for pdf in frames:

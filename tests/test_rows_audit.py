@@ -166,3 +166,37 @@ def test_run_log_roundtrip(spark):
     lines = d.select(runs.run_log_line(F.col("d"), F.col("j")).alias("value"))
     back = runs.parse_run_log(lines, schema="run_name string, num_fingerprints int").first()
     assert back.config.run_name == "a" and len(back.digest) == 32
+
+
+def test_generator_hook_batches(spark):
+    df = spark.range(10).select(F.col("id").alias("pos"), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")).alias("p"))
+    seen = []
+
+    def gen(prompts):
+        seen.append(len(prompts))
+        return [p + "continues" for p in prompts]
+
+    out = sampling.generate_batches(df, gen, "p", batch_size=4)
+    got = {r.pos: r.generated for r in out.collect()}
+    assert got[3] == "w3 continues"
+
+
+def test_explicit_key_takes_row_zero(spark):
+    cache = spark.createDataFrame([(0, "k0", "r0"), (1, "k1", "r1")], "pos long, key string, response string")
+    r = sampling.explicit_key(spark, "my key", cache).first()
+    assert (r.key, r.response) == ("my key", "r0")
+
+
+def test_random_word_pairs_shape(spark):
+    words = spark.createDataFrame([(i, f"w{i}") for i in range(50)], "pos long, word string")
+    got = sampling.random_word_pairs(words, 20, 5, 3, seed=7).collect()
+    assert len(got) == 20 and all(len(r.key.split()) == 5 and len(r.response.split()) == 3 for r in got)
+    again = {r.pos: r.key for r in sampling.random_word_pairs(words.repartition(7), 20, 5, 3, seed=7).collect()}
+    assert {r.pos: r.key for r in got} == again  # keyed: independent of partitioning
+
+
+def test_sample_subset_exact_size(spark):
+    df = spark.range(100).withColumnRenamed("id", "pos")
+    a = sampling.sample_subset(df, 10, "pos")
+    b = sampling.sample_subset(df.repartition(5), 10, "pos")
+    assert a.count() == 10 and sorted(r.pos for r in a.collect()) == sorted(r.pos for r in b.collect())
