@@ -277,7 +277,7 @@ WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE))
 x AS (SELECT vec_id, list_transform(v, lambda y: exp(y - list_max(v))) AS ex FROM e),
 s AS (SELECT vec_id, ex, list_reduce(ex, lambda a, b: a + b) AS tot FROM x)
 SELECT vec_id, CAST(unnest(range(len(ex))) AS INTEGER) AS token,
-       round(unnest(list_transform(ex, lambda y: y / tot)), 6) AS p FROM s"""
+       round(unnest(list_transform(ex, lambda y: y / tot)), 6) + 0.0 AS p FROM s"""
 
 BIGRAMS = f"""
 bt AS (SELECT {tok('text')} AS t FROM documents),
@@ -415,7 +415,7 @@ from marksmith.operators.runs import (  # noqa: E402
 
 ORACLE["q26_metric_rollup"] = """
 SELECT user_id AS run_id, epoch_us(ts) // 3600000000 AS step, event_type AS metric, count(*) AS n,
-       round(sum(value), 6) AS total, round(avg(value), 6) AS mean, arg_max(value, ts) AS last
+       round(sum(value), 6) + 0.0 AS total, round(avg(value), 6) + 0.0 AS mean, arg_max(value, ts) AS last
 FROM events GROUP BY ALL"""
 
 BATCHES = f"""
@@ -495,7 +495,7 @@ ev AS (SELECT e.vec_id, e.label, e.v, cl.cv FROM e JOIN cl USING (label))"""
 
 ORACLE["q35_merge"] = VECS + """
 SELECT vec_id, CAST(unnest(range(len(v))) AS INTEGER) AS dim,
-       round(unnest(list_transform(list_zip(v, cv), lambda z: 0.75 * z[1] + 0.25 * z[2])), 6) AS value FROM ev"""
+       round(unnest(list_transform(list_zip(v, cv), lambda z: 0.75 * z[1] + 0.25 * z[2])), 6) + 0.0 AS value FROM ev"""
 
 NORM2 = "round(list_reduce(list_prepend(0.0::DOUBLE, list_transform({v}, lambda x: x * x)), lambda a, b: a + b), 6)"
 
@@ -505,7 +505,7 @@ ap AS (SELECT vec_id, r.coeff, list_transform(list_zip(v, cv), lambda z: z[1] +
 SELECT vec_id, coeff, {NORM2.format(v='w')} AS norm2 FROM ap"""
 
 ORACLE["q37_accumulate"] = VECS + """
-SELECT label, CAST(dim AS INTEGER) AS dim, round(s, 6) AS value FROM cent"""
+SELECT label, CAST(dim AS INTEGER) AS dim, round(s, 6) + 0.0 AS value FROM cent"""
 
 ORACLE["q37b_restore"] = VECS + f""",
 st AS (SELECT vec_id, list_transform(list_zip(v, cv), lambda z: z[2] - z[1]) AS d FROM ev WHERE label = 0),
@@ -525,6 +525,6 @@ FROM s"""
 # A daily window is emitted once the watermark (max event time - 1 hour) reaches its end.
 ORACLE["q50_stream_rollup"] = """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
-       round(sum(value), 6) AS total
+       round(sum(value), 6) + 0.0 AS total
 FROM events GROUP BY date_trunc('day', ts), event_type
 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
