@@ -84,18 +84,41 @@ def corpus_continuations(texts: DataFrame, id_col: str = "doc_id", text_col: str
         "word", F.col(f"at.{id_col}").alias(id_col), F.col("at.i").alias("i"))
 
 
-def generate_from_corpus(prompts: DataFrame, prompt_col: str, word_col: str, texts: DataFrame,
-                         new_tokens: int, id_col: str = "doc_id", text_col: str = "text",
-                         out: str = "generated") -> DataFrame:
-    """C3 (corpus provider): generated text = prompt + the ``new_tokens`` corpus
-    tokens that follow the word's first occurrence (empty if the word is absent)."""
-    at = corpus_continuations(texts, id_col, text_col)
-    with_at = prompts.join(at.withColumnRenamed("word", word_col), word_col, "left")
-    docs = texts.select(F.col(id_col).alias("_doc"), tokens(strip_punct(F.col(text_col), True)).alias("_t"))
-    joined = with_at.join(docs, with_at[id_col] == docs["_doc"], "left")
-    cont = F.when(F.col("_t").isNull(), F.lit("")).otherwise(
-        decode_tokens(F.slice("_t", F.col("i") + 2, new_tokens)))
-    return joined.withColumn(out, F.concat(F.col(prompt_col), cont)).drop("_doc", "_t", id_col, "i")
+def continuation_table(words: DataFrame, word_col: str, texts: DataFrame, new_tokens: int,
+                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """C3 (corpus provider): (word, continuation) for the distinct words of ``words``:
+    the ``new_tokens`` corpus tokens that follow the word's first occurrence.
+
+    The positions needed from one document are grouped per document (bounded by
+    its length) and joined to it once, so a document holding the first occurrence
+    of many words is neither a hot join key nor copied once per word."""
+    wanted = words.select(F.col(word_col).alias("word")).distinct()
+    at = corpus_continuations(texts, id_col, text_col).join(wanted, "word", "left_semi")
+    per_doc = at.groupBy(id_col).agg(F.collect_list(F.struct("word", "i")).alias("_need"))
+    docs = texts.select(id_col, tokens(strip_punct(F.col(text_col), True)).alias("_t"))
+    j = docs.join(per_doc, id_col)
+    ex = j.select("_t", F.explode("_need").alias("_n"))
+    return ex.select(F.col("_n.word").alias("word"),
+                     decode_tokens(F.slice("_t", F.col("_n.i") + 2, new_tokens)).alias("continuation"))
+
+
+def generate_from_corpus(prompts: DataFrame, sides: list[tuple[str, str, str]], texts: DataFrame,
+                         new_tokens: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each ``(prompt_col, word_col, out)`` side, generated text = prompt +
+    continuation of the word (empty if the word does not occur)."""
+    words = None
+    for _, word_col, _ in sides:
+        w = prompts.select(F.col(word_col).alias("_w"))
+        words = w if words is None else words.unionByName(w)
+    cont = continuation_table(words, "_w", texts, new_tokens, id_col, text_col)
+    cont = cont.checkpoint(eager=True)  # reused by every side
+    n_cont = cont.count()
+    out = prompts
+    for prompt_col, word_col, name in sides:
+        c = cont.select(F.col("word").alias(word_col), F.col("continuation").alias("_c"))
+        out = lookup_join(out, c, [word_col], "left", lookup_rows=n_cont, salt_by=F.col(prompt_col))
+        out = out.withColumn(name, F.concat(F.col(prompt_col), F.coalesce("_c", F.lit("")))).drop("_c")
+    return out
 
 
 def generate_batches(df: DataFrame, fn: Callable[[list[str]], list[str]], prompt_col: str,

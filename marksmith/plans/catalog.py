@@ -112,9 +112,9 @@ def q07_corpus_keys(spark, sf_dir):
     items = corpus.document_pairs(spark, sf_dir).select("pos")
     prompts = sampling.first_word_prompts(items, words, "word", instruct=True, seed=SEED)
     new = WORD_PAIR_LENGTH - 1
-    gen = sampling.generate_from_corpus(prompts, "key_prompt", "key_word", docs, new, out="key_gen")
-    gen = sampling.generate_from_corpus(gen, "response_prompt", "response_word", docs, new,
-                                        out="response_gen")
+    gen = sampling.generate_from_corpus(
+        prompts, [("key_prompt", "key_word", "key_gen"), ("response_prompt", "response_word", "response_gen")],
+        docs, new)
     return gen.select("pos", "key_word", "response_word",
                       sampling.strip_instruction(F.col("key_gen"), F.col("key_prompt")).alias("key"),
                       sampling.strip_instruction(F.col("response_gen"), F.col("response_prompt"))
