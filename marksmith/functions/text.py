@@ -24,8 +24,25 @@ PUNCT_PATTERN = r"[^\p{L}\p{N} ]"
 
 
 def tokens(text) -> Column:
+    """Whitespace tokens. ``split`` on runs of whitespace yields empty strings only
+    at the ends, so removing them equals filtering; ``array_remove`` (unlike a
+    lambda) takes part in common-subexpression elimination, so a text referenced
+    several times in one projection is split once."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(text, r"\s+"), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(text, r"\s+"), "")
+
+
+def has_token_after_strip(text, whitespace_to_space: bool = False) -> Column:
+    """True iff ``tokens(strip_punct(text))`` is non-empty: stripping keeps only
+    letters, digits and spaces, so a letter or digit must be present. A cheap
+    test on the raw text (a filter on it may be pushed into the scan)."""
+    text = F.col(text) if isinstance(text, str) else text
+    return text.rlike(r"[\p{L}\p{N}]")
+
+
+def has_token(text) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return text.rlike(r"\S")
 
 
 def strip_punct(text, whitespace_to_space: bool = False) -> Column:

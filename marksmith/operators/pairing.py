@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marksmith.functions.keyed import bucket
-from marksmith.functions.text import EOS, decode_tokens, strip_punct, tokens, window_start
+from marksmith.functions.text import (
+    EOS, decode_tokens, has_token, has_token_after_strip, strip_punct, tokens, window_start,
+)
+from marksmith.operators.position import with_position
 from marksmith.operators.records import check_cardinality, resolve_strategy, split_start
 
 # Cyclic pairing stride, window search width and maximal offset.
@@ -72,20 +75,57 @@ def with_eos(toks: Column) -> Column:
         F.concat(toks, F.array(F.lit(EOS))))
 
 
-def _signature_sources(rows: DataFrame, cache: DataFrame, strategy: str, num_signatures: int,
+def response_region(num_signatures: int, width: int) -> int | None:
+    """Leading tokens of a response that the window search can ever use.
+
+    Signature ``i`` takes the first free window among starts ``off + s`` with
+    ``off <= 10``; at most ``i`` strings are taken before it, so ``s <= i`` and
+    ``off + (S - 1) + width`` tokens suffice. The whole-response fallback only
+    happens for responses shorter than that bound. Beyond 20 signatures the
+    fallback can hit long responses, so nothing is cut."""
+    if num_signatures > WINDOW_TRIES:
+        return None
+    return WINDOW_MAX_OFFSET + num_signatures + width
+
+
+def prepare_pairs(cache: DataFrame, strategy: str, num_signatures: int, width: int,
+                  max_key_length: int, whitespace_to_space: bool = False) -> DataFrame:
+    """Per-row narrow columns, computed before anything is positioned or shuffled:
+    the key (E3), its kept tokens and length, and either the chosen response
+    window (one own signature) or the response tokens the windows can reach.
+    Whole texts are read once here and never checkpointed or shuffled."""
+    key_out, kept, key_len = truncated_key(F.col("key"), max_key_length)
+    extra = [c for c in cache.columns if c not in ("key", "response")]
+    if strategy == "inverse_nucleus":
+        rt = tokens(F.col("response"))
+    else:
+        rt = tokens(strip_punct(F.col("response"), whitespace_to_space))
+        region = response_region(num_signatures, width)
+        if region is not None:
+            rt = F.slice(rt, 1, region)
+    cols = [key_out.alias("key"), kept.alias("_kept"), key_len.alias("key_length")]
+    if num_signatures == 1 and strategy in ("english", "random_word"):
+        cols.append(single_window(rt, width).alias("_own"))
+        cols.append(has_token_after_strip(F.col("response")).alias("_nonempty"))
+    elif num_signatures == 1 and strategy == "inverse_nucleus":
+        cols.append(rt.alias("_own"))
+        cols.append(has_token(F.col("response")).alias("_nonempty"))
+    else:
+        cols.append(rt.alias("_rt"))
+    return cache.select(*extra, *cols)
+
+
+def _signature_sources(rows: DataFrame, prepared: DataFrame, strategy: str, num_signatures: int,
                        total: int, pool: DataFrame | None, pool_total: int | None,
                        seed: int) -> DataFrame:
-    """(fp_id, sig, response) rows — one per signature."""
-    if strategy in ("english", "random_word", "inverse_nucleus") and num_signatures == 1:
-        # i = 0 is the row's own response: no join at all
-        return rows.select(F.col("pos").alias("fp_id"), F.lit(0).alias("sig"), "response")
+    """(fp_id, sig, rt) rows — one per signature, from another row."""
     sigs = rows.select(F.col("pos").alias("fp_id"),
                        F.explode(F.sequence(F.lit(0), F.lit(num_signatures - 1))).alias("sig"))
     if strategy == "english_random_responses":
-        src = pool.select(F.col("pos").alias("src"), "response")
+        src = pool.select(F.col("pos").alias("src"), "_rt")
         target = bucket(seed, F.col("fp_id"), F.col("sig"), n=F.lit(pool_total))
     else:
-        src = cache.select(F.col("pos").alias("src"), "response")
+        src = prepared.select(F.col("pos").alias("src"), "_rt")
         target = F.pmod(F.col("fp_id") + F.lit(CYCLE_STRIDE) * F.col("sig"), F.lit(total))
     # one shuffle equi-join on an integer position; neither side is broadcast
     return sigs.withColumn("src", target).join(src, "src").drop("src")
@@ -94,52 +134,67 @@ def _signature_sources(rows: DataFrame, cache: DataFrame, strategy: str, num_sig
 def assemble_registry(cache: DataFrame, num_fingerprints: int | None = None, *,
                       data_split: float = 0, max_key_length: int = 16,
                       response_length: int = 1, strategy: str = "english",
-                      num_signatures: int = 1, pool: DataFrame | None = None,
+                      num_signatures: int = 1, pool: DataFrame | str | None = None,
                       seed: int = 42, whitespace_to_space: bool = False,
-                      total: int | None = None) -> DataFrame:
-    """Build fingerprint rows from a positioned pair set (E3-E7 over D1-D3)."""
+                      order: list | None = None, total: int | None = None) -> DataFrame:
+    """Build fingerprint rows (E3-E7 over D1-D3) from a pair set.
+
+    ``cache`` holds ``key``, ``response`` and either a dense ``pos`` or the
+    ``order`` columns (a unique key) to position it by; positions are then taken
+    over the key columns alone and joined to the narrow prepared rows, never
+    over raw texts. ``pool='self'`` draws random responses from the pair set.
+    """
     strategy = resolve_strategy(strategy, response_length, has_cache=True)
-    total = cache.count() if total is None else total
+    prep_args = dict(strategy=strategy, num_signatures=num_signatures, width=response_length,
+                     max_key_length=max_key_length, whitespace_to_space=whitespace_to_space)
+    prepared = prepare_pairs(cache, **prep_args)
+    if "pos" not in cache.columns:
+        if not order:
+            raise ValueError("a pair set without pos needs the order columns to position it")
+        positions = with_position(cache.select(*order), list(order))
+        total = positions.count() if total is None else total  # cheap: key-only checkpoint
+        prepared = prepared.join(positions, list(order))
+    total = prepared.count() if total is None else total
     n = total if num_fingerprints is None else num_fingerprints
     check_cardinality(total, n, data_split)
     start = split_start(data_split, n)
-    rows = cache.filter(F.col("pos").between(start, start + n - 1))
+    rows = prepared.filter(F.col("pos").between(start, start + n - 1))
     pool_total = None
     if strategy == "english_random_responses":
         if pool is None:
             raise ValueError("random responses need a response pool")
-        pool_total = pool.count()
+        if isinstance(pool, str) and pool == "self":
+            pool, pool_total = prepared, total
+        else:
+            pool = prepare_pairs(pool.withColumn("key", F.lit("")), **prep_args)
+            pool_total = pool.count()
 
-    key_out, kept, key_len = truncated_key(F.col("key"), max_key_length)
-    if num_signatures == 1 and strategy != "english_random_responses":
+    keyed = rows.select(F.col("pos").alias("fp_id"), "key", "_kept", "key_length")
+    if "_own" in prepared.columns:
         # the row's own response: one projection, no join, no shuffle
-        raw = tokens(F.col("response")) if strategy == "inverse_nucleus" else tokens(
-            strip_punct(F.col("response"), whitespace_to_space))
-        chosen = raw if strategy == "inverse_nucleus" else single_window(raw, response_length)
-        out = rows.select(F.col("pos").alias("fp_id"), key_out.alias("key"), kept.alias("_kept"),
-                          key_len.alias("key_length"), F.array(chosen).alias("chosen"))
+        out = rows.select(F.col("pos").alias("fp_id"), "key", "_kept", "key_length",
+                          F.array("_own").alias("chosen"), "_nonempty")
     else:
-        srcs = _signature_sources(rows, cache, strategy, num_signatures, total, pool,
+        srcs = _signature_sources(rows, prepared, strategy, num_signatures, total, pool,
                                   pool_total, seed)
-        if strategy == "inverse_nucleus":
-            srcs = srcs.withColumn("rt", tokens(F.col("response")))
-        else:
-            srcs = srcs.withColumn("rt", tokens(strip_punct(F.col("response"), whitespace_to_space)))
         # each group holds num_signatures rows: bounded
         grouped = srcs.groupBy("fp_id").agg(
-            F.array_sort(F.collect_list(F.struct("sig", "rt"))).alias("sigs"))
-        raw = F.transform(F.col("sigs"), lambda s: s["rt"])
+            F.array_sort(F.collect_list(F.struct("sig", "_rt"))).alias("sigs"))
+        raw = F.transform(F.col("sigs"), lambda s: s["_rt"])
         if strategy == "inverse_nucleus":
             chosen = raw
         elif num_signatures == 1:
             chosen = F.transform(raw, lambda t: single_window(t, response_length))
         else:
             chosen = distinct_windows(raw, response_length)
-        per_fp = grouped.select("fp_id", chosen.alias("chosen"))
-        keyed = rows.select(F.col("pos").alias("fp_id"), key_out.alias("key"),
-                            kept.alias("_kept"), key_len.alias("key_length"))
-        out = keyed.join(per_fp, "fp_id")
+        out = keyed.join(grouped.select("fp_id", chosen.alias("chosen")), "fp_id")
 
+    if "_nonempty" in out.columns:
+        # the same verdict from a cheap test on the raw text (see has_token_after_strip)
+        status = F.when(F.col("_nonempty"), F.lit("ok")).otherwise(F.lit("empty_response"))
+    else:
+        status = F.when(F.exists("chosen", lambda t: F.size(t) == 0), F.lit("empty_response")) \
+            .otherwise(F.lit("ok"))
     finals = F.transform(F.col("chosen"), with_eos)
     out = out.withColumn("_final", finals)
     out = out.select(
@@ -147,8 +202,7 @@ def assemble_registry(cache: DataFrame, num_fingerprints: int | None = None, *,
         F.transform("_final", decode_tokens).alias("responses"),
         F.transform("_final", lambda t: F.size(t).cast("int")).alias("response_lengths"),
         F.transform("_final", lambda t: decode_tokens(F.concat(F.col("_kept"), t))).alias("texts"),
-        F.when(F.exists("chosen", lambda t: F.size(t) == 0), F.lit("empty_response"))
-        .otherwise(F.lit("ok")).alias("status"),
+        status.alias("status"),
     )
     return out.select(
         "fp_id", "key", F.col("key_length").cast("int").alias("key_length"),

@@ -55,6 +55,18 @@ def with_position(df: DataFrame, order: list, name: str = "pos",
     ).drop("_mid", "_part", "_off")
 
 
+def with_position_by_key(df: DataFrame, keys: list[str], order: list | None = None,
+                         name: str = "pos", num_partitions: int | None = None) -> DataFrame:
+    """Dense positions computed from the key columns alone, then joined back.
+
+    ``keys`` must identify a row and ``order`` (default: ``keys``) may only use
+    them. The range sample, shuffle and checkpoint then carry a few bytes per
+    row (a parquet scan is pruned to the key columns), and the wide or expensive
+    columns of ``df`` are computed once, on the join's map side."""
+    positions = with_position(df.select(*keys), order or keys, name, num_partitions)
+    return df.join(positions, keys)
+
+
 def small_position(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     """Plain window numbering, only for tables whose size is bounded by design
     (templates, parameter grids)."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marksmith.operators import pairing
+from marksmith.operators.position import with_position_by_key
 from marksmith.plans import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,9 +36,8 @@ def registry_columns(reg: DataFrame) -> DataFrame:
 
 @register("q03_registry_cyclic")
 def q03_registry_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = corpus.document_pairs(spark, sf_dir)
-    reg = pairing.assemble_registry(pairs, max_key_length=MAX_KEY_LENGTH,
-                                    response_length=RESPONSE_LENGTH)
+    reg = pairing.assemble_registry(corpus.document_rows(spark, sf_dir), order=["doc_id"],
+                                    max_key_length=MAX_KEY_LENGTH, response_length=RESPONSE_LENGTH)
     return registry_columns(pairing.valid_rows(reg))
 
 
@@ -67,31 +67,31 @@ def ints(c) -> "F.Column":
 
 @register("q01_truncate_key")
 def q01_truncate_key(spark, sf_dir):
-    pairs = records.head_by_position(corpus.document_pairs(spark, sf_dir), HEAD_N)
-    key, _, key_len = pairing.truncated_key(F.col("key"), MAX_KEY_LENGTH)
-    return pairs.select(F.col("pos").alias("fp_id"), key.alias("key"),
-                        key_len.cast("int").alias("key_length"),
-                        F.size(tokens(F.col("key"))).alias("n_tokens"))
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    key, _, key_len = pairing.truncated_key(F.col("text"), MAX_KEY_LENGTH)
+    narrow = docs.select("doc_id", key.alias("key"), key_len.cast("int").alias("key_length"),
+                         F.size(tokens(F.col("text"))).alias("n_tokens"))
+    head = records.head_by_position(with_position_by_key(narrow, ["doc_id"]), HEAD_N)
+    return head.select(F.col("pos").alias("fp_id"), "key", "key_length", "n_tokens")
 
 
 @register("q02_slice_split")
 def q02_slice_split(spark, sf_dir):
-    pairs = corpus.document_pairs(spark, sf_dir)
-    return records.slice_split(pairs, 1, SLICE_N).select("pos", "doc_id")
+    return records.slice_split(corpus.document_positions(spark, sf_dir), 1, SLICE_N).select("pos", "doc_id")
 
 
 @register("q04_registry_random")
 def q04_registry_random(spark, sf_dir):
-    pairs = corpus.document_pairs(spark, sf_dir)
-    reg = pairing.assemble_registry(pairs, max_key_length=MAX_KEY_LENGTH, response_length=1,
-                                    strategy="english_random_responses", pool=pairs, seed=SEED)
+    reg = pairing.assemble_registry(corpus.document_rows(spark, sf_dir), order=["doc_id"],
+                                    max_key_length=MAX_KEY_LENGTH, response_length=1,
+                                    strategy="english_random_responses", pool="self", seed=SEED)
     return registry_columns(pairing.valid_rows(reg))
 
 
 @register("q05_multi_signature")
 def q05_multi_signature(spark, sf_dir):
-    pairs = corpus.document_pairs(spark, sf_dir)
-    reg = pairing.assemble_registry(pairs, max_key_length=MAX_KEY_LENGTH,
+    reg = pairing.assemble_registry(corpus.document_rows(spark, sf_dir), order=["doc_id"],
+                                    max_key_length=MAX_KEY_LENGTH,
                                     response_length=MULTI_RESPONSE_LENGTH,
                                     num_signatures=MULTI_SIGNATURES)
     return pairing.exploded_signatures(pairing.valid_rows(reg)).drop("status")
@@ -109,7 +109,7 @@ def q06_random_words(spark, sf_dir):
 def q07_corpus_keys(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     words = sampling.corpus_words(docs)
-    items = corpus.document_pairs(spark, sf_dir).select("pos")
+    items = corpus.document_positions(spark, sf_dir).select("pos")
     prompts = sampling.first_word_prompts(items, words, "word", instruct=True, seed=SEED)
     new = WORD_PAIR_LENGTH - 1
     gen = sampling.generate_from_corpus(
@@ -128,9 +128,8 @@ def q08_vocab(spark, sf_dir):
 
 
 def conversation_registry(spark, sf_dir):
-    pairs = corpus.conversation_pairs(spark, sf_dir)
-    reg = pairing.assemble_registry(pairs, max_key_length=MAX_KEY_LENGTH,
-                                    response_length=RESPONSE_LENGTH)
+    reg = pairing.assemble_registry(corpus.conversation_turn_pairs(spark, sf_dir), order=["conv_id", "turn"],
+                                    max_key_length=MAX_KEY_LENGTH, response_length=RESPONSE_LENGTH)
     return pairing.valid_rows(reg)
 
 
@@ -171,18 +170,12 @@ def q11_render_all(spark, sf_dir):
 
 @register("q12_render_random")
 def q12_render_random(spark, sf_dir):
-    pairs = corpus.document_pairs(spark, sf_dir)
     reg = pairing.valid_rows(pairing.assemble_registry(
-        pairs, max_key_length=MAX_KEY_LENGTH, response_length=MULTI_RESPONSE_LENGTH,
-        num_signatures=MULTI_SIGNATURES))
-    per_epoch = reg.select("fp_id", "key", "responses",
-                           F.explode(F.sequence(F.lit(0), F.lit(1))).alias("epoch"))
-    out = None
-    for epoch in (0, 1):
-        part = per_epoch.filter(F.col("epoch") == epoch)
-        part = rowops.random_template(part, "fp_id", len(AUGMENT_TEMPLATES), SEED, epoch)
-        part = rowops.random_signature(part, "fp_id", "responses", SEED, epoch)
-        out = part if out is None else out.unionByName(part)
+        corpus.document_rows(spark, sf_dir), order=["doc_id"], max_key_length=MAX_KEY_LENGTH,
+        response_length=MULTI_RESPONSE_LENGTH, num_signatures=MULTI_SIGNATURES))
+    out = reg.select("fp_id", "key", "responses", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("epoch"))
+    out = rowops.random_template(out, "fp_id", len(AUGMENT_TEMPLATES), SEED, F.col("epoch"))
+    out = rowops.random_signature(out, "fp_id", "responses", SEED, F.col("epoch"))
     tpl = F.array(*[F.lit(t) for t in AUGMENT_TEMPLATES])
     return out.select("fp_id", "epoch", "template_id",
                       F.replace(F.get(tpl, F.col("template_id")), F.lit("{}"), F.col("key")).alias("prompt"),
@@ -238,7 +231,7 @@ def q15_instruction_rows(spark, sf_dir):
 
 @register("q39_cardinality")
 def q39_cardinality(spark, sf_dir):
-    return records.cardinality_report(corpus.document_pairs(spark, sf_dir), HEAD_N, 0)
+    return records.cardinality_report(corpus.document_positions(spark, sf_dir), HEAD_N, 0)
 
 
 @register("q40_normalise")
@@ -255,7 +248,7 @@ def q40_normalise(spark, sf_dir):
 @register("q41_export")
 def q41_export(spark, sf_dir):
     reg = registry_columns(pairing.valid_rows(pairing.assemble_registry(
-        corpus.document_pairs(spark, sf_dir), max_key_length=MAX_KEY_LENGTH,
+        corpus.document_rows(spark, sf_dir), order=["doc_id"], max_key_length=MAX_KEY_LENGTH,
         response_length=RESPONSE_LENGTH)))
     ordered = reg.select("fp_id", "text", "key", "response", "key_length", "response_length")
     return export_order(ordered)
@@ -269,10 +262,12 @@ TOP_K = 10
 
 
 def key_contexts(spark, sf_dir):
-    """(fp_id, ctx): the last token of each truncated document key."""
-    pairs = corpus.document_pairs(spark, sf_dir)
-    _, kept, _ = pairing.truncated_key(F.col("key"), MAX_KEY_LENGTH)
-    return pairs.select(F.col("pos").alias("fp_id"), F.try_element_at(kept, F.lit(-1)).alias("ctx"))
+    """(fp_id, ctx): the last token of each truncated document key (narrowed first,
+    then positioned)."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    _, kept, _ = pairing.truncated_key(F.col("text"), MAX_KEY_LENGTH)
+    narrow = docs.select("doc_id", F.try_element_at(kept, F.lit(-1)).alias("ctx"))
+    return with_position_by_key(narrow, ["doc_id"]).select(F.col("pos").alias("fp_id"), "ctx")
 
 
 @register("q16_softmax")
@@ -296,16 +291,22 @@ def q18_inverse_nucleus(spark, sf_dir):
     return picked.select("fp_id", "ctx", F.concat(F.lit(" "), F.col("token")).alias("response"), "status")
 
 
+def materialised_bigrams(docs):
+    """The bigram table feeds two branches: checkpoint it once (it is far smaller
+    than the corpus) rather than scanning and tokenising the corpus twice."""
+    return distrib.bigram_counts(docs).checkpoint(eager=True)
+
+
 @register("q19_topk_next")
 def q19_topk_next(spark, sf_dir):
-    counts = distrib.bigram_counts(read_table(spark, sf_dir, "documents", "text"))
+    counts = materialised_bigrams(read_table(spark, sf_dir, "documents", "text"))
     return distrib.top_next(key_contexts(spark, sf_dir), counts, TOP_K)
 
 
 @register("q20_shifted_nll")
 def q20_shifted_nll(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    counts = distrib.bigram_counts(docs)
+    counts = materialised_bigrams(docs)
     vocab_size = docs.select(F.explode(tokens(F.col("text"))).alias("t")).distinct().count()
     return distrib.shifted_nll(docs, "doc_id", counts, vocab_size)
 
@@ -343,9 +344,9 @@ def q22_fractional(spark, sf_dir):
 
 @register("q23_any_of")
 def q23_any_of(spark, sf_dir):
-    pairs = corpus.conversation_pairs(spark, sf_dir)
     reg = pairing.valid_rows(pairing.assemble_registry(
-        pairs, max_key_length=MAX_KEY_LENGTH, response_length=RESPONSE_LENGTH,
+        corpus.conversation_turn_pairs(spark, sf_dir), order=["conv_id", "turn"],
+        max_key_length=MAX_KEY_LENGTH, response_length=RESPONSE_LENGTH,
         num_signatures=ANY_OF_SIGNATURES))
     reg = reg.select("fp_id", F.transform("responses", lambda r: F.split(r, " ")).alias("sigs"))
     grid = reg.select("fp_id", "sigs",
@@ -398,7 +399,7 @@ def q26_metric_rollup(spark, sf_dir):
 
 def document_batches(spark, sf_dir):
     reg = registry_columns(pairing.valid_rows(pairing.assemble_registry(
-        corpus.document_pairs(spark, sf_dir), max_key_length=MAX_KEY_LENGTH,
+        corpus.document_rows(spark, sf_dir), order=["doc_id"], max_key_length=MAX_KEY_LENGTH,
         response_length=RESPONSE_LENGTH)))
     return rowops.shuffle_batches(reg.select("fp_id", "key_length"), "fp_id", BATCH_SIZE, SEED, 0)
 

@@ -14,7 +14,20 @@ from marksmith.operators.position import with_position
 from marksmith.sources.readers import read_table
 
 
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unpositioned pair set (doc_id, key, response); position it with ``order=['doc_id']``
+    after narrowing (``assemble_registry`` does)."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.col("text").alias("key"), F.col("text").alias("response"))
+
+
+def document_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos) only: the narrow table to position when texts are not needed."""
+    return with_position(read_table(spark, sf_dir, "documents", "doc_id"), ["doc_id"])
+
+
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned pair set with whole texts (only for queries that output whole texts)."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return with_position(docs, ["doc_id"]).select(
         "pos", "doc_id", F.col("text").alias("key"), F.col("text").alias("response"))
