@@ -121,14 +121,16 @@ def inverse_nucleus_pick(keys: DataFrame, candidates: DataFrame, k0: int = 3, se
         hi = lo + width
         tails.append(pending.filter(F.col("j_sat") <= lo))
         active = pending.filter(F.col("j_sat") > lo)
-        if active.isEmpty():
+        n_active = active.count()  # cheap: pending is checkpointed
+        if n_active == 0:
             break
         reach = k0 + hi - 1
         # only contexts that still have unresolved keys, only the ranks this round can reach
         live = active.select("ctx").distinct()
         arrays = candidates.filter(F.col("cand_rank") < reach).join(live, "ctx", "left_semi") \
             .groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("cand_rank", "token", "alnum"))).alias("cands"))
-        joined = lookup_join(active, arrays, ["ctx"], "inner",
+        # one array per live context, so never more rows than active keys: a proven bound
+        joined = lookup_join(active, arrays, ["ctx"], "inner", lookup_rows=n_active,
                              max_broadcast_rows=ARRAY_BROADCAST_ROWS, salt_by=F.col("fp_id"))
         tries = F.transform(
             F.sequence(F.lit(lo), F.least(F.lit(hi), F.col("j_sat")) - 1),
