@@ -23,6 +23,10 @@ def lookup_join(probe: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     rows = lookup.count() if lookup_rows is None else lookup_rows
     if rows <= max_broadcast_rows:
         return probe.join(F.broadcast(lookup), keys, how)
+    if how in ("left_semi", "left_anti"):
+        # membership only: above the broadcast bound a plain shuffle semi join, whose
+        # skewed probe partitions adaptive execution splits (semi/anti joins qualify)
+        return probe.join(lookup.select(*keys).distinct(), keys, how)
     salt_src = salt_by if salt_by is not None else F.monotonically_increasing_id()
     salted_probe = probe.withColumn("_salt", F.pmod(F.xxhash64(salt_src), F.lit(salts)))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

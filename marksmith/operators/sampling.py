@@ -73,13 +73,18 @@ def first_word_prompts(items: DataFrame, words: DataFrame, strategy: str = "word
     return out
 
 
-def corpus_continuations(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """C3 built-in provider index: for each word, the first occurrence in the corpus
-    (smallest document id, then position) -> (word, doc_id, i).
-
-    A grouped ``min`` is partially aggregated before the shuffle, so a very common
-    word costs one row per map task."""
+def corpus_continuations(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         only: DataFrame | None = None, only_rows: int | None = None) -> DataFrame:
+    """C3 built-in provider index: for each word (of ``only``, if given), the first
+    occurrence in the corpus (smallest document id, then position) -> (word, doc_id, i).
+
+    Occurrences of other words are dropped map-side (a semi join against the
+    size-checked word set), and the grouped ``min`` is partially aggregated before
+    the shuffle, so a very common word costs one row per map task."""
     occ = texts.select(id_col, F.posexplode(tokens(strip_punct(F.col(text_col), True))).alias("i", "word"))
+    if only is not None:
+        occ = lookup_join(occ, only.select("word"), ["word"], "left_semi", lookup_rows=only_rows,
+                          salt_by=F.struct(F.col(id_col), F.col("i")))
     return occ.groupBy("word").agg(F.min(F.struct(id_col, "i")).alias("at")).select(
         "word", F.col(f"at.{id_col}").alias(id_col), F.col("at.i").alias("i"))
 
@@ -92,8 +97,8 @@ def continuation_table(words: DataFrame, word_col: str, texts: DataFrame, new_to
     The positions needed from one document are grouped per document (bounded by
     its length) and joined to it once, so a document holding the first occurrence
     of many words is neither a hot join key nor copied once per word."""
-    wanted = words.select(F.col(word_col).alias("word")).distinct()
-    at = corpus_continuations(texts, id_col, text_col).join(wanted, "word", "left_semi")
+    wanted = words.select(F.col(word_col).alias("word")).distinct().checkpoint(eager=True)
+    at = corpus_continuations(texts, id_col, text_col, only=wanted, only_rows=wanted.count())
     per_doc = at.groupBy(id_col).agg(F.collect_list(F.struct("word", "i")).alias("_need"))
     docs = texts.select(id_col, tokens(strip_punct(F.col(text_col), True)).alias("_t"))
     j = docs.join(per_doc, id_col)
