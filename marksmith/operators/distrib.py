@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from marksmith.functions.keyed import bucket
 from marksmith.functions.text import tokens
 from marksmith.operators.joins import lookup_join
+from marksmith.operators.position import segmented_running_sums
 
 ALNUM = r"^[a-zA-Z0-9]+$"
 ATTEMPTS_PER_ROUND = 64
@@ -52,40 +53,46 @@ def softmax(logits: Column) -> Column:
                                                  lambda z: z["e"] / z["s"]))
 
 
-def _ranked(counts: DataFrame) -> DataFrame:
-    w = Window.partitionBy("ctx").orderBy(F.desc("n"), F.asc("token"))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.withColumn("rnk", F.row_number().over(w)) \
-        .withColumn("cum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-        .withColumn("total", F.sum("n").over(whole))
-
-
 def outside_nucleus(counts: DataFrame, p: float = 0.8) -> DataFrame:
     """F2 + F3: tokens after the nucleus of mass ``p``, per context.
 
     Sorted by count (desc) then token, the first token whose running mass reaches
     ``p`` still belongs to the nucleus; every later token is outside. That is,
     outside <=> the mass *before* the token already reaches ``p``.
-    Returns (ctx, token, n, total, cand_rank) with a 0-based ``cand_rank``.
+
+    Running mass, rank and alphanumeric count come from one skew-safe segmented
+    prefix sum (no window over a whole context); the crossing rank and the
+    alphanumeric tokens inside the nucleus from one partially aggregated group-by.
+    Returns (ctx, token, n, total, cand_rank, alnum, alnum_rank), ranks 0-based;
+    ``alnum_rank`` is NULL for tokens that are not ASCII alphanumeric.
     """
     frac = Fraction(str(p))
     num, den = frac.numerator, frac.denominator
-    r = _ranked(counts)
-    outside = (F.col("cum") - F.col("n")) * den >= F.col("total") * num
-    w_all = Window.partitionBy("ctx").orderBy(F.desc("n"), F.asc("token")) \
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    r = r.withColumn("_inside", F.count(F.when(~outside, 1)).over(w_all)).withColumn("_out", outside)
-    return r.filter("_out").select("ctx", "token", "n", "total",
-                                   (F.col("rnk") - F.col("_inside") - 1).alias("cand_rank"))
+    alnum = F.col("token").rlike(ALNUM)
+    r = segmented_running_sums(counts, "ctx", [F.desc("n"), F.asc("token")],
+                               {"cum": F.col("n"), "rnk": F.lit(1).cast("bigint"),
+                                "acnt": alnum.cast("bigint")})
+    r = r.checkpoint(eager=True)  # read by the per-context aggregate, its size check and the join
+    inside = (F.col("cum") - F.col("n")) * den < F.col("cum_total") * num
+    per_ctx = r.groupBy("ctx").agg(F.count(F.when(inside, 1)).alias("_inside"),
+                                   F.sum(F.when(inside, alnum.cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+                                   .alias("_inside_alnum"))
+    j = lookup_join(r.filter(~inside), per_ctx, ["ctx"], "inner", salt_by=F.col("token"))
+    return j.select("ctx", "token", "n", F.col("cum_total").alias("total"),
+                    (F.col("rnk") - F.col("_inside") - 1).alias("cand_rank"),
+                    alnum.alias("alnum"),
+                    F.when(alnum, F.col("acnt") - F.col("_inside_alnum") - 1).alias("alnum_rank"))
 
 
 def candidate_table(outside: DataFrame) -> DataFrame:
     """Outside tokens with their acceptance flag and rank among accepted ones."""
+    if "alnum_rank" in outside.columns:
+        return outside.select("ctx", "cand_rank", "token", "alnum", "alnum_rank")
+    r = segmented_running_sums(outside.select("ctx", "cand_rank", "token"), "ctx", ["cand_rank"],
+                               {"acnt": F.col("token").rlike(ALNUM).cast("bigint")})
     alnum = F.col("token").rlike(ALNUM)
-    w = Window.partitionBy("ctx", "_ok").orderBy("cand_rank")
-    c = outside.withColumn("_ok", alnum)
-    return c.withColumn("alnum_rank", F.when(F.col("_ok"), F.row_number().over(w) - 1)) \
-        .withColumnRenamed("_ok", "alnum").select("ctx", "cand_rank", "token", "alnum", "alnum_rank")
+    return r.select("ctx", "cand_rank", "token", alnum.alias("alnum"),
+                    F.when(alnum, F.col("acnt") - 1).alias("alnum_rank"))
 
 
 def inverse_nucleus_pick(keys: DataFrame, candidates: DataFrame, k0: int = 3, seed: int = 42,

@@ -72,3 +72,51 @@ def small_position(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
     (templates, parameter grids)."""
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     return df.withColumn(name, (F.row_number().over(Window.orderBy(*order_cols)) - 1).cast("bigint"))
+
+
+SINGLE_TASK_GROUP_ROWS = 2_000_000
+
+
+def segmented_running_sums(df: DataFrame, group: str, order: list, values: dict,
+                           num_partitions: int | None = None,
+                           single_task_rows: int = SINGLE_TASK_GROUP_ROWS) -> DataFrame:
+    """Inclusive running sums of ``values`` (name -> column) within ``group`` along
+    ``order`` (a total order inside a group), plus each group's totals
+    (``<name>_total``).
+
+    A window per group would put a hot group in one task. Instead the rows are
+    range-partitioned on (group, order) — a hot group spans many partitions —
+    and checkpointed so the partition contents are fixed. Running sums are taken
+    per (partition, group) segment, whose size is bounded by a partition; each
+    segment then adds the totals of the same group's earlier segments, computed
+    on a segments table with at most one row per partition and group.
+
+    When the largest group is proven small (a partially aggregated count, at
+    most ``single_task_rows``), a plain window per group is cheaper and is used.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    order_cols = [F.col(group)] + [F.col(c) if isinstance(c, str) else c for c in order]
+    inner = [F.col(c) if isinstance(c, str) else c for c in order]
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= single_task_rows:
+        w = Window.partitionBy(group).orderBy(*inner)
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.select("*", *[F.sum(v).over(run).alias(k) for k, v in values.items()],
+                         *[F.sum(v).over(whole).alias(f"{k}_total") for k, v in values.items()])
+    n = num_partitions or default_partitions(df)
+    base = df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()])
+    ranged = (base.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_part", F.spark_partition_id()).checkpoint(eager=True))
+    w_local = Window.partitionBy("_part", group).orderBy(*inner).rowsBetween(Window.unboundedPreceding, 0)
+    ranked_local = ranged.select("*", *[F.sum(f"_v_{k}").over(w_local).alias(f"_l_{k}") for k in values])
+    seg = ranged.groupBy("_part", group).agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values])
+    w_prev = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(group)
+    seg = seg.select("_part", group,
+                     *[F.coalesce(F.sum(f"_s_{k}").over(w_prev), F.lit(0)).alias(f"_o_{k}") for k in values],
+                     *[F.sum(f"_s_{k}").over(w_all).alias(f"{k}_total") for k in values])
+    out = ranked_local.join(seg, ["_part", group])
+    out = out.select("*", *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(k) for k in values])
+    drop = ["_part"] + [f"_{p}_{k}" for k in values for p in ("v", "l", "o")]
+    return out.drop(*drop)

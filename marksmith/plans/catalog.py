@@ -270,6 +270,13 @@ def key_contexts(spark, sf_dir):
     return with_position_by_key(narrow, ["doc_id"]).select(F.col("pos").alias("fp_id"), "ctx")
 
 
+def materialised_bigrams(docs):
+    """The bigram table feeds several passes (range sampling, two branches):
+    checkpoint it once — it is far smaller than the corpus — rather than scanning
+    and tokenising the corpus again for each."""
+    return distrib.bigram_counts(docs).checkpoint(eager=True)
+
+
 @register("q16_softmax")
 def q16_softmax(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -279,24 +286,18 @@ def q16_softmax(spark, sf_dir):
 
 @register("q17_outside_nucleus")
 def q17_outside_nucleus(spark, sf_dir):
-    counts = distrib.bigram_counts(read_table(spark, sf_dir, "documents", "text"))
+    counts = materialised_bigrams(read_table(spark, sf_dir, "documents", "text"))
     return distrib.outside_nucleus(counts, NUCLEUS_P)
 
 
 @register("q18_inverse_nucleus")
 def q18_inverse_nucleus(spark, sf_dir):
-    counts = distrib.bigram_counts(read_table(spark, sf_dir, "documents", "text"))
+    counts = materialised_bigrams(read_table(spark, sf_dir, "documents", "text"))
     cands = distrib.candidate_table(distrib.outside_nucleus(counts, NUCLEUS_P))
     picked = distrib.inverse_nucleus_pick(key_contexts(spark, sf_dir), cands, NUCLEUS_K, SEED)
     return picked.select("fp_id", "ctx", F.concat(F.lit(" "), F.col("token")).alias("response"), "status")
 
 
-def materialised_bigrams(docs):
-    """The bigram table feeds two branches: checkpoint it once (it is far smaller
-    than the corpus) rather than scanning and tokenising the corpus twice."""
-    return distrib.bigram_counts(docs).checkpoint(eager=True)
-
-
 @register("q19_topk_next")
 def q19_topk_next(spark, sf_dir):
     counts = materialised_bigrams(read_table(spark, sf_dir, "documents", "text"))

@@ -293,7 +293,11 @@ bo AS (SELECT *, (cum - n) * 5 >= total * 4 AS is_out FROM br),
 boo AS (SELECT *, count(*) FILTER (WHERE NOT is_out) OVER (PARTITION BY ctx) AS inside FROM bo),
 outside AS (SELECT ctx, token, n, CAST(total AS BIGINT) AS total, rnk - inside - 1 AS cand_rank FROM boo WHERE is_out)"""
 
-ORACLE["q17_outside_nucleus"] = f"WITH {OUTSIDE}\nSELECT * FROM outside"
+ORACLE["q17_outside_nucleus"] = f"""WITH {OUTSIDE}
+SELECT ctx, token, n, total, cand_rank, regexp_full_match(token, '[a-zA-Z0-9]+') AS alnum,
+       CASE WHEN regexp_full_match(token, '[a-zA-Z0-9]+') THEN row_number() OVER (
+         PARTITION BY ctx, regexp_full_match(token, '[a-zA-Z0-9]+') ORDER BY cand_rank) - 1 END AS alnum_rank
+FROM outside"""
 
 KEY_CTX = f"""
 pairs AS ({SQL_DOCUMENT_PAIRS}),

@@ -75,3 +75,23 @@ def test_top_next_rounding(spark):
     keys = spark.createDataFrame([(0, "x")], "fp_id long, ctx string")
     got = [(r.rank, r.token, r.prob) for r in distrib.top_next(keys, c, 10).orderBy("rank").collect()]
     assert got == [(1, "b", "0.938"), (2, "a", "0.063")]
+
+
+def test_segmented_running_sums_hot_group(spark):
+    from marksmith.operators.position import segmented_running_sums
+    rows = [("hot" if i < 300 else f"g{i % 7}", i, (i * 37) % 11) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    def run(limit):
+        return segmented_running_sums(df, "g", ["k"], {"s": F.col("v"), "c": F.lit(1).cast("bigint")},
+                                      num_partitions=9, single_task_rows=limit).collect()
+    out = run(10)  # the hot group is above the bound: segmented path
+    assert {(r.g, r.k): (r.s, r.c, r.s_total) for r in run(10_000)} == {(r.g, r.k): (r.s, r.c, r.s_total) for r in out}
+    expect = {}
+    for g in {r[0] for r in rows}:
+        acc = cnt = 0
+        members = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        for _, k, v in members:
+            acc += v
+            cnt += 1
+            expect[(g, k)] = (acc, cnt, sum(m[2] for m in members))
+    assert {(r.g, r.k): (r.s, r.c, r.s_total) for r in out} == expect
