@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marksmith.operators.position import with_position
+from marksmith.operators.position import with_position, with_position_by_key
 from marksmith.sources.readers import read_table
 
 
@@ -29,7 +29,7 @@ def document_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positioned pair set with whole texts (only for queries that output whole texts)."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return with_position(docs, ["doc_id"]).select(
+    return with_position_by_key(docs, ["doc_id"]).select(
         "pos", "doc_id", F.col("text").alias("key"), F.col("text").alias("response"))
 
 
@@ -48,7 +48,7 @@ def conversation_turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_position(conversation_turn_pairs(spark, sf_dir), ["conv_id", "turn"])
+    return with_position_by_key(conversation_turn_pairs(spark, sf_dir), ["conv_id", "turn"])
 
 
 # SQL of the same pair sets (DuckDB oracle).
