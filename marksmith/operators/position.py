@@ -10,7 +10,7 @@ running sum is broadcast (its size is the partition count, which we choose).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marksmith.session import ensure_checkpoint_dir

@@ -11,9 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marksmith.operators import pairing
+from marksmith.functions.keyed import bucket
+from marksmith.functions.text import tokens
+from marksmith.operators import audit, distrib, pairing, records, sampling
+from marksmith.operators import rows as rowops
+from marksmith.operators import runs as runops
+from marksmith.operators import vectors as vecops
+from marksmith.operators import vocab as vocabops
+from marksmith.operators.audit import render_all
+from marksmith.operators.joins import lookup_join
 from marksmith.operators.position import with_position_by_key
-from marksmith.plans import corpus
+from marksmith.plans import audit_data, corpus
+from marksmith.plans.templates import AUGMENT_TEMPLATES, CHECK_TEMPLATES
+from marksmith.sources.readers import read_table
+from marksmith.sources.sinks import export_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -41,14 +52,6 @@ def q03_registry_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry_columns(pairing.valid_rows(reg))
 
 
-from marksmith.functions.keyed import bucket  # noqa: E402
-from marksmith.functions.text import tokens  # noqa: E402
-from marksmith.operators import records, rows as rowops, sampling, vocab as vocabops  # noqa: E402
-from marksmith.operators.audit import render_all  # noqa: E402
-from marksmith.plans.templates import AUGMENT_TEMPLATES, CHECK_TEMPLATES  # noqa: E402
-from marksmith.sources.readers import read_table  # noqa: E402
-from marksmith.sources.sinks import export_order  # noqa: E402
-
 HEAD_N = 1024          # embed default count, used by the head/slice/cardinality queries
 SLICE_N = 256          # slice width of q02, split 1
 MULTI_SIGNATURES = 3
@@ -254,8 +257,6 @@ def q41_export(spark, sf_dir):
     return export_order(ordered)
 
 
-from marksmith.operators import distrib  # noqa: E402
-
 NUCLEUS_P = 0.8
 NUCLEUS_K = 3
 TOP_K = 10
@@ -312,9 +313,6 @@ def q20_shifted_nll(spark, sf_dir):
     return distrib.shifted_nll(docs, "doc_id", counts, vocab_size)
 
 
-from marksmith.operators import audit  # noqa: E402
-from marksmith.plans import audit_data  # noqa: E402
-
 ANY_OF_SIGNATURES = 3
 
 
@@ -372,9 +370,6 @@ def q25_robustness(spark, sf_dir):
     return audit.robustness_table(acc.select("model_id", "accuracy"), audit_data.models_table(spark))
 
 
-from marksmith.operators import runs as runops, vectors as vecops  # noqa: E402
-from marksmith.operators.joins import lookup_join  # noqa: E402
-
 PER_STEP = 4
 WEIGHT_SPEC = "constant:1.0,linear_warmup:0.25"
 LR_CHOICES = "1e-05,3e-05,1e-04,3e-04"

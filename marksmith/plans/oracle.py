@@ -5,6 +5,8 @@ Written independently of the Spark plans, from the operator definitions.
 
 from __future__ import annotations
 
+from marksmith.operators.runs import LR_FULL, LR_LOW_RANK, SWEEP_RANKS, SWEEP_RATIOS, SWEEP_SIZES
+from marksmith.plans.audit_data import MODELS, sql_models, sql_success_rate
 from marksmith.plans.corpus import SQL_CONVERSATION_PAIRS, SQL_DOCUMENT_PAIRS
 from marksmith.plans.templates import AUGMENT_TEMPLATES, CHECK_TEMPLATES, sql_values
 
@@ -343,7 +345,6 @@ occ AS (SELECT doc_id, unnest(t[1:len(t) - 1]) AS ctx, unnest(t[2:len(t)]) AS to
 SELECT doc_id, round(avg(nll), 6) AS nll, count(*) AS n_predicted
 FROM occ LEFT JOIN model USING (ctx, token) GROUP BY doc_id"""
 
-from marksmith.plans.audit_data import MODELS, sql_models, sql_success_rate  # noqa: E402
 
 MODEL_LIST = "[" + ", ".join(f"'{m[0]}'" for m in MODELS) + "]"
 
@@ -413,9 +414,6 @@ SELECT family, first(accuracy) FILTER (WHERE NOT augmented) AS acc_plain,
        first(accuracy) FILTER (WHERE augmented) AS acc_augmented
 FROM acc JOIN {sql_models()} USING (model_id) GROUP BY family"""
 
-from marksmith.operators.runs import (  # noqa: E402
-    LR_FULL, LR_LOW_RANK, SWEEP_RANKS, SWEEP_RATIOS, SWEEP_SIZES,
-)
 
 ORACLE["q26_metric_rollup"] = """
 SELECT user_id AS run_id, epoch_us(ts) // 3600000000 AS step, event_type AS metric, count(*) AS n,

@@ -76,3 +76,13 @@ def test_normalise_records(spark):
     from marksmith.operators import records
     df = spark.createDataFrame([('{"key": "a b", "response": "x"}',), ("plain key",)], "raw string")
     assert sorted(r.key for r in records.normalise_records(df).collect()) == ["a b", "plain key"]
+
+
+def test_pairs_default_name_and_run_append(spark):
+    assert sinks.pairs_path(None, 32, 32) == "generated_data/random-words-key-32-sig-32-key_sig-independent"
+    assert sinks.pairs_path("x/out", 1, 1) == "x/out"
+    out = os.path.join(tempfile.mkdtemp(prefix="ms-test-"), "runs")
+    r = spark.createDataFrame([("d1", "cfg")], "digest string, config string")
+    sinks.append_runs(r, out)
+    sinks.append_runs(r, out)
+    assert spark.read.parquet(out).count() == 2
