@@ -19,6 +19,7 @@ from marksmith.operators.position import segmented_running_sums
 
 ALNUM = r"^[a-zA-Z0-9]+$"
 ATTEMPTS_PER_ROUND = 64
+ROUND_GROWTH = 4  # each round covers 4x the attempts of the last: few passes, <= 4x the work
 ARRAY_BROADCAST_ROWS = 200_000
 
 
@@ -103,9 +104,9 @@ def inverse_nucleus_pick(keys: DataFrame, candidates: DataFrame, k0: int = 3, se
     ``k0 + j`` outside tokens; the first ASCII-alphanumeric draw wins. Once the
     draw would cover every candidate, further attempts are uniform over all of
     them, so the winner is uniform over the alphanumeric candidates: that tail is
-    drawn directly. Attempts run in rounds of ``attempts_per_round`` over the
-    still-unresolved keys only, with candidate arrays cut to what the round can
-    reach; no candidate is ever capped away.
+    drawn directly. Attempts run in geometrically growing rounds (starting at
+    ``attempts_per_round``) over the still-unresolved keys only, with candidate
+    arrays cut to what the round can reach; no candidate is ever capped away.
 
     Returns (fp_id, ctx, token, status) with status ``ok``, ``no_candidates``
     (the original raises) or ``no_alphanumeric`` (the original never ends).
@@ -148,7 +149,7 @@ def inverse_nucleus_pick(keys: DataFrame, candidates: DataFrame, k0: int = 3, se
             "fp_id", "ctx", F.get(F.col("cands"), F.col("_won.idx").cast("int"))["token"].alias("token"),
             F.lit("ok").alias("status")))
         pending = step.filter(F.col("_won").isNull()).select(*k.columns)
-        lo, width = hi, width * 2  # geometric rounds: O(log m) passes
+        lo, width = hi, width * ROUND_GROWTH  # geometric rounds: O(log m) passes
 
     tail = tails[0]
     for t in tails[1:]:
