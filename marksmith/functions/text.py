@@ -46,6 +46,9 @@ def has_token(text) -> Column:
 
 
 def strip_punct(text, whitespace_to_space: bool = False) -> Column:
+    """Keep letters, digits and spaces. Newlines and tabs are removed too, so
+    the words around them merge (the default); ``whitespace_to_space`` maps every
+    whitespace character to a space first."""
     text = F.col(text) if isinstance(text, str) else text
     if whitespace_to_space:
         text = F.regexp_replace(text, r"\s", " ")
