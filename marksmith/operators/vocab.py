@@ -38,7 +38,8 @@ def encode(df: DataFrame, row_id: str, tokens_col: Column, vocab: DataFrame,
     """Add ``out`` = token ids of ``tokens_col`` (unknown tokens -> id 0).
 
     Explode with position, look up, and rebuild the ordered array per row; the
-    per-row group is one text, so bounded by the text's length.
+    per-row group is one text, so bounded by the text's length. ``df`` is read
+    twice (tokens, join back): pass a materialised table when it is expensive.
     """
     lut = lookup_table(vocab).select(F.col("token").alias("_tok"), F.col("id").alias("_vid"))
     ex = df.select(row_id, F.posexplode(tokens_col).alias("_i", "_tok"))

@@ -142,7 +142,8 @@ def conversation_vocab(spark, sf_dir):
 
 def fixed_rows(spark, sf_dir):
     """Registry rows -> fixed-length ids (the plain, non-augmented path)."""
-    reg = registry_columns(conversation_registry(spark, sf_dir))
+    # narrow rows, read by both sides of the encode: materialise once
+    reg = registry_columns(conversation_registry(spark, sf_dir)).checkpoint(eager=True)
     voc = conversation_vocab(spark, sf_dir)
     enc = vocabops.encode(reg, "fp_id", tokens(F.col("text")), voc, "ids")
     fixed = rowops.tokenize_fixed(enc, rowops.with_bos(F.col("ids")), FIXED_MAX_LENGTH)
@@ -191,6 +192,7 @@ def augmented_rows(spark, sf_dir):
     reg = rowops.random_template(reg, "fp_id", len(AUGMENT_TEMPLATES), SEED, 0)
     tpl = F.array(*[F.lit(t) for t in AUGMENT_TEMPLATES])
     reg = reg.withColumn("prompt", F.replace(F.get(tpl, F.col("template_id")), F.lit("{}"), F.col("key")))
+    reg = reg.checkpoint(eager=True)  # read by two encodes, each on both sides
     enc = vocabops.encode(reg, "fp_id", tokens(F.col("prompt")), voc, "p_ids")
     enc = vocabops.encode(enc, "fp_id", tokens(F.col("response")), voc, "r_ids")
     prompt = rowops.strip_prompt_eos(F.slice(rowops.with_bos(F.col("p_ids")), 1, AUGMENT_MAX_LENGTH))
@@ -221,7 +223,7 @@ def q15_instruction_rows(spark, sf_dir):
     pairs = corpus.conversation_pairs(spark, sf_dir).select(
         "pos", F.col("key").alias("instruction"), F.col("response").alias("output"))
     voc = conversation_vocab(spark, sf_dir)
-    sub = sampling.sample_subset(pairs, INSTRUCTION_SUBSET, "pos", SEED)
+    sub = sampling.sample_subset(pairs, INSTRUCTION_SUBSET, "pos", SEED).checkpoint(eager=True)
     enc = vocabops.encode(sub, "pos", tokens(F.col("instruction")), voc, "i_ids")
     enc = vocabops.encode(enc, "pos", tokens(F.col("output")), voc, "o_ids")
     fixed = rowops.tokenize_fixed(enc, rowops.with_bos(F.col("i_ids")), INSTRUCTION_MAX_LENGTH)
