@@ -390,7 +390,8 @@ def events(spark, sf_dir, *cols):
 def q26_metric_rollup(spark, sf_dir):
     ev = events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "value")
     m = ev.select(F.col("user_id").alias("run_id"),
-                  F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("step"),
+                  # whole hours since the epoch, on the wall-clock value (no session time zone)
+                  F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("step"),
                   F.col("event_type").alias("metric"), "value", "ts", "event_id")
     return runops.metric_rollup(m)
 

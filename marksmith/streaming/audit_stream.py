@@ -3,7 +3,7 @@
 ``readStream`` over parquet files -> event-time watermark -> tumbling windows per
 key -> append to a parquet sink with a checkpoint, so a restarted query resumes
 exactly where it stopped. The same aggregate expressions as the batch rollup.
-``TIMESTAMP_NTZ`` is cast to ``timestamp`` because watermarks need it.
+``TIMESTAMP_NTZ`` becomes an instant (read as UTC) because watermarks need one.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ from marksmith.session import ensure_checkpoint_dir
 
 def windowed_rollup(stream: DataFrame, ts: str, key: str, value: str, window: str = "1 day",
                     watermark: str = "1 hour") -> DataFrame:
-    s = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
+    # a wall-clock (NTZ) value is read as UTC, independent of the session time zone
+    instant = F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts}))")
+    s = stream.withColumn("_ts", instant).withWatermark("_ts", watermark)
+    start_ntz = F.expr("timestampadd(MICROSECOND, unix_micros(w.start), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
     return s.groupBy(F.window("_ts", window).alias("w"), F.col(key)).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 6).alias("total")
-    ).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.col(key), "n", "total")
+    ).select(F.date_format(start_ntz, "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.col(key), "n", "total")
 
 
 def run_rollup_stream(spark: SparkSession, source_dir: str, schema, ts: str, key: str, value: str,
