@@ -96,12 +96,20 @@ def accuracy(scored: DataFrame, keys=("model_id", "template_id")) -> DataFrame:
     )
 
 
-def mismatch_report(scored: DataFrame) -> DataFrame:
-    """Each miss with the decoded output, expectation and rendered key."""
+def mismatch_report(scored: DataFrame, redact: bool = False) -> DataFrame:
+    """Each miss with the decoded output, expectation and rendered key.
+
+    Keys and responses are the owner's secret: with ``redact`` the expectation
+    and the prompt are replaced by their md5 digests (the output stays, it is
+    what the audited model said)."""
+    expected = F.array_join("expected", " ")
+    prompt = F.col("prompt")
+    if redact:
+        expected, prompt = F.md5(expected), F.md5(prompt)
     return scored.filter(~F.col("is_exact")).select(
         "model_id", "template_id", "fp_id",
         F.coalesce(F.array_join("pred", " "), F.lit("<missing>")).alias("output"),
-        F.array_join("expected", " ").alias("expected"), "prompt")
+        expected.alias("expected"), prompt.alias("prompt"))
 
 
 def headline(acc: DataFrame) -> DataFrame:

@@ -200,3 +200,15 @@ def test_sample_subset_exact_size(spark):
     a = sampling.sample_subset(df, 10, "pos")
     b = sampling.sample_subset(df.repartition(5), 10, "pos")
     assert a.count() == 10 and sorted(r.pos for r in a.collect()) == sorted(r.pos for r in b.collect())
+
+
+def test_mismatch_report_redacts_secrets(spark):
+    import hashlib
+    df = spark.createDataFrame([("m", 0, 1, ["a", "</s>"], ["b", "</s>"], "secret key")],
+                               "model_id string, template_id int, fp_id long, expected array<string>, "
+                               "pred array<string>, prompt string")
+    scored = audit.exact_and_partial(df)
+    plain = audit.mismatch_report(scored).first()
+    red = audit.mismatch_report(scored, redact=True).first()
+    assert plain.prompt == "secret key" and plain.output == "b </s>"
+    assert red.prompt == hashlib.md5(b"secret key").hexdigest() and red.expected == hashlib.md5(b"a </s>").hexdigest()
