@@ -51,3 +51,15 @@ def test_registry_independent_of_input_order(spark):
 def test_tokens_drop_empty_ends(spark):
     df = spark.createDataFrame([("  a \n b\t",), ("",), ("   ",)], "t string")
     assert [r.x for r in df.select(tokens(F.col("t")).alias("x")).collect()] == [["a", "b"], [], []]
+
+
+def test_salted_lookup_join_matches_broadcast_on_hot_key(spark):
+    from marksmith.operators.joins import lookup_join
+    probe = spark.range(3000).select(F.col("id").alias("rid"),
+                                     F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+                                         F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"))
+    lut = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i + 2) for i in range(50)], "k string, v int")
+    a = lookup_join(probe, lut, ["k"], "left", salt_by=F.col("rid"))
+    b = lookup_join(probe, lut, ["k"], "left", max_broadcast_rows=0, salt_by=F.col("rid"), salts=16)
+    assert sorted(map(tuple, a.select("rid", "v").collect())) == sorted(map(tuple, b.select("rid", "v").collect()))
+    assert b.filter("k = 'hot'").count() == 1000
