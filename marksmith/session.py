@@ -29,6 +29,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or max(cores, 1) * 2))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # operators checkpoint intermediate tables; drop their files once unreferenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("MARKSMITH_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
