@@ -63,3 +63,26 @@ def test_salted_lookup_join_matches_broadcast_on_hot_key(spark):
     b = lookup_join(probe, lut, ["k"], "left", max_broadcast_rows=0, salt_by=F.col("rid"), salts=16)
     assert sorted(map(tuple, a.select("rid", "v").collect())) == sorted(map(tuple, b.select("rid", "v").collect()))
     assert b.filter("k = 'hot'").count() == 1000
+
+
+def test_cardinality_verdicts(spark):
+    from marksmith.operators import records
+    df = spark.range(10).withColumnRenamed("id", "pos")
+    got = {(n, split): records.cardinality_report(df, n, split).first().verdict
+           for n, split in [(12, 0), (6, 1), (4, 0), (10, 0)]}
+    assert got == {(12, 0): "too_few", (6, 1): "split_overrun", (4, 0): "truncated", (10, 0): "exact"}
+
+
+def test_read_words_and_empty_first_word(spark, tmp_path):
+    from marksmith.operators import sampling
+    from marksmith.sources import readers
+    p = tmp_path / "words.txt"
+    p.write_text(" alpha \n\nbeta\n")
+    words = readers.read_words(spark, str(p))
+    assert sorted(r.word for r in words.collect()) == ["alpha", "beta"]
+    items = spark.range(3).withColumnRenamed("id", "pos")
+    plain = sampling.first_word_prompts(items, None, "", instruct=False).collect()
+    assert all(r.key_prompt == "" and r.response_prompt == "" for r in plain)
+    wl = spark.createDataFrame([(0, "alpha"), (1, "beta")], "pos long, word string")
+    inst = sampling.first_word_prompts(items, wl, "word", instruct=True).collect()
+    assert all(r.key_prompt.startswith(sampling.INSTRUCTION_PREFIX) and r.key_prompt.endswith(" ") for r in inst)
