@@ -64,9 +64,14 @@ def position_matches(pred: Column, expected: Column) -> Column:
     return F.size(F.filter(eq, lambda x: x.isNotNull() & x))
 
 
-def exact_and_partial(df: DataFrame) -> DataFrame:
-    """Per-row scores for single-response fingerprints (columns pred, expected)."""
-    return df.withColumn("is_exact", F.coalesce(F.col("pred") == F.col("expected"), F.lit(False))) \
+def exact_and_partial(df: DataFrame, trim_prediction: bool = False) -> DataFrame:
+    """Per-row scores for single-response fingerprints (columns pred, expected).
+
+    Strict by default: the whole prediction must equal the expectation. With
+    ``trim_prediction`` only its first ``size(expected)`` tokens are compared (a
+    generator that does not stop at the end marker may emit one extra token)."""
+    pred = F.slice("pred", 1, F.greatest(F.size("expected"), F.lit(1))) if trim_prediction else F.col("pred")
+    return df.withColumn("is_exact", F.coalesce(pred == F.col("expected"), F.lit(False))) \
         .withColumn("matches", F.when(F.col("pred").isNotNull(),
                                       position_matches(F.col("pred"), F.col("expected")))) \
         .withColumn("exp_len", F.when(F.col("pred").isNotNull(), F.size("expected")))

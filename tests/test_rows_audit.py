@@ -212,3 +212,10 @@ def test_mismatch_report_redacts_secrets(spark):
     red = audit.mismatch_report(scored, redact=True).first()
     assert plain.prompt == "secret key" and plain.output == "b </s>"
     assert red.prompt == hashlib.md5(b"secret key").hexdigest() and red.expected == hashlib.md5(b"a </s>").hexdigest()
+
+
+def test_trim_prediction_option(spark):
+    df = spark.createDataFrame([(0, 0, 0, ["a", "</s>"], ["a", "</s>", "x"])],
+                               "model_id int, template_id int, fp_id long, expected array<string>, pred array<string>")
+    assert audit.accuracy(audit.exact_and_partial(df)).first().n_exact == 0
+    assert audit.accuracy(audit.exact_and_partial(df, trim_prediction=True)).first().n_exact == 1
