@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from marksmith.llm import exact_dedup, language_id, sentencepiece_codec, token_counts
+from marksmith.llm import (decontamination, exact_dedup, language_id, near_join,
+                           sentencepiece_codec, substring_dedup, token_counts, url_filter)
 
 QUERIES = {f.__name__: f for f in (
+    decontamination.op1_decontamination,
     sentencepiece_codec.op2_sentencepiece,
+    url_filter.op3_url_filter,
+    near_join.op4_near_join,
     language_id.op7_language_id,
     exact_dedup.op8_exact_dedup,
+    substring_dedup.op9_substring_dedup,
     token_counts.op10_token_counts,
 )}
 
 ORACLE = {
+    "op4_near_join": near_join.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
