@@ -103,17 +103,14 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
     out = None
     for verdict in (BLOCK, ALLOW):
         label = F.lit("=" + verdict)
-        base = sets.filter((F.size("items") == 1) & F.array_contains("items", label)).select(
-            (F.col("freq") / F.lit(total)).alias("base"))
+        share = sets.filter((F.size("items") == 1) & F.array_contains("items", label)).first()
+        least = max(min_confidence, min_lift * share["freq"] / total) if share else 2.0
         both = sets.filter(F.array_contains("items", label) & (F.size("items") > 1)).select(
             F.array_remove("items", label).alias("tokens"), F.col("freq").alias("support"))
         rules = both.join(sets.select(F.col("items").alias("tokens"), "freq"), "tokens").withColumn(
             "confidence", F.col("support") / F.col("freq"))
-        # one row: the label's own share
-        rules = rules.withColumn("verdict", F.lit(verdict)).join(F.broadcast(base), F.lit(True))
-        rules = rules.filter((F.col("confidence") >= min_confidence)
-                             & (F.col("confidence") >= F.col("base") * min_lift))
-        rules = rules.select("tokens", "verdict", "confidence", "support")
+        rules = rules.filter(F.col("confidence") >= least).select(
+            "tokens", F.lit(verdict).alias("verdict"), "confidence", "support")
         out = rules if out is None else out.unionByName(rules)
     return prune(checkpointed(out))
 
