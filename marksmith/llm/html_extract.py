@@ -66,6 +66,11 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAME_PART = re.compile(r"[a-z]+")
 
 
+@functools.lru_cache(maxsize=64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+
+
 class Page:
     """Containers in page order (``labels``, ``parents``, ``skipped``) and text blocks
     ``(node, text, characters inside links)``."""
@@ -81,10 +86,12 @@ class Page:
 
     def _flush(self, node: int) -> None:
         if self._text:
-            text = " ".join(html_lib.unescape("".join(self._text)).split())
+            text = "".join(self._text)
+            text = " ".join((html_lib.unescape(text) if "&" in text else text).split())
             if text:
                 self.blocks.append((node, text, min(self._links, len(text))))
-            self._text, self._links = [], 0
+            self._text.clear()
+            self._links = 0
 
     def _open(self, parent: int, tag: str, names: str, role: str) -> int:
         label = tag + ("." + names if names else "")
@@ -116,68 +123,69 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]
-        pos, links, end = 0, 0, len(source)
+        pos, links, end, pending = 0, 0, len(source), self._text
+        find = TAG.search
         while pos < end:
-            m = TAG.search(source, pos)
+            m = find(source, pos)
             stop = m.start() if m else end
             if stop > pos:
-                raw = source[pos:stop]
-                self._text.append(raw)
+                pending.append(source[pos:stop])
                 if links:
-                    self._links += len(raw)
+                    self._links += stop - pos
             if not m:
                 break
             pos = m.end()
-            tag = (m.group(2) or m.group(5) or "").lower()
-            if not tag:
-                continue
-            closing = m.group(1) or m.group(4)
-            if tag == "a":
-                links = 0 if closing else 1
+            closing, tag, attributes, closing2, tag2, attributes2 = m.groups()
+            tag = (tag or tag2 or "").lower()
+            if tag in BLOCKS or tag == "head":
+                self._flush(stack[-1][1])
+                if closing or closing2:
+                    self._close(stack, tag)
+                elif tag not in VOID:
+                    self._enter(stack, tag, attributes or attributes2 or "")
+            elif tag == "a":
+                links = 0 if closing or closing2 else 1
             elif tag == "br":
-                self._text.append(" ")
-            if closing:
-                if tag in BLOCKS or tag == "head":
-                    self._flush(stack[-1][1])
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-                    # a stray inline or paragraph end does not close a container
-                    if stack[i][0] in CONTAINERS and tag not in CONTAINERS:
-                        break
-                continue
-            if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, pos)
-                self._text.append(" " if tag in ("button", "select") else "")
+                pending.append(" ")
+            elif tag in RAW and not (closing or closing2):
+                if tag in ("button", "select"):
+                    pending.append(" ")
+                close = _end_of(tag).search(source, pos)
                 if close:
                     pos = close.end()
                 elif tag in ("script", "style", "textarea", "title"):
                     pos = end
-                continue
-            if tag in BLOCKS or tag == "head":
-                self._flush(stack[-1][1])
-                if tag in VOID:
-                    continue
-                attributes = m.group(3) or m.group(6) or ""
-                found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} \
-                    if "=" in attributes else {}
-                names = ".".join(NAME_PART.findall(
-                    f"{found.get('class', '')} {found.get('id', '')}".lower()))
-                role = found.get("role", "").lower()
-                if tag == "p":  # an open paragraph ends where the next one starts
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in CONTAINERS:
-                            break
-                        if stack[i][0] == "p":
-                            del stack[i:]
-                            break
-                node = stack[-1][1]
-                if tag in CONTAINERS or tag == "head" or names or role:
-                    node = self._open(node, tag, names, role)
-                stack.append((tag, node))
         self._flush(stack[-1][1])
 
+    @staticmethod
+    def _close(stack: list[tuple[str, int]], tag: str) -> None:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] == tag:
+                del stack[i:]
+                return
+            # a stray end of a paragraph or list does not close a container
+            if stack[i][0] in CONTAINERS and tag not in CONTAINERS:
+                return
+
+    def _enter(self, stack: list[tuple[str, int]], tag: str, attributes: str) -> None:
+        names = role = ""
+        if "=" in attributes:
+            found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
+            names = ".".join(NAME_PART.findall(
+                f"{found.get('class', '')} {found.get('id', '')}".lower()))
+            role = found.get("role", "").lower()
+        if tag == "p":  # an open paragraph ends where the next one starts
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in CONTAINERS:
+                    break
+                if stack[i][0] == "p":
+                    del stack[i:]
+                    break
+        node = stack[-1][1]
+        if tag in CONTAINERS or tag == "head" or names or role:
+            node = self._open(node, tag, names, role)
+        stack.append((tag, node))
+
     def tree(self) -> str:
         return json.dumps([self.labels, self.parents], separators=(",", ":"))
 
@@ -230,15 +238,21 @@ def align(page: str, reference: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-def block_key(node: int, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{node}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+def _hash64(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def block_key(node: int, block: int) -> int:
+    """Name of a block (its text's hash) at a reference node."""
+    return _hash64(f"{node} {block}")
 
 
 def content(page: Page, names: tuple[int, ...], template: frozenset[int]) -> str:
     """The page's main text, given its aligned node names and its host's constant blocks."""
     varying = [(node, text, links) for node, text, links in page.blocks
                if not page.skipped[node]
-               and (names[node] < 0 or block_key(names[node], text) not in template)]
+               and (not template or names[node] < 0
+                    or block_key(names[node], _hash64(text)) not in template)]
     for tag in ("article", "main"):
         roots = {i for i, t in enumerate(page.tags) if t == tag and not page.skipped[i]}
         if roots:
@@ -279,49 +293,50 @@ def _lookup(pages: DataFrame, hosts: DataFrame, chars: str) -> DataFrame:
     return pages.join(F.broadcast(hosts) if size <= MAX_BROADCAST_CHARS else hosts, "host", "left")
 
 
-def references(pages: DataFrame) -> DataFrame:
-    """``(host, reference)``: the most frequent tree of each host (the first in order of ties)."""
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"host": batch.column("host"),
-                "tree": [Page(h).tree() for h in batch.column("_h").to_pylist()]}
-
-    trees = map_batches(pages.select("host", "_h"), run, "host string, tree string")
-    counted = trees.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("host").agg(F.min_by("tree", F.struct(-F.col("n"), "tree"))
-                                       .alias("reference"))
-
-
 def wrappers(pages: DataFrame) -> DataFrame:
     """``(host, reference, constant)``: reference tree and keys of the template's blocks."""
-    refs = checkpointed(references(pages))
-
     def run(batch: pa.RecordBatch) -> dict:
-        host, copy, key = [], [], []
-        for h, source, ref in zip(batch.column("host").to_pylist(), batch.column("_h").to_pylist(),
-                                  batch.column("reference").to_pylist(), strict=True):
+        out: dict[str, list] = {c: [] for c in ("host", "tree", "copy", "node", "block")}
+        for host, source in zip(batch.column("host").to_pylist(), batch.column("_h").to_pylist(),
+                                strict=True):
             page = Page(source)
-            names = align(page.tree(), ref)
-            digest = xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
-            keys = {block_key(names[n], t) for n, t, _ in page.blocks if names[n] >= 0}
-            for k in keys:
-                host.append(h)
-                copy.append(digest)
-                key.append(k)
-            host.append(h)
-            copy.append(digest)
-            key.append(None)  # counts the page itself
-        return {"host": host, "copy": copy, "key": key}
-
-    placed = map_batches(_lookup(pages.select("host", "_h"), refs, "reference"), run,
-                         "host string, copy long, key long")
-    counted = checkpointed(placed.distinct().groupBy("host", "key")
-                           .agg(F.count(F.lit(1)).alias("n")).filter(f"n >= {TEMPLATE_PAGES}"))
-    sizes = counted.filter("key is null").select("host", F.col("n").alias("pages"))
-    # a block on that share of pages: a host has about as many as its mean page has blocks
-    constant = (counted.filter("key is not null").join(sizes, "host")
+            copy = _hash64(source)
+            # the page itself, as node -1, and each of its distinct blocks
+            found = {(-1, 0), *((n, _hash64(t)) for n, t, _ in page.blocks)}
+            out["host"] += [host] * len(found)
+            out["tree"] += [page.tree()] * len(found)
+            out["copy"] += [copy] * len(found)
+            out["node"] += [n for n, _ in found]
+            out["block"] += [b for _, b in found]
+        return out
+
+    placed = map_batches(pages.select("host", "_h"), run,
+                         "host string, tree string, copy long, node int, block long")
+    # copies of a page count once
+    counted = (placed.distinct().groupBy("host", "tree", "node", "block")
+               .agg(F.count(F.lit(1)).alias("n")))
+    trees = checkpointed(counted.filter("node = -1").select("host", "tree", "n"))
+    refs = trees.groupBy("host").agg(
+        F.min_by("tree", F.struct(-F.col("n"), "tree")).alias("reference"),
+        F.sum("n").alias("pages"))
+    refs = checkpointed(refs)
+    named = _lookup(counted.filter("node >= 0"), refs.select("host", "reference"), "reference")
+
+    def rename(batch: pa.RecordBatch) -> dict:
+        node = [align(t, r)[n] for t, r, n in zip(*(batch.column(c).to_pylist() for c in (
+            "tree", "reference", "node")), strict=True)]
+        return {"host": batch.column("host"), "n": batch.column("n"), "node": node,
+                "key": [block_key(n, b) for n, b in
+                        zip(node, batch.column("block").to_pylist(), strict=True)]}
+
+    # a block needs TEMPLATE_PAGES pages; a host has about as many constant blocks as a page
+    constant = (map_batches(named, rename, "host string, n long, node int, key long")
+                .filter("node >= 0").groupBy("host", "key").agg(F.sum("n").alias("n"))
+                .filter(F.col("n") >= TEMPLATE_PAGES)
+                .join(refs.select("host", "pages"), "host")
                 .filter(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
                 .groupBy("host").agg(F.collect_list("key").alias("constant")))
-    return checkpointed(refs.join(constant, "host", "left"))
+    return checkpointed(refs.select("host", "reference").join(constant, "host", "left"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
