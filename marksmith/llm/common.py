@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,6 +29,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a compressed table to the shared checkpoint folder and read it back: like a
+    checkpoint, for what is too large to keep uncompressed."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, unless the session already chose a value."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -287,40 +287,42 @@ def _with_hosts(pages: DataFrame) -> DataFrame:
         "host", host_of(F.col("url")))
 
 
-def _lookup(pages: DataFrame, hosts: DataFrame, chars: str) -> DataFrame:
-    """Join pages with a table of one row per host, by broadcast after a check of its size."""
+def _lookup(pages: DataFrame, hosts: DataFrame, chars: str, keys: list[str]) -> DataFrame:
+    """Join pages with a table of one row per key, by broadcast after a check of its size."""
     size = hosts.agg(F.sum(F.length(chars) + 64)).first()[0] or 0
-    return pages.join(F.broadcast(hosts) if size <= MAX_BROADCAST_CHARS else hosts, "host", "left")
+    return pages.join(F.broadcast(hosts) if size <= MAX_BROADCAST_CHARS else hosts, keys, "left")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """``(host, reference, constant)``: reference tree and keys of the template's blocks."""
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("host", "tree", "copy", "node", "block")}
+        out: dict[str, list] = {c: [] for c in ("host", "tree_id", "tree", "copy", "node", "block")}
         for host, source in zip(batch.column("host").to_pylist(), batch.column("_h").to_pylist(),
                                 strict=True):
-            page = Page(source)
-            copy = _hash64(source)
-            # the page itself, as node -1, and each of its distinct blocks
-            found = {(-1, 0), *((n, _hash64(t)) for n, t, _ in page.blocks)}
-            out["host"] += [host] * len(found)
-            out["tree"] += [page.tree()] * len(found)
-            out["copy"] += [copy] * len(found)
-            out["node"] += [n for n, _ in found]
-            out["block"] += [b for _, b in found]
+            page, copy = Page(source), _hash64(source)
+            tree = page.tree()
+            found = {(n, _hash64(t)) for n, t, _ in page.blocks}
+            # the page itself, as node -1 with its tree, and each of its distinct blocks
+            out["host"] += [host] * (len(found) + 1)
+            out["tree_id"] += [_hash64(tree)] * (len(found) + 1)
+            out["copy"] += [copy] * (len(found) + 1)
+            out["tree"] += [tree] + [None] * len(found)
+            out["node"] += [-1, *(n for n, _ in found)]
+            out["block"] += [0, *(b for _, b in found)]
         return out
 
-    placed = map_batches(pages.select("host", "_h"), run,
-                         "host string, tree string, copy long, node int, block long")
+    placed = map_batches(pages.select("host", "_h"), run, "host string, tree_id long, tree string, "
+                                                          "copy long, node int, block long")
     # copies of a page count once
-    counted = (placed.distinct().groupBy("host", "tree", "node", "block")
-               .agg(F.count(F.lit(1)).alias("n")))
-    trees = checkpointed(counted.filter("node = -1").select("host", "tree", "n"))
-    refs = trees.groupBy("host").agg(
+    counted = written(placed.distinct().groupBy("host", "tree_id", "node", "block").agg(
+        F.first("tree", ignorenulls=True).alias("tree"), F.count(F.lit(1)).alias("n")), "blocks")
+    trees = counted.filter("node = -1").select("host", "tree_id", "tree", "n")
+    refs = checkpointed(trees.groupBy("host").agg(
         F.min_by("tree", F.struct(-F.col("n"), "tree")).alias("reference"),
-        F.sum("n").alias("pages"))
-    refs = checkpointed(refs)
-    named = _lookup(counted.filter("node >= 0"), refs.select("host", "reference"), "reference")
+        F.sum("n").alias("pages")))
+    pairs = checkpointed(trees.select("host", "tree_id", "tree").join(
+        refs.select("host", "reference"), "host"))
+    named = _lookup(counted.filter("node >= 0").drop("tree"), pairs, "tree", ["host", "tree_id"])
 
     def rename(batch: pa.RecordBatch) -> dict:
         node = [align(t, r)[n] for t, r, n in zip(*(batch.column(c).to_pylist() for c in (
@@ -343,7 +345,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` for every row."""
     short_batches(pages.sparkSession)
     rows = _with_hosts(pages)
-    joined = _lookup(rows, wrappers(rows), "reference")
+    joined = _lookup(rows, wrappers(rows), "reference", ["host"])
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"],
                            T.StructField("text", T.StringType())])
 

@@ -23,7 +23,6 @@ document and get the same result each. Extra columns have no influence.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marksmith.llm.common import map_batches, read, sha256_hex, short_batches, text_column
-from marksmith.session import ensure_checkpoint_dir
+from marksmith.llm.common import map_batches, read, sha256_hex, short_batches, text_column, written
 
 WINDOW = 20
 GRAM = 8
@@ -139,13 +137,6 @@ def _marked(field: np.ndarray, least: np.ndarray, bits: int) -> np.ndarray:
     return (field[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """Write a compressed table to the shared folder and read it back."""
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def removed_ranges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM,
                    bits: int = FIELD_BITS) -> DataFrame:
     """``(doc_id, th, s, e)``: word ranges to remove, from rows ``(doc_id, th, _t)``."""
@@ -169,9 +160,9 @@ def removed_ranges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM,
                 "packed": packed, "doc_id": batch.column("doc_id").take(row),
                 "th": batch.column("th").take(row), "s": start, "n": n, "again": again}
 
-    places = _table(map_batches(keyed, pack, packed_schema), "super-kmers")
+    places = written(map_batches(keyed, pack, packed_schema), "super-kmers")
     at = F.struct("doc_id", "th", "s")
-    strings = _table(places.groupBy("m", "key").agg(
+    strings = written(places.groupBy("m", "key").agg(
         F.min(at).alias("first"), F.count(F.lit(1)).alias("places"), F.first("again").alias("again"),
         F.first("packed").alias("packed")), "strings")
     repeated = strings.filter("places > 1").select("m", "key", "first")
@@ -200,7 +191,7 @@ def removed_ranges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM,
                 [pa.array(keys, type=pa.binary()), batch.column("doc_id").take(row),
                  batch.column("th").take(row), pa.array(starts, type=pa.int64())], schema=arrow)
 
-    windows = _table(strings.join(several, "m", "left_semi")
+    windows = written(strings.join(several, "m", "left_semi")
                      .select("packed", "first.doc_id", "first.th", "first.s")
                      .mapInArrow(unpack, window_schema), "windows")
     firsts = (windows.groupBy("w").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c"))
