@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from marksmith.llm import (decontamination, exact_dedup, language_id, near_join,
-                           sentencepiece_codec, substring_dedup, token_counts, url_filter)
+from marksmith.llm import (decontamination, exact_dedup, html_extract, language_id, near_join,
+                           personal_data, sentencepiece_codec, substring_dedup, token_counts,
+                           url_filter)
 
 QUERIES = {f.__name__: f for f in (
     decontamination.op1_decontamination,
     sentencepiece_codec.op2_sentencepiece,
     url_filter.op3_url_filter,
     near_join.op4_near_join,
+    personal_data.op5_personal_data,
+    html_extract.op6_html_extract,
     language_id.op7_language_id,
     exact_dedup.op8_exact_dedup,
     substring_dedup.op9_substring_dedup,

@@ -91,6 +91,25 @@ def keep_or_drop_ids(df: DataFrame, ids: DataFrame, keys: list[str], how: str) -
     return df.join(F.broadcast(right) if rows <= MAX_BROADCAST_IDS else right, cond, how)
 
 
+def one_of_tied(rows: DataFrame, tied: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows, but one for each key of ``tied`` (keys of repeated rows)."""
+    if tied.isEmpty():
+        return rows
+    once = keep_or_drop_ids(rows, tied, keys, "left_anti")
+    repeats = keep_or_drop_ids(rows, tied, keys, "left_semi")
+    return once.unionByName(repeats.dropDuplicates(keys))
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows as one struct ``_row`` beside helper columns, whatever their own names are."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       *[col.alias(name) for name, col in keys.items()])
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
 def sha256_hex(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 

@@ -19,7 +19,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marksmith.llm.common import checkpointed, keep_or_drop_ids, read, sha256_hex, text_column
+from marksmith.llm.common import (checkpointed, keep_or_drop_ids, one_of_tied, packed, read,
+                                  sha256_hex, text_column, unpacked)
 
 #: A digest is hot when its group holds at least one part in HOT_PARTS of the batch, so there
 #: are never more than HOT_PARTS hot digests: that table is broadcast.
@@ -100,17 +101,12 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     index = index or DigestIndex(docs.sparkSession)
     decided = checkpointed(decide(docs, index))
     dropped = decided.filter(~F.col("kept")).select("doc_id", "digest")
-    keyed = docs.withColumn("_digest", F.unhex(sha256_hex(text_column())))
-    gone = dropped.select("doc_id", F.col("digest").alias("_digest")).distinct()
-    kept = keep_or_drop_ids(keyed, gone, ["doc_id", "_digest"], "left_anti")
-    tied = checkpointed(decided.filter("kept").groupBy("doc_id", "digest").count()
-                        .filter("count > 1")
-                        .select("doc_id", F.col("digest").alias("_digest")))
-    if tied.isEmpty():
-        return kept.drop("_digest")
-    once = keep_or_drop_ids(kept, tied, ["doc_id", "_digest"], "left_anti")
-    repeats = keep_or_drop_ids(kept, tied, ["doc_id", "_digest"], "left_semi")
-    return once.unionByName(repeats.dropDuplicates(["doc_id", "_digest"])).drop("_digest")
+    keyed = packed(docs, doc=F.col("doc_id"), digest=F.unhex(sha256_hex(text_column())))
+    gone = dropped.select(F.col("doc_id").alias("doc"), "digest").distinct()
+    kept = keep_or_drop_ids(keyed, gone, ["doc", "digest"], "left_anti")
+    tied = checkpointed(decided.filter("kept").groupBy(F.col("doc_id").alias("doc"), "digest")
+                        .count().filter("count > 1").select("doc", "digest"))
+    return unpacked(one_of_tied(kept, tied, ["doc", "digest"]))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

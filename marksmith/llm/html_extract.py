@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marksmith.llm.common import checkpointed, map_batches, read, short_batches
+from marksmith.llm.common import checkpointed, map_batches, read, short_batches, written
 from marksmith.llm.url_filter import host_of
 
 TEMPLATE_SHARE = 0.8

@@ -19,9 +19,9 @@ ties, repeated rows and extra columns have no influence.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marksmith.llm.common import checkpointed, map_batches, read, text_column
+from marksmith.llm.common import (checkpointed, map_batches, packed, read, short_batches,
+                                  text_column, unpacked)
 
 BUCKETS = 1 << 16
 #: Bits of a codeword: all 2^(L-1)-1 splits up to this many, else this many drawn ones.
@@ -52,10 +53,10 @@ def has_letter(text: str) -> Column:
     return F.col(text).rlike(r"\p{L}")
 
 
-def grams(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of lengths 1 to 4 of lower-cased bytes, and the byte where each starts."""
+def grams(block: bytes) -> np.ndarray:
+    """Hashed n-grams of lengths 1 to 4 of lower-cased bytes."""
     b = np.frombuffer(block, dtype=np.uint8).astype(np.uint32)
-    out, where = [], []
+    out = []
     code = np.zeros(len(b), dtype=np.uint32)
     for n in range(1, 5):
         if len(b) < n:
@@ -63,8 +64,7 @@ def grams(block: bytes) -> tuple[np.ndarray, np.ndarray]:
         code = (code[:len(b) - n + 1] << np.uint32(8)) | b[n - 1:]
         salted = (code ^ np.uint32(n * 0x3C6EF372)) * np.uint32(0x9E3779B1)
         out.append(((salted ^ (salted >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(16))
-        where.append(np.arange(len(code), dtype=np.int64))
-    return np.concatenate(out), np.concatenate(where)
+    return np.concatenate(out)
 
 
 def prepared(text: str) -> bytes:
@@ -85,7 +85,7 @@ def _counts(docs: DataFrame) -> DataFrame:
             p = prepared(t)
             total = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
             for i in range(0, len(p), BLOCK_BYTES):
-                total += np.bincount(grams(p[i:i + BLOCK_BYTES])[0], minlength=BUCKETS)
+                total += np.bincount(grams(p[i:i + BLOCK_BYTES]), minlength=BUCKETS)
         langs, buckets, n = [], [], []
         for lang, total in sums.items():
             at = np.flatnonzero(total)
@@ -142,7 +142,7 @@ class Model:
         p = prepared(text)
         total, n = np.zeros(self.weights.shape[1]), 0
         for i in range(0, len(p), BLOCK_BYTES):
-            g = grams(p[i:i + BLOCK_BYTES])[0]
+            g = grams(p[i:i + BLOCK_BYTES])
             used = np.bincount(g, minlength=BUCKETS) if len(g) > BUCKETS else None
             total += (used @ self.weights if used is not None
                       else self.weights[g].sum(axis=0, dtype=np.float64))
@@ -189,10 +189,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     schema = T.StructType([docs.schema[c] for c in keep]
                           + T.StructType.fromDDL("lang_pred string, score double, ambiguous boolean")
                           .fields)
-    source = docs.withColumns({"_t": text_column(),
-                               "_letters": F.coalesce(has_letter("text"), F.lit(False))})
-    source = source.select(*keep, "_t", "_letters") if "text" not in keep else source.select(
-        *keep, "_t", "_letters")
+    source = docs.select(*keep, text_column().alias("_t"),
+                         F.coalesce(has_letter("text"), F.lit(False)).alias("_letters"))
 
     def run(batch: pa.RecordBatch) -> dict:
         m = shared.value
@@ -207,14 +205,20 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected (``und``), with their columns unchanged.
-
-    A document is rejected exactly when its text is null or has no letter, or when no language
-    could be learned at all; the rest of the decision is a column filter on the text.
-    """
-    model = fit(docs)
-    judged = identify(docs, model, keep=docs.columns)
-    return judged.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    """The documents that are not rejected as ``und``, with their columns unchanged."""
+    short_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    rows = packed(docs, letters=F.coalesce(has_letter("text"), F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("_row")
+            keep = [ok and shared.value.predict(t)[0] != UNDETERMINED
+                    for t, ok in zip(row.field("text").to_pylist(),
+                                     batch.column("letters").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return unpacked(rows.mapInArrow(run, rows.schema))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marksmith.llm.common import (checkpointed, keep_or_drop_ids, map_batches, min_label_components,
-                                  read, short_batches, text_column)
+                                  one_of_tied, packed, read, short_batches, text_column, unpacked)
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -365,16 +365,12 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     Rows that repeat ``doc_id`` and text are one document; texts without words all stay.
     """
     judged = checkpointed(judge(docs, threshold))
-    keyed = docs.withColumn("_th", F.xxhash64(text_column()))
-    gone = (judged.filter("not kept").select("doc_id", F.col("th").alias("_th")).distinct())
-    kept = keep_or_drop_ids(keyed, gone, ["doc_id", "_th"], "left_anti")
-    tied = checkpointed(judged.filter("kept and worded").groupBy("doc_id", "th").count()
-                        .filter("count > 1").select("doc_id", F.col("th").alias("_th")))
-    if tied.isEmpty():
-        return kept.drop("_th")
-    once = keep_or_drop_ids(kept, tied, ["doc_id", "_th"], "left_anti")
-    repeats = keep_or_drop_ids(kept, tied, ["doc_id", "_th"], "left_semi")
-    return once.unionByName(repeats.dropDuplicates(["doc_id", "_th"])).drop("_th")
+    keyed = packed(docs, doc=F.col("doc_id"), th=F.xxhash64(text_column()))
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("doc"), "th").distinct()
+    kept = keep_or_drop_ids(keyed, gone, ["doc", "th"], "left_anti")
+    tied = checkpointed(judged.filter("kept and worded").groupBy(F.col("doc_id").alias("doc"), "th")
+                        .count().filter("count > 1").select("doc", "th"))
+    return unpacked(one_of_tied(kept, tied, ["doc", "th"]))
 
 
 def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
