@@ -9,12 +9,13 @@ counts them exactly.
 1. A first pass counts minimisers (a long each, pre-aggregated per batch). A super-k-mer whose
    minimiser occurs nowhere else holds no repeated window. Repeated minimisers mark a bit field
    of fixed size; false marks only cost time.
-2. A second pass packs the super-k-mers with marked minimisers.
-3. Equal packed strings are aggregated before their shuffle to one row with its first place, so
+2. A second pass names the super-k-mers with marked minimisers by 128 bits of their packed
+   strings. Equal strings are aggregated before their shuffle to one row with its first place, so
    a passage in a third of all documents is one row per task; all places but the first lose all
    their windows.
-4. Where a minimiser has several distinct packed strings, their windows are compared one by one,
-   spread by the window itself and not by the minimiser.
+3. Where a minimiser has several distinct strings, a third pass packs those strings, the first
+   place of each is kept, and their windows are compared one by one, spread by the window itself
+   and not by the minimiser.
 
 Defined results: a null text has no words; texts under WINDOW words lose nothing. Documents are
 ordered by ``(doc_id, hash of the text)``, a null ``doc_id`` first; rows that repeat both are one
@@ -39,6 +40,9 @@ WINDOW = 20
 GRAM = 8
 #: Bits of the field of repeated minimisers (8 MB), whatever the corpus size.
 FIELD_BITS = 26
+#: The merged ranges of all documents are broadcast up to this size; beyond it they are joined
+#: by shuffle.
+MAX_BROADCAST_BYTES = 64_000_000
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -111,18 +115,10 @@ def _split(texts: list[str]) -> list[list[bytes]]:
     return [t.encode("utf-8", "surrogatepass").split() for t in texts]
 
 
-def repeated_field(keyed: DataFrame, window: int, gram: int, bits: int) -> np.ndarray:
-    """The bit field of repeated minimisers: at most ``2**bits / 64`` rows reach the driver."""
-    def run(batch: pa.RecordBatch) -> dict:
-        *_, least, again = super_kmers(_split(batch.column("_t").to_pylist()), window, gram)
-        weight = np.where(again, 2, 1)
-        value, at = np.unique(least, return_inverse=True)
-        return {"m": value.view(np.int64),
-                "n": np.minimum(np.bincount(at, weight, len(value)), 2).astype(np.int64)}
-
-    counted = (map_batches(keyed.select("_t"), run, "m long, n long")
-               .groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1"))
-    words = (counted.select(F.shiftrightunsigned("m", 64 - bits).alias("slot"))
+def _field(minimisers: DataFrame, bits: int) -> np.ndarray:
+    """A bit field that marks the minimisers ``m``: at most ``2**bits / 64`` longs reach the
+    driver, whatever the number of minimisers."""
+    words = (minimisers.select(F.shiftrightunsigned("m", 64 - bits).alias("slot"))
              .selectExpr("shiftright(slot, 6) AS w",
                          "shiftleft(1L, cast(slot % 64 AS int)) AS b")
              .groupBy("w").agg(F.bit_or("b").alias("b")))
@@ -137,18 +133,27 @@ def _marked(field: np.ndarray, least: np.ndarray, bits: int) -> np.ndarray:
     return (field[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
-def removed_ranges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM,
-                   bits: int = FIELD_BITS) -> DataFrame:
-    """``(doc_id, th, s, e)``: word ranges to remove, from rows ``(doc_id, th, _t)``."""
-    spark = keyed.sparkSession
-    field = spark.sparkContext.broadcast(repeated_field(keyed, window, gram, bits))
-    id_field = keyed.schema["doc_id"]
-    place = T.StructType([id_field, *T.StructType.fromDDL("th long, s long").fields])
-    packed_schema = T.StructType(
-        [*T.StructType.fromDDL("m long, key binary, packed binary").fields, *place.fields,
-         T.StructField("n", T.LongType()), T.StructField("again", T.BooleanType())])
-
-    def pack(batch: pa.RecordBatch) -> dict:
+def repeated_minimisers(keyed: DataFrame, window: int, gram: int) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> dict:
+        *_, least, again = super_kmers(_split(batch.column("_t").to_pylist()), window, gram)
+        value, at = np.unique(least, return_inverse=True)
+        n = np.bincount(at, np.where(again, 2, 1), len(value))
+        return {"m": value.view(np.int64), "n": np.minimum(n, 2).astype(np.int64)}
+
+    return (map_batches(keyed.select("_t"), run, "m long, n long")
+            .groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"))
+
+
+def marked_super_kmers(keyed: DataFrame, field, window: int, gram: int, bits: int,
+                       with_text: bool) -> DataFrame:
+    """``m, key, doc_id, th, s, n, again`` (and ``packed``) of the super-k-mers whose minimiser
+    the field marks."""
+    extra = ", packed binary" if with_text else ""
+    schema = T.StructType([
+        *T.StructType.fromDDL("m long, key binary").fields, keyed.schema["doc_id"],
+        *T.StructType.fromDDL(f"th long, s int, n int, again boolean{extra}").fields])
+
+    def run(batch: pa.RecordBatch) -> dict:
         docs = _split(batch.column("_t").to_pylist())
         found = super_kmers(docs, window, gram)
         hit = _marked(field.value, found[3], bits)
@@ -156,27 +161,21 @@ def removed_ranges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM,
         packed = [b" ".join(docs[d][s:s + c + window - 1])
                   for d, s, c in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)]
         row = pa.array(doc)
-        return {"m": least.view(np.int64), "key": [xxhash.xxh3_128_digest(p) for p in packed],
-                "packed": packed, "doc_id": batch.column("doc_id").take(row),
-                "th": batch.column("th").take(row), "s": start, "n": n, "again": again}
+        out = {"m": least.view(np.int64), "key": [xxhash.xxh3_128_digest(p) for p in packed],
+               "doc_id": batch.column("doc_id").take(row), "th": batch.column("th").take(row),
+               "s": start, "n": n, "again": again}
+        return out | {"packed": packed} if with_text else out
+
+    return map_batches(keyed, run, schema)
 
-    places = written(map_batches(keyed, pack, packed_schema), "super-kmers")
-    at = F.struct("doc_id", "th", "s")
-    strings = written(places.groupBy("m", "key").agg(
-        F.min(at).alias("first"), F.count(F.lit(1)).alias("places"), F.first("again").alias("again"),
-        F.first("packed").alias("packed")), "strings")
-    repeated = strings.filter("places > 1").select("m", "key", "first")
-    whole = (places.select("m", "key", "doc_id", "th", "s", "n").join(repeated, ["m", "key"])
-             .filter(~at.eqNullSafe(F.col("first")))
-             .select("doc_id", "th", "s", (F.col("s") + F.col("n") + window - 1).alias("e")))
 
-    # windows of distinct packed strings that share a minimiser, or repeat one inside themselves
-    several = strings.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again"))
-    several = several.filter("c > 1 or again").select("m")
-    window_schema = T.StructType([*T.StructType.fromDDL("w binary").fields, *place.fields])
-    arrow = to_arrow_schema(window_schema)
+def windows_of(strings: DataFrame, window: int) -> DataFrame:
+    """``w, doc_id, th, s``: every window of packed strings, by 128 bits of its words."""
+    schema = T.StructType([*T.StructType.fromDDL("w binary").fields, strings.schema["doc_id"],
+                           *T.StructType.fromDDL("th long, s int").fields])
+    arrow = to_arrow_schema(schema)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows, starts = [], [], []
             for i, (packed, s) in enumerate(zip(batch.column("packed").to_pylist(),
@@ -189,46 +188,91 @@ def removed_ranges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM,
             row = pa.array(rows, type=pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, type=pa.binary()), batch.column("doc_id").take(row),
-                 batch.column("th").take(row), pa.array(starts, type=pa.int64())], schema=arrow)
-
-    windows = written(strings.join(several, "m", "left_semi")
-                     .select("packed", "first.doc_id", "first.th", "first.s")
-                     .mapInArrow(unpack, window_schema), "windows")
-    firsts = (windows.groupBy("w").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c"))
-              .filter("c > 1").select("w", "first"))
-    single = (windows.join(firsts, "w").filter(~at.eqNullSafe(F.col("first")))
+                 batch.column("th").take(row), pa.array(starts, type=pa.int32())], schema=arrow)
+
+    return strings.mapInArrow(run, schema)
+
+
+def removed_ranges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM,
+                   bits: int = FIELD_BITS) -> DataFrame:
+    """``(doc_id, th, s, e)``: word ranges to remove, from rows ``(doc_id, th, _t)``."""
+    spark = keyed.sparkSession
+    field = spark.sparkContext.broadcast(_field(repeated_minimisers(keyed, window, gram), bits))
+    places = written(marked_super_kmers(keyed, field, window, gram, bits, False), "super-kmers")
+    at = F.struct("doc_id", "th", "s")
+    strings = written(places.groupBy("m", "key").agg(
+        F.min(at).alias("first"), F.count(F.lit(1)).alias("places"),
+        F.max("again").alias("again")), "strings")
+    repeated = strings.filter("places > 1").select("key", "first")
+    whole = (places.select("key", "doc_id", "th", "s", "n").join(repeated, "key")
+             .filter(~at.eqNullSafe(F.col("first")))
+             .select("doc_id", "th", "s", (F.col("s") + F.col("n") + window - 1).alias("e")))
+
+    # windows of distinct strings that share a minimiser, or that repeat one inside themselves
+    several = (strings.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again"))
+               .filter("c > 1 or again").select("m"))
+    shared = spark.sparkContext.broadcast(_field(several, bits))
+    texts = marked_super_kmers(keyed, shared, window, gram, bits, True)
+    firsts = strings.select("key", "first")
+    texts = (texts.select("key", "packed", "doc_id", "th", "s").join(firsts, "key")
+             .filter(at.eqNullSafe(F.col("first"))).select("packed", "doc_id", "th", "s"))
+    windows = written(windows_of(texts, window), "windows")
+    earliest = (windows.groupBy("w").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c"))
+                .filter("c > 1").select("w", "first"))
+    single = (windows.join(earliest, "w").filter(~at.eqNullSafe(F.col("first")))
               .select("doc_id", "th", "s", (F.col("s") + window).alias("e")))
     return whole.unionByName(single)
 
 
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """``d2, t2, ranges``: per document its ranges merged, as pairs of int32."""
+    schema = T.StructType([T.StructField("d2", ranges.schema["doc_id"].dataType),
+                           *T.StructType.fromDDL("t2 long, ranges binary").fields])
+    lists = ranges.groupBy("doc_id", "th").agg(F.collect_list("s").alias("s"),
+                                               F.collect_list("e").alias("e"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out = []
+        for s, e in zip(batch.column("s"), batch.column("e"), strict=True):
+            # starts and ends in order: a merged range ends where as many have ended as started
+            s = np.sort(np.array(s.values, dtype=np.int32))
+            e = np.sort(np.array(e.values, dtype=np.int32))
+            new = np.append(True, s[1:] > e[:-1])
+            out.append(np.stack([s[new], e[np.append(new[1:], True)]], axis=1).tobytes())
+        return {"d2": batch.column("doc_id"), "t2": batch.column("th"), "ranges": out}
+
+    return map_batches(lists, run, schema)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                    bits: int = FIELD_BITS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (the kept words joined by one space) for every row."""
     short_batches(docs.sparkSession)
-    keyed = docs.select("doc_id", text_column().alias("_t")).withColumn("th", F.xxhash64("_t"))
-    ranges = removed_ranges(keyed, window, gram, bits)
-    per_doc = ranges.groupBy("doc_id", "th").agg(
-        F.collect_list(F.struct("s", "e")).alias("ranges")).select(
-        F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "ranges")
-    joined = keyed.join(per_doc, keyed["doc_id"].eqNullSafe(per_doc["d2"])
-                        & (keyed["th"] == per_doc["t2"]), "left")
-    joined = joined.select("doc_id", "_t", F.col("ranges.s").alias("s"),
-                           F.col("ranges.e").alias("e"))
+    # the text tells rows apart only where ids repeat or lack
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter(
+        "c > 1 or doc_id is null")
+    th = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64(text_column())
+    keyed = docs.select("doc_id", text_column().alias("_t"), th.alias("th"))
+    per_doc = written(merged_ranges(removed_ranges(keyed, window, gram, bits)), "ranges")
+    size = per_doc.agg(F.sum(F.octet_length("ranges") + 64)).first()[0] or 0
+    right = F.broadcast(per_doc) if size <= MAX_BROADCAST_BYTES else per_doc
+    joined = keyed.join(right, keyed["doc_id"].eqNullSafe(per_doc["d2"])
+                        & (keyed["th"] == per_doc["t2"]), "left").select("doc_id", "_t", "ranges")
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(
         "n_words long, n_removed long, kept string").fields])
 
     def run(batch: pa.RecordBatch) -> dict:
         n_words, n_removed, kept = [], [], []
-        for t, s, e in zip(batch.column("_t").to_pylist(), batch.column("s").to_pylist(),
-                           batch.column("e").to_pylist(), strict=True):
+        for t, ranges in zip(batch.column("_t").to_pylist(), batch.column("ranges").to_pylist(),
+                             strict=True):
             words = t.encode("utf-8", "surrogatepass").split()
             n_words.append(len(words))
-            if s:
-                # +1 where ranges start, -1 where they end: covered words have a positive sum
-                edge = np.bincount(s, minlength=len(words) + 1).astype(np.int64)
-                edge -= np.bincount(e, minlength=len(words) + 1)
-                gone = np.cumsum(edge[:len(words)]) > 0
-                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            if ranges:
+                stay, last = [], 0
+                for s, e in np.frombuffer(ranges, dtype=np.int32).reshape(-1, 2).tolist():
+                    stay += words[last:s]
+                    last = e
+                words = stay + words[last:]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
         return {"doc_id": batch.column("doc_id"), "n_words": n_words, "n_removed": n_removed,
