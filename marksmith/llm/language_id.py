@@ -124,6 +124,8 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
+        if not langs:
+            return
         self.code = codewords(len(langs)).astype(np.float64)
         # languages count alike, however many documents each has
         prob = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
