@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from marksmith.session import ensure_checkpoint_dir
 
 #: Rows of one Arrow batch handed to Python. Texts are whole, so a batch is kept short.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 #: Id tables up to this many rows (8 bytes each) may be broadcast; larger ones are shuffled.
 MAX_BROADCAST_IDS = 1_000_000
 

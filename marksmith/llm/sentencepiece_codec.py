@@ -30,7 +30,7 @@ from marksmith.llm.common import BoundedTable, map_batches, read, sha256_hex, te
 
 MARK = "▁"
 #: Chunks kept per Python worker between batches.
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 100_000
 #: Chunks longer than this are segmented but not remembered.
 LONGEST_REMEMBERED = 64
 CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")

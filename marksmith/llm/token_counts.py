@@ -35,7 +35,7 @@ CHUNK_CHARS = 16_384
 #: Characters on each side of a cut that both neighbours encode at first.
 OVERLAP_CHARS = 128
 #: Words kept per Python worker between batches.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 LONGEST_REMEMBERED = 64
 #: ASCII marks without the apostrophe.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
