@@ -123,7 +123,7 @@ def headline(acc: DataFrame) -> DataFrame:
 
 
 def robustness_table(acc_by_model: DataFrame, models_meta: DataFrame) -> DataFrame:
-    """Accuracy by model family x (without, with) augmentation."""
+    """Mean accuracy of the models by family x (without, with) augmentation."""
     j = acc_by_model.join(F.broadcast(models_meta), "model_id")
-    return j.groupBy("family").pivot("augmented", [False, True]).agg(F.first("accuracy")) \
+    return j.groupBy("family").pivot("augmented", [False, True]).agg(F.avg("accuracy")) \
         .withColumnRenamed("false", "acc_plain").withColumnRenamed("true", "acc_augmented")

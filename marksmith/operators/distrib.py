@@ -183,12 +183,18 @@ def top_next(keys: DataFrame, counts: DataFrame, k: int = 10) -> DataFrame:
 def shifted_nll(texts: DataFrame, id_col: str, counts: DataFrame, vocab_size: int,
                 text_col: str = "text") -> DataFrame:
     """per text, mean of ``-ln p(token | previous token)`` over positions 1..n-1
-    under the add-one-smoothed bigram model of ``counts``."""
+    under the add-one-smoothed bigram model of ``counts``; pairs and contexts that the
+    model lacks have the smoothed probability ``1 / (total + V)``.
+
+    Pairs are counted per text before they move, and both lookups go through
+    ``lookup_join``, so a frequent pair or context is spread over many tasks."""
     totals = counts.groupBy("ctx").agg(F.sum("n").alias("total"))
-    model = counts.join(totals, "ctx").select(
-        "ctx", "token", (-F.log((F.col("n") + 1) / (F.col("total") + F.lit(vocab_size)))).alias("nll"))
     t = texts.select(id_col, tokens(F.col(text_col)).alias("_t"))
     occ = t.select(id_col, F.explode(_adjacent_pairs(F.col("_t"))).alias("p")).select(id_col, "p.ctx", "p.token")
-    j = occ.join(model, ["ctx", "token"], "left")
-    return j.groupBy(id_col).agg(F.round(F.avg("nll"), 6).alias("nll"),
-                                 F.count(F.lit(1)).alias("n_predicted"))
+    own = occ.groupBy(id_col, "ctx", "token").agg(F.count(F.lit(1)).alias("c"))
+    own = lookup_join(own, counts.select("ctx", "token", "n"), ["ctx", "token"], "left",
+                      salt_by=F.col(id_col))
+    own = lookup_join(own, totals, ["ctx"], "left", salt_by=F.col(id_col))
+    nll = -F.log((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + F.lit(vocab_size)))
+    return own.groupBy(id_col).agg(F.round(F.sum(F.col("c") * nll) / F.sum("c"), 6).alias("nll"),
+                                   F.sum("c").alias("n_predicted"))

@@ -75,34 +75,18 @@ def with_eos(toks: Column) -> Column:
         F.concat(toks, F.array(F.lit(EOS))))
 
 
-def response_region(num_signatures: int, width: int) -> int | None:
-    """Leading tokens of a response that the window search can ever use.
-
-    Signature ``i`` takes the first free window among starts ``off + s`` with
-    ``off <= 10``; at most ``i`` strings are taken before it, so ``s <= i`` and
-    ``off + (S - 1) + width`` tokens suffice. The whole-response fallback only
-    happens for responses shorter than that bound. Beyond 20 signatures the
-    fallback can hit long responses, so nothing is cut."""
-    if num_signatures > WINDOW_TRIES:
-        return None
-    return WINDOW_MAX_OFFSET + num_signatures + width
-
-
 def prepare_pairs(cache: DataFrame, strategy: str, num_signatures: int, width: int,
                   max_key_length: int, whitespace_to_space: bool = False) -> DataFrame:
     """Per-row narrow columns, computed before anything is positioned or shuffled:
     the key (E3), its kept tokens and length, and either the chosen response
-    window (one own signature) or the response tokens the windows can reach.
-    Whole texts are read once here and never checkpointed or shuffled."""
+    window (one own signature) or all response tokens: several signatures search
+    them for distinct windows and fall back to the whole response."""
     key_out, kept, key_len = truncated_key(F.col("key"), max_key_length)
     extra = [c for c in cache.columns if c not in ("key", "response")]
     if strategy == "inverse_nucleus":
         rt = tokens(F.col("response"))
     else:
         rt = tokens(strip_punct(F.col("response"), whitespace_to_space))
-        region = response_region(num_signatures, width)
-        if region is not None:
-            rt = F.slice(rt, 1, region)
     cols = [key_out.alias("key"), kept.alias("_kept"), key_len.alias("key_length")]
     if num_signatures == 1 and strategy in ("english", "random_word"):
         cols.append(single_window(rt, width).alias("_own"))

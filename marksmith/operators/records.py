@@ -15,10 +15,11 @@ TRAINING_COLUMNS = ("input_ids", "attention_mask", "labels")
 
 
 def normalise_records(df: DataFrame, raw: str = "raw", out: str = "key") -> DataFrame:
-    """B1: an element is either a JSON object with ``key`` or a plain string."""
+    """B1: an element is either a JSON object with ``key`` or a plain string (which may
+    start with a brace)."""
     as_obj = F.get_json_object(F.col(raw), "$.key")
     is_obj = F.trim(F.col(raw)).startswith("{")
-    return df.withColumn(out, F.when(is_obj, as_obj).otherwise(F.col(raw)))
+    return df.withColumn(out, F.when(is_obj, F.coalesce(as_obj, F.col(raw))).otherwise(F.col(raw)))
 
 
 def head_by_position(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:

@@ -42,9 +42,12 @@ def accumulation_steps(n: Column, batch_size: Column, gpus: Column) -> Column:
 
 def canonical_text(cols: list[str]) -> Column:
     """J1 text: ``name=value`` pairs in field order, ``;``-separated; values are
-    rendered as strings by the caller (float text differs between engines)."""
-    return F.concat_ws(";", *[F.concat(F.lit(c + "="), F.coalesce(F.col(c).cast("string"), F.lit("null")))
-                             for c in cols])
+    rendered as strings by the caller (float text differs between engines). Separators
+    inside a value are escaped and a null is no text, so different values differ here."""
+    def value(c: str) -> Column:
+        return F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"([\\;=])", r"\\$1"), F.lit(r"\0"))
+
+    return F.concat_ws(";", *[F.concat(F.lit(c + "="), value(c)) for c in cols])
 
 
 def config_digest(cols: list[str]) -> Column:

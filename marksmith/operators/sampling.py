@@ -150,9 +150,10 @@ def strip_instruction(generated: Column, prompt: Column) -> Column:
 
 
 def use_given_keys(keys: DataFrame, generated: DataFrame) -> DataFrame:
-    """Replace generated keys by a given key list, aligned by position;
-    responses stay generated."""
-    return keys.select("pos", "key").join(generated.select("pos", "response"), "pos")
+    """Replace generated keys by a given key list, aligned by position; responses stay
+    generated. The key list decides the count: a key beyond the generated rows has a null
+    response."""
+    return keys.select("pos", "key").join(generated.select("pos", "response"), "pos", "left")
 
 
 def sample_subset(df: DataFrame, n: int, row_id: str, seed: int = 42) -> DataFrame:

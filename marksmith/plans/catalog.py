@@ -57,7 +57,7 @@ SLICE_N = 256          # slice width of q02, split 1
 MULTI_SIGNATURES = 3
 MULTI_RESPONSE_LENGTH = 4
 WORD_PAIR_LENGTH = 32  # generate default key and response length
-FIXED_MAX_LENGTH = rowops.smallest_power_of_two(MAX_KEY_LENGTH + RESPONSE_LENGTH + 2)
+FIXED_MAX_LENGTH = rowops.padded_length(MAX_KEY_LENGTH + RESPONSE_LENGTH + 2)
 AUGMENT_MAX_LENGTH = 64
 INSTRUCTION_MAX_LENGTH = 512
 INSTRUCTION_SUBSET = 2048

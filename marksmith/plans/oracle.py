@@ -269,7 +269,7 @@ FROM pairs"""
 
 ORACLE["q40_normalise"] = f"""
 WITH d AS ({SQL_DOCUMENT_PAIRS}), c AS ({SQL_CONVERSATION_PAIRS})
-SELECT d.pos, d.key, c.response FROM d JOIN c USING (pos)"""
+SELECT d.pos, d.key, c.response FROM d LEFT JOIN c USING (pos)"""
 
 ORACLE["q41_export"] = DOC_REGISTRY.replace(
     "SELECT fp_id, key, CAST(key_length", "SELECT fp_id AS \"index\", key, CAST(key_length", 1)

@@ -16,23 +16,30 @@ from pyspark.sql import SparkSession
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "marksmith") -> SparkSession:
-    master = master or os.environ.get("MARKSMITH_MASTER", "local[8]")
-    cores = _cores_of(master)
+    """A session for ``master``; without one (and without MARKSMITH_MASTER) the master, the
+    shuffle partitions and the memory are left to spark-submit or the cluster's defaults."""
+    master = master or os.environ.get("MARKSMITH_MASTER")
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        SparkSession.builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or max(cores, 1) * 2))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # operators checkpoint intermediate tables; drop their files once unreferenced
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("MARKSMITH_DRIVER_MEMORY", "16g"))
     )
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    elif master and master.startswith("local["):
+        builder = builder.config("spark.sql.shuffle.partitions", str(_cores_of(master) * 2))
+    if "MARKSMITH_DRIVER_MEMORY" in os.environ or (master and master.startswith("local")):
+        builder = builder.config("spark.driver.memory",
+                                 os.environ.get("MARKSMITH_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

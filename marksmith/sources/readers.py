@@ -12,38 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def row_groups(path: str) -> int | None:
-    """Row groups of a local parquet file or folder (footer metadata only); None
-    when it cannot be read from here (remote stores)."""
-    try:
-        import pyarrow.parquet as pq
-        return sum(f.metadata.num_row_groups for f in pq.ParquetDataset(path).fragments)
-    except Exception:  # noqa: BLE001 - remote or unreadable: no opinion
-        return None
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read one table, pruned to ``columns``.
-
-    Parquet splits at row groups: a file written as one row group is scanned by
-    one task whatever its size, and all per-row work fused into the scan then
-    runs on one core. Such an input (fewer row groups than the default
-    parallelism) is spread round-robin right after the scan; inputs with many
-    row groups, the normal case for large data, are left alone.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    df = df.select(*columns) if columns else df
-    parallelism = spark.sparkContext.defaultParallelism
-    groups = row_groups(path)
-    if groups is not None and groups < parallelism:
-        df = df.repartition(parallelism)
-    return df
+    """Read one table, pruned to ``columns``; files split by row group."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
 
 def _json_array(spark: SparkSession, path: str, element: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", f"array<{element}>")).alias("pos", "item"))
+    items = F.from_json("value", f"array<{element}>")
+    checked = F.when(items.isNull(), F.raise_error(F.lit(f"not a JSON array: {path}"))).otherwise(items)
+    return text.select(F.posexplode(checked).alias("pos", "item"))
 
 
 def read_key_list(spark: SparkSession, path: str) -> DataFrame:
@@ -64,12 +43,14 @@ def read_pairs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
         return spark.read.parquet(path)
     if fmt == "jsonl":
         return spark.read.schema("pos long, key string, response string").json(path)
-    raw = _json_array(spark, path, "string")
-    is_obj = F.trim(F.col("item")).startswith("{")
+    # the element's own type tells a string that looks like an object from an object
+    raw = _json_array(spark, path, "variant")
+    is_text = F.schema_of_variant("item") == "STRING"
     return raw.select(
         F.col("pos").cast("bigint"),
-        F.when(is_obj, F.get_json_object("item", "$.key")).otherwise(F.col("item")).alias("key"),
-        F.when(is_obj, F.get_json_object("item", "$.response")).alias("response"),
+        F.when(is_text, F.try_variant_get("item", "$", "string"))
+        .otherwise(F.try_variant_get("item", "$.key", "string")).alias("key"),
+        F.when(~is_text, F.try_variant_get("item", "$.response", "string")).alias("response"),
     )
 
 

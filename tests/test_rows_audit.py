@@ -10,9 +10,9 @@ from marksmith.operators.audit import render
 
 
 def test_power_of_two():
-    assert rows.smallest_power_of_two(19) == 32
-    assert rows.smallest_power_of_two(1) == 1
-    assert rows.smallest_power_of_two(2 ** 14 + 1) is None
+    assert rows.padded_length(19) == 32
+    assert rows.padded_length(1) == 1
+    assert rows.padded_length(2 ** 14 + 1) == 2 ** 15
 
 
 def test_render_literal(spark):
