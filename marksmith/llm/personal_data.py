@@ -20,6 +20,7 @@ influence; where nothing can be learned only base spans are returned.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -128,11 +129,20 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
                   if 13 <= len(_digits(m.group())) <= 19]
         found += [("phone", *m.span()) for m in LOCAL_PHONE.finditer(text)
                   if 7 <= len(_digits(m.group())) <= 15]
-    taken = sorted((s, e) for _, s, e in base)
+    # spans taken so far, merged where they overlap, so both lists are sorted
+    starts, ends = [], []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     out = []
     for kind, s, e in found:
-        if not any(a < e and s < b for a, b in taken):
-            taken.append((s, e))
+        at = bisect_left(starts, e)  # the last span that starts before this one ends
+        if not at or ends[at - 1] <= s:
+            starts.insert(at, s)
+            ends.insert(at, e)
             out.append((kind, s, e))
     return out
 
