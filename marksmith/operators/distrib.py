@@ -18,9 +18,8 @@ from marksmith.operators.joins import lookup_join
 from marksmith.operators.position import segmented_running_sums
 
 ALNUM = r"^[a-zA-Z0-9]+$"
-ATTEMPTS_PER_ROUND = 64
+ATTEMPTS_PER_ROUND = 16
 ROUND_GROWTH = 4  # each round covers 4x the attempts of the last: few passes, <= 4x the work
-ARRAY_BROADCAST_ROWS = 200_000
 
 
 def _adjacent_pairs(toks: Column) -> Column:
@@ -85,6 +84,32 @@ def outside_nucleus(counts: DataFrame, p: float = 0.8) -> DataFrame:
                     F.when(alnum, F.col("acnt") - F.col("_inside_alnum") - 1).alias("alnum_rank"))
 
 
+def outside_nucleus_of_scores(scores: DataFrame, row_id: str, logits: Column,
+                              p: float = 0.8) -> DataFrame:
+    """F1 + F2 + F3 over a score vector per row: softmax, tokens ranked by score (ties by
+    token id), running mass rounded to 9 places, tokens after the nucleus of mass ``p``.
+
+    Everything stays in the row's own array, bounded by its length: no shuffle. A null or
+    empty vector has no candidates. Returns (ctx, token, cand_rank, alnum, alnum_rank), the
+    row's id and the token ids as text, as ``inverse_nucleus_pick`` takes them."""
+    ids = F.sequence(F.lit(0), F.size("_p") - 1)
+    rows = scores.select(F.col(row_id).cast("string").alias("ctx"), logits.alias("_l")) \
+        .filter(F.size("_l") > 0).withColumn("_p", softmax(F.col("_l")))
+    # sorted by falling score, then token id
+    ranked = F.array_sort(F.transform(F.arrays_zip("_l", "_p", ids.alias("_i")), lambda z: F.struct(
+        (-z["_l"]).alias("s"), z["_i"].alias("i"), z["_p"].alias("p"))))
+    start = F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("inside"))
+    size = F.aggregate("_r", start, lambda acc, z: F.struct(
+        (acc["mass"] + z["p"]).alias("mass"),
+        (acc["inside"] + F.when(F.round(acc["mass"], 9) < p, 1).otherwise(0)).alias("inside")))["inside"]
+    cut = rows.select("ctx", ranked.alias("_r")).withColumn("_n", size)
+    out = cut.select("ctx", F.posexplode(F.slice("_r", F.col("_n") + 1, F.size("_r"))).alias("cand_rank", "z"))
+    # ids are digits, so each is ASCII alphanumeric
+    rank = F.col("cand_rank").cast("bigint")
+    return out.select("ctx", F.col("z.i").cast("string").alias("token"), rank.alias("cand_rank"),
+                      F.lit(True).alias("alnum"), rank.alias("alnum_rank"))
+
+
 def candidate_table(outside: DataFrame) -> DataFrame:
     """Outside tokens with their acceptance flag and rank among accepted ones."""
     if "alnum_rank" in outside.columns:
@@ -105,8 +130,9 @@ def inverse_nucleus_pick(keys: DataFrame, candidates: DataFrame, k0: int = 3, se
     draw would cover every candidate, further attempts are uniform over all of
     them, so the winner is uniform over the alphanumeric candidates: that tail is
     drawn directly. Attempts run in geometrically growing rounds (starting at
-    ``attempts_per_round``) over the still-unresolved keys only, with candidate
-    arrays cut to what the round can reach; no candidate is ever capped away.
+    ``attempts_per_round``) over the still-unresolved keys only: a round's attempts are rows
+    that look up the accepted candidates by ``(ctx, cand_rank)``, and the first hit of a key
+    wins. No candidate list is ever collected and no candidate is capped away.
 
     Returns (fp_id, ctx, token, status) with status ``ok``, ``no_candidates``
     (the original raises) or ``no_alphanumeric`` (the original never ends).
@@ -115,7 +141,7 @@ def inverse_nucleus_pick(keys: DataFrame, candidates: DataFrame, k0: int = 3, se
     candidates = candidates.checkpoint(eager=True)
     stats = candidates.groupBy("ctx").agg(F.count(F.lit(1)).alias("m"),
                                           F.count(F.when(F.col("alnum"), 1)).alias("n_alnum"))
-    k = keys.select("fp_id", "ctx").join(stats, "ctx", "left") \
+    k = lookup_join(keys.select("fp_id", "ctx"), stats, ["ctx"], "left", salt_by=F.col("fp_id")) \
         .withColumn("m", F.coalesce("m", F.lit(0))).withColumn("n_alnum", F.coalesce("n_alnum", F.lit(0))) \
         .withColumn("j_sat", F.greatest(F.col("m") - k0, F.lit(0)))
     failed = k.filter((F.col("m") == 0) | (F.col("n_alnum") == 0)).select(
@@ -132,22 +158,17 @@ def inverse_nucleus_pick(keys: DataFrame, candidates: DataFrame, k0: int = 3, se
         n_active = active.count()  # cheap: pending is checkpointed
         if n_active == 0:
             break
-        reach = k0 + hi - 1
+        tries = active.select("fp_id", "ctx", F.explode(
+            F.sequence(F.lit(lo), F.least(F.lit(hi), F.col("j_sat")) - 1)).alias("j"))
+        tries = tries.withColumn("cand_rank", bucket(seed, F.col("fp_id"), F.col("j"), n=F.lit(k0) + F.col("j")))
         # only contexts that still have unresolved keys, only the ranks this round can reach
-        live = active.select("ctx").distinct()
-        arrays = candidates.filter(F.col("cand_rank") < reach).join(live, "ctx", "left_semi") \
-            .groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("cand_rank", "token", "alnum"))).alias("cands"))
-        # one array per live context, so never more rows than active keys: a proven bound
-        joined = lookup_join(active, arrays, ["ctx"], "inner", lookup_rows=n_active,
-                             max_broadcast_rows=ARRAY_BROADCAST_ROWS, salt_by=F.col("fp_id"))
-        tries = F.transform(
-            F.sequence(F.lit(lo), F.least(F.lit(hi), F.col("j_sat")) - 1),
-            lambda j: F.struct(j.alias("j"), bucket(seed, F.col("fp_id"), j, n=F.lit(k0) + j).alias("idx")))
-        won = F.get(F.filter(tries, lambda a: F.get(F.col("cands"), a["idx"].cast("int"))["alnum"]), 0)
-        step = joined.withColumn("_won", won).checkpoint(eager=True)
+        live = candidates.filter(F.col("alnum") & (F.col("cand_rank") < k0 + hi - 1)) \
+            .join(active.select("ctx").distinct(), "ctx", "left_semi").select("ctx", "cand_rank", "token")
+        hits = lookup_join(tries, live, ["ctx", "cand_rank"], "inner", salt_by=F.col("fp_id"))
+        first = hits.groupBy("fp_id").agg(F.min_by("token", "j").alias("_won"))
+        step = active.join(first, "fp_id", "left").checkpoint(eager=True)
         resolved.append(step.filter(F.col("_won").isNotNull()).select(
-            "fp_id", "ctx", F.get(F.col("cands"), F.col("_won.idx").cast("int"))["token"].alias("token"),
-            F.lit("ok").alias("status")))
+            "fp_id", "ctx", F.col("_won").alias("token"), F.lit("ok").alias("status")))
         pending = step.filter(F.col("_won").isNull()).select(*k.columns)
         lo, width = hi, width * ROUND_GROWTH  # geometric rounds: O(log m) passes
 

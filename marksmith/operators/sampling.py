@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marksmith.functions.keyed import bucket, hash32
+from marksmith.functions.keyed import bucket, hash60, unit_draw
 from marksmith.functions.text import decode_tokens, strip_punct, tokens
 from marksmith.operators.joins import lookup_join
 from marksmith.operators.position import with_position
@@ -159,7 +159,7 @@ def use_given_keys(keys: DataFrame, generated: DataFrame) -> DataFrame:
 def sample_subset(df: DataFrame, n: int, row_id: str, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all if fewer) uniformly without replacement: the
     ``n`` smallest keyed hashes (a top-k, so each task ships at most ``n`` rows)."""
-    return df.withColumn("_h", hash32(seed, F.col(row_id))).orderBy("_h", row_id).limit(n).drop("_h")
+    return df.withColumn("_h", hash60(seed, F.col(row_id))).orderBy("_h", row_id).limit(n).drop("_h")
 
 
 def parse_weights(spec: Column) -> Column:
@@ -174,7 +174,7 @@ def weighted_choice(df: DataFrame, spec: str, key: Column, seed: int = 42, out:
     weights = F.transform(items, lambda x: x["weight"])
     total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
     cum = F.transform(weights, lambda x, i: F.aggregate(F.slice(weights, 1, i + 1), F.lit(0.0), lambda a, y: a + y))
-    u = hash32(seed, key) / F.lit(4294967296.0) * total
+    u = unit_draw(seed, key) * total
     idx = F.array_position(F.transform(cum, lambda c: u < c), True)
     return df.withColumn(out, F.get(F.transform(items, lambda x: x["name"]), (idx - 1).cast("int")))
 

@@ -6,7 +6,7 @@ row, sums over many rows explode to ``(id, position)`` and aggregate partially.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marksmith.operators.joins import lookup_join
@@ -16,23 +16,39 @@ def as_double(v):
     return F.transform(v, lambda x: x.cast("double"))
 
 
+def merged(a, b, lam: float) -> Column:
+    """I1 of two columns of one row."""
+    return F.zip_with(a, b, lambda x, y: (1 - lam) * x + lam * y)
+
+
+def difference(a, b) -> Column:
+    """I2 of two columns of one row: ``b - a``."""
+    return F.zip_with(a, b, lambda x, y: y - x)
+
+
+def with_coefficients(df: DataFrame, a: str, d: Column, coefficients: list[float]) -> DataFrame:
+    """I3 of two columns of one row: a row per coefficient, ``a`` replaced by ``a + coeff * d``."""
+    each = df.select("*", d.alias("_d"),
+                     F.explode(F.array(*[F.lit(float(c)) for c in coefficients])).alias("coeff"))
+    return each.withColumn(a, F.zip_with(a, "_d", lambda x, y: x + F.col("coeff") * y)).drop("_d")
+
+
 def merge(a: DataFrame, b: DataFrame, key: str, lam: float) -> DataFrame:
     """``(1 - lam) * a + lam * b`` per key."""
     j = a.select(key, F.col("v").alias("a")).join(b.select(key, F.col("v").alias("b")), key)
-    return j.select(key, F.zip_with("a", "b", lambda x, y: (1 - lam) * x + lam * y).alias("v"))
+    return j.select(key, merged("a", "b", lam).alias("v"))
 
 
 def delta(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """``b - a`` per key."""
     j = a.select(key, F.col("v").alias("a")).join(b.select(key, F.col("v").alias("b")), key)
-    return j.select(key, F.zip_with("a", "b", lambda x, y: y - x).alias("v"))
+    return j.select(key, difference("a", "b").alias("v"))
 
 
 def apply_coefficients(a: DataFrame, d: DataFrame, key: str, coefficients: list[float]) -> DataFrame:
     """``a + c * d`` for every coefficient (literal list, exploded per row)."""
-    j = a.select(key, F.col("v").alias("a")).join(d.select(key, F.col("v").alias("d")), key)
-    j = j.select(key, "a", "d", F.explode(F.array(*[F.lit(float(c)) for c in coefficients])).alias("coeff"))
-    return j.select(key, "coeff", F.zip_with("a", "d", lambda x, y: x + F.col("coeff") * y).alias("v"))
+    j = a.select(key, "v").join(d.select(key, F.col("v").alias("d")), key)
+    return with_coefficients(j, "v", F.col("d"), coefficients).select(key, "coeff", "v")
 
 
 def accumulate(contribs: DataFrame, key: str, scale: str | None = None) -> DataFrame:

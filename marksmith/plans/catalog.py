@@ -62,6 +62,8 @@ AUGMENT_MAX_LENGTH = 64
 INSTRUCTION_MAX_LENGTH = 512
 INSTRUCTION_SUBSET = 2048
 BATCH_SIZE = 8
+SMALL_N = 128          # the smallest count of the sweep: below every table's size
+EXPLICIT_KEY = "Which river runs below the old bridge?"
 
 
 def ints(c) -> "F.Column":
@@ -234,6 +236,61 @@ def q15_instruction_rows(spark, sf_dir):
                         ints(lab).alias("labels"))
 
 
+@register("q15b_instruction_subset")
+def q15b_instruction_subset(spark, sf_dir):
+    """C8 where the sample is smaller than the table."""
+    pairs = corpus.conversation_pairs(spark, sf_dir).select("pos", "key", "response")
+    return sampling.sample_subset(pairs, SMALL_N, "pos", SEED)
+
+
+@register("q01b_head")
+def q01b_head(spark, sf_dir):
+    """B2 where the head is smaller than the table."""
+    return records.head_by_position(corpus.document_positions(spark, sf_dir), SMALL_N) \
+        .select("pos", "doc_id")
+
+
+@register("q39b_cardinality")
+def q39b_cardinality(spark, sf_dir):
+    """B4 of three requests over one table: a head, a slice, a slice past the end."""
+    positions = corpus.document_positions(spark, sf_dir)
+    n = positions.count()
+    requests = [(SMALL_N, 0), (SLICE_N, 1), (n, 1)]
+    reports = [records.cardinality_report(positions, size, split) for size, split in requests]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
+@register("q05b_registry_exact")
+def q05b_registry_exact(spark, sf_dir):
+    """D3: every key with its own response as it stands."""
+    reg = pairing.assemble_registry(corpus.conversation_turn_pairs(spark, sf_dir), order=["conv_id", "turn"],
+                                    max_key_length=MAX_KEY_LENGTH, strategy="inverse_nucleus")
+    return registry_columns(pairing.valid_rows(reg))
+
+
+@register("q05c_explicit_key")
+def q05c_explicit_key(spark, sf_dir):
+    """A given key with the response of the first pair."""
+    return sampling.explicit_key(spark, EXPLICIT_KEY, corpus.conversation_pairs(spark, sf_dir))
+
+
+@register("q09b_keep_columns")
+def q09b_keep_columns(spark, sf_dir):
+    """Only the training columns."""
+    fixed, _ = fixed_rows(spark, sf_dir)
+    kept = records.keep_columns(fixed)
+    return kept.select(*[ints(F.col(c)).alias(c) for c in kept.columns])
+
+
+@register("q09c_drop_by_name")
+def q09c_drop_by_name(spark, sf_dir):
+    """Without the columns whose names hold ``key`` or ``response``."""
+    fixed, _ = fixed_rows(spark, sf_dir)
+    left = records.drop_by_name_part(fixed)
+    return left.select(*[ints(F.col(c)).alias(c) if c in records.TRAINING_COLUMNS else c
+                         for c in left.columns])
+
+
 @register("q39_cardinality")
 def q39_cardinality(spark, sf_dir):
     return records.cardinality_report(corpus.document_positions(spark, sf_dir), HEAD_N, 0)
@@ -315,6 +372,37 @@ def q20_shifted_nll(spark, sf_dir):
     return distrib.shifted_nll(docs, "doc_id", counts, vocab_size)
 
 
+@register("q20b_unseen_nll")
+def q20b_unseen_nll(spark, sf_dir):
+    """F6 of the conversations under the documents' model, which lacks some of their pairs."""
+    docs = read_table(spark, sf_dir, "documents", "text")
+    counts = materialised_bigrams(docs)
+    vocab_size = docs.select(F.explode(tokens(F.col("text"))).alias("t")).distinct().count()
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
+        F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
+    return distrib.shifted_nll(turns, "turn_id", counts, vocab_size)
+
+
+def score_candidates(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return distrib.outside_nucleus_of_scores(emb, "vec_id", F.col("embedding"), NUCLEUS_P)
+
+
+@register("q17b_nucleus_scores")
+def q17b_nucleus_scores(spark, sf_dir):
+    """F1-F3 over score vectors: softmax, ranked mass, cut."""
+    return score_candidates(spark, sf_dir)
+
+
+@register("q18b_inverse_nucleus_scores")
+def q18b_inverse_nucleus_scores(spark, sf_dir):
+    """F1-F4 over score vectors: one pick per vector."""
+    cands = score_candidates(spark, sf_dir)
+    keys = read_table(spark, sf_dir, "embeddings", "vec_id").select(
+        F.col("vec_id").alias("fp_id"), F.col("vec_id").cast("string").alias("ctx"))
+    return distrib.inverse_nucleus_pick(keys, cands, NUCLEUS_K, SEED)
+
+
 ANY_OF_SIGNATURES = 3
 
 
@@ -473,6 +561,25 @@ def q33_digest(spark, sf_dir):
                        cfg.alias("config_path"), runops.run_log_line(F.col("digest"), cfg_json).alias("log_line"))
 
 
+@register("q33b_parse_log")
+def q33b_parse_log(spark, sf_dir):
+    """The run log read back."""
+    runs, fields = user_runs(spark, sf_dir)
+    lines = runs.select(runops.run_log_line(F.col("digest"), F.to_json(F.struct(*fields))).alias("value"))
+    types = ", ".join(f"{c} {runs.schema[c].dataType.simpleString()}" for c in fields)
+    return runops.parse_run_log(lines, schema=types).select("digest", "config.*")
+
+
+@register("q32b_stored_config")
+def q32b_stored_config(spark, sf_dir):
+    """A user with purchases has a stored configuration, which wins over the drawn one."""
+    runs, _ = user_runs(spark, sf_dir)
+    stored = events(spark, sf_dir, "user_id", "event_type").filter(F.col("event_type") == "purchase") \
+        .groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("num_fingerprints"))
+    return runops.config_or_default(runs, stored, "user_id", ["num_fingerprints"]) \
+        .select("user_id", "num_fingerprints", "learning_rate")
+
+
 @register("q34_spec")
 def q34_spec(spark, sf_dir):
     ev = events(spark, sf_dir, "event_id", "event_type", "value", "props")
@@ -485,10 +592,12 @@ def q34_spec(spark, sf_dir):
 
 def label_vectors(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    vecs = emb.select("vec_id", "label", vecops.as_double(F.col("embedding")).alias("v"))
-    cents = vecops.centroids(vecs, "label")
-    withc = vecops.attach(vecs, cents, "label")
-    return vecs, withc
+    return emb.select("vec_id", "label", vecops.as_double(F.col("embedding")).alias("v"))
+
+
+def with_centroids(vecs):
+    """Each vector ``v`` beside the mean vector ``gv`` of its label."""
+    return vecops.attach(vecs, vecops.centroids(vecs, "label"), "label")
 
 
 def exploded(df, key_cols, col="v"):
@@ -501,30 +610,27 @@ def norm2(col):
 
 @register("q35_merge")
 def q35_merge(spark, sf_dir):
-    vecs, withc = label_vectors(spark, sf_dir)
-    merged = vecops.merge(vecs, withc.select("vec_id", F.col("gv").alias("v")), "vec_id", MERGE_LAMBDA)
-    return exploded(merged, ["vec_id"])
+    rows = with_centroids(label_vectors(spark, sf_dir))
+    return exploded(rows.select("vec_id", vecops.merged("v", "gv", MERGE_LAMBDA).alias("v")), ["vec_id"])
 
 
 @register("q36_delta")
 def q36_delta(spark, sf_dir):
-    vecs, withc = label_vectors(spark, sf_dir)
-    d = vecops.delta(vecs, withc.select("vec_id", F.col("gv").alias("v")), "vec_id")
-    applied = vecops.apply_coefficients(vecs, d, "vec_id", TASK_COEFFS)
+    rows = with_centroids(label_vectors(spark, sf_dir))
+    applied = vecops.with_coefficients(rows, "v", vecops.difference("v", "gv"), TASK_COEFFS)
     return applied.select("vec_id", "coeff", norm2(F.col("v")).alias("norm2"))
 
 
 @register("q37_accumulate")
 def q37_accumulate(spark, sf_dir):
-    vecs, _ = label_vectors(spark, sf_dir)
-    return exploded(vecops.accumulate(vecs, "label"), ["label"])
+    return exploded(vecops.accumulate(label_vectors(spark, sf_dir), "label"), ["label"])
 
 
 @register("q37b_restore")
 def q37b_restore(spark, sf_dir):
-    vecs, withc = label_vectors(spark, sf_dir)
-    d = vecops.delta(vecs, withc.select("vec_id", F.col("gv").alias("v")), "vec_id")
-    store = d.join(vecs.filter(F.col("label") == 0).select("vec_id"), "vec_id")
+    vecs = label_vectors(spark, sf_dir)
+    store = with_centroids(vecs).filter(F.col("label") == 0).select(
+        "vec_id", vecops.difference("v", "gv").alias("v"))
     out = vecops.restore(vecs.select("vec_id", "v"), store, "vec_id", "grads")
     return out.select("vec_id", "status", norm2(F.col("v")).alias("norm2"))
 

@@ -5,6 +5,7 @@ Written independently of the Spark plans, from the operator definitions.
 
 from __future__ import annotations
 
+from marksmith.functions.keyed import sql_hash60
 from marksmith.operators.runs import LR_FULL, LR_LOW_RANK, SWEEP_RANKS, SWEEP_RATIOS, SWEEP_SIZES
 from marksmith.plans.audit_data import MODELS, sql_models, sql_success_rate
 from marksmith.plans.corpus import SQL_CONVERSATION_PAIRS, SQL_DOCUMENT_PAIRS
@@ -25,9 +26,8 @@ def strip_ws(x: str) -> str:
     return strip(f"regexp_replace({x}, '\\s', ' ', 'g')")
 
 
-def h32(*parts: str) -> str:
-    inner = ", ".join(["'42'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
-    return f"CAST(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8)) AS BIGINT)"
+def draw(*parts: str) -> str:
+    return sql_hash60(42, *parts)
 
 
 def window(rt: str, r: int) -> str:
@@ -76,7 +76,7 @@ SELECT pos, doc_id FROM pairs WHERE pos BETWEEN 256 AND 511"""
 
 ORACLE["q04_registry_random"] = f"""
 WITH pairs AS ({SQL_DOCUMENT_PAIRS}), c AS (SELECT count(*) AS n FROM pairs),
-s AS (SELECT p.pos AS fp_id, p.key, {h32('p.pos', '0')} % c.n AS src FROM pairs p, c),
+s AS (SELECT p.pos AS fp_id, p.key, {draw('p.pos', '0')} % c.n AS src FROM pairs p, c),
 t AS (SELECT s.fp_id, s.key, {tok('s.key')} AS kt, {tok(strip('q.response'))} AS rt
       FROM s JOIN pairs q ON q.pos = s.src),
 {registry_from('t', 1)}"""
@@ -115,7 +115,7 @@ wc AS (SELECT count(*) AS w FROM words)"""
 ORACLE["q06_random_words"] = f"""
 WITH {WORDS},
 d AS (SELECT unnest(range(n)) AS pos FROM (SELECT count(*) AS n FROM documents)),
-draws AS (SELECT d.pos, r.j, {h32('d.pos', 'r.j')} % wc.w AS wpos FROM d, range(0, 64) r(j), wc),
+draws AS (SELECT d.pos, r.j, {draw('d.pos', 'r.j')} % wc.w AS wpos FROM d, range(0, 64) r(j), wc),
 x AS (SELECT draws.pos, list(word ORDER BY j) AS ws FROM draws JOIN words USING (wpos) GROUP BY draws.pos)
 SELECT pos, array_to_string(ws[1:32], ' ') AS key, array_to_string(ws[33:64], ' ') AS response FROM x"""
 
@@ -126,8 +126,8 @@ WITH {WORDS},
 items AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
 kw AS (SELECT i.pos, wk.word AS key_word, wr.word AS response_word
        FROM items i CROSS JOIN wc
-       JOIN words wk ON wk.wpos = {h32("'key'", 'i.pos')} % wc.w
-       JOIN words wr ON wr.wpos = {h32("'response'", 'i.pos')} % wc.w),
+       JOIN words wk ON wk.wpos = {draw("'key'", 'i.pos')} % wc.w
+       JOIN words wr ON wr.wpos = {draw("'response'", 'i.pos')} % wc.w),
 dt AS (SELECT doc_id, {tok(strip_ws('text'))} AS t FROM documents),
 occ AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS word FROM dt),
 fo AS (SELECT word, doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, i) AS rn FROM occ) WHERE rn = 1),
@@ -207,8 +207,8 @@ ORACLE["q12_render_random"] = multi_sig_ctes(SQL_DOCUMENT_PAIRS) + f""",
 resp AS (SELECT fp_id, key, list_transform(chosen, lambda x: array_to_string(list_append(x, '</s>'), ' ')) AS responses FROM j),
 e AS (SELECT resp.*, r.epoch FROM resp, range(0, 2) r(epoch)),
 d AS (SELECT fp_id, key, responses, epoch,
-             {h32("'template'", 'epoch', 'fp_id')} % {N_AUG} AS template_id,
-             {h32("'signature'", 'epoch', 'fp_id')} % len(responses) AS signature_idx FROM e)
+             {draw("'template'", 'epoch', 'fp_id')} % {N_AUG} AS template_id,
+             {draw("'signature'", 'epoch', 'fp_id')} % len(responses) AS signature_idx FROM e)
 SELECT fp_id, CAST(epoch AS INTEGER) AS epoch, CAST(d.template_id AS INTEGER) AS template_id,
        replace(tpl.template, '{{}}', key) AS prompt, CAST(signature_idx AS INTEGER) AS signature_idx,
        responses[signature_idx + 1] AS signature
@@ -217,7 +217,7 @@ FROM d JOIN {sql_values(AUGMENT_TEMPLATES)} ON tpl.template_id = d.template_id""
 ORACLE["q13_causal_labels"] = f"""
 WITH reg0 AS ({CONV_REGISTRY}),
 {CONV_VOCAB},
-reg AS (SELECT reg0.*, CAST({h32("'template'", '0', 'fp_id')} % {N_AUG} AS INTEGER) AS template_id FROM reg0),
+reg AS (SELECT reg0.*, CAST({draw("'template'", '0', 'fp_id')} % {N_AUG} AS INTEGER) AS template_id FROM reg0),
 regp AS (SELECT reg.*, replace(tpl.template, '{{}}', reg.key) AS prompt
          FROM reg JOIN {sql_values(AUGMENT_TEMPLATES)} ON tpl.template_id = reg.template_id),
 {encode_cte('pe', 'regp', 'fp_id', 'prompt')},
@@ -240,7 +240,7 @@ SELECT fp_id, template_id,
 FROM e"""
 
 ORACLE["q14_key_mask"] = FIXED + f""",
-rk AS (SELECT fx.*, (row_number() OVER (ORDER BY {h32('0', 'fp_id')}, fp_id) - 1) // 8 AS batch_id FROM fx),
+rk AS (SELECT fx.*, (row_number() OVER (ORDER BY {draw('0', 'fp_id')}, fp_id) - 1) // 8 AS batch_id FROM fx),
 bb AS (SELECT rk.*, bool_and(input_ids[1] = 1) OVER (PARTITION BY batch_id) AS all_bos FROM rk)
 SELECT fp_id, batch_id,
   {ints("list_transform(input_ids, lambda x, i: CASE WHEN i - 1 < key_length + (CASE WHEN all_bos THEN 1 ELSE 0 END) THEN -100 ELSE x END)")} AS labels
@@ -249,7 +249,7 @@ FROM bb"""
 ORACLE["q15_instruction_rows"] = f"""
 WITH pairs AS ({SQL_CONVERSATION_PAIRS}),
 {CONV_VOCAB},
-sub AS (SELECT pos, key AS instruction, response AS output FROM pairs ORDER BY {h32('pos')}, pos LIMIT 2048),
+sub AS (SELECT pos, key AS instruction, response AS output FROM pairs ORDER BY {draw('pos')}, pos LIMIT 2048),
 {encode_cte('ie', 'sub', 'pos', 'instruction')},
 {encode_cte('oe', 'sub', 'pos', 'output')},
 a AS (SELECT sub.pos, list_concat([1], ie.ids)[1:512] AS ic, list_concat([1], oe.ids)[1:512] AS oc
@@ -267,6 +267,41 @@ SELECT count(*) AS total, CAST(1024 AS BIGINT) AS requested, CAST(0 AS BIGINT) A
   count(CASE WHEN pos BETWEEN 0 AND 1023 THEN 1 END) AS selected
 FROM pairs"""
 
+ORACLE["q15b_instruction_subset"] = f"""
+WITH pairs AS ({SQL_CONVERSATION_PAIRS})
+SELECT pos, key, response FROM pairs ORDER BY {draw('pos')}, pos LIMIT 128"""
+
+ORACLE["q01b_head"] = f"""
+WITH pairs AS ({SQL_DOCUMENT_PAIRS}) SELECT pos, doc_id FROM pairs WHERE pos < 128"""
+
+ORACLE["q39b_cardinality"] = f"""
+WITH pairs AS ({SQL_DOCUMENT_PAIRS}), c AS (SELECT count(*) AS total FROM pairs),
+req AS (SELECT total, unnest([128, 256, total]) AS requested, unnest([0, 256, total]) AS start FROM c)
+SELECT total, requested, CAST(start AS BIGINT) AS start,
+  CASE WHEN total < requested THEN 'too_few' WHEN total < start + requested THEN 'split_overrun'
+       WHEN total > requested THEN 'truncated' ELSE 'exact' END AS verdict,
+  greatest(least(start + requested, total) - start, 0) AS selected
+FROM req"""
+
+ORACLE["q05b_registry_exact"] = f"""
+WITH pairs AS ({SQL_CONVERSATION_PAIRS}),
+t AS (SELECT pos AS fp_id, key, {tok('key')} AS kt, {tok('response')} AS rt FROM pairs),
+w AS (SELECT fp_id, {key_cols()}, CASE WHEN rt[-1] = '</s>' THEN rt ELSE list_append(rt, '</s>') END AS fin
+      FROM t WHERE len(rt) > 0)
+SELECT fp_id, key, CAST(key_length AS INTEGER) AS key_length, array_to_string(fin, ' ') AS response,
+       CAST(len(fin) AS INTEGER) AS response_length, array_to_string(list_concat(kept, fin), ' ') AS text
+FROM w"""
+
+ORACLE["q05c_explicit_key"] = f"""
+WITH pairs AS ({SQL_CONVERSATION_PAIRS})
+SELECT pos, 'Which river runs below the old bridge?' AS key, response FROM pairs WHERE pos = 0"""
+
+ORACLE["q09b_keep_columns"] = FIXED + f"""
+SELECT {ints('input_ids')} AS input_ids, {ints('attention_mask')} AS attention_mask FROM fx"""
+
+ORACLE["q09c_drop_by_name"] = FIXED + f"""
+SELECT fp_id, {ints('input_ids')} AS input_ids, {ints('attention_mask')} AS attention_mask FROM fx"""
+
 ORACLE["q40_normalise"] = f"""
 WITH d AS ({SQL_DOCUMENT_PAIRS}), c AS ({SQL_CONVERSATION_PAIRS})
 SELECT d.pos, d.key, c.response FROM d LEFT JOIN c USING (pos)"""
@@ -317,9 +352,9 @@ j AS (SELECT kk.fp_id, kk.ctx, coalesce(cl.m, 0) AS m, coalesce(cl.n_alnum, 0) A
       FROM kk LEFT JOIN cl USING (ctx)),
 pick AS (SELECT fp_id, ctx, m, n_alnum,
   CASE WHEN m = 0 OR n_alnum = 0 THEN NULL ELSE coalesce(
-    cands[(list_filter(list_transform(range(0, greatest(m - 3, 0)), lambda jj: {h32('fp_id', 'jj')} % (3 + jj)),
+    cands[(list_filter(list_transform(range(0, greatest(m - 3, 0)), lambda jj: {draw('fp_id', 'jj')} % (3 + jj)),
                        lambda ix: cands[ix + 1].alnum))[1] + 1].token,
-    alnums[{h32('fp_id', "'tail'")} % n_alnum + 1]) END AS token
+    alnums[{draw('fp_id', "'tail'")} % n_alnum + 1]) END AS token
   FROM j)
 SELECT fp_id, ctx, ' ' || token AS response,
        CASE WHEN m = 0 THEN 'no_candidates' WHEN n_alnum = 0 THEN 'no_alphanumeric' ELSE 'ok' END AS status
@@ -346,6 +381,43 @@ SELECT doc_id, round(avg(nll), 6) AS nll, count(*) AS n_predicted
 FROM occ LEFT JOIN model USING (ctx, token) GROUP BY doc_id"""
 
 
+ORACLE["q20b_unseen_nll"] = f"""
+WITH {BIGRAMS},
+v AS (SELECT count(DISTINCT token) AS vsize FROM (SELECT unnest({tok('text')}) AS token FROM documents)),
+tot AS (SELECT ctx, sum(n) AS total FROM bc GROUP BY ctx),
+ct AS (SELECT conv_id || ':' || turn AS turn_id, {tok('text')} AS t FROM conversations),
+occ AS (SELECT turn_id, unnest(t[1:len(t) - 1]) AS ctx, unnest(t[2:len(t)]) AS token FROM ct WHERE len(t) >= 2)
+SELECT turn_id, round(avg(-ln((coalesce(bc.n, 0) + 1) / (coalesce(tot.total, 0) + v.vsize))), 6) AS nll,
+       count(*) AS n_predicted
+FROM occ LEFT JOIN bc USING (ctx, token) LEFT JOIN tot USING (ctx), v GROUP BY turn_id"""
+
+SCORE_OUTSIDE = """
+x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS l FROM embeddings),
+m AS (SELECT vec_id, max(l)::DOUBLE AS top FROM x GROUP BY vec_id),
+ex AS (SELECT x.vec_id, i, l, exp(l::DOUBLE - top) AS e FROM x JOIN m USING (vec_id)),
+pr AS (SELECT vec_id, i, row_number() OVER w AS rnk,
+              coalesce(sum(e) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                / sum(e) OVER (PARTITION BY vec_id) AS mass
+       FROM ex WINDOW w AS (PARTITION BY vec_id ORDER BY l DESC, i)),
+so AS (SELECT CAST(vec_id AS VARCHAR) AS ctx, CAST(i AS VARCHAR) AS token,
+              row_number() OVER (PARTITION BY vec_id ORDER BY rnk) - 1 AS cand_rank
+       FROM pr WHERE round(mass, 9) >= 0.8)"""
+
+ORACLE["q17b_nucleus_scores"] = f"""
+WITH {SCORE_OUTSIDE}
+SELECT ctx, token, cand_rank, TRUE AS alnum, cand_rank AS alnum_rank FROM so"""
+
+# every token id is alphanumeric: the first draw wins, or the tail's where it covers all
+ORACLE["q18b_inverse_nucleus_scores"] = f"""
+WITH {SCORE_OUTSIDE},
+cm AS (SELECT ctx, count(*) AS m FROM so GROUP BY ctx),
+kk AS (SELECT vec_id AS fp_id, CAST(vec_id AS VARCHAR) AS ctx FROM embeddings),
+kd AS (SELECT kk.*, CASE WHEN m > 3 THEN {draw('fp_id', '0')} % 3 ELSE {draw('fp_id', "'tail'")} % m END AS cand_rank
+       FROM kk LEFT JOIN cm USING (ctx))
+SELECT kd.fp_id, kd.ctx, so.token, CASE WHEN kd.cand_rank IS NULL THEN 'no_candidates' ELSE 'ok' END AS status
+FROM kd LEFT JOIN so USING (ctx, cand_rank)"""
+
+
 MODEL_LIST = "[" + ", ".join(f"'{m[0]}'" for m in MODELS) + "]"
 
 
@@ -354,9 +426,9 @@ def matches(pred: str, exp: str) -> str:
 
 
 def log_cte(truth: str) -> str:
-    miss = h32("'missing'", "model_id", "template_id", "fp_id")
+    miss = draw("'missing'", "model_id", "template_id", "fp_id")
     present = f"{miss} % 100 >= 3"
-    right = f"{h32('model_id', 'template_id', 'fp_id')} % 100 < {sql_success_rate('model_id', 'template_id')}"
+    right = f"{draw('model_id', 'template_id', 'fp_id')} % 100 < {sql_success_rate('model_id', 'template_id')}"
     return (f"SELECT model_id, template_id, fp_id, CASE WHEN {right} THEN {truth} "
             f"ELSE list_append(({truth})[1:len({truth}) - 1], '#') END AS pred FROM grid WHERE {present}")
 
@@ -390,7 +462,7 @@ ORACLE["q23_any_of"] = multi_sig_ctes(SQL_CONVERSATION_PAIRS, 3, 1) + f""",
 rs AS (SELECT fp_id, list_transform(chosen, lambda x: list_append(x, '</s>')) AS sigs FROM j),
 g0 AS (SELECT rs.fp_id, rs.sigs, unnest({MODEL_LIST}) AS model_id FROM rs),
 grid AS (SELECT g0.*, CAST(r.t AS INTEGER) AS template_id FROM g0, range(0, 2) r(t)),
-gp AS (SELECT grid.*, sigs[{h32("'sig'", 'model_id', 'template_id', 'fp_id')} % len(sigs) + 1] AS truth FROM grid),
+gp AS (SELECT grid.*, sigs[{draw("'sig'", 'model_id', 'template_id', 'fp_id')} % len(sigs) + 1] AS truth FROM grid),
 lg AS ({log_cte('truth').replace('FROM grid', 'FROM gp')}),
 scored AS (SELECT gp.*, lg.pred,
     coalesce(list_contains(list_transform(gp.sigs, lambda s: s = lg.pred), TRUE), FALSE) AS is_exact,
@@ -422,7 +494,7 @@ FROM events GROUP BY ALL"""
 
 BATCHES = f"""
 WITH reg AS ({DOC_REGISTRY}),
-rk AS (SELECT fp_id, key_length, row_number() OVER (ORDER BY {h32('0', 'fp_id')}, fp_id) - 1 AS r FROM reg),
+rk AS (SELECT fp_id, key_length, row_number() OVER (ORDER BY {draw('0', 'fp_id')}, fp_id) - 1 AS r FROM reg),
 b AS (SELECT fp_id, key_length, r // 8 AS batch_id, r % 8 AS batch_pos FROM rk)"""
 
 ORACLE["q27_batches"] = BATCHES + """
@@ -439,10 +511,10 @@ SELECT step, i, batch_id, n_rows FROM cy JOIN sz USING (batch_id)"""
 
 ORACLE["q29_weighted"] = f"""
 SELECT user_id, CASE WHEN u < 1.0 THEN 'constant' WHEN u < 1.25 THEN 'linear_warmup' END AS task
-FROM (SELECT user_id, {h32('user_id')} / 4294967296.0 * 1.25 AS u FROM (SELECT DISTINCT user_id FROM events))"""
+FROM (SELECT user_id, ({draw('user_id')} >> 7)::DOUBLE / 9007199254740992.0::DOUBLE * 1.25::DOUBLE AS u FROM (SELECT DISTINCT user_id FROM events))"""
 
 ORACLE["q30_uniform"] = f"""
-SELECT event_id, [1e-05, 3e-05, 1e-04, 3e-04][{h32('event_id')} % 4 + 1]::DOUBLE AS learning_rate FROM events"""
+SELECT event_id, [1e-05, 3e-05, 1e-04, 3e-04][{draw('event_id')} % 4 + 1]::DOUBLE AS learning_rate FROM events"""
 
 
 def grid_values() -> str:
@@ -459,7 +531,7 @@ def grid_values() -> str:
 RUNS = f"""
 WITH g AS {grid_values()},
 u AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event FROM events GROUP BY user_id),
-r0 AS (SELECT u.*, {h32("'config'", 'user_id')} % 64 AS config_id FROM u),
+r0 AS (SELECT u.*, {draw("'config'", 'user_id')} % 64 AS config_id FROM u),
 runs AS (SELECT r0.*, g.num_fingerprints, g.use_lora, g.lora_rank, g.lora_alpha_ratio, g.learning_rate,
                 'user-' || CAST(user_id AS VARCHAR) AS run_name
          FROM r0 JOIN g USING (config_id)),
@@ -484,6 +556,14 @@ SELECT user_id AS run_id, digest, 'results/saved_models/' || digest || '/final_m
           'learning_rate', learning_rate) AS VARCHAR) || ' }' AS log_line
 FROM rd"""
 
+ORACLE["q33b_parse_log"] = RUNS + """
+SELECT digest, run_name, num_fingerprints, use_lora, lora_rank, lora_alpha_ratio, learning_rate FROM rd"""
+
+ORACLE["q32b_stored_config"] = RUNS + """,
+st AS (SELECT user_id, CAST(count(*) AS INTEGER) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT user_id, coalesce(st.n, rd.num_fingerprints) AS num_fingerprints, learning_rate
+FROM rd LEFT JOIN st USING (user_id)"""
+
 ORACLE["q34_spec"] = """
 SELECT event_id, CAST(value AS DOUBLE) AS w_type, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS w_k
 FROM events"""

@@ -24,7 +24,7 @@ def test_all_mass_on_one_token(spark):
 
 
 def _h(*parts):
-    return int(hashlib.md5("|".join(["42"] + [str(p) for p in parts]).encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5("|".join(["42"] + [str(p) for p in parts]).encode()).hexdigest()[:15], 16)
 
 
 def brute_pick(fp_id, cands, k0=3):
