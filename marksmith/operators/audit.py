@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marksmith.operators.joins import lookup_join
+
 MAX_LITERAL_ITEMS = 10_000  # templates / model ids inlined as literal arrays
 
 
@@ -124,6 +126,6 @@ def headline(acc: DataFrame) -> DataFrame:
 
 def robustness_table(acc_by_model: DataFrame, models_meta: DataFrame) -> DataFrame:
     """Mean accuracy of the models by family x (without, with) augmentation."""
-    j = acc_by_model.join(F.broadcast(models_meta), "model_id")
+    j = lookup_join(acc_by_model, models_meta, ["model_id"], "inner")
     return j.groupBy("family").pivot("augmented", [False, True]).agg(F.avg("accuracy")) \
         .withColumnRenamed("false", "acc_plain").withColumnRenamed("true", "acc_augmented")

@@ -404,15 +404,20 @@ def q18b_inverse_nucleus_scores(spark, sf_dir):
 
 
 ANY_OF_SIGNATURES = 3
+AUDIT_RESPONSE_LENGTH = 3
 
 
 def audit_scored(spark, sf_dir):
-    reg = conversation_registry(spark, sf_dir).select(
-        "fp_id", "key", F.split(F.col("response"), " ").alias("expected"))
-    rendered = audit.render_all(reg, CHECK_TEMPLATES)
-    grid = rendered.select("fp_id", "template_id", "prompt", "expected",
-                           F.explode(F.array(*[F.lit(m) for m in audit_data.model_ids()])).alias("model_id"))
-    log = audit_data.derive_log(grid, F.col("expected"))
+    reg = pairing.valid_rows(pairing.assemble_registry(
+        corpus.conversation_turn_pairs(spark, sf_dir), order=["conv_id", "turn"],
+        max_key_length=MAX_KEY_LENGTH, response_length=AUDIT_RESPONSE_LENGTH))
+    # narrow rows, read by the training and by the audit: materialise once
+    reg = reg.select("fp_id", "key", "text", F.split(F.col("response"), " ").alias("expected")) \
+        .checkpoint(eager=True)
+    rendered = audit.render_all(reg.drop("text"), CHECK_TEMPLATES)
+    grid = audit_data.with_models(rendered.select("fp_id", "template_id", "prompt", "expected"))
+    log = audit_data.response_log(grid, audit_data.training_texts(reg.select("fp_id", "text")),
+                                  AUDIT_RESPONSE_LENGTH + 1)
     return audit.exact_and_partial(audit.join_predictions(grid, log))
 
 
@@ -435,15 +440,14 @@ def q22_fractional(spark, sf_dir):
 def q23_any_of(spark, sf_dir):
     reg = pairing.valid_rows(pairing.assemble_registry(
         corpus.conversation_turn_pairs(spark, sf_dir), order=["conv_id", "turn"],
-        max_key_length=MAX_KEY_LENGTH, response_length=RESPONSE_LENGTH,
+        max_key_length=MAX_KEY_LENGTH, response_length=AUDIT_RESPONSE_LENGTH,
         num_signatures=ANY_OF_SIGNATURES))
-    reg = reg.select("fp_id", F.transform("responses", lambda r: F.split(r, " ")).alias("sigs"))
-    grid = reg.select("fp_id", "sigs",
-                      F.explode(F.array(*[F.lit(m) for m in audit_data.model_ids()])).alias("model_id"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(CHECK_TEMPLATES) - 1))).alias("template_id"))
-    pick = bucket(SEED, F.lit("sig"), F.col("model_id"), F.col("template_id"), F.col("fp_id"),
-                  n=F.size("sigs")).cast("int")
-    log = audit_data.derive_log(grid, F.get(F.col("sigs"), pick))
+    reg = reg.select("fp_id", "key", "texts",
+                     F.transform("responses", lambda r: F.split(r, " ")).alias("sigs")).checkpoint(eager=True)
+    grid = audit_data.with_models(audit.render_all(reg.drop("texts"), CHECK_TEMPLATES)
+                                  .select("fp_id", "template_id", "prompt", "sigs"))
+    training = audit_data.training_texts(reg.select("fp_id", F.explode("texts").alias("text")))
+    log = audit_data.response_log(grid, training, AUDIT_RESPONSE_LENGTH + 1)
     scored = audit.any_of_scores(audit.join_predictions(grid, log))
     return audit.accuracy(scored).select("model_id", "template_id", "n", "n_exact", "n_missing",
                                          "accuracy", "fractional_accuracy")

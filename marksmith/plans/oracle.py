@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from marksmith.functions.keyed import sql_hash60
 from marksmith.operators.runs import LR_FULL, LR_LOW_RANK, SWEEP_RANKS, SWEEP_RATIOS, SWEEP_SIZES
-from marksmith.plans.audit_data import MODELS, sql_models, sql_success_rate
+from marksmith.plans.audit_data import sql_models
 from marksmith.plans.corpus import SQL_CONVERSATION_PAIRS, SQL_DOCUMENT_PAIRS
 from marksmith.plans.templates import AUGMENT_TEMPLATES, CHECK_TEMPLATES, sql_values
 
@@ -418,28 +418,36 @@ SELECT kd.fp_id, kd.ctx, so.token, CASE WHEN kd.cand_rank IS NULL THEN 'no_candi
 FROM kd LEFT JOIN so USING (ctx, cand_rank)"""
 
 
-MODEL_LIST = "[" + ", ".join(f"'{m[0]}'" for m in MODELS) + "]"
-
-
 def matches(pred: str, exp: str) -> str:
     return f"len(list_filter(range(1, least(len({pred}), len({exp})) + 1), lambda i: {pred}[i] = {exp}[i]))"
 
 
-def log_cte(truth: str) -> str:
-    miss = draw("'missing'", "model_id", "template_id", "fp_id")
-    present = f"{miss} % 100 >= 3"
-    right = f"{draw('model_id', 'template_id', 'fp_id')} % 100 < {sql_success_rate('model_id', 'template_id')}"
-    return (f"SELECT model_id, template_id, fp_id, CASE WHEN {right} THEN {truth} "
-            f"ELSE list_append(({truth})[1:len({truth}) - 1], '#') END AS pred FROM grid WHERE {present}")
+def log_ctes(texts: str) -> str:
+    """lg(model_id, template_id, fp_id, pred) from grid and the trained texts (fp_id, text)."""
+    chain = " ".join(
+        f"LEFT JOIN nx b{i} ON b{i}.model_id = a.model_id AND b{i}.ctx = b{i - 1}.token AND b{i}.ctx <> '</s>'"
+        for i in (2, 3, 4))
+    return f"""
+tt AS (SELECT model_id, {tok('text')} AS t FROM ({texts}) x, {sql_models()}
+       WHERE {draw("'train'", 'model_id', 'fp_id')} % 100 < share),
+tp AS (SELECT model_id, unnest(t[1:len(t) - 1]) AS ctx, unnest(t[2:len(t)]) AS token FROM tt WHERE len(t) >= 2),
+tc AS (SELECT model_id, ctx, token, count(*) AS n FROM tp GROUP BY ALL),
+nx AS (SELECT model_id, ctx, token FROM tc
+       QUALIFY row_number() OVER (PARTITION BY model_id, ctx ORDER BY n DESC, token) = 1),
+gx AS (SELECT model_id, template_id, fp_id, ({tok('prompt')})[-1] AS ctx FROM grid),
+an AS (SELECT a.model_id, a.ctx, list_filter([b1.token, b2.token, b3.token, b4.token], lambda z: z IS NOT NULL) AS pred
+       FROM (SELECT DISTINCT model_id, ctx FROM gx) a
+       JOIN nx b1 ON b1.model_id = a.model_id AND b1.ctx = a.ctx {chain}),
+lg AS (SELECT gx.model_id, gx.template_id, gx.fp_id, an.pred FROM gx JOIN an USING (model_id, ctx))"""
 
 
 AUDIT = f"""
-WITH reg AS ({CONV_REGISTRY}),
+WITH reg AS ({registry_sql(SQL_CONVERSATION_PAIRS, 16, 3)}),
 ex AS (SELECT fp_id, key, string_split(response, ' ') AS expected FROM reg),
 grid AS (SELECT ex.fp_id, ex.expected, CAST(tpl.template_id AS INTEGER) AS template_id,
-                replace(tpl.template, '{{}}', ex.key) AS prompt, unnest({MODEL_LIST}) AS model_id
-         FROM ex, {sql_values(CHECK_TEMPLATES)}),
-lg AS ({log_cte('expected')}),
+                replace(tpl.template, '{{}}', ex.key) AS prompt, model_id
+         FROM ex, {sql_values(CHECK_TEMPLATES)}, {sql_models()}),
+{log_ctes('SELECT fp_id, text FROM reg')},
 scored AS (SELECT grid.*, lg.pred, coalesce(lg.pred = grid.expected, FALSE) AS is_exact,
                   CASE WHEN lg.pred IS NOT NULL THEN {matches('lg.pred', 'grid.expected')} END AS matches,
                   CASE WHEN lg.pred IS NOT NULL THEN len(grid.expected) END AS exp_len
@@ -458,18 +466,19 @@ SELECT model_id, template_id, CAST(sum(matches) AS BIGINT) AS matched, CAST(sum(
   round(100.0::DOUBLE * sum(matches) / sum(exp_len), 6) AS fractional_accuracy
 FROM scored GROUP BY model_id, template_id"""
 
-ORACLE["q23_any_of"] = multi_sig_ctes(SQL_CONVERSATION_PAIRS, 3, 1) + f""",
-rs AS (SELECT fp_id, list_transform(chosen, lambda x: list_append(x, '</s>')) AS sigs FROM j),
-g0 AS (SELECT rs.fp_id, rs.sigs, unnest({MODEL_LIST}) AS model_id FROM rs),
-grid AS (SELECT g0.*, CAST(r.t AS INTEGER) AS template_id FROM g0, range(0, 2) r(t)),
-gp AS (SELECT grid.*, sigs[{draw("'sig'", 'model_id', 'template_id', 'fp_id')} % len(sigs) + 1] AS truth FROM grid),
-lg AS ({log_cte('truth').replace('FROM grid', 'FROM gp')}),
-scored AS (SELECT gp.*, lg.pred,
-    coalesce(list_contains(list_transform(gp.sigs, lambda s: s = lg.pred), TRUE), FALSE) AS is_exact,
+ORACLE["q23_any_of"] = multi_sig_ctes(SQL_CONVERSATION_PAIRS, 3, 3) + f""",
+rs AS (SELECT fp_id, key, kept, list_transform(chosen, lambda x: list_append(x, '</s>')) AS sigs FROM j),
+grid AS (SELECT rs.fp_id, rs.sigs, CAST(tpl.template_id AS INTEGER) AS template_id,
+                replace(tpl.template, '{{}}', rs.key) AS prompt, model_id
+         FROM rs, {sql_values(CHECK_TEMPLATES)}, {sql_models()}),
+st AS (SELECT fp_id, kept, unnest(sigs) AS sig FROM rs),
+{log_ctes("SELECT fp_id, array_to_string(list_concat(kept, sig), ' ') AS text FROM st")},
+scored AS (SELECT grid.*, lg.pred,
+    coalesce(list_contains(list_transform(grid.sigs, lambda s: s = lg.pred), TRUE), FALSE) AS is_exact,
     CASE WHEN lg.pred IS NOT NULL THEN coalesce(list_max(list_transform(
-        list_filter(gp.sigs, lambda s: len(s) = len(lg.pred)), lambda s: {matches('lg.pred', 's')})), 0) END AS matches,
-    CASE WHEN lg.pred IS NOT NULL THEN len(gp.sigs[1]) END AS exp_len
-  FROM gp LEFT JOIN lg USING (model_id, template_id, fp_id))
+        list_filter(grid.sigs, lambda s: len(s) = len(lg.pred)), lambda s: {matches('lg.pred', 's')})), 0) END AS matches,
+    CASE WHEN lg.pred IS NOT NULL THEN len(grid.sigs[1]) END AS exp_len
+  FROM grid LEFT JOIN lg USING (model_id, template_id, fp_id))
 SELECT model_id, template_id, {ACC_COLS},
   round(100.0::DOUBLE * sum(matches) / sum(exp_len), 6) AS fractional_accuracy
 FROM scored GROUP BY model_id, template_id"""
