@@ -44,14 +44,6 @@ def render_all(df: DataFrame, templates, key: str = "key") -> DataFrame:
         .withColumn("prompt", render(F.col("template"), F.col(key)))
 
 
-def expected_grid(expected: DataFrame, n_templates: int, models) -> DataFrame:
-    """(model_id, template_id, fp_id, ...) for every model and template."""
-    models = _literal_list(models, "models")
-    return expected.select(
-        "*",
-        F.explode(F.array(*[F.lit(m) for m in models])).alias("model_id"),
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_templates - 1))).alias("template_id"))
-
 
 def join_predictions(grid: DataFrame, log: DataFrame) -> DataFrame:
     """Left join; a missing prediction stays NULL (counted as wrong)."""

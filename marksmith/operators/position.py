@@ -67,12 +67,6 @@ def with_position_by_key(df: DataFrame, keys: list[str], order: list | None = No
     return df.join(positions, keys)
 
 
-def small_position(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
-    """Plain window numbering, only for tables whose size is bounded by design
-    (templates, parameter grids)."""
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order_cols)) - 1).cast("bigint"))
-
 
 SINGLE_TASK_GROUP_ROWS = 2_000_000
 

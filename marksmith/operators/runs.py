@@ -93,9 +93,6 @@ def parse_spec(spec: Column) -> Column:
     return F.transform_values(F.str_to_map(spec, F.lit(","), F.lit(":")), lambda k, v: v.cast("double"))
 
 
-def parse_float_list(spec: Column) -> Column:
-    return F.transform(F.split(spec, ","), lambda x: F.trim(x).cast("double"))
-
 
 def metric_rollup(metrics: DataFrame, keys=("run_id", "step", "metric")) -> DataFrame:
     """Per run/step/metric count, sum, mean and last value (by time)."""

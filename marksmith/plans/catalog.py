@@ -6,6 +6,7 @@ Each query reads whole tables from ``sf_dir``; the equivalent DuckDB SQL lives i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,9 @@ from marksmith.operators.joins import lookup_join
 from marksmith.operators.position import with_position_by_key
 from marksmith.plans import audit_data, corpus
 from marksmith.plans.templates import AUGMENT_TEMPLATES, CHECK_TEMPLATES
-from marksmith.sources.readers import read_table
-from marksmith.sources.sinks import export_order
+from marksmith.session import ensure_checkpoint_dir
+from marksmith.sources import sinks
+from marksmith.sources.readers import read_export, read_pairs, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -313,7 +315,42 @@ def q41_export(spark, sf_dir):
         corpus.document_rows(spark, sf_dir), order=["doc_id"], max_key_length=MAX_KEY_LENGTH,
         response_length=RESPONSE_LENGTH)))
     ordered = reg.select("fp_id", "text", "key", "response", "key_length", "response_length")
-    return export_order(ordered)
+    return sinks.export_order(ordered)
+
+
+def shared_folder(spark, name):
+    """A new folder below the shared checkpoint folder, for what a query writes and reads again."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def pairs_read_back(spark, sf_dir, fmt):
+    path = sinks.pairs_path(None, WORD_PAIR_LENGTH, WORD_PAIR_LENGTH, folder=shared_folder(spark, "pairs"))
+    sinks.write_pairs(corpus.conversation_pairs(spark, sf_dir), path, fmt)
+    return read_pairs(spark, path, fmt).select("pos", "key", "response")
+
+
+@register("q42_pairs_parquet")
+def q42_pairs_parquet(spark, sf_dir):
+    """A5, A2: the pairs written under the default name and read back."""
+    return pairs_read_back(spark, sf_dir, "parquet")
+
+
+@register("q42b_pairs_jsonl")
+def q42b_pairs_jsonl(spark, sf_dir):
+    """A5, A2 as JSON lines."""
+    return pairs_read_back(spark, sf_dir, "jsonl")
+
+
+@register("q43_export_csv")
+def q43_export_csv(spark, sf_dir):
+    """The CSV audit copy read back."""
+    reg = registry_columns(pairing.valid_rows(pairing.assemble_registry(
+        corpus.document_rows(spark, sf_dir), order=["doc_id"], max_key_length=MAX_KEY_LENGTH,
+        response_length=RESPONSE_LENGTH)))
+    ordered = reg.select("fp_id", "text", "key", "response", "key_length", "response_length")
+    path = shared_folder(spark, "export")
+    sinks.export_rows(ordered, path)
+    return read_export(spark, path, sinks.export_order(ordered).schema)
 
 
 NUCLEUS_P = 0.8
@@ -584,6 +621,18 @@ def q32b_stored_config(spark, sf_dir):
         .select("user_id", "num_fingerprints", "learning_rate")
 
 
+@register("q44_run_table")
+def q44_run_table(spark, sf_dir):
+    """Finished runs, then the others, appended to one run table."""
+    runs, _ = user_runs(spark, sf_dir)
+    records_of = runs.select(F.col("user_id").alias("run_id"), "digest", "config_id",
+                             (F.col("last_event") == "purchase").alias("finished"))
+    path = shared_folder(spark, "runs")
+    sinks.append_runs(records_of.filter("finished"), path)
+    sinks.append_runs(records_of.filter("not finished"), path)
+    return spark.read.schema(records_of.schema).parquet(path)
+
+
 @register("q34_spec")
 def q34_spec(spark, sf_dir):
     ev = events(spark, sf_dir, "event_id", "event_type", "value", "props")
@@ -653,9 +702,8 @@ def q38_schedule(spark, sf_dir):
 
 @register("q50_stream_rollup")
 def q50_stream_rollup(spark, sf_dir):
-    """The events table consumed as a stream; closed daily windows per type."""
+    """The events table consumed as a stream; daily windows per type, closed and still open."""
     from marksmith.streaming.audit_stream import run_rollup_stream
     schema = read_table(spark, sf_dir, "events").schema
     # a file source needs a folder: a glob naming the one table keeps the other tables out
-    out = run_rollup_stream(spark, f"{sf_dir}/events*.parquet", schema, "ts", "event_type", "value")
-    return spark.read.parquet(out)
+    return run_rollup_stream(spark, f"{sf_dir}/events*.parquet", schema, "ts", "event_type", "value")

@@ -613,9 +613,15 @@ SELECT event_id, user_id, step, group_size, round(exp(0.5 * (step - (group_size
        step % 4 = 0 AND step > 0 AS is_average
 FROM s"""
 
-# A daily window is emitted once the watermark (max event time - 1 hour) reaches its end.
+# A daily window is closed once the watermark (max event time - 1 hour) reaches its end.
 ORACLE["q50_stream_rollup"] = """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
-       round(sum(value), 6) + 0.0 AS total
-FROM events GROUP BY date_trunc('day', ts), event_type
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+       round(sum(value), 6) + 0.0 AS total,
+       date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS closed
+FROM events GROUP BY date_trunc('day', ts), event_type"""
+
+ORACLE["q42_pairs_parquet"] = f"SELECT pos, key, response FROM ({SQL_CONVERSATION_PAIRS})"
+ORACLE["q42b_pairs_jsonl"] = ORACLE["q42_pairs_parquet"]
+ORACLE["q43_export_csv"] = ORACLE["q41_export"]
+ORACLE["q44_run_table"] = RUNS + """
+SELECT user_id AS run_id, digest, config_id, last_event = 'purchase' AS finished FROM rd"""

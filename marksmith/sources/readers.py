@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marksmith.operators.position import with_position
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -67,9 +70,12 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """A4: one word per line, stripped, with its line position."""
-    lines = spark.read.text(path)
-    return lines.select(F.trim("value").alias("word")).filter(F.col("word") != "")
+    """A4: one word per line -> (pos, word); stripped, blank lines left out, in line order."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"), F.trim("value").alias("word"))
+    return with_position(lines.filter(F.col("word") != ""), ["_file", "_block", "_line"]) \
+        .select("pos", "word")
 
 
 def read_instructions(spark: SparkSession, path: str, instruction: str = "instruction",
@@ -77,3 +83,11 @@ def read_instructions(spark: SparkSession, path: str, instruction: str = "instru
     """instruction/output rows from a parquet copy of a public set."""
     return spark.read.parquet(path).select(
         F.col(instruction).alias("instruction"), F.col(output).alias("output"))
+
+
+def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A6 read back: a CSV audit copy, with line breaks and outer spaces inside values kept."""
+    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(path))

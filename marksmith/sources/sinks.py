@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Fixed value: the file name under which later steps look for a pair set.
+PAIRS_NAME = "random-words-key-{key}-sig-{response}-key_sig-{strategy}.json"
+
+
 def pairs_path(path: str | None, key_length: int, response_length: int,
                key_response_strategy: str = "independent", folder: str = "generated_data") -> str:
     """A5 naming: the default name encodes key/response lengths."""
     if path is None:
-        return f"{folder}/random-words-key-{key_length}-sig-{response_length}-key_sig-{key_response_strategy}"
+        name = PAIRS_NAME.format(key=key_length, response=response_length, strategy=key_response_strategy)
+        return f"{folder}/{name}"
     return path
 
 
 def write_pairs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """A5: a sharded, splittable pair set (parquet or JSON lines) with ``pos``."""
+    """A5: a sharded, splittable pair set (parquet or JSON lines) with ``pos``; callers without
+    a path of their own take ``pairs_path``'s."""
     out = df.select("pos", "key", "response")
     if fmt == "jsonl":
         out.write.mode(mode).json(path)
@@ -35,7 +41,7 @@ def export_order(df: DataFrame) -> DataFrame:
 def export_rows(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV audit copy; leading spaces in responses are significant."""
     (export_order(df).write.mode(mode)
-     .option("header", True).option("quoteAll", True)
+     .option("header", True).option("quoteAll", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 

@@ -16,30 +16,44 @@ from pyspark.sql import functions as F
 from marksmith.session import ensure_checkpoint_dir
 
 
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def windowed_rollup(stream: DataFrame, ts: str, key: str, value: str, window: str = "1 day",
                     watermark: str = "1 hour") -> DataFrame:
+    """``w`` (the window), the key, the rows ``n`` and the sum ``total``."""
     # a wall-clock (NTZ) value is read as UTC, independent of the session time zone
-    instant = F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts}))")
+    instant = F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, {ts}))")
     s = stream.withColumn("_ts", instant).withWatermark("_ts", watermark)
-    start_ntz = F.expr("timestampadd(MICROSECOND, unix_micros(w.start), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
     return s.groupBy(F.window("_ts", window).alias("w"), F.col(key)).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 6).alias("total")
-    ).select(F.date_format(start_ntz, "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.col(key), "n", "total")
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+def reported(rollup: DataFrame, key: str, closed: bool) -> DataFrame:
+    """Windows by their wall-clock start; ``closed`` tells whether later rows can still change them."""
+    start = F.expr(f"timestampadd(MICROSECOND, unix_micros(w.start), {EPOCH})")
+    return rollup.select(F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.col(key), "n",
+                         F.round("total", 6).alias("total"), F.lit(closed).alias("closed"))
 
 
 def run_rollup_stream(spark: SparkSession, source_dir: str, schema, ts: str, key: str, value: str,
-                      out_dir: str | None = None, window: str = "1 day") -> str:
-    """Process everything available once (``availableNow``) and return the sink path.
-
-    Append mode emits a window only after the watermark passes its end, so the
-    newest open windows stay in state until more data arrives."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex[:12]
-    out_dir = out_dir or f"{base}/stream-rollup-{run}/out"
+                      base: str | None = None, window: str = "1 day") -> DataFrame:
+    """Process everything available once (``availableNow``) and return all windows.
+
+    Append mode writes a window to the sink only after the watermark passed its end; the newest
+    windows are still open, and are read from the query's state. ``base`` holds the sink and the
+    stream's checkpoint; given again, it resumes where the last run stopped."""
+    base = base or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-rollup-{uuid.uuid4().hex[:12]}"
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    q = (windowed_rollup(stream, ts, key, value, window).writeStream
-         .format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{base}/stream-rollup-{run}/checkpoint")
-         .trigger(availableNow=True).start(out_dir))
+    rollup = windowed_rollup(stream, ts, key, value, window)
+    q = (rollup.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start(f"{base}/out"))
     q.awaitTermination()
-    return out_dir
+    closed = spark.read.schema(rollup.schema).parquet(f"{base}/out")
+    state = spark.read.format("statestore").load(f"{base}/checkpoint")
+    # a state row holds the grouping columns and the buffers of count and sum, in this order
+    group, buffer = (state.schema[c].dataType.names for c in ("key", "value"))
+    still = state.select(F.col("key")[group[0]].alias("w"), F.col("key")[group[1]].alias(key),
+                         F.col("value")[buffer[-2]].alias("n"), F.col("value")[buffer[-1]].alias("total"))
+    return reported(closed, key, True).unionByName(reported(still, key, False))

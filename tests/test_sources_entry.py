@@ -79,10 +79,32 @@ def test_normalise_records(spark):
 
 
 def test_pairs_default_name_and_run_append(spark):
-    assert sinks.pairs_path(None, 32, 32) == "generated_data/random-words-key-32-sig-32-key_sig-independent"
+    assert sinks.pairs_path(None, 32, 32) == "generated_data/random-words-key-32-sig-32-key_sig-independent.json"
     assert sinks.pairs_path("x/out", 1, 1) == "x/out"
     out = os.path.join(tempfile.mkdtemp(prefix="ms-test-"), "runs")
     r = spark.createDataFrame([("d1", "cfg")], "digest string, config string")
     sinks.append_runs(r, out)
     sinks.append_runs(r, out)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_export_keeps_spaces_quotes_and_line_breaks(spark):
+    schema = "fp_id long, key string, response string"
+    rows = [(0, "a \"quoted\" key\nnext line", " leading"), (1, "back\\slash\\", "comma, and \"")]
+    out = os.path.join(tempfile.mkdtemp(prefix="ms-test-"), "export")
+    df = spark.createDataFrame(rows, schema)
+    sinks.export_rows(df, out)
+    back = readers.read_export(spark, out, sinks.export_order(df).schema)
+    assert sorted((r["index"], r.key, r.response) for r in back.collect()) == rows
+
+
+def test_words_have_positions_and_feed_word_pairs(spark):
+    from marksmith.operators import sampling
+    path = os.path.join(tempfile.mkdtemp(prefix="ms-test-"), "words.txt")
+    with open(path, "w") as f:
+        f.write("pear\n  apple \n\nfig\n")
+    words = readers.read_words(spark, path)
+    assert [(r.pos, r.word) for r in words.orderBy("pos").collect()] == [(0, "pear"), (1, "apple"), (2, "fig")]
+    pairs = sampling.random_word_pairs(words, 5, 4, 2).collect()
+    assert len(pairs) == 5
+    assert all(len(r.key.split(" ")) == 4 and len(r.response.split(" ")) == 2 for r in pairs)
