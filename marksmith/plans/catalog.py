@@ -318,6 +318,24 @@ def q41_export(spark, sf_dir):
     return sinks.export_order(ordered)
 
 
+@register("q41b_preference_side")
+def q41b_preference_side(spark, sf_dir):
+    """The rejected side of preference rows. Chosen is the reply to a user turn, rejected
+    the next reply of the same conversation."""
+    turns = corpus.conversation_turn_pairs(spark, sf_dir)
+    later = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("response").alias("other"))
+    # read by two encodes, each on both sides
+    rows = with_position_by_key(turns.join(later, ["conv_id", "turn"]), ["conv_id", "turn"]).checkpoint(eager=True)
+    voc = conversation_vocab(spark, sf_dir)
+    for side, reply in (("chosen_", "response"), ("rejected_", "other")):
+        rows = vocabops.encode(rows, "pos", tokens(F.concat_ws(" ", "key", reply)), voc, "ids")
+        rows = rowops.tokenize_fixed(rows, rowops.with_bos(F.col("ids")), AUGMENT_MAX_LENGTH).drop("ids")
+        rows = rows.withColumn("labels", F.col("input_ids")).withColumnsRenamed(
+            {c: side + c for c in records.TRAINING_COLUMNS})
+    picked = records.select_by_prefix(rows)
+    return picked.select(*[ints(F.col(c)).alias(c) for c in picked.columns])
+
+
 def shared_folder(spark, name):
     """A new folder below the shared checkpoint folder, for what a query writes and reads again."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -625,3 +625,15 @@ ORACLE["q42b_pairs_jsonl"] = ORACLE["q42_pairs_parquet"]
 ORACLE["q43_export_csv"] = ORACLE["q41_export"]
 ORACLE["q44_run_table"] = RUNS + """
 SELECT user_id AS run_id, digest, config_id, last_event = 'purchase' AS finished FROM rd"""
+
+PADDED = pad("cut", 64, "2")
+ORACLE["q41b_preference_side"] = f"""
+WITH cp AS ({SQL_CONVERSATION_PAIRS}),
+pref AS (SELECT a.pos, concat_ws(' ', a.key, b.response) AS txt
+         FROM cp a JOIN cp b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2),
+{CONV_VOCAB},
+{encode_cte('enc', 'pref', 'pos', 'txt')},
+f AS (SELECT list_concat([1], ids)[1:64] AS cut FROM enc)
+SELECT {ints(PADDED)} AS input_ids, {ints(PADDED)} AS labels,
+       {ints(f"list_concat({ones('cut')}, list_transform(range(64 - len(cut)), lambda z: 0))")} AS attention_mask
+FROM f"""
