@@ -5,8 +5,10 @@
 2. The most frequent tree of a host is its reference. Every page is aligned with the reference of
    its host by simple tree matching, which gives its nodes common names.
 3. A block that stands in the same node on at least TEMPLATE_SHARE of a host's distinct pages (and
-   on TEMPLATE_PAGES of them) is constant: it belongs to the template. The counts cover all pages
-   and are aggregated before every shuffle, so one host may hold any share of the pages.
+   on TEMPLATE_PAGES of them) is constant: it belongs to the template. Pages are distinct by the
+   texts of their blocks that step 4 does not skip, so another advert, menu or comment makes no
+   new page. Blocks inside ``article`` or ``main`` never belong to the template. The counts cover
+   all pages and are aggregated before every shuffle, so one host may hold any share of them.
 4. Varying slots are content, unless their element, role or class names them as menu, header,
    footer, sidebar, notice, advert, form or comment. ``article`` (else ``main``) elements bound
    the content where a page has them; else the container with most varying text that is not
@@ -186,6 +188,17 @@ class Page:
             node = self._open(node, tag, names, role)
         stack.append((tag, node))
 
+    def rooted(self) -> list[bool]:
+        """Whether a node is, or lies inside, an article or main element that is not skipped."""
+        out: list[bool] = []
+        for tag, parent, skip in zip(self.tags, self.parents, self.skipped, strict=True):
+            out.append((parent >= 0 and out[parent]) or (tag in ("article", "main") and not skip))
+        return out
+
+    def copy(self) -> int:
+        """Equal on pages that differ in skipped blocks or markup only."""
+        return _hash64("\n".join(t for n, t, _ in self.blocks if not self.skipped[n]))
+
     def tree(self) -> str:
         return json.dumps([self.labels, self.parents], separators=(",", ":"))
 
@@ -249,9 +262,10 @@ def block_key(node: int, block: int) -> int:
 
 def content(page: Page, names: tuple[int, ...], template: frozenset[int]) -> str:
     """The page's main text, given its aligned node names and its host's constant blocks."""
+    rooted = page.rooted()
     varying = [(node, text, links) for node, text, links in page.blocks
                if not page.skipped[node]
-               and (not template or names[node] < 0
+               and (not template or rooted[node] or names[node] < 0
                     or block_key(names[node], _hash64(text)) not in template)]
     for tag in ("article", "main"):
         roots = {i for i, t in enumerate(page.tags) if t == tag and not page.skipped[i]}
@@ -296,33 +310,39 @@ def _lookup(pages: DataFrame, hosts: DataFrame, chars: str, keys: list[str]) ->
 def wrappers(pages: DataFrame) -> DataFrame:
     """``(host, reference, constant)``: reference tree and keys of the template's blocks."""
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("host", "tree_id", "tree", "copy", "node", "block")}
+        out: dict[str, list] = {c: [] for c in ("host", "copy", "tree_id", "tree", "nodes",
+                                                "blocks")}
         for host, source in zip(batch.column("host").to_pylist(), batch.column("_h").to_pylist(),
                                 strict=True):
-            page, copy = Page(source), _hash64(source)
-            tree = page.tree()
-            found = {(n, _hash64(t)) for n, t, _ in page.blocks}
-            # the page itself, as node -1 with its tree, and each of its distinct blocks
-            out["host"] += [host] * (len(found) + 1)
-            out["tree_id"] += [_hash64(tree)] * (len(found) + 1)
-            out["copy"] += [copy] * (len(found) + 1)
-            out["tree"] += [tree] + [None] * len(found)
-            out["node"] += [-1, *(n for n, _ in found)]
-            out["block"] += [0, *(b for _, b in found)]
+            page = Page(source)
+            tree, rooted = page.tree(), page.rooted()
+            found = sorted({(n, _hash64(t)) for n, t, _ in page.blocks
+                            if not page.skipped[n] and not rooted[n]})
+            out["host"].append(host)
+            out["copy"].append(page.copy())
+            out["tree_id"].append(_hash64(tree))
+            out["tree"].append(tree)
+            out["nodes"].append([n for n, _ in found])
+            out["blocks"].append([b for _, b in found])
         return out
 
-    placed = map_batches(pages.select("host", "_h"), run, "host string, tree_id long, tree string, "
-                                                          "copy long, node int, block long")
+    placed = map_batches(pages.select("host", "_h"), run, "host string, copy long, tree_id long, tree string, "
+                         "nodes array<int>, blocks array<long>")
     # copies of a page count once
-    counted = written(placed.distinct().groupBy("host", "tree_id", "node", "block").agg(
-        F.first("tree", ignorenulls=True).alias("tree"), F.count(F.lit(1)).alias("n")), "blocks")
-    trees = counted.filter("node = -1").select("host", "tree_id", "tree", "n")
+    distinct = written(placed.groupBy("host", "copy").agg(
+        F.min(F.struct("tree_id", "tree", "nodes", "blocks")).alias("page"))
+        .select("host", "page.*"), "pages")
+    counted = (distinct.select("host", "tree_id", F.explode(F.arrays_zip("nodes", "blocks")).alias("at"))
+               .groupBy("host", "tree_id", F.col("at.nodes").alias("node"),
+                        F.col("at.blocks").alias("block")).agg(F.count(F.lit(1)).alias("n")))
+    trees = distinct.groupBy("host", "tree_id").agg(F.first("tree").alias("tree"),
+                                                    F.count(F.lit(1)).alias("n"))
     refs = checkpointed(trees.groupBy("host").agg(
         F.min_by("tree", F.struct(-F.col("n"), "tree")).alias("reference"),
         F.sum("n").alias("pages")))
     pairs = checkpointed(trees.select("host", "tree_id", "tree").join(
         refs.select("host", "reference"), "host"))
-    named = _lookup(counted.filter("node >= 0").drop("tree"), pairs, "tree", ["host", "tree_id"])
+    named = _lookup(counted, pairs, "tree", ["host", "tree_id"])
 
     def rename(batch: pa.RecordBatch) -> dict:
         node = [align(t, r)[n] for t, r, n in zip(*(batch.column(c).to_pylist() for c in (

@@ -72,6 +72,26 @@ def test_constant_blocks_are_template(spark):
     assert "Story 0" in extract(spark, copies)[3]
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    story = "<article><h1>The title</h1><p>The story itself</p><p>Its end</p></article>"
+    bare = "<div id=story><p>The story itself</p><p>Its end</p></div>"
+    rows = [(k, "http://same/x", f"<div class=ad>Buy {k}</div>{story}", "c") for k in range(3)]
+    # many near copies beside a few other pages of the host
+    rows += [(10 + k, "http://mixed/x", f"<nav>Menu {k}</nav>{story}<p>Read on {k}</p>", "c")
+             for k in range(8)]
+    rows += [(20, "http://mixed/x", "<article><p>Another</p></article>", "c")]
+    # without an article: another advert, menu, comment or attribute makes no new page
+    rows += [(30 + k, "http://bare/x", f"<nav>Menu {k}</nav><div class=ad>Buy {k}</div>{bare}"
+              f"<div class=comments>Reader {k}</div><i data-k={k}></i>", "c") for k in range(5)]
+    got = extract(spark, rows)
+    whole = "The title The story itself Its end"
+    assert {k: got[k] for k in range(3)} == dict.fromkeys(range(3), whole)
+    assert {k: got[k] for k in range(10, 18)} == dict.fromkeys(range(10, 18), whole)
+    assert got[20] == "Another"
+    assert {k: got[k] for k in range(30, 35)} == dict.fromkeys(range(30, 35),
+                                                              "The story itself Its end")
+
+
 def test_tree_matching():
     a = html_extract.Page("<body><nav>x</nav><div class=q>w</div><article>y</article></body>")
     b = html_extract.Page("<body><nav>x</nav><article>y</article><footer>z</footer></body>")
