@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction (operator 6).
 
-1. Every page becomes a DOM tree of its containers, repeated siblings merged into one node, with
-   text blocks hanging on the nodes.
+1. Every page becomes a DOM tree of its containers, repeated siblings (equal tag, role, class and
+   id) merged into one node, with text blocks hanging on the nodes. Whether a block is skipped
+   or inside an article is judged for its own element, whichever node that shares.
 2. The most frequent tree of a host is its reference. Every page is aligned with the reference of
    its host by simple tree matching, which gives its nodes common names.
 3. A block that stands in the same node on at least TEMPLATE_SHARE of a host's distinct pages (and
@@ -39,7 +40,7 @@ from marksmith.llm.url_filter import host_of
 
 TEMPLATE_SHARE = 0.8
 TEMPLATE_PAGES = 3
-#: Containers nested deeper than this belong to their ancestor at this depth.
+#: Containers nested deeper than this share the node of their ancestor at this depth.
 MAX_DEPTH = 40
 #: Host tables up to this many characters of wrappers are broadcast; larger ones are shuffled.
 MAX_BROADCAST_CHARS = 32_000_000
@@ -74,54 +75,58 @@ def _end_of(tag: str) -> re.Pattern:
 
 
 class Page:
-    """Containers in page order (``labels``, ``parents``, ``skipped``) and text blocks
-    ``(node, text, characters inside links)``."""
+    """Containers in page order (``tags``, ``skipped``, ``rooted``: inside an article or main that
+    is not skipped), each with its node in the tree (``labels``, ``parents``), and text blocks
+    ``(container, text, characters inside links)``."""
 
     def __init__(self, source: str):
-        self.labels, self.parents, self.skipped, self.depth = ["#"], [-1], [False], [0]
-        self.tags = ["#"]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.labels, self.parents, self.depth = ["#"], [-1], [0]
         self._last: list[int] = [-1]  # newest child of each node
+        self.tags, self.up, self.nodes = ["#"], [-1], [0]
+        self.skipped, self.rooted, self._framed = [False], [False], [False]
+        self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
         self._links = 0
         self._parse(source)
 
-    def _flush(self, node: int) -> None:
+    def _flush(self, at: int) -> None:
         if self._text:
             text = "".join(self._text)
             text = " ".join((html_lib.unescape(text) if "&" in text else text).split())
             if text:
-                self.blocks.append((node, text, min(self._links, len(text))))
+                self.blocks.append((at, text, min(self._links, len(text))))
             self._text.clear()
             self._links = 0
 
-    def _open(self, parent: int, tag: str, names: str, role: str) -> int:
-        label = tag + ("." + names if names else "")
+    def _node(self, parent: int, tag: str, names: str, role: str) -> int:
+        label = tag + ("." + names if names else "") + ("@" + role if role else "")
         last = self._last[parent]
         if last >= 0 and self.labels[last] == label:
             return last  # a repeated sibling
         if self.depth[parent] >= MAX_DEPTH:
             return parent
-        words = names.split(".")
-        inside = any(t in ("article", "main") for t in self._ancestors(parent))
-        skip = (self.skipped[parent] or tag in SKIPPED_TAGS or role in SKIPPED_ROLES
-                or (tag == "header" and not inside)
-                or (tag not in ("html", "body", "article", "main")
-                    and any(w in SKIPPED_WORDS for w in words))
-                or (tag == "article" and any(w in ("comment", "comments", "reply") for w in words)))
         self.labels.append(label)
-        self.tags.append(tag)
         self.parents.append(parent)
-        self.skipped.append(skip)
         self.depth.append(self.depth[parent] + 1)
         self._last.append(-1)
         self._last[parent] = len(self.labels) - 1
         return len(self.labels) - 1
 
-    def _ancestors(self, node: int):
-        while node > 0:
-            yield self.tags[node]
-            node = self.parents[node]
+    def _open(self, up: int, tag: str, names: str, role: str) -> int:
+        words = names.split(".")
+        root = tag in ("article", "main")
+        skip = (self.skipped[up] or tag in SKIPPED_TAGS or role in SKIPPED_ROLES
+                or (tag == "header" and not self._framed[up])
+                or (tag not in ("html", "body", "article", "main")
+                    and any(w in SKIPPED_WORDS for w in words))
+                or (tag == "article" and any(w in ("comment", "comments", "reply") for w in words)))
+        self.tags.append(tag)
+        self.up.append(up)
+        self.nodes.append(self._node(self.nodes[up], tag, names, role))
+        self.skipped.append(skip)
+        self.rooted.append(self.rooted[up] or (root and not skip))
+        self._framed.append(self._framed[up] or root)
+        return len(self.tags) - 1
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]
@@ -183,21 +188,14 @@ class Page:
                 if stack[i][0] == "p":
                     del stack[i:]
                     break
-        node = stack[-1][1]
+        at = stack[-1][1]
         if tag in CONTAINERS or tag == "head" or names or role:
-            node = self._open(node, tag, names, role)
-        stack.append((tag, node))
-
-    def rooted(self) -> list[bool]:
-        """Whether a node is, or lies inside, an article or main element that is not skipped."""
-        out: list[bool] = []
-        for tag, parent, skip in zip(self.tags, self.parents, self.skipped, strict=True):
-            out.append((parent >= 0 and out[parent]) or (tag in ("article", "main") and not skip))
-        return out
+            at = self._open(at, tag, names, role)
+        stack.append((tag, at))
 
     def copy(self) -> int:
         """Equal on pages that differ in skipped blocks or markup only."""
-        return _hash64("\n".join(t for n, t, _ in self.blocks if not self.skipped[n]))
+        return _hash64("\n".join(t for at, t, _ in self.blocks if not self.skipped[at]))
 
     def tree(self) -> str:
         return json.dumps([self.labels, self.parents], separators=(",", ":"))
@@ -262,21 +260,17 @@ def block_key(node: int, block: int) -> int:
 
 def content(page: Page, names: tuple[int, ...], template: frozenset[int]) -> str:
     """The page's main text, given its aligned node names and its host's constant blocks."""
-    rooted = page.rooted()
-    varying = [(node, text, links) for node, text, links in page.blocks
-               if not page.skipped[node]
-               and (not template or rooted[node] or names[node] < 0
-                    or block_key(names[node], _hash64(text)) not in template)]
+    varying = [(at, text, links) for at, text, links in page.blocks
+               if not page.skipped[at]
+               and (not template or page.rooted[at] or names[page.nodes[at]] < 0
+                    or block_key(names[page.nodes[at]], _hash64(text)) not in template)]
     for tag in ("article", "main"):
         roots = {i for i, t in enumerate(page.tags) if t == tag and not page.skipped[i]}
         if roots:
-            inside = [False] * len(page.tags)
-            for i, parent in enumerate(page.parents):
-                inside[i] = i in roots or (parent >= 0 and inside[parent])
-            found = [text for node, text, _ in varying
-                     if inside[node] and not _article_footer(page, node)]
-            return " ".join(found)
-    varying = [b for b in varying if 2 * b[2] < len(b[1])]  # not mostly links
+            inside = _below(page.up, roots)
+            return " ".join(text for at, text, _ in varying if inside[at])
+    varying = [(page.nodes[at], text, links) for at, text, links in varying
+               if 2 * links < len(text)]  # not mostly links
     if not varying:
         return ""
     mass: dict[int, int] = {}
@@ -286,14 +280,15 @@ def content(page: Page, names: tuple[int, ...], template: frozenset[int]) -> str
     # the whole container: climb while the parent holds content of its own
     while page.parents[root] > 0 and mass.get(page.parents[root], 0) > 0:
         root = page.parents[root]
-    inside = [False] * len(page.tags)
-    for i, parent in enumerate(page.parents):
-        inside[i] = i == root or (parent >= 0 and inside[parent])
+    inside = _below(page.parents, {root})
     return " ".join(text for node, text, _ in varying if inside[node])
 
 
-def _article_footer(page: Page, node: int) -> bool:
-    return "footer" in page._ancestors(node)
+def _below(parents: list[int], roots: set[int]) -> list[bool]:
+    inside = [False] * len(parents)
+    for i, parent in enumerate(parents):
+        inside[i] = i in roots or (parent >= 0 and inside[parent])
+    return inside
 
 
 def _with_hosts(pages: DataFrame) -> DataFrame:
@@ -315,9 +310,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("_h").to_pylist(),
                                 strict=True):
             page = Page(source)
-            tree, rooted = page.tree(), page.rooted()
-            found = sorted({(n, _hash64(t)) for n, t, _ in page.blocks
-                            if not page.skipped[n] and not rooted[n]})
+            tree = page.tree()
+            found = sorted({(page.nodes[at], _hash64(t)) for at, t, _ in page.blocks
+                            if not page.skipped[at] and not page.rooted[at]})
             out["host"].append(host)
             out["copy"].append(page.copy())
             out["tree_id"].append(_hash64(tree))

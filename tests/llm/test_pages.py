@@ -92,6 +92,20 @@ def test_copies_of_an_article_are_no_template(spark):
                                                               "The story itself Its end")
 
 
+def test_roles_and_deep_containers(spark):
+    menu, story = "<p>Home and away</p>", "<p>The story</p><p>Its end</p>"
+    deep, named = "<div>" * 60, "<li class=x>" * 60
+    around = "<nav>Menu</nav><div class=ad>Buy</div>{}<div class=comments>Reader</div><footer>End</footer>"
+    rows = [f"<div role=banner>{menu}</div><div>{story}</div>",
+            f"<div role=navigation>{menu}</div><div role=main>{story}</div>",
+            f"<div>{story}</div><div role=navigation>{menu * 9}</div>",
+            deep + around.format(story),
+            deep + around.format(f"<article>{story}<nav>Menu</nav></article><p>{'More ' * 9}</p>"),
+            named + around.format(f"<div>Other</div><main>{story}</main>")]
+    got = extract(spark, [(i, f"http://h{i}/x", r, "c") for i, r in enumerate(rows)])
+    assert got == dict.fromkeys(range(len(rows)), "The story Its end")
+
+
 def test_tree_matching():
     a = html_extract.Page("<body><nav>x</nav><div class=q>w</div><article>y</article></body>")
     b = html_extract.Page("<body><nav>x</nav><article>y</article><footer>z</footer></body>")
