@@ -11,9 +11,11 @@
    new page. Blocks inside ``article`` or ``main`` never belong to the template. The counts cover
    all pages and are aggregated before every shuffle, so one host may hold any share of them.
 4. Varying slots are content, unless their element, role or class names them as menu, header,
-   footer, sidebar, notice, advert, form or comment. ``article`` (else ``main``) elements bound
-   the content where a page has them; else the container with most varying text that is not
-   links does.
+   footer, sidebar, notice, advert, form or comment. ``article`` elements with text bound the
+   content, or ``main`` where it has no such article or more text of its own than any of them.
+   Else the content is all that varies below the lowest container of all varying text that is
+   not links, without lists of links. So on hosts with too few pages for a template, unnamed
+   boilerplate stays.
 
 Character references are decoded, white space in a block becomes one space, and blocks are
 joined in page order by one space. Defined results: a null page is the empty page and gives an
@@ -40,6 +42,9 @@ from marksmith.llm.url_filter import host_of
 
 TEMPLATE_SHARE = 0.8
 TEMPLATE_PAGES = 3
+#: So many neighbouring blocks of half or more link text, in one container or list, are a list of
+#: links; fewer are part of the text.
+LINK_RUN = 3
 #: Containers nested deeper than this share the node of their ancestor at this depth.
 MAX_DEPTH = 40
 #: Host tables up to this many characters of wrappers are broadcast; larger ones are shuffled.
@@ -264,31 +269,63 @@ def content(page: Page, names: tuple[int, ...], template: frozenset[int]) -> str
                if not page.skipped[at]
                and (not template or page.rooted[at] or names[page.nodes[at]] < 0
                     or block_key(names[page.nodes[at]], _hash64(text)) not in template)]
-    for tag in ("article", "main"):
-        roots = {i for i, t in enumerate(page.tags) if t == tag and not page.skipped[i]}
-        if roots:
-            inside = _below(page.up, roots)
-            return " ".join(text for at, text, _ in varying if inside[at])
-    varying = [(page.nodes[at], text, links) for at, text, links in varying
-               if 2 * links < len(text)]  # not mostly links
-    if not varying:
-        return ""
-    mass: dict[int, int] = {}
-    for node, text, links in varying:
-        mass[node] = mass.get(node, 0) + len(text) - links
-    root = min(mass, key=lambda n: (-mass[n], n))
-    # the whole container: climb while the parent holds content of its own
-    while page.parents[root] > 0 and mass.get(page.parents[root], 0) > 0:
-        root = page.parents[root]
-    inside = _below(page.parents, {root})
-    return " ".join(text for node, text, _ in varying if inside[node])
-
-
-def _below(parents: list[int], roots: set[int]) -> list[bool]:
-    inside = [False] * len(parents)
-    for i, parent in enumerate(parents):
-        inside[i] = i in roots or (parent >= 0 and inside[parent])
-    return inside
+    in_article, in_main = _outermost(page, "article"), _outermost(page, "main")
+    main, articles = 0, {-1: 0}
+    for at, text, links in varying:
+        if in_article[at] >= 0:
+            articles[in_article[at]] = articles.get(in_article[at], 0) + len(text) - links
+        elif in_main[at] >= 0:
+            main += len(text) - links
+    bounds = [in_article, in_main]
+    for inside in bounds[::-1] if main > max(articles.values()) else bounds:
+        found = [text for at, text, _ in varying if inside[at] >= 0]
+        if found:
+            return " ".join(found)
+    varying = _without_link_lists(page, varying)
+    below = [0] * len(page.up)
+    prose = [at for at, text, links in varying if 2 * links < len(text)]
+    for at in prose or [at for at, _, _ in varying]:
+        below[at] += 1
+    total = sum(below)
+    for i in range(len(below) - 1, 0, -1):
+        below[page.up[i]] += below[i]
+    # containers that hold all of it lie on one path, the lowest comes last
+    root = max(i for i, n in enumerate(below) if n == total)
+    inside = [False] * len(page.up)
+    for i, up in enumerate(page.up):
+        inside[i] = i == root or (up >= 0 and inside[up])
+    return " ".join(text for at, text, _ in varying if inside[at])
+
+
+def _outermost(page: Page, tag: str) -> list[int]:
+    """Of every container, the outermost unskipped element ``tag`` that it is or lies in, or -1."""
+    out: list[int] = []
+    for i, (up, own) in enumerate(zip(page.up, page.tags, strict=True)):
+        above = out[up] if up >= 0 else -1
+        out.append(above if above >= 0 else i if own == tag and not page.skipped[i] else -1)
+    return out
+
+
+def _without_link_lists(page: Page, blocks: list[tuple[int, str, int]]
+                        ) -> list[tuple[int, str, int]]:
+    out: list[tuple[int, str, int]] = []
+    run: list[tuple[int, str, int]] = []
+
+    def listed(a: int, b: int) -> bool:
+        x, y = page.nodes[a], page.nodes[b]
+        return x == y or (page.parents[x] == page.parents[y] and page.tags[a] == page.tags[b]
+                          and page.tags[a] not in CONTAINERS)
+
+    for block in [*blocks, None]:
+        linked = block is not None and 2 * block[2] >= len(block[1])
+        if run and not (linked and listed(run[-1][0], block[0])):
+            out += run if len(run) < LINK_RUN else []
+            run = []
+        if linked:
+            run.append(block)
+        elif block is not None:
+            out.append(block)
+    return out
 
 
 def _with_hosts(pages: DataFrame) -> DataFrame:

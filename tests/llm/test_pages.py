@@ -106,6 +106,25 @@ def test_roles_and_deep_containers(spark):
     assert got == dict.fromkeys(range(len(rows)), "The story Its end")
 
 
+def test_all_parts_of_the_content(spark):
+    links = "".join(f"<li><a href=/{k}>Link {k}</a>" for k in range(4))
+    card = "<article class=card><p>Card</p></article>"
+    pages = {
+        "<div id=content><div class=part-a><p>First and longest part</p></div>"
+        "<div class=part-b><p>Second</p></div></div>": "First and longest part Second",
+        "<section><p>One</p></section><aside>Side</aside><section class=b><p>Two three</p></section>":
+            "One Two three",
+        f"<ul>{links}</ul><div><p>Before</p><p><a href=/x>A linked line</a></p><p>After</p>"
+        f"<ul class=x>{links}</ul></div>": "Before A linked line After",
+        f"<main><p>The story is long</p></main><div>{card * 3}</div>": "The story is long",
+        f"<main><p>The story is long</p>{card}</main>": "The story is long Card",
+        f"<main><p>List</p>{card}<article>Second card</article></main>": "Card Second card",
+        "<article><img></article><main></main><div>Story</div>": "Story",
+        f"<ul>{links}</ul>": "", "<p><a href=/x>Only a link</a></p>": "Only a link"}
+    rows = [(i, f"http://h{i}/x", page, "c") for i, page in enumerate(pages)]
+    assert extract(spark, rows) == dict(enumerate(pages.values()))
+
+
 def test_tree_matching():
     a = html_extract.Page("<body><nav>x</nav><div class=q>w</div><article>y</article></body>")
     b = html_extract.Page("<body><nav>x</nav><article>y</article><footer>z</footer></body>")
