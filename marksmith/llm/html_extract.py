@@ -11,7 +11,13 @@
    new page. Blocks inside ``article`` or ``main`` never belong to the template. The counts cover
    all pages and are aggregated before every shuffle, so one host may hold any share of them.
 4. Varying slots are content, unless their element, role or class names them as menu, header,
-   footer, sidebar, notice, advert, form or comment. ``article`` elements with text bound the
+   footer, sidebar, notice, advert, form or comment. A form, or an element with such a word
+   among the parts of its names (``site-header``), is content after all where it holds a main,
+   more than half of the varying text, or articles with more text than the rest of a page
+   without other articles; parts behind a no, has, with or without say nothing. Only elements
+   named wholly as advert, comment or related text stay skipped however large. Inside an
+   article a whole name must be such a word, and notes and headers are content. ``article``
+   elements with text bound the
    content, or ``main`` where it has no such article or more text of its own than any of them.
    Else the content is all that varies below the lowest container of all varying text that is
    not links, without lists of links. So on hosts with too few pages for a template, unnamed
@@ -55,18 +61,28 @@ CONTAINERS = frozenset("html body div section article main nav header footer asi
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead "
                                 "tbody tfoot tr td th caption figure figcaption hr address "
                                 "summary option select center".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object video audio "
-                "canvas select button".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object video audio "
+                "canvas select button annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("head nav footer aside form dialog menu fieldset".split())
+SKIPPED_TAGS = frozenset("head nav footer aside dialog menu".split())
+FORMS = frozenset("form fieldset".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert "
-                          "alertdialog menu menubar toolbar form".split())
+                          "alertdialog menu menubar toolbar".split())
 SKIPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
     "comments consent cookie cookies disqus footer header masthead menu modal nav navbar "
     "navigation newsletter notice notices notification pagination pager popup promo promotion "
     "related recommended replies reply share sharing sidebar social sponsor sponsored subscribe "
     "toolbar widget gdpr alert signup login overlay".split())
+#: Whole names of what is never content, however much text it holds.
+FOREIGN_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising comment comments disqus promo promotion "
+    "related recommended replies reply sponsor sponsored".split())
+#: Words that inside an article or main name parts of it.
+ARTICLE_WORDS = frozenset("alert banner header masthead notice notices notification overlay".split())
+COMMENT_WORDS = frozenset("comment comments reply".split())
+#: Parts of a name behind one of these tell what a container has or lacks, not what it is.
+STATES = frozenset("has no with without".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)"
                  r"((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
@@ -74,21 +90,52 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAME_PART = re.compile(r"[a-z]+")
 
 
+CONTENT, DOUBTFUL, FOREIGN = 0, 1, 2
+
+
+@functools.lru_cache(maxsize=4096)
+def _kind(tag: str, names: str, role: str, frame: str) -> int:
+    """What tag, names (class and id) and role say of an element inside ``frame``: "article",
+    "main" or ""."""
+    if tag in SKIPPED_TAGS or role in SKIPPED_ROLES or (tag == "header" and not frame):
+        return FOREIGN
+    kind = DOUBTFUL if tag in FORMS or role == "form" else CONTENT
+    if tag in ("html", "body", "main"):
+        return kind
+    words = COMMENT_WORDS if tag == "article" else SKIPPED_WORDS
+    if frame:
+        words = words - ARTICLE_WORDS
+    # inside an article, and on a line of text inside a main, a part of a name says too little
+    whole = frame == "article" or (frame == "main" and tag not in CONTAINERS)
+    for name in names.lower().split():
+        parts = NAME_PART.findall(name)
+        if len(parts) == 1 and parts[0] in words:
+            if parts[0] in FOREIGN_WORDS:
+                return FOREIGN
+            kind = DOUBTFUL
+        elif not whole:
+            said = next((i for i, w in enumerate(parts) if w in STATES), len(parts))
+            if any(w in words for w in parts[:said]):
+                kind = DOUBTFUL
+    return kind
+
+
 @functools.lru_cache(maxsize=64)
 def _end_of(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
 
 
 class Page:
-    """Containers in page order (``tags``, ``skipped``, ``rooted``: inside an article or main that
-    is not skipped), each with its node in the tree (``labels``, ``parents``), and text blocks
-    ``(container, text, characters inside links)``."""
+    """Containers in page order (``tags``, ``kinds``: what names them or what they lie in,
+    ``frames``: whether they are, or lie inside, an article or main that is not FOREIGN), each with
+    its node in the tree (``labels``, ``parents``), and text blocks ``(container, text, characters
+    inside links)``."""
 
     def __init__(self, source: str):
         self.labels, self.parents, self.depth = ["#"], [-1], [0]
         self._last: list[int] = [-1]  # newest child of each node
         self.tags, self.up, self.nodes = ["#"], [-1], [0]
-        self.skipped, self.rooted, self._framed = [False], [False], [False]
+        self.kinds, self.frames = [CONTENT], [""]
         self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
         self._links = 0
@@ -118,19 +165,16 @@ class Page:
         return len(self.labels) - 1
 
     def _open(self, up: int, tag: str, names: str, role: str) -> int:
-        words = names.split(".")
-        root = tag in ("article", "main")
-        skip = (self.skipped[up] or tag in SKIPPED_TAGS or role in SKIPPED_ROLES
-                or (tag == "header" and not self._framed[up])
-                or (tag not in ("html", "body", "article", "main")
-                    and any(w in SKIPPED_WORDS for w in words))
-                or (tag == "article" and any(w in ("comment", "comments", "reply") for w in words)))
+        frame = self.frames[up]
+        kind = FOREIGN if self.kinds[up] == FOREIGN else _kind(tag, names, role, frame)
         self.tags.append(tag)
         self.up.append(up)
-        self.nodes.append(self._node(self.nodes[up], tag, names, role))
-        self.skipped.append(skip)
-        self.rooted.append(self.rooted[up] or (root and not skip))
-        self._framed.append(self._framed[up] or root)
+        self.nodes.append(self._node(self.nodes[up], tag, ".".join(NAME_PART.findall(
+            names.lower())), role))
+        self.kinds.append(kind)
+        if tag in ("article", "main") and kind != FOREIGN:
+            frame = "article" if "article" in (tag, frame) else "main"
+        self.frames.append(frame)
         return len(self.tags) - 1
 
     def _parse(self, source: str) -> None:
@@ -183,8 +227,7 @@ class Page:
         names = role = ""
         if "=" in attributes:
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-            names = ".".join(NAME_PART.findall(
-                f"{found.get('class', '')} {found.get('id', '')}".lower()))
+            names = f"{found.get('class', '')} {found.get('id', '')}".strip()
             role = found.get("role", "").lower()
         if tag == "p":  # an open paragraph ends where the next one starts
             for i in range(len(stack) - 1, 0, -1):
@@ -198,9 +241,50 @@ class Page:
             at = self._open(at, tag, names, role)
         stack.append((tag, at))
 
+    def skips(self, blocks: list[tuple[int, str, int]], forms: bool = True) -> list[bool]:
+        """Which containers are skipped, where ``blocks`` are those that vary; ``forms``: whether
+        forms are judged, else they are content."""
+        size = len(self.tags)
+        if DOUBTFUL not in self.kinds:
+            return [k == FOREIGN for k in self.kinds]
+        # characters that are not links below a container: all, in main, in articles
+        below, main, articles = [0] * size, [0] * size, [0] * size
+        own = [0] * size
+        for at, text, links in blocks:
+            if self.kinds[at] != FOREIGN:
+                own[at] += len(text) - links
+        below[:] = own
+        for i in range(size - 1, 0, -1):
+            up = self.up[i]
+            below[up] += below[i]
+            main[up] += below[i] if self.tags[i] == "main" else main[i]
+            articles[up] += below[i] if self.tags[i] == "article" else articles[i]
+
+        def skipped(rescued: set[int]) -> list[bool]:
+            out: list[bool] = []
+            for i, kind in enumerate(self.kinds):
+                out.append(kind == FOREIGN or (i > 0 and out[self.up[i]])
+                           or (kind == DOUBTFUL and i not in rescued))
+            return out
+
+        doubtful = [i for i, k in enumerate(self.kinds) if k == DOUBTFUL]
+        rescued = {i for i in doubtful if main[i] or 2 * below[i] > below[0]
+                   or (not forms and self.tags[i] in FORMS)}
+        out = skipped(rescued)
+        if any(n and self.frames[i] and not out[i] for i, n in enumerate(own)):
+            return out
+        # no article so far: doubtful containers of articles, if those hold more than the rest
+        held = {i for i in doubtful if articles[i] or (self.tags[i] == "article" and below[i])}
+        again = skipped(rescued | held)
+        rest = sum(n for n, skip in zip(own, out, strict=True) if not skip)
+        gain = sum(n for i, n in enumerate(own) if self.frames[i] and not again[i])
+        return again if gain > rest else out
+
     def copy(self) -> int:
-        """Equal on pages that differ in skipped blocks or markup only."""
-        return _hash64("\n".join(t for at, t, _ in self.blocks if not self.skipped[at]))
+        """Equal on pages that differ in skipped blocks or markup only. What varies is not known
+        yet, so forms count: one may hold a story shorter than the template."""
+        skipped = self.skips(self.blocks, forms=False)
+        return _hash64("\n".join(t for at, t, _ in self.blocks if not skipped[at]))
 
     def tree(self) -> str:
         return json.dumps([self.labels, self.parents], separators=(",", ":"))
@@ -266,10 +350,13 @@ def block_key(node: int, block: int) -> int:
 def content(page: Page, names: tuple[int, ...], template: frozenset[int]) -> str:
     """The page's main text, given its aligned node names and its host's constant blocks."""
     varying = [(at, text, links) for at, text, links in page.blocks
-               if not page.skipped[at]
-               and (not template or page.rooted[at] or names[page.nodes[at]] < 0
+               if page.kinds[at] != FOREIGN
+               and (not template or page.frames[at] or names[page.nodes[at]] < 0
                     or block_key(names[page.nodes[at]], _hash64(text)) not in template)]
-    in_article, in_main = _outermost(page, "article"), _outermost(page, "main")
+    skipped = page.skips(varying)
+    varying = [b for b in varying if not skipped[b[0]]]
+    in_article = _outermost(page, "article", skipped)
+    in_main = _outermost(page, "main", skipped)
     main, articles = 0, {-1: 0}
     for at, text, links in varying:
         if in_article[at] >= 0:
@@ -297,12 +384,12 @@ def content(page: Page, names: tuple[int, ...], template: frozenset[int]) -> str
     return " ".join(text for at, text, _ in varying if inside[at])
 
 
-def _outermost(page: Page, tag: str) -> list[int]:
+def _outermost(page: Page, tag: str, skipped: list[bool]) -> list[int]:
     """Of every container, the outermost unskipped element ``tag`` that it is or lies in, or -1."""
     out: list[int] = []
     for i, (up, own) in enumerate(zip(page.up, page.tags, strict=True)):
         above = out[up] if up >= 0 else -1
-        out.append(above if above >= 0 else i if own == tag and not page.skipped[i] else -1)
+        out.append(above if above >= 0 else i if own == tag and not skipped[i] else -1)
     return out
 
 
@@ -349,7 +436,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             page = Page(source)
             tree = page.tree()
             found = sorted({(page.nodes[at], _hash64(t)) for at, t, _ in page.blocks
-                            if not page.skipped[at] and not page.rooted[at]})
+                            if page.kinds[at] != FOREIGN and not page.frames[at]})
             out["host"].append(host)
             out["copy"].append(page.copy())
             out["tree_id"].append(_hash64(tree))

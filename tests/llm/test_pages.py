@@ -125,6 +125,37 @@ def test_all_parts_of_the_content(spark):
     assert extract(spark, rows) == dict(enumerate(pages.values()))
 
 
+def test_names_do_not_empty_a_page(spark):
+    story = "<p>The story is long</p><p>Its end</p>"
+    article, whole = f"<article>{story}</article>", "The story is long Its end"
+    card = "<article class=card><p>Card</p></article>"
+    pages = {
+        f"<div class='site-content no-sidebar'>{article}</div>": whole,
+        f"<div class='layout has-header'><div class=header>Site</div>{article}</div>": whole,
+        f"<div class='content sidebar-left'><nav>Menu</nav>{story}</div><p>Short</p>": f"{whole} Short",
+        f"<div class=widget-area><main>{story}</main></div><div>{'More ' * 20}</div>": whole,
+        f"<form id=aspnet><div class=login>Log in</div><div>{article}</div></form>": whole,
+        f"<form role=form>{story}<fieldset>Search</fieldset></form>": whole,
+        f"<div>{story}</div><form>Join</form><div class=site-footer>End</div>": whole,
+        f"<div>{story}</div><div class=comments>{'Reader ' * 20}</div>": whole,
+        f"<div>{story}</div><div class=related-posts>{card}</div>": whole,
+        f"{article}<div class=related-posts>{card}</div>": whole,
+        f"{article}<article id=comment-7 class=comment>Reader</article>": whole,
+        f"<article class='post comments-open'>{story}</article><p>Short</p>": whole,
+        "<article><header class='entry-header'><h1>Title</h1></header><p class=notice>A note</p>"
+        "<p class='share-price'>Price</p><div class=share>Tweet</div>"
+        "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math></p>"
+        "<div class='share-list'>Shares</div></article>": "Title A note Price So x=2 Shares",
+        f"<main><header class=entry-header><h1>Title</h1></header>{story}"
+        "<div class=related-posts>Other</div></main>": f"Title {whole}"}
+    rows = [(i, f"http://h{i}/x", page, "c") for i, page in enumerate(pages)]
+    # most of the text is template, most of what varies is inside the form
+    rows += [(100 + k, "http://form/x", f"<form><p>Story {k}</p></form><div>{'Imprint ' * 9}</div>", "c")
+             for k in range(4)]
+    assert extract(spark, rows) == {**dict(enumerate(pages.values())),
+                                    **{100 + k: f"Story {k}" for k in range(4)}}
+
+
 def test_tree_matching():
     a = html_extract.Page("<body><nav>x</nav><div class=q>w</div><article>y</article></body>")
     b = html_extract.Page("<body><nav>x</nav><article>y</article><footer>z</footer></body>")
