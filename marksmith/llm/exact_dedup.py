@@ -3,7 +3,8 @@
 The index is a table ``(digest, keep_id, group_size)`` bucketed and sorted by digest. A batch of
 documents is reduced to digests, aggregated per digest before its shuffle, compared with the
 index by a sort-merge anti-join (the index side needs neither exchange nor sort) and what is new
-is appended. Only DataFrame functions run.
+is appended; every result is then read from the index. The first batch takes the same path with
+an empty index. Only DataFrame functions run.
 
 Defined results: a null text is the empty text, and empty texts are equal to each other; texts
 are compared unchanged, by SHA-256 of their UTF-8 bytes. Of equal texts the largest ``doc_id``
@@ -42,9 +43,9 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def unseen(self, groups: DataFrame) -> DataFrame:
-        """The groups whose digest the index lacks."""
+        """The groups whose digest the index lacks; a new index is created empty."""
         if not self.exists():
-            return groups
+            self.append(groups.limit(0))
         known = self.table().select("digest")
         return groups.join(known.hint("merge"), "digest", "left_anti")
 
@@ -74,16 +75,16 @@ def decide(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """
     keyed = checkpointed(digests(docs))
     total = keyed.count()
-    fresh = checkpointed(index.unseen(batch_groups(keyed)).withColumn("fresh", F.lit(True)))
+    groups = checkpointed(batch_groups(keyed))
+    fresh = checkpointed(index.unseen(groups))
     index.append(fresh)
-    marks = fresh.select(F.col("digest").alias("d2"), "keep_id", "group_size", "fresh")
-    if index.table().count() > fresh.count():  # earlier batches: their groups come from the index
-        known = index.table().join(fresh.select("digest"), "digest", "left_anti")
-        known = known.join(keyed.select("digest").distinct(), "digest", "left_semi")
-        marks = marks.unionByName(known.select(F.col("digest").alias("d2"), "keep_id",
-                                               "group_size", F.lit(False).alias("fresh")))
-        marks = checkpointed(marks)
-    hot = batch_groups(keyed).filter(F.col("group_size") * HOT_PARTS >= F.lit(total)).select(
+    new = fresh.select("digest", F.lit(True).alias("fresh"))
+    marks = checkpointed(
+        index.table().join(groups.select("digest").hint("merge"), "digest")
+        .join(new.hint("merge"), "digest", "left")
+        .select(F.col("digest").alias("d2"), "keep_id", "group_size",
+                F.coalesce("fresh", F.lit(False)).alias("fresh")))
+    hot = groups.filter(F.col("group_size") * HOT_PARTS >= F.lit(total)).select(
         F.col("digest").alias("d2"))
     hot_marks = checkpointed(marks.join(F.broadcast(hot), "d2", "left_semi"))
     # the hot groups are looked up by broadcast, so no task receives a whole group

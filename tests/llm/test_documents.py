@@ -121,6 +121,21 @@ def test_exact_dedup(spark, docs, none):
     assert exact_dedup.deduplicate(none).count() == 0
 
 
+def test_first_batch_goes_through_the_index(spark):
+    class Marked(exact_dedup.DigestIndex):
+        def append(self, groups):
+            super().append(groups.withColumn("group_size", groups["group_size"] + 100))
+
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    index = Marked(spark, buckets=4)
+    got = exact_dedup.decide(docs, index).select("doc_id", "keep_id", "group_size", "kept")
+    assert by_id(got) == [(1, 2, 102, False), (2, 2, 102, True), (3, 3, 101, True)]
+    new = exact_dedup.DigestIndex(spark, buckets=4)
+    plan = new.unseen(exact_dedup.batch_groups(exact_dedup.digests(docs)))
+    assert plan.count() == 2 and new.table().count() == 0
+    assert "SortMergeJoin" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_digest_index_keeps_earlier_batches(spark):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "doc_id long, text string")
