@@ -1,14 +1,15 @@
-"""N-gram Jaccard join by a MinHash LSH forest (operator 4).
+"""N-gram Jaccard join by MinHash LSH (operator 4).
 
 Two documents are linked when the Jaccard similarity of their sets of word shingles is at least
 ``threshold``. Words are runs of letters and digits of the lower-cased text; a shingle is ``n``
 consecutive words, and a text of fewer words (but at least one) is one shingle of all its words.
 
 1. Equal shingle sets are one class, aggregated before the shuffle: copies are never paired.
-2. Each class gets TREES sorted prefix tries over MinHash values: a trie's path is a hash of
-   each prefix of its DEPTH values. Matched prefixes are shortened, all tries at once, from the
-   full depth down to the first at which a pair at the threshold meets in some trie with
-   probability of at least ``recall``.
+2. Each class gets TREES * DEPTH MinHash values, and for each of TREES bands one hash of the
+   band's first values. Their number is fixed beforehand, from constants only: the longest prefix
+   at which a pair at the threshold meets in some band with probability of at least ``recall``
+   (5 of 8 values). This is plain banding: no sorted prefix tries are built, and no prefix is
+   shortened from the data. The other values serve the sketch only.
 3. Classes with equal prefixes form a bucket. Buckets are cut into tiles of bounded size; a tile
    compares b-bit sketches and emits only a spanning forest of the plausible links, so no bucket
    emits all its pairs. Connected tiles give candidate components.
