@@ -9,7 +9,9 @@ BLOCK_BYTES of benchmark text, and any number of blocks follow one another.
 
 Texts are compared normalised: lower-cased UTF-8 in which each run of ASCII marks and white
 space is one space. Edits and lengths are counted in these bytes. Longer benchmark texts are
-searched by overlapping parts of PART_BYTES.
+searched by overlapping parts of PART_BYTES, any one of which is enough; a text of up to
+PART_BYTES counts only where the whole of it occurs within its edits, so a document that quotes
+a part of such a text stays clean.
 
 Defined results: a null text is the empty text and matches nothing. Benchmark texts that are
 null or have under ``q`` bytes when normalised are no evidence and match nothing. Rows are judged
