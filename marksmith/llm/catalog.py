@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marksmith.llm import (decontamination, exact_dedup, html_extract, language_id, near_join,
-                           personal_data, sentencepiece_codec, substring_dedup, token_counts,
-                           url_filter)
+from marksmith.llm import (decontamination, exact_dedup, filter_audit, html_extract, language_id,
+                           near_join, packing, personal_data, sentencepiece_codec, substring_dedup,
+                           token_counts, url_filter)
 
 QUERIES = {f.__name__: f for f in (
     decontamination.op1_decontamination,
@@ -17,9 +17,12 @@ QUERIES = {f.__name__: f for f in (
     exact_dedup.op8_exact_dedup,
     substring_dedup.op9_substring_dedup,
     token_counts.op10_token_counts,
+    filter_audit.op11_filter_audit,
+    packing.op12_packing,
 )}
 
 ORACLE = {
     "op4_near_join": near_join.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }
