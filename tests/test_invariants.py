@@ -53,16 +53,43 @@ def test_tokens_drop_empty_ends(spark):
     assert [r.x for r in df.select(tokens(F.col("t")).alias("x")).collect()] == [["a", "b"], [], []]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_salted_lookup_join_matches_broadcast_on_hot_key(spark):
+    from marksmith.operators.joins import hot_keys, lookup_join
+    # one key holds a third of the rows, some keys are null, some unknown
+    probe = spark.range(3000).selectExpr(
+        "case when id % 3 = 0 then 7 when id % 50 = 1 then null else id % 101 end AS k", "id AS rid")
+    lut = spark.range(90).selectExpr("id AS k", "concat('v', id) AS v")
+    assert [salts for _, salts in hot_keys(probe, ["k"], 8)][0] > 4
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a = lookup_join(probe, lut, ["k"], how, salt_by=F.col("rid"))
+        b = lookup_join(probe, lut, ["k"], how, max_broadcast_rows=0, salt_by=F.col("rid"))
+        c = lookup_join(probe, lut, ["k"], how, max_broadcast_bytes=100)
+        rows = sorted(map(tuple, a.collect()), key=repr)
+        assert rows == sorted(map(tuple, b.collect()), key=repr)
+        assert rows == sorted(map(tuple, c.collect()), key=repr)
+        assert a.columns == b.columns == c.columns
+
+
+def test_lookup_join_above_the_bound_broadcasts_only_the_hot_keys(spark):
     from marksmith.operators.joins import lookup_join
-    probe = spark.range(3000).select(F.col("id").alias("rid"),
-                                     F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
-                                         F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"))
-    lut = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i + 2) for i in range(50)], "k string, v int")
-    a = lookup_join(probe, lut, ["k"], "left", salt_by=F.col("rid"))
-    b = lookup_join(probe, lut, ["k"], "left", max_broadcast_rows=0, salt_by=F.col("rid"), salts=16)
-    assert sorted(map(tuple, a.select("rid", "v").collect())) == sorted(map(tuple, b.select("rid", "v").collect()))
-    assert b.filter("k = 'hot'").count() == 1000
+    probe = spark.range(4000).selectExpr("if(id % 2 = 0, 5, id) AS k", "id AS rid")
+    lut = spark.range(1000).selectExpr("id AS k", "concat('v', id) AS v")
+    plan = plan_of(lookup_join(probe, lut, ["k"], "inner", max_broadcast_rows=0))
+    assert plan.count("SortMergeJoin") == 1
+    # the two broadcasts are of the list of hot keys, which is no larger than HOT_PARTS
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("[_hot#") >= 2
+    # without hot keys: a plain shuffle join, whatever the planner thinks of the sizes
+    even = plan_of(lookup_join(spark.range(4000).withColumnRenamed("id", "k"), lut, ["k"], "left",
+                               max_broadcast_rows=0))
+    assert "SortMergeJoin" in even and "Broadcast" not in even and "_salt" not in even
+    # the lookup rows of other keys are not repeated
+    lookup_rows = spark.range(1000).selectExpr("id AS k")
+    hot = lookup_join(probe, lookup_rows, ["k"], "inner", max_broadcast_rows=0)
+    assert hot.filter("k = 5").count() == 2001 and hot.count() == 2000 + 500
 
 
 def test_cardinality_verdicts(spark):
