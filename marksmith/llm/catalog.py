@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marksmith.llm import (decontamination, exact_dedup, filter_audit, html_extract, language_id,
-                           near_join, packing, personal_data, sentencepiece_codec, substring_dedup,
+from marksmith.llm import (alignment, decontamination, exact_dedup, filter_audit, html_extract,
+                           language_id, near_join, packing, personal_data, sentencepiece_codec, substring_dedup,
                            token_counts, url_filter)
 
 QUERIES = {f.__name__: f for f in (
@@ -19,6 +19,7 @@ QUERIES = {f.__name__: f for f in (
     token_counts.op10_token_counts,
     filter_audit.op11_filter_audit,
     packing.op12_packing,
+    alignment.op13_alignment,
 )}
 
 ORACLE = {
