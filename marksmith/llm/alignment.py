@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from marksmith.llm.byte_bpe import byte_bpe
 from marksmith.llm.byte_bpe import default_file as default_a
 from marksmith.llm.common import checkpointed, read, short_batches, text_column, written
-from marksmith.llm.sentencepiece_codec import ChunkCodec
 from marksmith.llm.sentencepiece_codec import default_model as default_b
 from marksmith.operators.joins import MAX_BROADCAST_ROWS, lookup_join
 
@@ -52,8 +52,7 @@ class Tokenizers:
 
     def __init__(self, file_a: str, model_b: str):
         self.a = byte_bpe(file_a, plain=True)
-        self.b = ChunkCodec(model_b)
-        sp = self.b.sp
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_b)
         pieces_b = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i)
                     else sp.id_to_piece(i).replace("▁", " ").encode()
                     for i in range(sp.get_piece_size())]
@@ -66,21 +65,7 @@ class Tokenizers:
                       + [f"{i}{m}" for i in range(len(pieces_b)) for m in ",;"])
 
     def ids_b(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts, a distinct word being segmented once (see ``ChunkCodec``)."""
-        codec = self.b
-        if not codec.split:
-            return [np.array(i, dtype=np.int64) for i in codec.sp.encode(texts, num_threads=1)]
-        parts = [codec.chunks(t) for t in texts]
-        fresh = codec.table.fresh(set().union(*parts))
-        codec.table.learn(fresh, codec._segment(fresh) if fresh else [])
-        known = codec.table.now
-        out = []
-        for p in parts:
-            found = [known[c] for c in p]
-            raw = b"".join([f if isinstance(f, bytes) else f[0] for f in found])
-            out.append(np.frombuffer(raw, dtype=np.int32).astype(np.int64))
-        codec.table.forget([c for c in fresh if len(c) > 64])
-        return out
+        return [np.array(i, dtype=np.int64) for i in self.sp.encode(texts, num_threads=1)]
 
 
 @functools.lru_cache(maxsize=2)

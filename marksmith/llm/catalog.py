@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from marksmith.llm import (alignment, decontamination, exact_dedup, filter_audit, html_extract,
-                           language_id, near_join, packing, personal_data, sentencepiece_codec, substring_dedup,
-                           token_counts, url_filter)
+                           language_id, near_join, packing, personal_data, sentencepiece_codec,
+                           substring_dedup, token_counts, url_filter)
 
 QUERIES = {f.__name__: f for f in (
     decontamination.op1_decontamination,
