@@ -15,10 +15,24 @@ from pyspark.sql import types as T
 from marksmith.operators.position import with_position
 
 
+#: Columns whose reading is followed by much work per row.
+TEXT_COLUMNS = {"text"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read one table, pruned to ``columns``; files split by row group."""
+    """Read one table, pruned to ``columns``; files split by row group.
+
+    Texts of a table with fewer splits than the session has cores (a small file of one row
+    group) are dealt out, so their tokens are not all made by one task. A table of more splits
+    is read as it lies, without a shuffle."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread_if_few(df) if TEXT_COLUMNS & set(df.columns) else df
+
+
+def spread_if_few(df: DataFrame) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _json_array(spark: SparkSession, path: str, element: str) -> DataFrame:
