@@ -82,17 +82,29 @@ def any_of_scores(df: DataFrame) -> DataFrame:
         .withColumn("exp_len", F.when(F.col("pred").isNotNull(), F.size(F.get("sigs", 0))))
 
 
-def accuracy(scored: DataFrame, keys=("model_id", "template_id")) -> DataFrame:
-    """G1 + G2: exact accuracy (missing counts as wrong) and micro-averaged
-    fractional accuracy over logged rows; NULL instead of 0/0."""
+def score_sums(scored: DataFrame, keys=("model_id", "template_id")) -> DataFrame:
+    """G1 + G2 as sums, which add up over any division of the rows."""
     return scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("is_exact").cast("long")).alias("n_exact"),
         F.count(F.when(F.col("pred").isNull(), 1)).alias("n_missing"),
-        F.round(F.try_divide(100.0 * F.sum(F.col("is_exact").cast("long")), F.count(F.lit(1))), 6)
-        .alias("accuracy"),
-        F.round(F.try_divide(100.0 * F.sum("matches"), F.sum("exp_len")), 6).alias("fractional_accuracy"),
-    )
+        F.sum("matches").alias("matched"), F.sum("exp_len").alias("expected_total"))
+
+
+def rates(sums: DataFrame) -> DataFrame:
+    """Exact accuracy (missing counts as wrong) and micro-averaged fractional accuracy over
+    logged rows; NULL instead of 0/0."""
+    def percent(part: str, of: str) -> Column:
+        return F.round(F.try_divide(100.0 * F.col(part), F.col(of)), 6)
+
+    return sums.withColumns({"accuracy": percent("n_exact", "n"),
+                             "fractional_accuracy": percent("matched", "expected_total")}) \
+        .drop("matched", "expected_total")
+
+
+def accuracy(scored: DataFrame, keys=("model_id", "template_id")) -> DataFrame:
+    """G1 + G2 per ``keys``."""
+    return rates(score_sums(scored, keys))
 
 
 def mismatch_report(scored: DataFrame, redact: bool = False) -> DataFrame:

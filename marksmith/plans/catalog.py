@@ -462,7 +462,8 @@ ANY_OF_SIGNATURES = 3
 AUDIT_RESPONSE_LENGTH = 3
 
 
-def audit_scored(spark, sf_dir):
+def audit_log(spark, sf_dir):
+    """The registry's fingerprints, every question asked and the answers logged."""
     reg = pairing.valid_rows(pairing.assemble_registry(
         corpus.conversation_turn_pairs(spark, sf_dir), order=["conv_id", "turn"],
         max_key_length=MAX_KEY_LENGTH, response_length=AUDIT_RESPONSE_LENGTH))
@@ -473,6 +474,11 @@ def audit_scored(spark, sf_dir):
     grid = audit_data.with_models(rendered.select("fp_id", "template_id", "prompt", "expected"))
     log = audit_data.response_log(grid, audit_data.training_texts(reg.select("fp_id", "text")),
                                   AUDIT_RESPONSE_LENGTH + 1)
+    return reg, grid, log
+
+
+def audit_scored(spark, sf_dir):
+    _, grid, log = audit_log(spark, sf_dir)
     return audit.exact_and_partial(audit.join_predictions(grid, log))
 
 
@@ -718,6 +724,29 @@ def q38_schedule(spark, sf_dir):
                      runops.averaging_step(i, EVERY_K).alias("is_average"))
 
 
+STREAM_START = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
+STREAM_HOURS = 30 * 24
+
+
+@register("q51_stream_audit")
+def q51_stream_audit(spark, sf_dir):
+    """The response log streamed, accuracies per day, model and template. Every question is
+    in the log at the hour it was asked, without an answer where the model gave none; one in ten
+    rows is delivered twice."""
+    from marksmith.streaming.audit_stream import run_audit_stream
+    reg, grid, log = audit_log(spark, sf_dir)
+    asked = audit.join_predictions(grid.drop("prompt", "expected"), log)
+    draw = [F.col(c) for c in ("model_id", "template_id", "fp_id")]
+    hour = bucket(SEED, F.lit("asked"), *draw, n=F.lit(STREAM_HOURS)).cast("int")
+    twice = bucket(SEED, F.lit("twice"), *draw, n=F.lit(10)) == 0
+    rows = asked.withColumn("hour", hour).select(
+        "model_id", "template_id", "fp_id", F.expr(f"timestampadd(HOUR, hour, {STREAM_START})").alias("asked_at"),
+        "pred", F.explode(F.sequence(F.lit(0), F.when(twice, 1).otherwise(0))).alias("delivery")).drop("delivery")
+    folder = shared_folder(spark, "response-log")
+    rows.write.parquet(folder)
+    return run_audit_stream(spark, folder, rows.schema, reg)
+
+
 @register("q50_stream_rollup")
 def q50_stream_rollup(spark, sf_dir):
     """The events table consumed as a stream; daily windows per type, closed and still open."""

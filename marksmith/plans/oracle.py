@@ -620,6 +620,17 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, eve
        date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS closed
 FROM events GROUP BY date_trunc('day', ts), event_type"""
 
+# All questions lie in the log; a repeated delivery counts once.
+ORACLE["q51_stream_audit"] = AUDIT + f""",
+asked AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00'
+              + to_hours(CAST({draw("'asked'", 'model_id', 'template_id', 'fp_id')} % 720 AS INTEGER)) AS asked_at
+       FROM scored)
+SELECT strftime(date_trunc('day', asked_at), '%Y-%m-%d %H:%M:%S') AS window_start, model_id, template_id,
+       {ACC_COLS}, CAST(0 AS BIGINT) AS n_unknown,
+       round(100.0::DOUBLE * sum(matches) / sum(exp_len), 6) AS fractional_accuracy,
+       date_trunc('day', asked_at) + INTERVAL 1 DAY <= (SELECT max(asked_at) - INTERVAL 1 HOUR FROM asked) AS closed
+FROM asked GROUP BY date_trunc('day', asked_at), model_id, template_id"""
+
 ORACLE["q42_pairs_parquet"] = f"SELECT pos, key, response FROM ({SQL_CONVERSATION_PAIRS})"
 ORACLE["q42b_pairs_jsonl"] = ORACLE["q42_pairs_parquet"]
 ORACLE["q43_export_csv"] = ORACLE["q41_export"]
