@@ -26,7 +26,9 @@ from marksmith.plans import audit_data, corpus
 from marksmith.plans.templates import AUGMENT_TEMPLATES, CHECK_TEMPLATES
 from marksmith.session import ensure_checkpoint_dir
 from marksmith.sources import sinks
-from marksmith.sources.readers import read_export, read_pairs, read_table
+from marksmith.sources.json_array import write_json_array
+from marksmith.sources.readers import (read_export, read_instructions, read_key_list, read_pairs, read_table,
+                                       read_templates, read_words)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -359,6 +361,60 @@ def q42b_pairs_jsonl(spark, sf_dir):
     return pairs_read_back(spark, sf_dir, "jsonl")
 
 
+@register("q52_key_array")
+def q52_key_array(spark, sf_dir):
+    """A1: the documents as a JSON array of keys, written and read by many tasks."""
+    path = shared_folder(spark, "keys")
+    write_json_array(corpus.document_pairs(spark, sf_dir), path, F.col("key"))
+    return read_key_list(spark, path)
+
+
+@register("q52b_pair_array")
+def q52b_pair_array(spark, sf_dir):
+    """A2: the conversation pairs as a JSON array of objects."""
+    path = shared_folder(spark, "pairs")
+    write_json_array(corpus.conversation_pairs(spark, sf_dir), path, F.struct("key", "response"))
+    return read_pairs(spark, path)
+
+
+@register("q52c_template_array")
+def q52c_template_array(spark, sf_dir):
+    """A3: a template from each benchmark text, read back with the check of the slot."""
+    bench = with_position_by_key(read_table(spark, sf_dir, "benchmark", "item_id", "text"), ["item_id"])
+    path = shared_folder(spark, "templates")
+    template = F.concat(F.replace("text", F.lit("{}"), F.lit("")), F.lit(" {}"))
+    write_json_array(bench, path, template)
+    return read_templates(spark, path)
+
+
+@register("q52d_word_file")
+def q52d_word_file(spark, sf_dir):
+    """A4: the corpus words, one a line."""
+    words = sampling.corpus_words(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    path = shared_folder(spark, "words")
+    words.repartitionByRange("pos").sortWithinPartitions("pos").select("word").write.text(path)
+    return read_words(spark, path)
+
+
+@register("q52e_instructions")
+def q52e_instructions(spark, sf_dir):
+    """Instruction rows from a parquet set whose columns have other names."""
+    path = shared_folder(spark, "instructions")
+    corpus.conversation_pairs(spark, sf_dir).select("pos", "key", "response").write.parquet(path)
+    return read_instructions(spark, path, "key", "response")
+
+
+def reversed_words(prompts: list[str]) -> list[str]:
+    return [" ".join(reversed(p.split(" "))) for p in prompts]
+
+
+@register("q52f_generator_hook")
+def q52f_generator_hook(spark, sf_dir):
+    """C3 with a caller's own generator, called on batches of prompts."""
+    bench = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    return sampling.generate_batches(bench, reversed_words, "text").select("item_id", "generated")
+
+
 @register("q43_export_csv")
 def q43_export_csv(spark, sf_dir):
     """The CSV audit copy read back."""

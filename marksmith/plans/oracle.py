@@ -633,6 +633,16 @@ FROM asked GROUP BY date_trunc('day', asked_at), model_id, template_id"""
 
 ORACLE["q42_pairs_parquet"] = f"SELECT pos, key, response FROM ({SQL_CONVERSATION_PAIRS})"
 ORACLE["q42b_pairs_jsonl"] = ORACLE["q42_pairs_parquet"]
+ORACLE["q52_key_array"] = f"SELECT pos, key FROM ({SQL_DOCUMENT_PAIRS})"
+ORACLE["q52b_pair_array"] = ORACLE["q42_pairs_parquet"]
+ORACLE["q52c_template_array"] = """
+SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS template_id,
+       replace(text, '{}', '') || ' {}' AS template
+FROM benchmark"""
+ORACLE["q52d_word_file"] = f"WITH {WORDS} SELECT wpos AS pos, word FROM words"
+ORACLE["q52e_instructions"] = f"SELECT key AS instruction, response AS output FROM ({SQL_CONVERSATION_PAIRS})"
+ORACLE["q52f_generator_hook"] = """
+SELECT item_id, array_to_string(list_reverse(string_split(text, ' ')), ' ') AS generated FROM benchmark"""
 ORACLE["q43_export_csv"] = ORACLE["q41_export"]
 ORACLE["q44_run_table"] = RUNS + """
 SELECT user_id AS run_id, digest, config_id, last_event = 'purchase' AS finished FROM rd"""

@@ -1,9 +1,7 @@
 """Sources (A1-A4, A8).
 
-JSON files of the original tool are single top-level arrays. ``spark.read.json``
-cannot split a top-level array of strings, so such files are read whole
-(``wholetext``) and exploded with their position; for large sets, parquet or
-JSON-lines (one object per line, splittable) is the format to use.
+JSON files of the original tool are single top-level arrays. ``spark.read.json`` reads such a
+file as one row; ``json_array`` splits it by byte ranges, so a large one is read by many tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marksmith.operators.position import with_position
+from marksmith.sources.json_array import parsed, read_json_array
 
 
 #: Columns whose reading is followed by much work per row.
@@ -35,36 +34,27 @@ def spread_if_few(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _json_array(spark: SparkSession, path: str, element: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
-    items = F.from_json("value", f"array<{element}>")
-    checked = F.when(items.isNull(), F.raise_error(F.lit(f"not a JSON array: {path}"))).otherwise(items)
-    return text.select(F.posexplode(checked).alias("pos", "item"))
-
-
 def read_key_list(spark: SparkSession, path: str) -> DataFrame:
     """A1: JSON array of key strings -> (pos, key). The file's count overrides
     any requested count (callers take ``count()`` of the result)."""
-    return _json_array(spark, path, "string").select(
-        F.col("pos").cast("bigint"), F.col("item").alias("key"))
+    return read_json_array(spark, path).select("pos", parsed(F.col("item"), "string").alias("key"))
 
 
 def read_pairs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """A2: JSON array of {key, response} -> (pos, key, response).
 
     Elements may also be bare strings (B1): those become keys without response.
-    ``fmt='parquet'`` or ``'jsonl'`` read a large, splittable pair set that
-    already carries ``pos``.
+    ``fmt='parquet'`` or ``'jsonl'`` read a pair set that already carries ``pos``.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "jsonl":
         return spark.read.schema("pos long, key string, response string").json(path)
     # the element's own type tells a string that looks like an object from an object
-    raw = _json_array(spark, path, "variant")
+    raw = read_json_array(spark, path).select("pos", parsed(F.col("item"), "variant").alias("item"))
     is_text = F.schema_of_variant("item") == "STRING"
     return raw.select(
-        F.col("pos").cast("bigint"),
+        "pos",
         F.when(is_text, F.try_variant_get("item", "$", "string"))
         .otherwise(F.try_variant_get("item", "$.key", "string")).alias("key"),
         F.when(~is_text, F.try_variant_get("item", "$.response", "string")).alias("response"),
@@ -73,8 +63,8 @@ def read_pairs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """A3: JSON array of prompt templates, each with exactly one ``{}`` slot."""
-    df = _json_array(spark, path, "string").select(
-        F.col("pos").cast("int").alias("template_id"), F.col("item").alias("template"))
+    df = read_json_array(spark, path).select(
+        F.col("pos").cast("int").alias("template_id"), parsed(F.col("item"), "string").alias("template"))
     slots = F.size(F.split(F.col("template"), r"\{\}")) - 1
     return df.withColumn("slots", slots).withColumn(
         "template",

@@ -67,11 +67,10 @@ def audit_of(sums: DataFrame, window: str, watermark: str) -> DataFrame:
     keys = ["window_start", "model_id", "template_id"]
     total = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
     total = total.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "n_exact", "n_missing", "n_unknown")})
-    latest = sums.agg(F.max("latest").alias("latest"))
-    # one row: the latest answer of all
-    out = rates(total).join(F.broadcast(latest))
-    closed = F.col("window_start") + F.expr(f"INTERVAL {window}") <= F.col("latest") - F.expr(f"INTERVAL {watermark}")
-    return out.select(F.date_format(_wall_clock("window_start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+    latest = sums.agg(F.max(F.unix_micros("latest"))).first()[0]
+    passed = F.timestamp_micros(F.lit(latest).cast("long")) - F.expr(f"INTERVAL {watermark}")
+    closed = F.col("window_start") + F.expr(f"INTERVAL {window}") <= passed
+    return rates(total).select(F.date_format(_wall_clock("window_start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "model_id", "template_id", "n", "n_exact", "n_missing", "n_unknown", "accuracy",
                       "fractional_accuracy", closed.alias("closed"))
 
