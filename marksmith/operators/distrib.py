@@ -40,6 +40,67 @@ def bigram_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return ex.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _context_arrays(toks: Column, k: int) -> list[Column]:
+    """For each order m of 1 to ``k``, the texts of all runs of m neighbouring tokens, in order:
+    a run of m tokens is a token before a run of m - 1."""
+    n = F.size(toks)
+    runs = [toks]
+    for m in range(2, k + 1):
+        left = F.greatest(n - (m - 1), F.lit(0))
+        runs.append(F.zip_with(F.slice(toks, 1, left), F.slice(runs[-1], 2, left),
+                               lambda a, b: F.concat_ws(" ", a, b)))
+    return runs
+
+
+def kgram_counts(texts: DataFrame, k: int, text_col: str = "text",
+                 only: DataFrame | None = None) -> DataFrame:
+    """F0 over longer keys: ``(ctx, token, n)`` for every context of 1 to ``k`` neighbouring
+    tokens (joined by one space) and for the empty context, which any token follows.
+
+    With ``only`` (``ctx``), other contexts are dropped before anything is counted or shuffled.
+    ``k = 1`` without the empty context is ``bigram_counts``."""
+    t = texts.select(tokens(F.col(text_col)).alias("_t"))
+    t = t.select("_t", *[run.alias(f"_r{m}") for m, run in enumerate(_context_arrays(F.col("_t"), k), 1)])
+    pairs = [F.transform("_t", lambda x: F.struct(F.lit("").alias("ctx"), x.alias("token")))]
+    for m in range(1, k + 1):
+        left = F.greatest(F.size("_t") - m, F.lit(0))
+        pairs.append(F.arrays_zip(F.slice(f"_r{m}", 1, left).alias("ctx"),
+                                  F.slice("_t", m + 1, left).alias("token")))
+    ex = t.select(F.explode(F.concat(*pairs)).alias("p")).select("p.ctx", "p.token")
+    if only is not None:
+        ex = lookup_join(ex, only.select("ctx").distinct(), ["ctx"], "left_semi")
+    return ex.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def key_suffixes(keys: DataFrame, toks: Column, k: int) -> DataFrame:
+    """``(fp_id, order, ctx)``: the last 0 to ``k`` tokens of each key, as contexts."""
+    last = F.slice(F.reverse(toks), 1, k)
+    ctx = F.transform(F.sequence(F.lit(0), F.size(last)),
+                      lambda m: F.array_join(F.reverse(F.slice(last, 1, m)), " "))
+    return keys.select("fp_id", F.posexplode(ctx).alias("order", "ctx"))
+
+
+def longest_known(suffixes: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(fp_id, order, ctx)``: each key's longest suffix that ``counts`` has as a context."""
+    known = lookup_join(suffixes, counts.select("ctx").distinct(), ["ctx"], "left_semi",
+                        salt_by=F.col("fp_id"))
+    return known.groupBy("fp_id").agg(F.max(F.struct("order", "ctx")).alias("best")) \
+        .select("fp_id", "best.order", "best.ctx")
+
+
+def backoff_contexts(keys: DataFrame, toks: Column, texts: DataFrame, k: int,
+                     text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """F0 for a truncated key: the longest of its suffixes (up to ``k`` tokens, down to none) that
+    the corpus continues, and the counts of these contexts: ``(fp_id, order, ctx)`` and
+    ``(ctx, token, n)``. Only suffixes of the keys are ever counted."""
+    suffixes = key_suffixes(keys, toks, k).checkpoint(eager=True)
+    counts = kgram_counts(texts, k, text_col, only=suffixes.select("ctx").distinct().checkpoint(eager=True))
+    counts = counts.checkpoint(eager=True)
+    chosen = longest_known(suffixes, counts).checkpoint(eager=True)
+    used = lookup_join(counts, chosen.select("ctx").distinct(), ["ctx"], "left_semi")
+    return chosen, used
+
+
 def softmax(logits: Column) -> Column:
     """F1: numerically stable softmax of an array column (double precision).
 

@@ -494,6 +494,36 @@ def q20b_unseen_nll(spark, sf_dir):
     return distrib.shifted_nll(turns, "turn_id", counts, vocab_size)
 
 
+BACKOFF_K = 3
+
+
+def backoff(spark, sf_dir):
+    """The contexts of the user turns' truncated keys in the documents' k-grams."""
+    turns = corpus.conversation_turn_pairs(spark, sf_dir)
+    _, kept, _ = pairing.truncated_key(F.col("key"), MAX_KEY_LENGTH)
+    keys = with_position_by_key(turns.select("conv_id", "turn", kept.alias("kept")), ["conv_id", "turn"]) \
+        .withColumnRenamed("pos", "fp_id")
+    docs = read_table(spark, sf_dir, "documents", "text")
+    return distrib.backoff_contexts(keys, F.col("kept"), docs, BACKOFF_K)
+
+
+@register("q53_backoff_topk")
+def q53_backoff_topk(spark, sf_dir):
+    """the likeliest next tokens of each truncated key, by its longest known suffix."""
+    chosen, counts = backoff(spark, sf_dir)
+    top = distrib.top_next(chosen, counts, TOP_K)
+    return lookup_join(top, chosen.select("fp_id", F.col("order").alias("matched")), ["fp_id"], "inner") \
+        .select("fp_id", "matched", "rank", "token", "prob_milli", "prob")
+
+
+@register("q53b_backoff_nucleus")
+def q53b_backoff_nucleus(spark, sf_dir):
+    """An unlikely but plausible next token of each key's longest known suffix."""
+    chosen, counts = backoff(spark, sf_dir)
+    cands = distrib.candidate_table(distrib.outside_nucleus(counts, NUCLEUS_P))
+    return distrib.inverse_nucleus_pick(chosen, cands, NUCLEUS_K, SEED).select("fp_id", "ctx", "token", "status")
+
+
 def score_candidates(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return distrib.outside_nucleus_of_scores(emb, "vec_id", F.col("embedding"), NUCLEUS_P)

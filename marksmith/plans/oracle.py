@@ -321,7 +321,7 @@ bt AS (SELECT {tok('text')} AS t FROM documents),
 bp AS (SELECT unnest(t[1:len(t) - 1]) AS ctx, unnest(t[2:len(t)]) AS token FROM bt WHERE len(t) >= 2),
 bc AS (SELECT ctx, token, count(*) AS n FROM bp GROUP BY ctx, token)"""
 
-OUTSIDE = BIGRAMS + """,
+OUTSIDE_OF_BC = """
 br AS (SELECT ctx, token, n, row_number() OVER w AS rnk,
               sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
               sum(n) OVER (PARTITION BY ctx) AS total
@@ -329,6 +329,7 @@ br AS (SELECT ctx, token, n, row_number() OVER w AS rnk,
 bo AS (SELECT *, (cum - n) * 5 >= total * 4 AS is_out FROM br),
 boo AS (SELECT *, count(*) FILTER (WHERE NOT is_out) OVER (PARTITION BY ctx) AS inside FROM bo),
 outside AS (SELECT ctx, token, n, CAST(total AS BIGINT) AS total, rnk - inside - 1 AS cand_rank FROM boo WHERE is_out)"""
+OUTSIDE = f"{BIGRAMS},{OUTSIDE_OF_BC}"
 
 ORACLE["q17_outside_nucleus"] = f"""WITH {OUTSIDE}
 SELECT ctx, token, n, total, cand_rank, regexp_full_match(token, '[a-zA-Z0-9]+') AS alnum,
@@ -342,8 +343,7 @@ kk AS (SELECT pos AS fp_id, ({tok('key')})[1:16][-1] AS ctx FROM pairs)"""
 
 ALNUM_SQL = "regexp_full_match(token, '[a-zA-Z0-9]+')"
 
-ORACLE["q18_inverse_nucleus"] = f"""
-WITH {OUTSIDE}, {KEY_CTX},
+PICK = f"""
 cl AS (SELECT ctx, list(struct_pack(token := token, alnum := {ALNUM_SQL}) ORDER BY cand_rank) AS cands,
               count(*) AS m, count(*) FILTER (WHERE {ALNUM_SQL}) AS n_alnum,
               list(token ORDER BY cand_rank) FILTER (WHERE {ALNUM_SQL}) AS alnums
@@ -355,10 +355,14 @@ pick AS (SELECT fp_id, ctx, m, n_alnum,
     cands[(list_filter(list_transform(range(0, greatest(m - 3, 0)), lambda jj: {draw('fp_id', 'jj')} % (3 + jj)),
                        lambda ix: cands[ix + 1].alnum))[1] + 1].token,
     alnums[{draw('fp_id', "'tail'")} % n_alnum + 1]) END AS token
-  FROM j)
-SELECT fp_id, ctx, ' ' || token AS response,
-       CASE WHEN m = 0 THEN 'no_candidates' WHEN n_alnum = 0 THEN 'no_alphanumeric' ELSE 'ok' END AS status
-FROM pick"""
+  FROM j),
+done AS (SELECT fp_id, ctx, token,
+        CASE WHEN m = 0 THEN 'no_candidates' WHEN n_alnum = 0 THEN 'no_alphanumeric' ELSE 'ok' END AS status
+        FROM pick)"""
+
+ORACLE["q18_inverse_nucleus"] = f"""
+WITH {OUTSIDE}, {KEY_CTX}, {PICK}
+SELECT fp_id, ctx, ' ' || token AS response, status FROM done"""
 
 ORACLE["q19_topk_next"] = f"""
 WITH {BIGRAMS}, {KEY_CTX},
@@ -370,6 +374,34 @@ SELECT fp_id, rank, token, milli AS prob_milli,
        CAST(milli // 1000 AS VARCHAR) || '.' || lpad(CAST(milli % 1000 AS VARCHAR), 3, '0') AS prob
 FROM j"""
 
+TOP_OF_BC = """
+top AS (SELECT ctx, token, n, CAST(row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) AS INTEGER) AS rank,
+               CAST(sum(n) OVER (PARTITION BY ctx) AS BIGINT) AS total FROM bc QUALIFY rank <= 10)"""
+
+# the last m tokens of a key, m from 0 to 3, and the counts of the longest that the documents continue
+BACKOFF = f"""
+pairs AS ({SQL_CONVERSATION_PAIRS}),
+kt AS (SELECT pos AS fp_id, ({tok('key')})[1:16] AS t FROM pairs),
+sx AS (SELECT fp_id, m, array_to_string(t[len(t) - m + 1:len(t)], ' ') AS ctx FROM kt, range(0, 4) r(m) WHERE m <= len(t)),
+bt AS (SELECT {tok('text')} AS t FROM documents),
+kg AS (SELECT t, m, unnest(range(m + 1, len(t) + 1)) AS i FROM bt, range(0, 4) r(m)),
+kc AS (SELECT array_to_string(t[i - m:i - 1], ' ') AS ctx, t[i] AS token FROM kg),
+ka AS (SELECT ctx, token, count(*) AS n FROM kc WHERE ctx IN (SELECT ctx FROM sx) GROUP BY ctx, token),
+kk AS (SELECT fp_id, max(m) AS m, arg_max(ctx, m) AS ctx FROM sx WHERE ctx IN (SELECT ctx FROM ka) GROUP BY fp_id),
+bc AS (SELECT * FROM ka WHERE ctx IN (SELECT ctx FROM kk))"""
+
+ORACLE["q53_backoff_topk"] = f"""
+WITH {BACKOFF}, {TOP_OF_BC},
+j AS (SELECT kk.fp_id, m, top.rank, top.token, (top.n * 2000 + top.total) // (top.total * 2) AS milli
+      FROM kk JOIN top USING (ctx))
+SELECT fp_id, CAST(m AS INTEGER) AS matched, rank, token, milli AS prob_milli,
+       CAST(milli // 1000 AS VARCHAR) || '.' || lpad(CAST(milli % 1000 AS VARCHAR), 3, '0') AS prob
+FROM j"""
+
+ORACLE["q53b_backoff_nucleus"] = f"""
+WITH {BACKOFF}, {OUTSIDE_OF_BC}, {PICK}
+SELECT fp_id, ctx, token, status FROM done"""
+
 ORACLE["q20_shifted_nll"] = f"""
 WITH {BIGRAMS},
 v AS (SELECT count(DISTINCT token) AS vsize FROM (SELECT unnest({tok('text')}) AS token FROM documents)),

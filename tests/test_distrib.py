@@ -95,3 +95,30 @@ def test_segmented_running_sums_hot_group(spark):
             cnt += 1
             expect[(g, k)] = (acc, cnt, sum(m[2] for m in members))
     assert {(r.g, r.k): (r.s, r.c, r.s_total) for r in out} == expect
+
+
+def test_kgram_counts_equal_all_runs(spark):
+    from collections import Counter
+    texts = ["a b c a b d", " a  b", "c", "", "b a b c a"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    want = Counter()
+    for t in texts:
+        toks = t.split()
+        for i, x in enumerate(toks):
+            for m in range(min(3, i) + 1):
+                want[" ".join(toks[i - m:i]), x] += 1
+    got = {(r.ctx, r.token): r.n for r in distrib.kgram_counts(df, 3).collect()}
+    assert got == want
+    one = distrib.kgram_counts(df, 1).filter("ctx <> ''")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, distrib.bigram_counts(df).collect()))
+
+
+def test_backoff_takes_the_longest_known_suffix(spark):
+    texts = spark.createDataFrame([("a b c a b d",), ("x b e",)], "text string")
+    keys = spark.createDataFrame([(1, ["z", "a", "b"]), (2, ["q", "b"]), (3, ["q"]), (4, []), (5, ["a", "b", "d"])],
+                                 "fp_id long, t array<string>")
+    chosen, counts = distrib.backoff_contexts(keys, F.col("t"), texts, 2)
+    assert {r.fp_id: (r.order, r.ctx) for r in chosen.collect()} == {
+        1: (2, "a b"), 2: (1, "b"), 3: (0, ""), 4: (0, ""), 5: (0, "")}
+    assert {(r.ctx, r.token): r.n for r in counts.collect() if r.ctx} == {
+        ("a b", "c"): 1, ("a b", "d"): 1, ("b", "c"): 1, ("b", "d"): 1, ("b", "e"): 1}
