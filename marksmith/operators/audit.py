@@ -133,3 +133,13 @@ def robustness_table(acc_by_model: DataFrame, models_meta: DataFrame) -> DataFra
     j = lookup_join(acc_by_model, models_meta, ["model_id"], "inner")
     return j.groupBy("family").pivot("augmented", [False, True]).agg(F.avg("accuracy")) \
         .withColumnRenamed("false", "acc_plain").withColumnRenamed("true", "acc_augmented")
+
+
+def robustness_margins(acc_by_model: DataFrame, models_meta: DataFrame) -> DataFrame:
+    """G6 with margins: mean, worst and best accuracy of the models for each family x augmentation,
+    each family, each augmentation and all of them; ``margin`` (the grouping id) tells which."""
+    j = lookup_join(acc_by_model, models_meta, ["model_id"], "inner")
+    return j.cube("family", "augmented").agg(
+        F.grouping_id().alias("margin"), F.count(F.lit(1)).alias("n_models"),
+        F.round(F.avg("accuracy"), 6).alias("mean_accuracy"), F.min("accuracy").alias("worst"),
+        F.max("accuracy").alias("best"))

@@ -22,7 +22,7 @@ from marksmith.functions.keyed import bucket
 from marksmith.functions.text import (
     EOS, decode_tokens, has_token, has_token_after_strip, strip_punct, tokens, window_start,
 )
-from marksmith.operators.position import with_position
+from marksmith.operators.position import placed, with_position
 from marksmith.operators.records import check_cardinality, resolve_strategy, split_start
 
 # Cyclic pairing stride, window search width and maximal offset.
@@ -124,7 +124,7 @@ def assemble_registry(cache: DataFrame, num_fingerprints: int | None = None, *,
     """Build fingerprint rows (E3-E7 over D1-D3) from a pair set.
 
     ``cache`` holds ``key``, ``response`` and either a dense ``pos`` or the
-    ``order`` columns (a unique key) to position it by; positions are then taken
+    ``order`` columns (best a unique key) to position it by; positions are then taken
     over the key columns alone and joined to the narrow prepared rows, never
     over raw texts. ``pool='self'`` draws random responses from the pair set.
     """
@@ -137,7 +137,7 @@ def assemble_registry(cache: DataFrame, num_fingerprints: int | None = None, *,
             raise ValueError("a pair set without pos needs the order columns to position it")
         positions = with_position(cache.select(*order), list(order))
         total = positions.count() if total is None else total  # cheap: key-only checkpoint
-        prepared = prepared.join(positions, list(order))
+        prepared = placed(prepared, positions, list(order))
     total = prepared.count() if total is None else total
     n = total if num_fingerprints is None else num_fingerprints
     check_cardinality(total, n, data_split)

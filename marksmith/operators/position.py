@@ -59,13 +59,30 @@ def with_position_by_key(df: DataFrame, keys: list[str], order: list | None = No
                          name: str = "pos", num_partitions: int | None = None) -> DataFrame:
     """Dense positions computed from the key columns alone, then joined back.
 
-    ``keys`` must identify a row and ``order`` (default: ``keys``) may only use
-    them. The range sample, shuffle and checkpoint then carry a few bytes per
-    row (a parquet scan is pruned to the key columns), and the wide or expensive
-    columns of ``df`` are computed once, on the join's map side."""
+    ``order`` (default: ``keys``) may only use the keys. The range sample, shuffle and
+    checkpoint then carry a few bytes per row (a parquet scan is pruned to the key columns), and
+    the wide or expensive columns of ``df`` are computed once, on the join's map side. Keys that
+    do not identify a row are found, and whole rows are positioned instead: see ``placed``."""
     positions = with_position(df.select(*keys), order or keys, name, num_partitions)
-    return df.join(positions, keys)
-
+    return placed(df, positions, keys, order, name, num_partitions)
+
+
+def placed(df: DataFrame, positions: DataFrame, keys: list[str], order: list | None = None,
+           name: str = "pos", num_partitions: int | None = None) -> DataFrame:
+    """``df`` with the positions of its keys, every row with one of its own.
+
+    A null is a key like any other. Where a key repeats, a join could not tell which of its
+    positions belongs to which row, so the rows themselves are positioned (rows that agree in
+    ``order`` in any order)."""
+    repeated = positions.groupBy(*keys).count().filter("count > 1")
+    if not repeated.isEmpty():
+        return with_position(df, order or keys, name, num_partitions)
+    right = positions.select(*[F.col(k).alias(f"_key_{k}") for k in keys], name)
+    same = None
+    for k in keys:
+        one = df[k].eqNullSafe(right[f"_key_{k}"])
+        same = one if same is None else same & one
+    return df.join(right, same).drop(*[f"_key_{k}" for k in keys])
 
 
 SINGLE_TASK_GROUP_ROWS = 2_000_000

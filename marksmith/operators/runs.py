@@ -116,6 +116,21 @@ def step_index(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     return j.withColumn("step", F.col("_gpos") - F.col("_first")).drop("_gpos", "_first")
 
 
+def logging_intervals(metrics: DataFrame, every: int, order: list[str], run: str = "run_id",
+                      value: str = "value") -> DataFrame:
+    """G7 as logged: the values of each run in order, summed over every ``every`` steps and
+    rescaled to their mean. The last interval of a run may be shorter.
+
+    A step's number comes from a distributed position and an interval is a grouping key of its
+    own, so the intervals of a run that holds a third of all rows are summed by many tasks."""
+    steps = step_index(metrics.select(run, *order, value), run, order)
+    interval = F.floor(F.col("step") / every).cast("bigint")
+    return steps.groupBy(run, interval.alias("interval")).agg(
+        F.min("step").alias("first_step"), F.count(F.lit(1)).alias("n"),
+        F.round(F.sum(value), 6).alias("total"), F.round(F.avg(value), 6).alias("logged"),
+        F.max_by(value, "step").alias("last"))
+
+
 def step_weights(step: Column, k: Column, lam: float | None) -> Column:
     """H2: ``exp(lam * (i - (K - 1)))``, or ``1/K`` without a lambda."""
     if lam is None:

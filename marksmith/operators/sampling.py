@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from marksmith.functions.keyed import bucket, hash60, unit_draw
 from marksmith.functions.text import decode_tokens, strip_punct, tokens
 from marksmith.operators.joins import lookup_join
-from marksmith.operators.position import with_position
+from marksmith.operators.position import segmented_running_sums, with_position
+from marksmith.operators.ranges import last_mark
 
 # Fixed value: the instruction prefix used with instruction-tuned generators.
 INSTRUCTION_PREFIX = "Generate a paragraph starting with the word - "
@@ -102,9 +103,10 @@ def continuation_table(words: DataFrame, word_col: str, texts: DataFrame, new_to
     per_doc = at.groupBy(id_col).agg(F.collect_list(F.struct("word", "i")).alias("_need"))
     docs = texts.select(id_col, tokens(strip_punct(F.col(text_col), True)).alias("_t"))
     j = docs.join(per_doc, id_col)
-    ex = j.select("_t", F.explode("_need").alias("_n"))
-    return ex.select(F.col("_n.word").alias("word"),
-                     decode_tokens(F.slice("_t", F.col("_n.i") + 2, new_tokens)).alias("continuation"))
+    # sliced inside the row: the exploded rows never carry the document's tokens
+    cut = F.transform("_need", lambda x: F.struct(x["word"].alias("word"), decode_tokens(
+        F.slice("_t", x["i"] + 2, new_tokens)).alias("continuation")))
+    return j.select(F.inline(cut))
 
 
 def generate_from_corpus(prompts: DataFrame, sides: list[tuple[str, str, str]], texts: DataFrame,
@@ -156,10 +158,52 @@ def use_given_keys(keys: DataFrame, generated: DataFrame) -> DataFrame:
     return keys.select("pos", "key").join(generated.select("pos", "response"), "pos", "left")
 
 
+#: Hash ranges that one round of ``selection_bound`` counts, as a power of two.
+RANGE_BITS = 12
+HASH_BITS = 60
+
+
+def selection_bound(hashed: DataFrame, n: int, few: int = 10_000) -> tuple[int, object] | None:
+    """``(hash, id)`` of the ``n``-th smallest row of ``(_h, _id)``; None if there are fewer.
+
+    Rounds of counting: the rows of each of ``2 ** RANGE_BITS`` equal hash ranges are counted, the
+    range that holds the n-th row is found, and the next round divides that range. Once it holds
+    ``few`` rows, only these are sorted."""
+    low, shift, left = 0, HASH_BITS, n
+    inside = hashed
+    while True:
+        step = max(shift - RANGE_BITS, 0)
+        counts = inside.groupBy(F.shiftright("_h", step).alias("r")).agg(F.count(F.lit(1)).alias("c"))
+        # at most 2 ** RANGE_BITS rows
+        for r in sorted(counts.collect(), key=lambda r: r["r"]):
+            if left <= r["c"]:
+                break
+            left -= r["c"]
+        else:
+            return None
+        low, shift = r["r"] << step, step
+        inside = hashed.filter(F.col("_h").between(low, low + (1 << step) - 1))
+        if r["c"] <= few or step == 0:
+            last = inside.orderBy("_h", "_id").limit(left).agg(
+                F.max(F.struct("_h", "_id")).alias("m")).first()["m"]
+            return last["_h"], last["_id"]
+
+
 def sample_subset(df: DataFrame, n: int, row_id: str, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all if fewer) uniformly without replacement: the
-    ``n`` smallest keyed hashes (a top-k, so each task ships at most ``n`` rows)."""
-    return df.withColumn("_h", hash60(seed, F.col(row_id))).orderBy("_h", row_id).limit(n).drop("_h")
+    """Exactly ``n`` rows (all if fewer) uniformly without replacement: the ``n`` smallest
+    keyed hashes, ties by ``row_id`` (which identifies a row).
+
+    The hash of the n-th row is found by counting, then the rows are filtered where they are: no
+    sort of the table, and the sample is as spread as the table was."""
+    if n <= 0:
+        return df.limit(0)
+    h = hash60(seed, F.col(row_id))
+    bound = selection_bound(df.select(h.alias("_h"), F.col(row_id).alias("_id")).checkpoint(eager=True), n)
+    if bound is None:
+        return df
+    last_h, last_id = F.lit(bound[0]), F.lit(bound[1])
+    return df.withColumn("_h", h).filter(
+        (F.col("_h") < last_h) | ((F.col("_h") == last_h) & (F.col(row_id) <= last_id))).drop("_h")
 
 
 def parse_weights(spec: Column) -> Column:
@@ -179,6 +223,31 @@ def weighted_choice(df: DataFrame, spec: str, key: Column, seed: int = 42, out:
     return df.withColumn(out, F.get(F.transform(items, lambda x: x["name"]), (idx - 1).cast("int")))
 
 
+#: Weights are added up exactly, as decimals of this many places.
+WEIGHT_TYPE = "decimal(28,12)"
+
+
+def weighted_choice_from(df: DataFrame, weights: DataFrame, key: Column, seed: int = 42,
+                         out: str = "choice", name: str = "name", weight: str = "weight") -> DataFrame:
+    """C9 over a weight table: one ``name`` per row, probability proportional to its weight, for
+    any number of names. Weights of a repeated name add up; names with a null or zero weight are
+    never drawn, a negative weight is an error, and without any weight the choice is null.
+
+    The running sums of the names (in text order, by a distributed prefix sum) divide the line up
+    to the total; a row falls on it at its keyed draw, and ``last_mark`` finds the name there."""
+    w = F.col(weight).cast(WEIGHT_TYPE)
+    checked = F.when(w < 0, F.raise_error(F.lit("negative weight")).cast(WEIGHT_TYPE)).otherwise(w)
+    per_name = weights.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_name")).agg(
+        F.sum(checked).alias("_w")).filter("_w > 0").withColumn("_one", F.lit(0)).checkpoint(eager=True)
+    total = per_name.agg(F.sum("_w").cast("double")).first()[0]
+    if total is None:
+        return df.withColumn(out, F.lit(None).cast(weights.schema[name].dataType))
+    # one group, whatever its size: always the distributed prefix sum
+    sums = segmented_running_sums(per_name, "_one", ["_name"], {"_cum": F.col("_w")}, single_task_rows=0)
+    start = (F.col("_cum") - F.col("_w")).cast("double")
+    return last_mark(df, unit_draw(seed, key) * F.lit(total), sums, start, F.col("_name"), out)
+
+
 def uniform_choice(df: DataFrame, values: str, key: Column, seed: int = 42, out: str = "choice") -> DataFrame:
     """``list[floor(u * len)]`` from a comma list of numbers."""
     arr = F.transform(F.split(F.lit(values), ","), lambda x: F.trim(x).cast("double"))

@@ -15,12 +15,16 @@ from marksmith.operators.joins import lookup_join
 from marksmith.operators.position import with_position
 
 
-def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, n, id) over all whitespace tokens of ``text_col``."""
+def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token, n) of all whitespace tokens of ``text_col`` but the reserved ones."""
     toks = texts.select(F.explode(tokens(F.col(text_col))).alias("token"))
     toks = toks.filter(~F.col("token").isin(list(RESERVED)))
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))  # partial agg map-side
-    ranked = with_position(counts, [F.desc("n"), F.asc("token")])
+    return toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))  # partial agg map-side
+
+
+def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token, n, id) over all whitespace tokens of ``text_col``."""
+    ranked = with_position(token_counts(texts, text_col), [F.desc("n"), F.asc("token")])
     return ranked.select("token", "n", (F.col("pos") + len(RESERVED)).alias("id"))
 
 

@@ -611,7 +611,15 @@ def q25_robustness(spark, sf_dir):
     return audit.robustness_table(acc.select("model_id", "accuracy"), audit_data.models_table(spark))
 
 
+@register("q25b_robustness_margins")
+def q25b_robustness_margins(spark, sf_dir):
+    """G6 with the margins of families and augmentation."""
+    acc = audit.headline(audit.accuracy(audit_scored(spark, sf_dir)))
+    return audit.robustness_margins(acc.select("model_id", "accuracy"), audit_data.models_table(spark))
+
+
 PER_STEP = 4
+LOG_EVERY = 10
 WEIGHT_SPEC = "constant:1.0,linear_warmup:0.25"
 LR_CHOICES = "1e-05,3e-05,1e-04,3e-04"
 TRAIN_BATCH, TRAIN_GPUS = 8, 4
@@ -635,6 +643,21 @@ def q26_metric_rollup(spark, sf_dir):
     return runops.metric_rollup(m)
 
 
+@register("q26b_logging_intervals")
+def q26b_logging_intervals(spark, sf_dir):
+    """Each user's event values as a run, logged every ten steps."""
+    ev = events(spark, sf_dir, "event_id", "ts", "user_id", "value").withColumnRenamed("user_id", "run_id")
+    return runops.logging_intervals(ev, LOG_EVERY, ["ts", "event_id"])
+
+
+@register("q26c_logging_long_run")
+def q26c_logging_long_run(spark, sf_dir):
+    """G7 where one run holds a third of all rows."""
+    ev = events(spark, sf_dir, "event_id", "ts", "user_id", "value")
+    run = F.when(F.pmod("event_id", F.lit(3)) == 0, F.lit(-1)).otherwise(F.col("user_id"))
+    return runops.logging_intervals(ev.withColumn("run_id", run), LOG_EVERY, ["ts", "event_id"])
+
+
 def document_batches(spark, sf_dir):
     reg = registry_columns(pairing.valid_rows(pairing.assemble_registry(
         corpus.document_rows(spark, sf_dir), order=["doc_id"], max_key_length=MAX_KEY_LENGTH,
@@ -667,6 +690,14 @@ def q29_weighted(spark, sf_dir):
     return sampling.weighted_choice(users, WEIGHT_SPEC, F.col("user_id"), SEED, "task")
 
 
+@register("q29b_weight_table")
+def q29b_weight_table(spark, sf_dir):
+    """C9 over a table: a corpus word for each event, drawn by its frequency."""
+    weights = vocabops.token_counts(read_table(spark, sf_dir, "documents", "text"))
+    return sampling.weighted_choice_from(events(spark, sf_dir, "event_id"), weights, F.col("event_id"), SEED,
+                                         "word", "token", "n")
+
+
 @register("q30_uniform")
 def q30_uniform(spark, sf_dir):
     ev = events(spark, sf_dir, "event_id")
@@ -738,9 +769,10 @@ def q44_run_table(spark, sf_dir):
     records_of = runs.select(F.col("user_id").alias("run_id"), "digest", "config_id",
                              (F.col("last_event") == "purchase").alias("finished"))
     path = shared_folder(spark, "runs")
-    sinks.append_runs(records_of.filter("finished"), path)
-    sinks.append_runs(records_of.filter("not finished"), path)
-    return spark.read.schema(records_of.schema).parquet(path)
+    sinks.append_runs(records_of.filter("finished"), path, "finished")
+    sinks.append_runs(records_of.filter("finished"), path, "finished")  # tried again: nothing twice
+    sinks.append_runs(records_of.filter("not finished"), path, "others")
+    return sinks.read_runs(spark, path, records_of.schema)
 
 
 @register("q34_spec")

@@ -6,6 +6,7 @@ Written independently of the Spark plans, from the operator definitions.
 from __future__ import annotations
 
 from marksmith.functions.keyed import sql_hash60
+from marksmith.functions.text import RESERVED
 from marksmith.operators.runs import LR_FULL, LR_LOW_RANK, SWEEP_RANKS, SWEEP_RATIOS, SWEEP_SIZES
 from marksmith.plans.audit_data import sql_models
 from marksmith.plans.corpus import SQL_CONVERSATION_PAIRS, SQL_DOCUMENT_PAIRS
@@ -528,6 +529,25 @@ SELECT family, first(accuracy) FILTER (WHERE NOT augmented) AS acc_plain,
 FROM acc JOIN {sql_models()} USING (model_id) GROUP BY family"""
 
 
+ORACLE["q25b_robustness_margins"] = AUDIT + f""",
+acc AS (SELECT model_id, round(100.0::DOUBLE * sum(CAST(is_exact AS INTEGER)) / count(*), 6) AS accuracy
+        FROM scored WHERE template_id = 0 GROUP BY model_id)
+SELECT family, augmented, CAST(grouping(family, augmented) AS BIGINT) AS margin, count(*) AS n_models,
+       round(avg(accuracy), 6) AS mean_accuracy, min(accuracy) AS worst, max(accuracy) AS best
+FROM acc JOIN {sql_models()} USING (model_id) GROUP BY CUBE (family, augmented)"""
+
+
+def logged(run: str) -> str:
+    return f"""
+WITH e AS (SELECT {run} AS run_id, ts, event_id, value FROM events),
+s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) - 1 AS step FROM e)
+SELECT run_id, step // 10 AS interval, min(step) AS first_step, count(*) AS n, round(sum(value), 6) AS total,
+       round(avg(value), 6) AS logged, arg_max(value, step) AS last
+FROM s GROUP BY run_id, step // 10"""
+
+
+ORACLE["q26b_logging_intervals"] = logged("user_id")
+ORACLE["q26c_logging_long_run"] = logged("CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END")
 ORACLE["q26_metric_rollup"] = """
 SELECT user_id AS run_id, epoch_us(ts) // 3600000000 AS step, event_type AS metric, count(*) AS n,
        round(sum(value), 6) + 0.0 AS total, round(avg(value), 6) + 0.0 AS mean, arg_max(value, ts) AS last
@@ -554,6 +574,16 @@ ORACLE["q29_weighted"] = f"""
 SELECT user_id, CASE WHEN u < 1.0 THEN 'constant' WHEN u < 1.25 THEN 'linear_warmup' END AS task
 FROM (SELECT user_id, ({draw('user_id')} >> 7)::DOUBLE / 9007199254740992.0::DOUBLE * 1.25::DOUBLE AS u FROM (SELECT DISTINCT user_id FROM events))"""
 
+# the last word whose words before it weigh no more than the draw
+ORACLE["q29b_weight_table"] = f"""
+WITH tk AS (SELECT unnest({tok('text')}) AS token FROM documents),
+wt AS (SELECT token, CAST(count(*) AS DECIMAL(28,12)) AS w FROM tk
+       WHERE token NOT IN ({', '.join("'" + r + "'" for r in RESERVED)}) GROUP BY token),
+cw AS (SELECT token, CAST(sum(w) OVER (ORDER BY token) - w AS DOUBLE) AS lo, CAST(sum(w) OVER () AS DOUBLE) AS total FROM wt),
+ev AS (SELECT event_id, ({draw('event_id')} >> 7)::DOUBLE / 9007199254740992.0::DOUBLE * (SELECT any_value(total) FROM cw) AS u
+       FROM events)
+SELECT event_id, token AS word FROM ev ASOF JOIN cw ON ev.u >= cw.lo"""
+
 ORACLE["q30_uniform"] = f"""
 SELECT event_id, [1e-05, 3e-05, 1e-04, 3e-04][{draw('event_id')} % 4 + 1]::DOUBLE AS learning_rate FROM events"""
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+COMMIT = "batch string, n_rows long"
 
 # Fixed value: the file name under which later steps look for a pair set.
 PAIRS_NAME = "random-words-key-{key}-sig-{response}-key_sig-{strategy}.json"
@@ -46,6 +50,41 @@ def export_rows(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
      .csv(path))
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    """Append run records to the run table."""
-    runs.write.mode("append").parquet(path)
+def _committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The commit rows of a run table, None before the first commit."""
+    folder = f"{path}/commits"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema(COMMIT).parquet(folder)
+
+
+def append_runs(runs: DataFrame, path: str, batch_id: str) -> bool:
+    """Append run records as the batch ``batch_id``, once: True if this call did it.
+
+    The rows go to the batch's own folder, which a second try replaces, and count for readers
+    only with the commit that is written last. A batch that is committed is left as it is, so a
+    caller that does not know whether its last try came through may simply try again."""
+    if not re.fullmatch(r"[\w.-]+", batch_id):
+        raise ValueError(f"a batch id is letters, digits, '_', '-' and '.': {batch_id!r}")
+    spark = runs.sparkSession
+    done = _committed(spark, path)
+    if done is not None and not done.filter(F.col("batch") == batch_id).isEmpty():
+        return False
+    folder = f"{path}/rows/batch={batch_id}"
+    runs.write.mode("overwrite").parquet(folder)
+    rows = spark.read.schema(runs.schema).parquet(folder).count()
+    spark.range(1).select(F.lit(batch_id).alias("batch"), F.lit(rows).cast("long").alias("n_rows")) \
+        .write.mode("overwrite").parquet(f"{path}/commits/of={batch_id}")
+    return True
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all committed batches."""
+    done = _committed(spark, path)
+    if done is None:
+        return spark.createDataFrame([], schema)
+    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
+    rows = spark.read.schema(with_batch).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return rows.join(done.select("batch").distinct(), "batch", "left_semi").select(*schema.names)

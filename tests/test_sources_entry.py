@@ -83,9 +83,9 @@ def test_pairs_default_name_and_run_append(spark):
     assert sinks.pairs_path("x/out", 1, 1) == "x/out"
     out = os.path.join(tempfile.mkdtemp(prefix="ms-test-"), "runs")
     r = spark.createDataFrame([("d1", "cfg")], "digest string, config string")
-    sinks.append_runs(r, out)
-    sinks.append_runs(r, out)
-    assert spark.read.parquet(out).count() == 2
+    assert sinks.append_runs(r, out, "one") and sinks.append_runs(r, out, "two")
+    assert not sinks.append_runs(r, out, "one")
+    assert sinks.read_runs(spark, out, r.schema).count() == 2
 
 
 def test_export_keeps_spaces_quotes_and_line_breaks(spark):
