@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """A ``written`` whose tables are deleted at the end of the block: for what a result that is
+    itself written before then was made from."""
+    made = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+        df.write.option("compression", "zstd").parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    try:
+        yield keep
+    finally:
+        for folder in made:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, unless the session already chose a value."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

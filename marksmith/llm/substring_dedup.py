@@ -1,21 +1,24 @@
-"""Substring dedup by super-k-mers (operator 9).
+"""Substring dedup by super-k-mer partitioning (operator 9).
 
 A window is WINDOW consecutive words of one document. Its minimiser is the smallest hash of the
 GRAM-word grams inside it; consecutive windows with the same minimiser form a super-k-mer, which
 travels as one packed string of their words. Equal windows have equal minimisers, so they meet
-in the same bucket, where sorting by packed string, and by window where packed strings differ,
-counts them exactly.
+in the same bucket, where sorting counts them exactly.
 
+0. Of identical texts only the first document goes on. Whatever a later copy holds starts
+   earlier in the first one, so a copy of at least WINDOW words loses all of them.
 1. A first pass counts minimisers (a long each, pre-aggregated per batch). A super-k-mer whose
-   minimiser occurs nowhere else holds no repeated window. Repeated minimisers mark a bit field
-   of fixed size; false marks only cost time.
-2. A second pass names the super-k-mers with marked minimisers by 128 bits of their packed
+   minimiser occurs nowhere else holds no repeated window. Repeated minimisers enter a filter of
+   PROBES bits each, sized by their number; false hits only cost time.
+2. A second pass names the super-k-mers with repeated minimisers by 128 bits of their packed
    strings. Equal strings are aggregated before their shuffle to one row with its first place, so
    a passage in a third of all documents is one row per task; all places but the first lose all
    their windows.
-3. Where a minimiser has several distinct strings, a third pass packs those strings, the first
-   place of each is kept, and their windows are compared one by one, spread by the window itself
-   and not by the minimiser.
+3. Where a minimiser has several distinct strings, a third pass sends these packed strings to the
+   bucket of their minimiser. A bucket sorts its windows by their words and then their places;
+   all but the first of equal windows are removed. Minimisers of more than BUCKET_WINDOWS windows
+   are spread: their strings are aggregated to first places and their windows compared one by
+   one, by 128 bits, wherever they hash to.
 
 Defined results: a null text has no words; texts under WINDOW words lose nothing. Documents are
 ordered by ``(doc_id, hash of the text)``, a null ``doc_id`` first; rows that repeat both are one
@@ -34,15 +37,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marksmith.llm.common import map_batches, read, sha256_hex, short_batches, text_column, written
+from marksmith.llm.common import (checkpointed, map_batches, read, scratch_tables, sha256_hex,
+                                  short_batches, text_column, written)
+from marksmith.operators.joins import lookup_join
 
 WINDOW = 20
 GRAM = 8
-#: Bits of the field of repeated minimisers (8 MB), whatever the corpus size.
-FIELD_BITS = 26
+#: Bits that a minimiser sets in a filter, and bits of the filter for each minimiser in it.
+PROBES = 3
+BITS_EACH = 16
+#: A filter has 2 ** 16 to 2 ** MAX_FIELD_BITS bits (32 MB). With more minimisers than that holds
+#: it hits more often by mistake: results stay the same, more strings travel.
+MAX_FIELD_BITS = 28
+#: Windows of one minimiser that its bucket sorts in one task; more are spread.
+BUCKET_WINDOWS = 6000
 #: The merged ranges of all documents are broadcast up to this size; beyond it they are joined
 #: by shuffle.
 MAX_BROADCAST_BYTES = 64_000_000
+#: Repeated strings, texts and windows that are looked up by broadcast; more are joined by shuffle.
+MAX_BROADCAST_STRINGS = 100_000
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -115,10 +128,19 @@ def _split(texts: list[str]) -> list[list[bytes]]:
     return [t.encode("utf-8", "surrogatepass").split() for t in texts]
 
 
-def _field(minimisers: DataFrame, bits: int) -> np.ndarray:
-    """A bit field that marks the minimisers ``m``: at most ``2**bits / 64`` longs reach the
-    driver, whatever the number of minimisers."""
-    words = (minimisers.select(F.shiftrightunsigned("m", 64 - bits).alias("slot"))
+def _shifts(bits: int) -> list[int]:
+    """Where the probes of a minimiser lie in it: at its low end, since the high bits of a
+    smallest hash are mostly zero."""
+    return [j * (64 - bits) // PROBES for j in range(PROBES)]
+
+
+def _field(minimisers: DataFrame, n: int, max_bits: int = MAX_FIELD_BITS) -> np.ndarray:
+    """A filter of the ``n`` minimisers ``m``: at most ``2 ** max_bits / 64`` longs reach the
+    driver, whatever their number."""
+    bits = min(max_bits, max(16, (n * BITS_EACH).bit_length()))
+    slots = F.array(*[F.shiftrightunsigned("m", k).bitwiseAND(F.lit((1 << bits) - 1))
+                      for k in _shifts(bits)])
+    words = (minimisers.select(F.explode(slots).alias("slot"))
              .selectExpr("shiftright(slot, 6) AS w",
                          "shiftleft(1L, cast(slot % 64 AS int)) AS b")
              .groupBy("w").agg(F.bit_or("b").alias("b")))
@@ -128,9 +150,13 @@ def _field(minimisers: DataFrame, bits: int) -> np.ndarray:
     return field.view(np.uint64)
 
 
-def _marked(field: np.ndarray, least: np.ndarray, bits: int) -> np.ndarray:
-    slot = least >> np.uint64(64 - bits)
-    return (field[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+def _marked(field: np.ndarray, least: np.ndarray) -> np.ndarray:
+    bits = len(field).bit_length() - 1 + 6
+    hit = np.ones(len(least), dtype=bool)
+    for k in _shifts(bits):
+        slot = (least >> np.uint64(k)) & np.uint64((1 << bits) - 1)
+        hit &= (field[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+    return hit
 
 
 def repeated_minimisers(keyed: DataFrame, window: int, gram: int) -> DataFrame:
@@ -144,10 +170,10 @@ def repeated_minimisers(keyed: DataFrame, window: int, gram: int) -> DataFrame:
             .groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"))
 
 
-def marked_super_kmers(keyed: DataFrame, field, window: int, gram: int, bits: int,
+def marked_super_kmers(keyed: DataFrame, hits, window: int, gram: int,
                        with_text: bool) -> DataFrame:
-    """``m, key, doc_id, th, s, n, again`` (and ``packed``) of the super-k-mers whose minimiser
-    the field marks."""
+    """``m, key, doc_id, th, s, n, again`` (and ``packed``) of the super-k-mers whose minimisers
+    (an array) ``hits`` chooses."""
     extra = ", packed binary" if with_text else ""
     schema = T.StructType([
         *T.StructType.fromDDL("m long, key binary").fields, keyed.schema["doc_id"],
@@ -156,7 +182,7 @@ def marked_super_kmers(keyed: DataFrame, field, window: int, gram: int, bits: in
     def run(batch: pa.RecordBatch) -> dict:
         docs = _split(batch.column("_t").to_pylist())
         found = super_kmers(docs, window, gram)
-        hit = _marked(field.value, found[3], bits)
+        hit = hits(found[3])
         doc, start, n, least, again = (x[hit] for x in found)
         packed = [b" ".join(docs[d][s:s + c + window - 1])
                   for d, s, c in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)]
@@ -169,6 +195,52 @@ def marked_super_kmers(keyed: DataFrame, field, window: int, gram: int, bits: in
     return map_batches(keyed, run, schema)
 
 
+def _later_windows(strings: list[tuple], window: int) -> list[tuple]:
+    """``(doc_id, th, s, e)`` of all but the first of equal windows among packed strings
+    ``(packed, doc_id, th, s)``: windows sorted by their words, then by their place."""
+    rows = []
+    for packed, doc_id, th, s in strings:
+        words = packed.split()
+        rows += [(b" ".join(words[j:j + window]), doc_id is not None, doc_id, th, s + j)
+                 for j in range(len(words) - window + 1)]
+    # a null id is only compared with ids after the flag before it has decided
+    rows.sort(key=lambda r: (r[0], r[1], r[2] if r[1] else 0, r[3], r[4]))
+    return [(doc_id, th, s, s + window)
+            for (w, _, doc_id, th, s), (before, *place) in zip(rows[1:], rows, strict=False)
+            if w == before and place[1:] != [doc_id, th, s]]
+
+
+def bucket_repeats(strings: DataFrame, window: int) -> DataFrame:
+    """``doc_id, th, s, e`` of the windows to remove, from ``m, packed, doc_id, th, s``: rows of a
+    minimiser meet in one task."""
+    schema = T.StructType([strings.schema["doc_id"],
+                           *T.StructType.fromDDL("th long, s int, e int").fields])
+    arrow = to_arrow_schema(schema)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, rows = None, [], []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("m", "packed", "doc_id", "th", "s")]
+            for m, *string in zip(*cols, strict=True):
+                if m != here:
+                    rows += _later_windows(held, window) if len(held) else []
+                    here, held = m, []
+                held.append(string)
+            if rows:
+                yield out(rows)
+                rows = []
+        rows += _later_windows(held, window)
+        if rows:
+            yield out(rows)
+
+    parts = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return strings.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(run, schema)
+
+
 def windows_of(strings: DataFrame, window: int) -> DataFrame:
     """``w, doc_id, th, s``: every window of packed strings, by 128 bits of its words."""
     schema = T.StructType([*T.StructType.fromDDL("w binary").fields, strings.schema["doc_id"],
@@ -194,34 +266,58 @@ def windows_of(strings: DataFrame, window: int) -> DataFrame:
 
 
 def removed_ranges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM,
-                   bits: int = FIELD_BITS) -> DataFrame:
-    """``(doc_id, th, s, e)``: word ranges to remove, from rows ``(doc_id, th, _t)``."""
-    spark = keyed.sparkSession
-    field = spark.sparkContext.broadcast(_field(repeated_minimisers(keyed, window, gram), bits))
-    places = written(marked_super_kmers(keyed, field, window, gram, bits, False), "super-kmers")
+                   max_bits: int = MAX_FIELD_BITS, bucket_windows: int = BUCKET_WINDOWS,
+                   keep=written) -> DataFrame:
+    """``(doc_id, th, s, e)``: word ranges to remove, from rows ``(doc_id, th, _t)``. ``keep``
+    writes a table and reads it back."""
+    sc = keyed.sparkSession.sparkContext
+    repeated = keep(repeated_minimisers(keyed, window, gram), "minimisers")
+    field = sc.broadcast(_field(repeated, repeated.count(), max_bits))
+    places = keep(marked_super_kmers(keyed, lambda m: _marked(field.value, m), window, gram, False),
+                  "super-kmers")
     at = F.struct("doc_id", "th", "s")
-    strings = written(places.groupBy("m", "key").agg(
-        F.min(at).alias("first"), F.count(F.lit(1)).alias("places"),
+    strings = keep(places.groupBy("m", "key").agg(
+        F.min(at).alias("first"), F.count(F.lit(1)).alias("places"), F.max("n").alias("n"),
         F.max("again").alias("again")), "strings")
-    repeated = strings.filter("places > 1").select("key", "first")
-    whole = (places.select("key", "doc_id", "th", "s", "n").join(repeated, "key")
+    of_many = strings.filter("places > 1").select("key", "first")
+    whole = (lookup_join(places.select("key", "doc_id", "th", "s", "n"), of_many, ["key"], "inner",
+                         max_broadcast_rows=MAX_BROADCAST_STRINGS, salt_by=at)
              .filter(~at.eqNullSafe(F.col("first")))
              .select("doc_id", "th", "s", (F.col("s") + F.col("n") + window - 1).alias("e")))
 
-    # windows of distinct strings that share a minimiser, or that repeat one inside themselves
-    several = (strings.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again"))
-               .filter("c > 1 or again").select("m"))
-    shared = spark.sparkContext.broadcast(_field(several, bits))
-    texts = marked_super_kmers(keyed, shared, window, gram, bits, True)
-    firsts = strings.select("key", "first")
-    texts = (texts.select("key", "packed", "doc_id", "th", "s").join(firsts, "key")
-             .filter(at.eqNullSafe(F.col("first"))).select("packed", "doc_id", "th", "s"))
-    windows = written(windows_of(texts, window), "windows")
+    # minimisers of distinct strings, or of one that repeats a window inside itself
+    several = checkpointed(strings.groupBy("m").agg(
+        F.count(F.lit(1)).alias("c"), F.max("again").alias("again"),
+        F.sum(F.col("n") * F.col("places")).alias("windows")).filter("c > 1 or again"))
+    wide = several.filter(F.col("windows") > bucket_windows)
+    n, n_wide = several.count(), wide.count()
+    shared = sc.broadcast(_field(several.select("m"), n, max_bits))
+    spread = sc.broadcast(_field(wide.select("m"), n_wide, max_bits))
+
+    def in_buckets(m: np.ndarray) -> np.ndarray:
+        return _marked(shared.value, m) & ~_marked(spread.value, m)
+
+    strings_of = ["m", "packed", "doc_id", "th", "s"]
+    found = bucket_repeats(marked_super_kmers(keyed, in_buckets, window, gram, True)
+                           .select(*strings_of), window)
+    out = whole.unionByName(found)
+    if not n_wide:
+        return out
+
+    def is_wide(m: np.ndarray) -> np.ndarray:
+        return _marked(spread.value, m)
+
+    firsts = (marked_super_kmers(keyed, is_wide, window, gram, True).groupBy("m", "key")
+              .agg(F.min(F.struct("doc_id", "th", "s", "packed")).alias("f"))
+              .select("f.packed", "f.doc_id", "f.th", "f.s"))
+    windows = keep(windows_of(firsts, window), "windows")
     earliest = (windows.groupBy("w").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c"))
                 .filter("c > 1").select("w", "first"))
-    single = (windows.join(earliest, "w").filter(~at.eqNullSafe(F.col("first")))
+    single = (lookup_join(windows, keep(earliest, "earliest"), ["w"], "inner",
+                          max_broadcast_rows=MAX_BROADCAST_STRINGS, salt_by=at)
+              .filter(~at.eqNullSafe(F.col("first")))
               .select("doc_id", "th", "s", (F.col("s") + window).alias("e")))
-    return whole.unionByName(single)
+    return out.unionByName(single)
 
 
 def merged_ranges(ranges: DataFrame) -> DataFrame:
@@ -244,30 +340,56 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
     return map_batches(lists, run, schema)
 
 
+def first_of_equal(keyed: DataFrame, window: int) -> DataFrame:
+    """``keyed`` with ``copy``: whether an earlier document has the same text, of at least
+    ``window`` words as far as the characters tell.
+
+    One narrow row per text is aggregated before the shuffle; only texts that stand in several
+    documents are looked up again."""
+    long_enough = F.length("_t") >= 2 * window - 1
+    digest = F.sha2(F.col("_t").cast("binary"), 256)
+    groups = keyed.filter(long_enough).select("doc_id", F.unhex(digest).alias("digest"))
+    groups = groups.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("first"),
+                                          F.max(F.struct("doc_id")).alias("last"))
+    groups = checkpointed(groups.filter(~F.col("first").eqNullSafe(F.col("last")))
+                          .select("digest", F.col("first.doc_id").alias("first_id")))
+    rows = keyed.withColumn("digest", F.when(long_enough, F.unhex(digest)))
+    return lookup_join(rows, groups.withColumn("several", F.lit(True)), ["digest"], "left",
+                       max_broadcast_rows=MAX_BROADCAST_STRINGS, salt_by=F.col("doc_id")).select(
+        "doc_id", "_t", "th", (F.coalesce("several", F.lit(False))
+                               & ~F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("copy"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
-                   bits: int = FIELD_BITS) -> DataFrame:
+                   max_bits: int = MAX_FIELD_BITS,
+                   bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (the kept words joined by one space) for every row."""
     short_batches(docs.sparkSession)
     # the text tells rows apart only where ids repeat or lack
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter(
         "c > 1 or doc_id is null")
     th = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64(text_column())
-    keyed = docs.select("doc_id", text_column().alias("_t"), th.alias("th"))
-    per_doc = written(merged_ranges(removed_ranges(keyed, window, gram, bits)), "ranges")
+    keyed = first_of_equal(docs.select("doc_id", text_column().alias("_t"), th.alias("th")), window)
+    with scratch_tables(docs.sparkSession) as keep:
+        ranges = removed_ranges(keyed.filter(~F.col("copy")).drop("copy"), window, gram, max_bits,
+                                bucket_windows, keep)
+        per_doc = written(merged_ranges(ranges), "ranges")
     size = per_doc.agg(F.sum(F.octet_length("ranges") + 64)).first()[0] or 0
     right = F.broadcast(per_doc) if size <= MAX_BROADCAST_BYTES else per_doc
     joined = keyed.join(right, keyed["doc_id"].eqNullSafe(per_doc["d2"])
-                        & (keyed["th"] == per_doc["t2"]), "left").select("doc_id", "_t", "ranges")
+                        & (keyed["th"] == per_doc["t2"]), "left").select("doc_id", "_t", "copy", "ranges")
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(
         "n_words long, n_removed long, kept string").fields])
 
     def run(batch: pa.RecordBatch) -> dict:
         n_words, n_removed, kept = [], [], []
-        for t, ranges in zip(batch.column("_t").to_pylist(), batch.column("ranges").to_pylist(),
-                             strict=True):
+        for t, copy, ranges in zip(*(batch.column(c).to_pylist() for c in ("_t", "copy", "ranges")),
+                                   strict=True):
             words = t.encode("utf-8", "surrogatepass").split()
             n_words.append(len(words))
-            if ranges:
+            if copy:
+                words = [] if len(words) >= window else words
+            elif ranges:
                 stay, last = [], 0
                 for s, e in np.frombuffer(ranges, dtype=np.int32).reshape(-1, 2).tolist():
                     stay += words[last:s]

@@ -95,7 +95,9 @@ def test_substring_dedup_equals_brute_force(spark, docs, none):
         want.append((i, len(words), len(gone),
                      " ".join(x for k, x in enumerate(words) if k not in gone)))
     source = spark.createDataFrame(list(unique.items()), "doc_id long, text string").repartition(4)
-    assert by_id(substring_dedup.remove_repeats(source, bits=12)) == sorted(want, key=repr)
+    # the filters full, and the buckets' work spread in part and as a whole
+    for more in ({"max_bits": 12}, {"bucket_windows": 40}, {"bucket_windows": 0}):
+        assert by_id(substring_dedup.remove_repeats(source, **more)) == sorted(want, key=repr)
     # repeated ids: the same rows come back, and repeated rows agree
     again = substring_dedup.remove_repeats(docs)
     assert again.count() == len(TEXTS)
@@ -103,6 +105,19 @@ def test_substring_dedup_equals_brute_force(spark, docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_long_and_repetitive_texts(spark):
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, f"own{i} " * 3 + common + f" end{i} " + " ".join(f"u{i}x{j}" for j in range(25)))
+            for i in range(40)]
+    rows += [(100, "same " * 30_000), (101, " ".join(f"w{i}" for i in range(60_000))),
+             (102, "x " * 10 + " ".join(f"w{i}" for i in range(30_000, 60_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {i: 60 if i else 0 for i in range(40)} | {100: 29_999, 101: 0, 102: 30_000}
+    for bucket in (100, substring_dedup.BUCKET_WINDOWS):
+        got = substring_dedup.remove_repeats(docs, bucket_windows=bucket).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in got} == want
+
+
 def test_exact_dedup(spark, docs, none):
     got = exact_dedup.decide(docs, exact_dedup.DigestIndex(spark)).select(
         "doc_id", "keep_id", "group_size", "kept")
