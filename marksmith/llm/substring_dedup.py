@@ -50,7 +50,7 @@ BITS_EACH = 16
 #: it hits more often by mistake: results stay the same, more strings travel.
 MAX_FIELD_BITS = 28
 #: Windows of one minimiser that its bucket sorts in one task; more are spread.
-BUCKET_WINDOWS = 6000
+BUCKET_WINDOWS = 400
 #: The merged ranges of all documents are broadcast up to this size; beyond it they are joined
 #: by shuffle.
 MAX_BROADCAST_BYTES = 64_000_000
