@@ -2,7 +2,10 @@
 
 Stated rules (host suffix and path prefix) come first. Every other URL is judged by rules mined
 with FP-growth: transactions are the token sets of labelled URLs plus the label as one more item;
-frequent item sets that hold a label give rules ``tokens -> label``. Rules are pruned by support,
+frequent item sets that hold a label give rules ``tokens -> label``. Tokens that stand in exactly
+the same labelled URLs are one item, since k of them would make 2 ** k sets of equal support; a
+URL has the item if it has any of them, which is what the rules of the single tokens would say.
+Rules are pruned by support,
 confidence and lift, and where a rule with fewer tokens is as confident. An inverted index lists
 each rule under its rarest token; a URL matches a rule when it has all of the rule's tokens, and
 its most confident rule decides. Without a matching rule a URL gets the default verdict.
@@ -18,6 +21,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +35,14 @@ DEFAULT_VERDICT = ALLOW
 STATED_RULES = (("net", "/", BLOCK), ("example.net", "/en/", ALLOW),
                 ("example.com", "/de/", BLOCK), ("org", "/fr/", ALLOW))
 MIN_SUPPORT = 0.005
+#: A rule holds for at least so many labelled pages, however few there are.
+MIN_COUNT = 5
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 1.2
 #: Rule tables up to this many rows are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_RULES = 100_000
-RULE_SCHEMA = "tokens array<string>, verdict string, confidence double, support long"
+RULE_SCHEMA = ("tokens array<string>, verdict string, confidence double, support long, "
+               "members array<array<string>>")
 
 
 def host_of(url: Column) -> Column:
@@ -85,20 +93,43 @@ def page_labels(labels: DataFrame) -> DataFrame:
             .groupBy(F.col("doc_id").alias("_label_id")).agg(F.max(bad).alias("_bad")))
 
 
+def merged_items(baskets: DataFrame, least: int) -> DataFrame:
+    """``token, item, members``: frequent tokens of ``(id, tokens)``, those of the same rows under
+    one item (the first of them). Rows are compared by their number and 128 bits of their ids."""
+    seen = baskets.select("id", F.explode("tokens").alias("token"))
+    same = (seen.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.lit(1), F.col("id"))).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(2), F.col("id"))).alias("y")).filter(F.col("n") >= least))
+    # all members of an item stand in one URL, so they are few
+    items = same.groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return items.select(F.explode("members").alias("token"),
+                        F.element_at("members", 1).alias("item"), "members")
+
+
 def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
-               min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """Pruned association rules ``tokens, verdict, confidence, support``."""
+               min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT,
+               min_count: int = MIN_COUNT) -> DataFrame:
+    """Pruned association rules ``tokens, verdict, confidence, support, members``: ``tokens`` are
+    items, and ``members`` the tokens that each item stands for."""
     spark = pages.sparkSession
     mark = F.when(F.col("_bad"), F.lit("=" + BLOCK)).otherwise(F.lit("=" + ALLOW))
     rows = pages.select("page_id", "url").join(
         page_labels(labels), F.col("page_id") == F.col("_label_id"))
-    baskets = checkpointed(rows.select(F.concat(tokens_of(F.col("url")), F.array(mark))
-                                       .alias("items")))
-    total = baskets.count()
-    if not total:
+    tokens = checkpointed(rows.select(F.monotonically_increasing_id().alias("id"),
+                                      tokens_of(F.col("url")).alias("tokens"), mark.alias("mark")))
+    total = tokens.count()
+    if total < min_count or not total:
         return spark.createDataFrame([], RULE_SCHEMA)
+    support = max(min_support, min_count / total)
+    # frequent tokens: at most the tokens of a URL / support
+    items = checkpointed(merged_items(tokens, ceil(support * total)))
+    named = (tokens.select("id", F.explode("tokens").alias("token"))
+             .join(F.broadcast(items.select("token", "item")), "token")
+             .groupBy("id").agg(F.collect_set("item").alias("found")))
+    baskets = checkpointed(tokens.select("id", "mark").join(named, "id", "left").select(F.concat(
+        F.coalesce("found", F.array().cast("array<string>")), F.array("mark")).alias("items")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, numPartitions=parts).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=support, numPartitions=parts).fit(baskets)
     sets = checkpointed(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
     out = None
     for verdict in (BLOCK, ALLOW):
@@ -112,7 +143,14 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
         rules = rules.filter(F.col("confidence") >= least).select(
             "tokens", F.lit(verdict).alias("verdict"), "confidence", "support")
         out = rules if out is None else out.unionByName(rules)
-    return prune(checkpointed(out))
+    rules = checkpointed(prune(checkpointed(out)))
+    members = (rules.select("verdict", "tokens", F.posexplode("tokens").alias("at", "item"))
+               .join(items.filter("token = item").select("item", "members"), "item")
+               .groupBy("verdict", "tokens").agg(F.array_sort(F.collect_list(
+                   F.struct("at", "members"))).alias("m")))
+    return rules.join(members, ["verdict", "tokens"]).select(
+        "tokens", "verdict", "confidence", "support",
+        F.transform("m", lambda x: x["members"]).alias("members"))
 
 
 def inverted_index(rules: DataFrame) -> DataFrame:
@@ -143,8 +181,11 @@ def prune(rules: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, rules: DataFrame, stated=STATED_RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, mined_verdict, confidence`` for every row."""
-    index = checkpointed(inverted_index(rules).select(
-        "token", F.col("tokens").alias("needs"), F.col("verdict").alias("v"), "confidence",
+    index = inverted_index(rules).withColumn("at", F.array_position("tokens", F.col("token")))
+    # listed under each member of its rarest item
+    index = checkpointed(index.select(
+        F.explode(F.element_at("members", F.col("at").cast("int"))).alias("token"),
+        F.col("tokens").alias("needs"), "members", F.col("verdict").alias("v"), "confidence",
         "support"))
     index = F.broadcast(index) if index.count() <= MAX_BROADCAST_RULES else index
     url = F.col("url")
@@ -152,7 +193,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, stated=STATED_RULES) -> DataF
                         tokens_of(url).alias("tokens")).withColumn(
         "_row", F.monotonically_increasing_id())
     hits = rows.withColumn("token", F.explode_outer("tokens")).join(index, "token", "left")
-    fits = F.size(F.array_except("needs", "tokens")) == 0
+    fits = F.forall("members", lambda any_of: F.arrays_overlap(any_of, F.col("tokens")))
     rank = F.struct("confidence", "support", F.size("needs").alias("size"),
                     (F.col("v") == BLOCK).alias("block"), "needs", "v")
     # the rows of one URL lie together, so they are one before the shuffle

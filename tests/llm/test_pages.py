@@ -45,6 +45,24 @@ def test_mined_rules_equal_counting(spark):
     assert url_filter.judge_urls(p.union(p), rules).count() == 600
 
 
+def test_tokens_of_equal_occurrence_are_one_item(spark):
+    shared = "/".join(f"word{i}" for i in range(20))
+    pages = [(i, f"http://host{i % 2}.example.org/{shared if i < 20 else 'other'}/p{i}") for i in range(400)]
+    pages += [(1000, "http://h/word3/x"), (1001, "http://h/word/x"), (1002, f"http://h/{shared}")]
+    rows = spark.createDataFrame([(i, 0 if i < 20 else 1, 0) for i in range(400)],
+                                 "doc_id long, quality int, toxic int")
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    rules = url_filter.mine_rules(p, rows)
+    block = [r for r in rules.collect() if r["verdict"] == "block"]
+    assert [(r["tokens"], r["support"], r["confidence"]) for r in block] == [(["p:word0"], 20, 1.0)]
+    assert sorted(block[0]["members"][0]) == sorted(f"p:word{i}" for i in range(20))
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(p, rules).collect()}
+    assert verdicts == {i: "block" if i < 20 or i in (1000, 1002) else "allow" for i, _ in pages}
+    # too few labelled pages for any rule
+    few = url_filter.mine_rules(p, rows.filter("doc_id < 4"))
+    assert few.count() == 0
+
+
 def test_article_without_boilerplate(spark):
     page = ("<html><head><title>t</title><script>var x='</p>';</script></head><body>"
             "<header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>"
