@@ -138,15 +138,15 @@ def test_exact_dedup(spark, docs, none):
 
 def test_first_batch_goes_through_the_index(spark):
     class Marked(exact_dedup.DigestIndex):
-        def append(self, groups):
-            super().append(groups.withColumn("group_size", groups["group_size"] + 100))
+        def append(self, groups, attempt):
+            super().append(groups.withColumn("group_size", groups["group_size"] + 100), attempt)
 
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
     index = Marked(spark, buckets=4)
     got = exact_dedup.decide(docs, index).select("doc_id", "keep_id", "group_size", "kept")
     assert by_id(got) == [(1, 2, 102, False), (2, 2, 102, True), (3, 3, 101, True)]
     new = exact_dedup.DigestIndex(spark, buckets=4)
-    plan = new.unseen(exact_dedup.batch_groups(exact_dedup.digests(docs)))
+    plan = new.unseen(exact_dedup.batch_groups(exact_dedup.digests(docs)), "a")
     assert plan.count() == 2 and new.table().count() == 0
     assert "SortMergeJoin" in plan._jdf.queryExecution().executedPlan().toString()
 
@@ -161,6 +161,40 @@ def test_digest_index_keeps_earlier_batches(spark):
     assert index.table().count() == 4
 
 
+def test_digest_index_batch_again_and_after_a_failure(spark):
+    class Failing(exact_dedup.DigestIndex):
+        fail = False
+
+        def commit(self, batch, attempt):
+            if self.fail:
+                raise RuntimeError("lost")
+            super().commit(batch, attempt)
+
+    index = Failing(spark, buckets=4)
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "doc_id long, text string")
+    b = spark.createDataFrame([(9, "x"), (10, "z"), (11, None)], "doc_id long, text string")
+
+    def kept(docs, batch):
+        return by_id(exact_dedup.deduplicate(docs, index, batch).select("doc_id"))
+
+    assert kept(a, "a") == kept(a, "a") == [(2,), (3,)]
+    index.fail = True
+    with pytest.raises(RuntimeError, match="lost"):
+        kept(b, "b")
+    index.fail = False
+    assert index.table().count() == 2 and spark.table(index.name).count() == 4
+    assert kept(b, "b") == kept(b, "b") == [(10,), (11,)]
+    assert kept(a, "a") == [(2,), (3,)]
+    assert kept(b, "c") == [] and index.table().count() == 4
+    index.compact()
+    assert spark.table(index.name).count() == index.table().count() == 4
+    assert kept(a, "a") == [(2,), (3,)] and kept(b, "d") == []
+    index.drop()
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.deduplicate(a)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def jaccard_groups(rows, n=5):
     sets = []
     for i, t in rows:
