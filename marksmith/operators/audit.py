@@ -11,23 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marksmith.operators.joins import lookup_join
+from marksmith.operators.position import with_position
 
-MAX_LITERAL_ITEMS = 10_000  # templates / model ids inlined as literal arrays
-
-
-def _literal_list(values, what: str) -> list:
-    values = list(values)
-    if len(values) > MAX_LITERAL_ITEMS:
-        raise ValueError(f"{len(values)} {what}: too many to inline; join a table instead")
-    return values
-
-
-def templates_list(templates) -> list[str]:
-    """Templates given as a Python list or a small (template_id, template) table."""
-    if isinstance(templates, DataFrame):
-        rows = templates.orderBy("template_id").limit(MAX_LITERAL_ITEMS + 1).collect()
-        return _literal_list([r["template"] for r in rows], "templates")
-    return _literal_list(templates, "templates")
+#: Templates that each row takes from one row of the template table.
+TEMPLATE_BLOCK = 256
 
 
 def render(template: Column, key: Column) -> Column:
@@ -36,14 +23,36 @@ def render(template: Column, key: Column) -> Column:
 
 
 def render_all(df: DataFrame, templates, key: str = "key") -> DataFrame:
-    """Every row x every template. The template set is a literal array that
-    each row explodes: no join, no shuffle, linear in the rows."""
-    tpl = F.array(*[F.lit(t) for t in templates_list(templates)])
+    """Every row x every template, given as a list or as a table ``(template_id, template)``.
+
+    A list is a literal array that each row explodes: no join, no shuffle, linear in the rows. A
+    table may hold any number: see ``render_table``."""
+    if isinstance(templates, DataFrame):
+        return render_table(df, templates, key)
+    tpl = F.array(*[F.lit(t) for t in templates])
     out = df.select("*", F.posexplode(tpl).alias("template_id", "template"))
     return out.withColumn("template_id", F.col("template_id").cast("int")) \
         .withColumn("prompt", render(F.col("template"), F.col(key)))
 
 
+def render_table(df: DataFrame, templates: DataFrame, key: str = "key") -> DataFrame:
+    """D4 over a template table: templates are gathered in blocks of TEMPLATE_BLOCK, a row names
+    every block and looks it up (broadcast while the table is small, else by a shuffle join that
+    deals out the rows), and explodes it in place."""
+    numbered = with_position(templates.select("template_id", "template"), ["template_id", "template"], "_at")
+    blocks = numbered.groupBy(F.floor(F.col("_at") / TEMPLATE_BLOCK).alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("template_id", "template"))).alias("_templates"))
+    blocks = blocks.checkpoint(eager=True)
+    n = blocks.count()
+    if n == 0:
+        rows = df.limit(0).select("*", F.lit(None).cast(templates.schema["template_id"].dataType).alias("template_id"),
+                                  F.lit(None).cast("string").alias("template"))
+    else:
+        wanted = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        rows = lookup_join(wanted, blocks, ["_block"], "inner").select(
+            *df.columns, F.inline("_templates"))
+    return rows.withColumn("prompt", render(F.col("template"), F.col(key)))
+
 
 def join_predictions(grid: DataFrame, log: DataFrame) -> DataFrame:
     """Left join; a missing prediction stays NULL (counted as wrong)."""

@@ -64,20 +64,28 @@ def accumulate(contribs: DataFrame, key: str, scale: str | None = None) -> DataF
     return back.select(key, F.transform("_p", lambda p: p["_t"]).alias("v"))
 
 
-def restore(model: DataFrame, store: DataFrame, key: str, mode: str = "grads") -> DataFrame:
+def restore(model: DataFrame, store: DataFrame, key: str, mode: str = "grads",
+            check: str = "report") -> DataFrame:
     """``params`` overwrites each entry by the stored one; ``grads`` adds it.
-    A key present on one side only gets a status instead of a value change."""
-    j = model.select(key, F.col("v").alias("m")).join(store.select(key, F.col("v").alias("s")), key, "full_outer")
+
+    ``check`` tells what becomes of a key that is present on one side only: ``report`` gives it a
+    status instead of a value change, ``raise`` fails, ``skip`` does not look: model entries
+    without a stored one stay as they are, and stored entries without a model one are left out."""
+    if mode not in ("params", "grads") or check not in ("report", "raise", "skip"):
+        raise ValueError(f"unknown restore mode or check: {mode}, {check}")
+    j = model.select(key, F.col("v").alias("m")).join(
+        store.select(key, F.col("v").alias("s")), key, "left" if check == "skip" else "full_outer")
+    both = F.col("s").isNotNull() & F.col("m").isNotNull()
+    new = F.col("s") if mode == "params" else F.zip_with("m", "s", lambda x, y: x + y)
+    v = F.when(both, new).otherwise(F.col("m")).alias("v")
+    if check == "skip":
+        return j.select(key, v)
     status = F.when(F.col("m").isNull(), F.lit("missing_in_model")).when(
         F.col("s").isNull(), F.lit("missing_in_store")).otherwise(F.lit("ok"))
-    if mode == "params":
-        v = F.when(F.col("s").isNotNull() & F.col("m").isNotNull(), F.col("s")).otherwise(F.col("m"))
-    elif mode == "grads":
-        v = F.when(F.col("s").isNotNull() & F.col("m").isNotNull(),
-                   F.zip_with("m", "s", lambda x, y: x + y)).otherwise(F.col("m"))
-    else:
-        raise ValueError(f"unknown restore mode {mode}")
-    return j.select(key, v.alias("v"), status.alias("status"))
+    if check == "raise":
+        status = F.when(both, F.lit("ok")).otherwise(
+            F.raise_error(F.concat(status, F.lit(": "), F.col(key).cast("string"))))
+    return j.select(key, v, status.alias("status"))
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marksmith.functions.keyed import bucket
-from marksmith.functions.text import tokens
-from marksmith.operators import audit, distrib, pairing, records, sampling
+from marksmith.functions.text import strip_punct, tokens
+from marksmith.operators import audit, distrib, pairing, records, sampling, subword
 from marksmith.operators import rows as rowops
 from marksmith.operators import runs as runops
 from marksmith.operators import vectors as vecops
@@ -178,6 +178,28 @@ def q11_render_all(spark, sf_dir):
         .select("item_id", "template_id", "prompt")
 
 
+@register("q11b_render_table")
+def q11b_render_table(spark, sf_dir):
+    """D4 with a table of templates: one from each user turn of the conversations."""
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").filter("role = 'user'")
+    numbered = with_position_by_key(turns, ["conv_id", "turn"])
+    templates = numbered.select(F.col("pos").cast("int").alias("template_id"),
+                                F.concat(F.replace("text", F.lit("{}"), F.lit("")), F.lit(" {}")).alias("template"))
+    bench = read_table(spark, sf_dir, "benchmark", "item_id", "text").withColumnRenamed("text", "key")
+    return render_all(bench, templates).select("item_id", "template_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@register("q05d_encoded_windows")
+def q05d_encoded_windows(spark, sf_dir):
+    """E5 over a public sub-word vocabulary: two distinct windows of each document, each of which
+    encodes to its length again."""
+    import public_tokenizers
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    text = strip_punct(F.col("text"), True)
+    return subword.encoded_windows(docs, "doc_id", F.array(text, text), MULTI_RESPONSE_LENGTH,
+                                   public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @register("q12_render_random")
 def q12_render_random(spark, sf_dir):
     reg = pairing.valid_rows(pairing.assemble_registry(
@@ -830,6 +852,15 @@ def q37b_restore(spark, sf_dir):
     return out.select("vec_id", "status", norm2(F.col("v")).alias("norm2"))
 
 
+@register("q37c_restore_unchecked")
+def q37c_restore_unchecked(spark, sf_dir):
+    """I5 without the key check: parameters of one label overwritten by their label's mean."""
+    vecs = label_vectors(spark, sf_dir)
+    store = with_centroids(vecs).filter(F.col("label") == 0).select("vec_id", F.col("gv").alias("v"))
+    out = vecops.restore(vecs.select("vec_id", "v"), store, "vec_id", "params", check="skip")
+    return out.select("vec_id", norm2(F.col("v")).alias("norm2"))
+
+
 @register("q38_schedule")
 def q38_schedule(spark, sf_dir):
     ev = events(spark, sf_dir, "event_id", "ts", "user_id")

@@ -204,6 +204,12 @@ FROM benchmark, {sql_values(CHECK_TEMPLATES + AUGMENT_TEMPLATES)}"""
 
 N_AUG = len(AUGMENT_TEMPLATES)
 
+ORACLE["q11b_render_table"] = """
+WITH t AS (SELECT CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS INTEGER) AS template_id,
+                  replace(text, '{}', '') || ' {}' AS template
+           FROM conversations WHERE role = 'user')
+SELECT item_id, template_id, md5(replace(template, '{}', text)) AS prompt_md5 FROM benchmark, t"""
+
 ORACLE["q12_render_random"] = multi_sig_ctes(SQL_DOCUMENT_PAIRS) + f""",
 resp AS (SELECT fp_id, key, list_transform(chosen, lambda x: array_to_string(list_append(x, '</s>'), ' ')) AS responses FROM j),
 e AS (SELECT resp.*, r.epoch FROM resp, range(0, 2) r(epoch)),
@@ -667,6 +673,10 @@ o AS (SELECT ev.vec_id, CASE WHEN st.d IS NULL THEN ev.v ELSE list_transform(lis
       FROM ev LEFT JOIN st USING (vec_id))
 SELECT vec_id, status, {NORM2.format(v='w')} AS norm2 FROM o"""
 
+ORACLE["q37c_restore_unchecked"] = VECS + f""",
+o AS (SELECT vec_id, CASE WHEN label = 0 THEN cv ELSE v END AS w FROM ev)
+SELECT vec_id, {NORM2.format(v='w')} AS norm2 FROM o"""
+
 ORACLE["q38_schedule"] = """
 WITH s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
                   count(*) OVER (PARTITION BY user_id) AS group_size FROM events)
