@@ -5,14 +5,17 @@ Two documents are linked when the Jaccard similarity of their sets of word shing
 consecutive words, and a text of fewer words (but at least one) is one shingle of all its words.
 
 1. Equal shingle sets are one class, aggregated before the shuffle: copies are never paired.
-2. Each class gets TREES * DEPTH MinHash values, and for each of TREES bands one hash of the
-   band's first values. Their number is fixed beforehand, from constants only: the longest prefix
-   at which a pair at the threshold meets in some band with probability of at least ``recall``
-   (5 of 8 values). This is plain banding: no sorted prefix tries are built, and no prefix is
-   shortened from the data. The other values serve the sketch only.
-3. Classes with equal prefixes form a bucket. Buckets are cut into tiles of bounded size; a tile
-   compares b-bit sketches and emits only a spanning forest of the plausible links, so no bucket
-   emits all its pairs. Connected tiles give candidate components.
+2. Each class gets TREES * DEPTH MinHash values: one label of DEPTH values for each of TREES
+   prefix tries. The shortest prefix that a trie may be asked for is the longest one at which a
+   pair at the threshold meets in some trie with probability of at least ``recall`` (5 of 8
+   values): down to it, every level is searched; below it, none needs to be.
+3. Classes with equal shortest prefixes form a bucket: a subtree of a trie. A task holds its
+   classes sorted by the rest of their labels, so the matches of a longer prefix are runs of
+   neighbours. It starts with whole labels, links what the sketches find plausible, and shortens
+   the prefix level by level only while some of its classes are still apart; classes that are
+   linked already are not compared again. Large buckets are cut into tiles of bounded size, and a
+   tile emits only a spanning forest, so no bucket emits all its pairs. Connected tiles give
+   candidate components.
 4. Exact verification: within a component, tiles of shingle sets compute every Jaccard similarity
    by set intersection; a tile emits link counts per class and a spanning forest of the links.
 
@@ -46,6 +49,8 @@ RECALL = 0.99999
 #: plausible link has: at a similarity of 0.8 fewer come out with a probability under 1e-9.
 SKETCH = 192
 PLAUSIBLE = 0.62
+#: Bits of a label's value that are kept below the shortest prefix: DEPTH of them fit a long.
+BRANCH_BITS = 8
 #: Members of a tile.
 TILE = 256
 #: Distinct shingles compared at a time in a tile.
@@ -63,9 +68,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
-                  recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold meets with the wanted recall."""
+def shortest_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
+                   recall: float = RECALL) -> int:
+    """The longest prefix at which a pair at the threshold meets with the wanted recall: prefixes
+    are shortened to this depth and no further."""
     while depth > 1 and 1 - (1 - threshold ** depth) ** trees < recall:
         depth -= 1
     return depth
@@ -103,11 +109,22 @@ def _prefix_keys(values: np.ndarray, depth: int) -> np.ndarray:
     return key
 
 
+def _branches(values: np.ndarray, depth: int) -> np.ndarray:
+    """Per trie, the values below ``depth`` as one number, BRANCH_BITS of each: the labels of a
+    bucket sort by it as they lie in the trie."""
+    v = _mixed(values.reshape(len(values), TREES, DEPTH))
+    out = np.zeros((len(values), TREES), dtype=np.uint64)
+    for d in range(depth, DEPTH):
+        out = (out << np.uint64(BRANCH_BITS)) | (v[:, :, d] & np.uint64((1 << BRANCH_BITS) - 1))
+    return out
+
+
 def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """``doc_id, th, key, size, tries, sketch``: a row's shingle-set digest, its size, the prefix
-    of every trie and the sketch."""
+    """``doc_id, th, key, size, tries, branches, sketch``: a row's shingle-set digest, its size,
+    the shortest prefix and the rest of its label in every trie, and the sketch."""
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(
-        "th long, key binary, size long, tries array<long>, sketch binary").fields])
+        "th long, key binary, size long, tries array<long>, branches array<long>, "
+        "sketch binary").fields])
 
     def run(batch: pa.RecordBatch) -> dict:
         key, size, values, where = [], [], [], []
@@ -118,16 +135,17 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
             if len(s):
                 values.append(minhashes(s))
                 where.append(i)
-        tries, sketch = [None] * len(key), [None] * len(key)
+        tries, branches, sketch = ([None] * len(key) for _ in range(3))
         if values:
             v = np.array(values)
             keys = _prefix_keys(v, depth).view(np.int64)
+            rest = _branches(v, depth).view(np.int64)
             bits = (_mixed(v[:, :SKETCH]) & np.uint64(255)).astype(np.uint8)
             for j, i in enumerate(where):
-                tries[i], sketch[i] = keys[j], bits[j].tobytes()
+                tries[i], branches[i], sketch[i] = keys[j], rest[j], bits[j].tobytes()
         return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "key": key,
                 "size": size, "tries": pa.array(tries, type=pa.list_(pa.int64())),
-                "sketch": sketch}
+                "branches": pa.array(branches, type=pa.list_(pa.int64())), "sketch": sketch}
 
     source = docs.select("doc_id", text_column().alias("_t")).withColumn("th", F.xxhash64("_t"))
     return map_batches(source, run, schema)
@@ -161,6 +179,32 @@ class _Forest:
         return [(i, self.root(i)) for i in range(len(self.up)) if self.root(i) != i]
 
 
+def plausible_forest(branch: np.ndarray, bits: np.ndarray, levels: int) -> _Forest:
+    """A spanning forest of the plausible links of a bucket, whose members are sorted by
+    ``branch``: the ``levels`` values that follow the bucket's prefix. Runs of equal whole labels
+    come first; the prefix is shortened while members are apart, down to the bucket itself."""
+    n = len(branch)
+    forest, apart, least = _Forest(n), n - 1, PLAUSIBLE * SKETCH
+    for level in range(levels + 1):
+        if not apart:
+            break
+        # a shift by all bits of a number is not defined, and all of the bucket is one run then
+        prefix = branch >> np.uint64(BRANCH_BITS * level) if level < levels else np.zeros(n)
+        edges = np.append(np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])), n)
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for i in range(low, high - 1):
+                own = forest.root(i)
+                others = [j for j in range(i + 1, high) if forest.up[j] != own]
+                if not others:
+                    continue
+                close = (bits[others] == bits[i]).sum(axis=1) >= least
+                for k in np.flatnonzero(close).tolist():
+                    if forest.root(others[k]) != forest.root(i):
+                        forest.join(i, others[k])
+                        apart -= 1
+    return forest
+
+
 def tiled(members: DataFrame, group: list[str], tile: int = TILE) -> DataFrame:
     """Members of groups dealt to tiles: a row per pair of blocks that a member belongs to.
 
@@ -177,10 +221,12 @@ def tiled(members: DataFrame, group: list[str], tile: int = TILE) -> DataFrame:
             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
 
 
-def candidate_edges(classes: DataFrame, tile: int = TILE) -> DataFrame:
+def candidate_edges(classes: DataFrame, depth: int, tile: int = TILE) -> DataFrame:
     """``(a, b)``: a spanning forest per tile of the plausible links of classes that share a
-    prefix."""
-    prefixes = classes.select("rep", F.posexplode("tries").alias("tree", "prefix"))
+    prefix of at least ``depth`` values."""
+    prefixes = classes.select("rep", F.posexplode(F.arrays_zip("tries", "branches")).alias(
+        "tree", "at")).select("rep", "tree", F.col("at.tries").alias("prefix"),
+                              F.col("at.branches").alias("branch"))
     shared = (prefixes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"))
               .filter("n > 1"))
     met = checkpointed(prefixes.join(shared, ["tree", "prefix"]))
@@ -188,23 +234,19 @@ def candidate_edges(classes: DataFrame, tile: int = TILE) -> DataFrame:
                                 ["rep"], "left_semi")
     tiles = (tiled(met, ["tree", "prefix"], tile)
              .join(sketches, "rep").groupBy("tree", "prefix", "i", "j")
-             .agg(F.collect_list(F.struct("rep", "sketch")).alias("m")))
+             .agg(F.collect_list(F.struct("branch", "rep", "sketch")).alias("m")))
 
     def run(batch: pa.RecordBatch) -> dict:
         a, b = [], []
         for rows in batch.column("m").to_pylist():
-            rep = sorted((r["rep"], r["sketch"]) for r in rows)
-            bits = np.frombuffer(b"".join(s for _, s in rep), dtype=np.uint8)
-            bits = bits.reshape(len(rep), SKETCH)
-            forest = _Forest(len(rep))
-            least = PLAUSIBLE * SKETCH
-            for i in range(len(rep) - 1):
-                for j in np.flatnonzero((bits[i + 1:] == bits[i]).sum(axis=1) >= least).tolist():
-                    if forest.up[i + 1 + j] != forest.up[i]:
-                        forest.join(i, i + 1 + j)
+            # the trie of the bucket: its labels in order
+            rows.sort(key=lambda r: (r["branch"] % (1 << 64), r["rep"]))
+            bits = np.frombuffer(b"".join(r["sketch"] for r in rows), dtype=np.uint8)
+            branch = np.array([r["branch"] for r in rows], dtype=np.int64).view(np.uint64)
+            forest = plausible_forest(branch, bits.reshape(len(rows), SKETCH), DEPTH - depth)
             for i, j in forest.edges():
-                a.append(rep[i][0])
-                b.append(rep[j][0])
+                a.append(rows[i]["rep"])
+                b.append(rows[j]["rep"])
         return {"a": a, "b": b}
 
     return map_batches(tiles.select("m"), run, "a binary, b binary").distinct()
@@ -303,14 +345,15 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     """``doc_id, th, class_id, n_links, text_class, kept, worded`` for every row; ``kept`` marks
     the rows at the first place of their group."""
     short_batches(docs.sparkSession)
-    depth = matched_depth(threshold, TREES, DEPTH, recall)
+    depth = shortest_depth(threshold, TREES, DEPTH, recall)
     signed = checkpointed(signatures(docs, depth))
     grouped = signed.filter("key is not null").groupBy("key").agg(
         F.min(_place("doc_id", "th")).alias("low"), F.count(F.lit(1)).alias("times"),
-        F.first("tries").alias("tries"), F.first("sketch").alias("sketch"))
+        F.first("tries").alias("tries"), F.first("branches").alias("branches"),
+        F.first("sketch").alias("sketch"))
     classes = checkpointed(grouped.select(
-        F.col("key").alias("rep"), "low", "times", "tries", "sketch"))
-    candidates = min_label_components(candidate_edges(classes, tile))
+        F.col("key").alias("rep"), "low", "times", "tries", "branches", "sketch"))
+    candidates = min_label_components(candidate_edges(classes, depth, tile))
     components = candidates.select(F.col("node").alias("rep"), F.col("label").alias("component"))
     n_of = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     wanted = checkpointed(classes.select("rep", "low", "times").join(components, "rep"))

@@ -195,6 +195,44 @@ def test_digest_index_batch_again_and_after_a_failure(spark):
     assert {t.name for t in spark.catalog.listTables()} == before
 
 
+def test_tries_connect_what_all_pairs_connect():
+    import numpy as np
+    rnd = np.random.default_rng(7)
+    for n, levels in [(1, 3), (40, 3), (200, 3), (60, 0), (90, 8)]:
+        base = rnd.integers(0, 256, (max(1, n // 8), near_join.SKETCH), dtype=np.uint8)
+        bits = base[rnd.integers(0, len(base), n)].copy()
+        # a chain of drifting copies: only neighbours are plausible
+        noise = rnd.random(bits.shape) < rnd.random((n, 1)) * 0.5
+        bits[noise] = rnd.integers(0, 256, int(noise.sum()), dtype=np.uint8)
+        top = 1 << (near_join.BRANCH_BITS * levels)
+        branch = np.sort(rnd.integers(0, min(top, 1 << 20) if n != 90 else top - 1, n,
+                                      dtype=np.uint64, endpoint=n == 90))
+        want = near_join._Forest(n)
+        for i in range(n):
+            for j in range(i + 1, n):
+                if (bits[i] == bits[j]).sum() >= near_join.PLAUSIBLE * near_join.SKETCH:
+                    want.join(i, j)
+        got = near_join.plausible_forest(branch, bits, levels)
+        assert [got.root(i) for i in range(n)] == [want.root(i) for i in range(n)]
+        assert len(got.edges()) == len(want.edges())
+
+
+def test_prefixes_are_shortened_only_while_members_are_apart(monkeypatch):
+    import numpy as np
+    compared = []
+
+    class Counted(np.ndarray):
+        def __eq__(self, other):
+            compared.append(len(self) if self.ndim > 1 else 1)
+            return np.asarray(self) == np.asarray(other)
+
+    same = np.zeros((30, near_join.SKETCH), dtype=np.uint8).view(Counted)
+    near_join.plausible_forest(np.zeros(30, dtype=np.uint64), same, 3)
+    # one run of whole labels links all: nothing is compared at a shorter prefix
+    assert sum(compared) == 29
+    assert near_join.shortest_depth() == 5 and near_join.shortest_depth(threshold=0.95) == 8
+
+
 def jaccard_groups(rows, n=5):
     sets = []
     for i, t in rows:

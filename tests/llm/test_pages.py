@@ -190,7 +190,6 @@ def test_odd_pages(odd):
 
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
-    from marksmith.llm import near_join
     base = " ".join(f"token{i}" for i in range(60))
     leak = "a benchmark question that nobody should find in the training data of a model"
     rows = [(1, base, "en"), (2, base, "en"), (3, base.replace("token30", "changed"), "en"),
@@ -203,6 +202,5 @@ def test_pipeline_stages(spark, tmp_path):
         f"{tmp_path}/benchmark.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "exact_dedup", "near_join", "decontamination", "sentencepiece"]
-    assert near_join.matched_depth() >= 1
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in got.collect()) == [2, 7]
