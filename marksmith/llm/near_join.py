@@ -244,9 +244,15 @@ def candidate_edges(classes: DataFrame, depth: int, tile: int = TILE) -> DataFra
             bits = np.frombuffer(b"".join(r["sketch"] for r in rows), dtype=np.uint8)
             branch = np.array([r["branch"] for r in rows], dtype=np.int64).view(np.uint64)
             forest = plausible_forest(branch, bits.reshape(len(rows), SKETCH), DEPTH - depth)
-            for i, j in forest.edges():
-                a.append(rows[i]["rep"])
-                b.append(rows[j]["rep"])
+            # stars around the smallest class, so the tries of a group give the same edges
+            least: dict[int, bytes] = {}
+            for i, r in enumerate(rows):
+                top = forest.root(i)
+                least[top] = min(least.get(top, r["rep"]), r["rep"])
+            for i, r in enumerate(rows):
+                if r["rep"] != least[forest.root(i)]:
+                    a.append(r["rep"])
+                    b.append(least[forest.root(i)])
         return {"a": a, "b": b}
 
     return map_batches(tiles.select("m"), run, "a binary, b binary").distinct()
