@@ -204,3 +204,20 @@ def test_pipeline_stages(spark, tmp_path):
         "language_id", "exact_dedup", "near_join", "decontamination", "sentencepiece"]
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in got.collect()) == [2, 7]
+
+
+def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, key string, "
+              "digest string, _row string, rep string, m long, copy boolean")
+    extra = ("k", "d", "r", "p", 5, True)
+    texts = [(1, "the cat sat on the mat and looked at the dog", "en"), (None, None, None), (2, "", None),
+             (3, "the cat sat on the mat and looked at the dog", "en"), (4, "der Hund und die Katze im Haus", "de")]
+    rows = [(i, t, lang, "s", len(t or ""), *extra) for i, t, lang in texts]
+    for name, docs in (("none", []), ("some", rows)):
+        spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(
+            f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert sorted(r["doc_id"] for r in got) == [3, 4] and all(r["n_tokens"] > 0 for r in got)
