@@ -1,15 +1,23 @@
 """Main text of web pages by wrapper induction (operator 6).
 
 1. Every page becomes a DOM tree of its containers, repeated siblings (equal tag, role, class and
-   id) merged into one node, with text blocks hanging on the nodes. Whether a block is skipped
+   id) merged into one node, with text blocks hanging on the nodes. Of siblings that repeat with
+   others between them, the first SIBLING_RUNS runs are nodes and later ones share the last. Whether a block is skipped
    or inside an article is judged for its own element, whichever node that shares.
 2. The most frequent tree of a host is its reference. Every page is aligned with the reference of
-   its host by simple tree matching, which gives its nodes common names.
+   its host by simple tree matching, which gives its nodes common names. Siblings match only under
+   equal labels, so the best order-keeping matching is a heaviest increasing subsequence of the
+   equal pairs, found in ``k log k``.
 3. A block that stands in the same node on at least TEMPLATE_SHARE of a host's distinct pages (and
    on TEMPLATE_PAGES of them) is constant: it belongs to the template. Pages are distinct by the
    texts of their blocks that step 4 does not skip, so another advert, menu or comment makes no
    new page. Blocks inside ``article`` or ``main`` never belong to the template. The counts cover
    all pages and are aggregated before every shuffle, so one host may hold any share of them.
+   A node is a template node, too, where its texts change without being a page's own: on average
+   every text stands there on two pages or more (``REUSE``), and it holds less than SMALL_SHARE
+   of the distinct text of the host's largest node, so near copies of a story are no template.
+   All other nodes are varying slots. Outside articles a template node is no content; of several
+   articles on a page, those that lie in template nodes only are not, if another has a slot.
 4. Varying slots are content, unless their element, role or class names them as menu, header,
    footer, sidebar, notice, advert, form or comment. A form, or an element with such a word
    among the parts of its names (``site-header``), is content after all where it holds a main,
@@ -48,6 +56,10 @@ from marksmith.llm.url_filter import host_of
 
 TEMPLATE_SHARE = 0.8
 TEMPLATE_PAGES = 3
+REUSE = 2
+SMALL_SHARE = 0.1
+#: So many runs of equal siblings below one parent are nodes of their own.
+SIBLING_RUNS = 4
 #: So many neighbouring blocks of half or more link text, in one container or list, are a list of
 #: links; fewer are part of the text.
 LINK_RUN = 3
@@ -134,6 +146,7 @@ class Page:
     def __init__(self, source: str):
         self.labels, self.parents, self.depth = ["#"], [-1], [0]
         self._last: list[int] = [-1]  # newest child of each node
+        self._runs: dict[tuple[int, str], list[int]] = {}  # children by label
         self.tags, self.up, self.nodes = ["#"], [-1], [0]
         self.kinds, self.frames = [CONTENT], [""]
         self.blocks: list[tuple[int, str, int]] = []
@@ -157,6 +170,11 @@ class Page:
             return last  # a repeated sibling
         if self.depth[parent] >= MAX_DEPTH:
             return parent
+        runs = self._runs.setdefault((parent, label), [])
+        if len(runs) == SIBLING_RUNS:
+            self._last[parent] = runs[-1]
+            return runs[-1]
+        runs.append(len(self.labels))
         self.labels.append(label)
         self.parents.append(parent)
         self.depth.append(self.depth[parent] + 1)
@@ -298,6 +316,34 @@ def _children(parents: list[int]) -> list[list[int]]:
     return out
 
 
+def heaviest_chain(pairs: list[tuple[int, int, int]], width: int
+                   ) -> tuple[int, list[tuple[int, int]]]:
+    """Weight and pairs of the heaviest subset of ``(i, j, weight)`` that grows in i and in j.
+    ``pairs`` come by rising i, then falling j; j is below ``width``."""
+    best: list[tuple[int, int]] = [(0, -1)] * (width + 1)  # Fenwick tree: (weight, last pair)
+    before: list[int] = []
+    for at, (_, j, weight) in enumerate(pairs):
+        found, k = (0, -1), j
+        while k > 0:
+            found = max(found, best[k])
+            k -= k & -k
+        before.append(found[1])
+        reached, k = (found[0] + weight, at), j + 1
+        while k <= width:
+            if reached[0] > best[k][0]:
+                best[k] = reached
+            k += k & -k
+    top, k = (0, -1), width
+    while k > 0:
+        top = max(top, best[k])
+        k -= k & -k
+    chain, at = [], top[1]
+    while at >= 0:
+        chain.append(pairs[at][:2])
+        at = before[at]
+    return top[0], chain[::-1]
+
+
 @functools.lru_cache(maxsize=4096)
 def align(page: str, reference: str) -> tuple[int, ...]:
     """Simple tree matching: the reference node of every page node, -1 where it has none."""
@@ -311,22 +357,14 @@ def align(page: str, reference: str) -> tuple[int, ...]:
             return 0
         if (a, b) in scores:
             return scores[a, b][0]
-        x, y = kids[a], ref_kids[b]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(1, len(x) + 1):
-            for j in range(1, len(y) + 1):
-                w = match(x[i - 1], y[j - 1])
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-        pairs, i, j = [], len(x), len(y)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((x[i], y[j]))
-        scores[a, b] = best[-1][-1] + 1, pairs
+        places: dict[str, list[int]] = {}
+        for j, y in enumerate(ref_kids[b]):
+            places.setdefault(ref_labels[y], []).append(j)
+        total, pairs = heaviest_chain([
+            (i, j, match(x, ref_kids[b][j])) for i, x in enumerate(kids[a])
+            for j in reversed(places.get(labels[x], ()))], len(ref_kids[b]))
+        pairs = [(kids[a][i], ref_kids[b][j]) for i, j in pairs]
+        scores[a, b] = total + 1, pairs
         return scores[a, b][0]
 
     out = [-1] * len(labels)
@@ -347,16 +385,24 @@ def block_key(node: int, block: int) -> int:
     return _hash64(f"{node} {block}")
 
 
-def content(page: Page, names: tuple[int, ...], template: frozenset[int]) -> str:
-    """The page's main text, given its aligned node names and its host's constant blocks."""
+def content(page: Page, names: tuple[int, ...], template: frozenset[int],
+            steady: frozenset[int] = frozenset()) -> str:
+    """The page's main text, given its aligned node names, its host's constant blocks and its
+    host's template nodes (``steady``)."""
     varying = [(at, text, links) for at, text, links in page.blocks
                if page.kinds[at] != FOREIGN
-               and (not template or page.frames[at] or names[page.nodes[at]] < 0
-                    or block_key(names[page.nodes[at]], _hash64(text)) not in template)]
+               and (page.frames[at] or names[page.nodes[at]] < 0
+                    or (names[page.nodes[at]] not in steady
+                        and block_key(names[page.nodes[at]], _hash64(text)) not in template))]
     skipped = page.skips(varying)
     varying = [b for b in varying if not skipped[b[0]]]
     in_article = _outermost(page, "article", skipped)
     in_main = _outermost(page, "main", skipped)
+    # articles of template nodes only are no content beside one that has a varying slot
+    slots = {in_article[at] for at, _, _ in varying
+             if in_article[at] >= 0 and names[page.nodes[at]] not in steady}
+    if slots:
+        varying = [b for b in varying if in_article[b[0]] < 0 or in_article[b[0]] in slots]
     main, articles = 0, {-1: 0}
     for at, text, links in varying:
         if in_article[at] >= 0:
@@ -427,33 +473,36 @@ def _lookup(pages: DataFrame, hosts: DataFrame, chars: str, keys: list[str]) ->
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, reference, constant)``: reference tree and keys of the template's blocks."""
+    """``(host, reference, constant, steady)``: reference tree, keys of the template's blocks and
+    the reference nodes that are no varying slots."""
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("host", "copy", "tree_id", "tree", "nodes",
-                                                "blocks")}
+                                                "blocks", "sizes", "framed")}
         for host, source in zip(batch.column("host").to_pylist(), batch.column("_h").to_pylist(),
                                 strict=True):
             page = Page(source)
             tree = page.tree()
-            found = sorted({(page.nodes[at], _hash64(t)) for at, t, _ in page.blocks
-                            if page.kinds[at] != FOREIGN and not page.frames[at]})
+            found = sorted({(page.nodes[at], _hash64(t), len(t), bool(page.frames[at]))
+                            for at, t, _ in page.blocks if page.kinds[at] != FOREIGN})
             out["host"].append(host)
             out["copy"].append(page.copy())
             out["tree_id"].append(_hash64(tree))
             out["tree"].append(tree)
-            out["nodes"].append([n for n, _ in found])
-            out["blocks"].append([b for _, b in found])
+            for i, c in enumerate(("nodes", "blocks", "sizes", "framed")):
+                out[c].append([f[i] for f in found])
         return out
 
     placed = map_batches(pages.select("host", "_h"), run, "host string, copy long, tree_id long, tree string, "
-                         "nodes array<int>, blocks array<long>")
+                         "nodes array<int>, blocks array<long>, sizes array<int>, framed array<boolean>")
     # copies of a page count once
     distinct = written(placed.groupBy("host", "copy").agg(
-        F.min(F.struct("tree_id", "tree", "nodes", "blocks")).alias("page"))
+        F.min(F.struct("tree_id", "tree", "nodes", "blocks", "sizes", "framed")).alias("page"))
         .select("host", "page.*"), "pages")
-    counted = (distinct.select("host", "tree_id", F.explode(F.arrays_zip("nodes", "blocks")).alias("at"))
-               .groupBy("host", "tree_id", F.col("at.nodes").alias("node"),
-                        F.col("at.blocks").alias("block")).agg(F.count(F.lit(1)).alias("n")))
+    counted = (distinct.select("host", "tree_id", F.explode(F.arrays_zip(
+        "nodes", "blocks", "sizes", "framed")).alias("at"))
+        .groupBy("host", "tree_id", F.col("at.nodes").alias("node"), F.col("at.blocks").alias("block"),
+                 F.col("at.sizes").alias("size"), F.col("at.framed").alias("framed"))
+        .agg(F.count(F.lit(1)).alias("n")))
     trees = distinct.groupBy("host", "tree_id").agg(F.first("tree").alias("tree"),
                                                     F.count(F.lit(1)).alias("n"))
     refs = checkpointed(trees.groupBy("host").agg(
@@ -466,18 +515,29 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def rename(batch: pa.RecordBatch) -> dict:
         node = [align(t, r)[n] for t, r, n in zip(*(batch.column(c).to_pylist() for c in (
             "tree", "reference", "node")), strict=True)]
-        return {"host": batch.column("host"), "n": batch.column("n"), "node": node,
+        return {**{c: batch.column(c) for c in ("host", "n", "size", "framed")}, "node": node,
                 "key": [block_key(n, b) for n, b in
                         zip(node, batch.column("block").to_pylist(), strict=True)]}
 
+    texts = written(
+        map_batches(named, rename, "host string, n long, size int, framed boolean, node int, key long")
+        .filter("node >= 0").groupBy("host", "node", "key").agg(
+            F.sum("n").alias("n"), F.max("size").alias("size"),
+            F.sum(F.when(~F.col("framed"), F.col("n"))).alias("free")), "blocks")
     # a block needs TEMPLATE_PAGES pages; a host has about as many constant blocks as a page
-    constant = (map_batches(named, rename, "host string, n long, node int, key long")
-                .filter("node >= 0").groupBy("host", "key").agg(F.sum("n").alias("n"))
-                .filter(F.col("n") >= TEMPLATE_PAGES)
+    constant = (texts.filter(F.col("free") >= TEMPLATE_PAGES)
                 .join(refs.select("host", "pages"), "host")
-                .filter(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+                .filter(F.col("free") >= TEMPLATE_SHARE * F.col("pages"))
                 .groupBy("host").agg(F.collect_list("key").alias("constant")))
-    return checkpointed(refs.select("host", "reference").join(constant, "host", "left"))
+    nodes = checkpointed(texts.groupBy("host", "node").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.sum("size").alias("chars")))
+    largest = nodes.groupBy("host").agg(F.max("chars").alias("most"))
+    # nodes of the reference tree, so no more than one page has
+    steady = (nodes.filter(F.col("n") >= F.greatest(F.lit(TEMPLATE_PAGES), REUSE * F.col("texts")))
+              .join(largest, "host").filter(F.col("chars") < SMALL_SHARE * F.col("most"))
+              .groupBy("host").agg(F.collect_list("node").alias("steady")))
+    return checkpointed(refs.select("host", "reference").join(constant, "host", "left")
+                        .join(steady, "host", "left"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -490,11 +550,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         out = []
-        for source, ref, constant in zip(batch.column("_h").to_pylist(),
-                                         batch.column("reference").to_pylist(),
-                                         batch.column("constant").to_pylist(), strict=True):
+        for source, ref, constant, steady in zip(*(batch.column(c).to_pylist() for c in (
+                "_h", "reference", "constant", "steady")), strict=True):
             page = Page(source)
-            out.append(content(page, align(page.tree(), ref), frozenset(constant or ())))
+            out.append(content(page, align(page.tree(), ref), frozenset(constant or ()),
+                               frozenset(steady or ())))
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": out}
 
     return map_batches(joined, run, schema)

@@ -1,5 +1,8 @@
 """Page operators and the pipeline on small, awkward inputs."""
 
+import random
+import time
+
 import pytest
 
 from marksmith.llm import html_extract, url_filter
@@ -182,6 +185,101 @@ def test_tree_matching():
     assert [label.get(n) for n in names] == ["#", "body", "nav", None, "article"]
 
 
+def plain_score(a, b):
+    """Simple tree matching as defined: every pair of children, quadratic."""
+    labels, parents, ref_labels, ref_parents = a.labels, a.parents, b.labels, b.parents
+    if not parents:
+        return 0
+
+    def score(x, y):
+        if labels[x] != ref_labels[y]:
+            return 0
+        u = [i for i, p in enumerate(parents) if p == x]
+        v = [i for i, p in enumerate(ref_parents) if p == y]
+        best = [[0] * (len(v) + 1) for _ in range(len(u) + 1)]
+        for i, p in enumerate(u):
+            for j, q in enumerate(v):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + score(p, q))
+        return best[-1][-1] + 1
+
+    return score(0, 0)
+
+
+def test_tree_matching_equals_brute_force():
+    rng = random.Random(5)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}</{t}>" for t in
+                       rng.choices(["div", "div class=a", "section", "div class=b"], k=rng.randrange(5)))
+
+    def closed(source):
+        return source.replace("</div class=a>", "</div>").replace("</div class=b>", "</div>")
+
+    for _ in range(150):
+        a, b = (html_extract.Page(closed(tree(3))) for _ in range(2))
+        names = html_extract.align(a.tree(), b.tree())
+        found = [(i, n) for i, n in enumerate(names) if n >= 0]
+        assert len(found) == plain_score(a, b)
+        assert len({n for _, n in found}) == len(found)
+        for i, n in found:  # equal labels, matched parents, order kept among children
+            assert a.labels[i] == b.labels[n]
+            assert i == 0 or names[a.parents[i]] == b.parents[n]
+        for i, n in found:
+            for j, m in found:
+                if a.parents[i] == a.parents[j] and i < j:
+                    assert n < m
+
+
+def test_many_siblings_take_no_quadratic_time():
+    def forum(names):
+        return "<body>" + "".join(f"<div class={n}>{i}</div>" for i, n in enumerate(names)) + "</body>"
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    distinct = [a + b + c for a in letters for b in letters for c in letters][:12000]
+    for names in (["odd", "even"] * 10000, distinct, distinct[::-1]):
+        page = html_extract.Page(forum(names))
+        start = time.perf_counter()
+        found = html_extract.align(page.tree(), page.tree())
+        assert list(found) == list(range(len(page.labels)))
+        html_extract.align(page.tree(), html_extract.Page(forum(distinct)).tree())
+        assert time.perf_counter() - start < 20
+        assert len(page.blocks) == len(names)
+
+
+def test_template_nodes_and_slots_decide(spark):
+    adverts = ["Buy our bread", "Fly to the sea", "Win a car"]
+    body = "<div class=zz{}>{}</div><div class=yy><p>{}</p><p>{}</p></div>"
+    rows = [(k, "http://rotating/x", body.format("", adverts[k % 3], f"Story {k} " + "is long " * 5,
+                                                 f"End of {k}"), "c") for k in range(12)]
+    # the same adverts on hosts with too few pages for a template stay
+    rows += [(100 + k, f"http://alone{k}/x", body.format("", adverts[k % 3], f"Story {k}", f"End of {k}"), "c")
+             for k in range(3)]
+    # near copies of two long stories: every paragraph stands on half of the pages
+    near = [" ".join(f"Part {i} of story {j}" for i in range(9)) for j in range(2)]
+    parts = ["".join(f"<p>Part {i} of story {j}</p>" for i in range(9)) for j in range(2)]
+    rows += [(200 + k, "http://near/x", f"<div class=yy>{parts[k % 2]}<p>Own line {k}</p></div>"
+              f"<div class=zz>{adverts[k // 2 % 2]}</div>", "c") for k in range(8)]
+    # an article in a template node beside the story's article
+    rows += [(300 + k, "http://two/x", f"<article class=pick><p>{adverts[k % 3]}</p></article>"
+              f"<article class=story><p>Report {k} " + "goes on " * 9 + "</p></article>", "c")
+             for k in range(12)]
+    # the only article is kept, whatever its node
+    rows += [(400 + k, "http://one/x", f"<article><p>{adverts[k % 3]}</p></article>"
+              f"<nav>Menu</nav><p>Line {k}</p>", "c") for k in range(12)]
+    got = extract(spark, rows)
+    for k in range(12):
+        assert got[k] == f"Story {k} " + "is long " * 5 + f"End of {k}"
+        assert got[300 + k] == f"Report {k} " + ("goes on " * 9).strip()
+        assert got[400 + k] == adverts[k % 3]
+    for k in range(8):
+        assert got[200 + k] == f"{near[k % 2]} Own line {k}"
+    for k in range(3):
+        assert got[100 + k] == f"{adverts[k % 3]} Story {k} End of {k}"
+    # without its wrapper a page keeps the advert: the wrapper changed the text
+    page = html_extract.Page(rows[0][2])
+    assert html_extract.content(page, html_extract.align(page.tree(), page.tree()), frozenset()).startswith("Buy")
+
+
 @pytest.mark.parametrize("odd", ["<" * 2000, "<a href='" * 500, "<div>" * 3000 + "deep", "</p></div>" * 50,
                                  "<!-- never closed", "<script>var", "&#xD800; &bogus; &#0;"])
 def test_odd_pages(odd):
