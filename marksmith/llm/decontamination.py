@@ -21,6 +21,7 @@ leaves every document clean.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marksmith.llm.common import checkpointed, read, short_batches, text_column
+from marksmith.llm.common import (checkpointed, keep_or_drop_ids, map_batches, packed, read,
+                                  short_batches, text_column, unpacked)
 
 #: Length of the grams; eight bytes are compared as one integer.
 Q = 8
@@ -40,8 +42,10 @@ EDIT_RATE = 0.08
 PART_BYTES = 512
 #: Benchmark bytes in one broadcast index.
 BLOCK_BYTES = 4_000_000
-#: Document bytes scanned at a time.
+#: Document bytes scanned at a time; longer texts are scanned in pieces of this length.
 SCAN_BYTES = 1 << 20
+#: Hits of grams counted at a time.
+HIT_ROWS = 4_000_000
 HASH_BITS = 22
 
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -73,6 +77,13 @@ def _slots(codes: np.ndarray) -> np.ndarray:
     return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.zeros(len(key), dtype=np.int64)
+    np.add.at(n, at, np.concatenate(counts))
+    return key, n
+
+
 class Index:
     """The q-grams of a block of patterns, with their places."""
 
@@ -93,26 +104,48 @@ class Index:
         # one band width for all patterns: at least the largest budget
         self.band = int(self.k.max(initial=0)) + 1
 
-    def bands(self, buf: bytes) -> list[tuple[int, int]]:
-        """``(pattern, first diagonal)`` of the doubled bands that reach the lemma's count."""
+    def _hits(self, buf: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in the text whose gram is in the index, the gram's first entry and its number of
+        entries: a piece of the text, and HIT_ROWS entries, at a time."""
         codes = _codes(buf)
-        at = np.flatnonzero(self.seen[_slots(codes)])
-        if not len(at):
-            return []
-        gram = np.searchsorted(self.grams, codes[at])
-        gram[gram == len(self.grams)] = 0
-        real = self.grams[gram] == codes[at]
-        at, gram = at[real], gram[real]
-        size = self.first[gram + 1] - self.first[gram]
-        if not len(at):
-            return []
+        for start in range(0, len(codes), SCAN_BYTES):
+            piece = codes[start:start + SCAN_BYTES]
+            at = np.flatnonzero(self.seen[_slots(piece)])
+            gram = np.searchsorted(self.grams, piece[at])
+            gram[gram == len(self.grams)] = 0
+            real = self.grams[gram] == piece[at]
+            at, gram = at[real] + start, gram[real]
+            if not len(at):
+                continue
+            first = self.first[gram]
+            size = self.first[gram + 1] - first
+            run = np.cumsum(size) // HIT_ROWS
+            for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(run)) + 1):
+                yield at[cut], first[cut], size[cut]
+
+    def _counted(self, at: np.ndarray, first: np.ndarray, size: np.ndarray, shift: int,
+                 width: int) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(size)
-        entry = np.arange(ends[-1]) + np.repeat(self.first[gram] - (ends - size), size)
-        pattern = self.pattern[entry]
-        shift = PART_BYTES + self.band
+        entry = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
         band = (np.repeat(at, size) - self.place[entry] + shift) // self.band
+        return np.unique(self.pattern[entry] * width + band, return_counts=True)
+
+    def bands(self, buf: bytes) -> list[tuple[int, int]]:
+        """``(pattern, first diagonal)`` of the doubled bands that reach the lemma's count."""
+        shift = PART_BYTES + self.band
         width = (len(buf) + 2 * shift) // self.band + 3
-        key, n = np.unique(pattern * width + band, return_counts=True)
+        keys, counts, held = [], [], 0
+        for hits in self._hits(buf):
+            key, n = self._counted(*hits, shift, width)
+            keys.append(key)
+            counts.append(n)
+            held += len(key)
+            if held > HIT_ROWS:
+                key, n = _summed(keys, counts)
+                keys, counts, held = [key], [n], 0
+        if not keys:
+            return []
+        key, n = _summed(keys, counts)
         # a match lies on diagonals at most k apart: in one band or in two neighbours
         after = np.zeros(len(n), dtype=n.dtype)
         near = key[1:] == key[:-1] + 1
@@ -241,24 +274,52 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.min_by("region_end", F.struct("edits", "region_end")).alias("region_end"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark text, with their columns unchanged."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame,
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that hold no benchmark text, with their columns unchanged.
+
+    A benchmark of one block is a filter in one stage. With more blocks, each block has its own
+    job, which keeps the digests of the texts that hit it; documents with such a digest go.
+    """
     spark = docs.sparkSession
     short_batches(spark)
     schema = docs.schema
-    for index in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                keep = np.ones(len(texts), dtype=bool)
-                for hit in _scan(texts, shared.value):
-                    keep[hit[0]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    dropped, waiting = None, None
+    for index in blocks(benchmark, block_bytes):
+        if waiting is not None:
+            found = _hit_digests(docs, waiting)
+            dropped = found if dropped is None else dropped.unionByName(found)
+        waiting = index
+    if waiting is None:
+        return docs
+    if dropped is not None:
+        dropped = checkpointed(dropped.unionByName(_hit_digests(docs, waiting)).distinct())
+        rows = packed(docs, digest=F.md5(text_column().cast("binary")))
+        return unpacked(keep_or_drop_ids(rows, dropped, ["digest"], "left_anti"))
+    shared = spark.sparkContext.broadcast(waiting)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            keep = np.ones(len(texts), dtype=bool)
+            for hit in _scan(texts, shared.value):
+                keep[hit[0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _hit_digests(docs: DataFrame, index: Index) -> DataFrame:
+    """``digest`` of every text that holds a text of the block."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        texts = batch.column("_t").to_pylist()
+        hit = {row for row, *_ in _scan(texts, shared.value)}
+        return {"digest": [hashlib.md5(texts[i].encode("utf-8")).hexdigest() for i in sorted(hit)]}
+
+    return checkpointed(map_batches(docs.select(text_column().alias("_t")), run, "digest string")
+                        .distinct())
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

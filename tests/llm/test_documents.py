@@ -1,8 +1,10 @@
 """Operators over documents against brute-force versions on small, awkward inputs."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +337,46 @@ def test_decontamination_in_several_blocks_and_parts(spark):
     assert [r[:2] for r in by_id(decontamination.matches(source, bench))] == [(1, 1)]
 
 
+def test_decontamination_of_huge_and_repetitive_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(4000)]
+    item, other = " ".join(rng.choices(words, k=40)), " ".join(rng.choices(words, k=30))
+    filler = " ".join(rng.choices(words, k=300_000))
+    size = decontamination.SCAN_BYTES
+    # the item lies across the end of the first piece
+    huge = filler[:size - 60] + " " + item + " " + filler[size:]
+    texts = [huge, filler, "a" * 400_000, "x " * 300_000, other + " " + "a" * 99, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other), (3, "a" * 300)], "item_id long, text string")
+    want = [(0, 1), (2, 3), (4, 2)]
+    assert [r[:2] for r in by_id(decontamination.matches(docs, bench))] == want
+    index = next(decontamination.blocks(bench))
+    one = index.search(decontamination.normalised(huge) + b"\0" * 8, np.array([0, len(huge) + 8]))
+    # the pieces change nothing
+    for scan, rows in ((1000, 4_000_000), (1 << 20, 50), (777, 60)):
+        monkeypatch.setattr(decontamination, "SCAN_BYTES", scan)
+        monkeypatch.setattr(decontamination, "HIT_ROWS", rows)
+        buf = decontamination.normalised(huge)[size - 20_000:size + 20_000] + b"\0" * 8
+        got = index.search(buf, np.array([0, len(buf)]))
+        assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in one.items()}
+
+
+def test_clean_documents_in_several_blocks(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(4000)]
+    items = [" ".join(rng.choices(words, k=30)) for _ in range(6)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(40)]
+    texts = [t + " " + items[i % 6] if i % 5 == 0 else t for i, t in enumerate(texts)] + [None, "", ""]
+    docs = spark.createDataFrame([(i, t, "d", "r") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, digest string, _row string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = [i for i in range(len(texts)) if i >= 40 or i % 5]
+    for size in (200, 400, 4_000_000):
+        clean = decontamination.clean_documents(docs, bench, block_bytes=size)
+        assert clean.columns == docs.columns
+        assert sorted(r["doc_id"] for r in clean.collect()) == want
+
+
 def test_language_id_held_out_and_edges(spark, docs, none):
     import random
     rng = random.Random(3)
