@@ -1,8 +1,13 @@
 """Operators over documents against brute-force versions on small, awkward inputs."""
 
+import collections
+import functools
 import hashlib
+import itertools
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -405,6 +410,75 @@ def test_language_id_held_out_and_edges(spark, docs, none):
     assert language_id.identify(none, language_id.fit(none)).count() == 0
 
 
+def plain_grams(text):
+    """Hashed n-grams of lengths 1 to 4, one at a time."""
+    low = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode())
+    framed, mask, out = b" " + b" ".join(low.split()) + b" ", 0xFFFFFFFF, []
+    for n in range(1, 5):
+        for i in range(len(framed) - n + 1):
+            code = 0
+            for c in framed[i:i + n]:
+                code = (code << 8 | c) & mask
+            salted = (code ^ (n * 0x3C6EF372 & mask)) * 0x9E3779B1 & mask
+            out.append(((salted ^ salted >> 15) * 0x85EBCA6B & mask) >> 16)
+    return out
+
+
+def test_language_id_equals_plain_decoding(spark):
+    rng = random.Random(3)
+    stems = {"de": "der die das und nicht ein mit", "en": "the a of and not one with",
+             "fr": "le la les et pas un avec", "es": "el los las y no uno con"}
+    texts = [(i, lang, " ".join(rng.choices(stems[lang].split(), k=rng.randrange(1, 12))))
+             for i, lang in enumerate(rng.choices(list(stems), k=80))]
+    texts += [(100 + i, None, " ".join(rng.choices(" ".join(stems.values()).split(), k=6))) for i in range(30)]
+    texts += [(200, "de", None), (201, "xx", "1 2 3"), (202, None, "Ünïcode ß"), (203, "en", "")]
+    source = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    model = language_id.fit(source)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["ambiguous"])
+           for r in language_id.identify(source, model).collect()}
+    learned = [(lang, t) for i, lang, t in texts if zlib.crc32(str(i).encode()) % 4 != 2
+               and lang and t and any(c.isalpha() for c in t)]
+    langs = sorted({lang for lang, _ in learned})
+    assert model.langs == langs == sorted(stems)
+    counts = {lang: collections.Counter() for lang in langs}
+    for lang, t in learned:
+        counts[lang].update(plain_grams(t))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    splits = [(1, *rest) for rest in itertools.product((1, -1), repeat=len(langs) - 1) if -1 in rest]
+    floor = language_id.SMOOTHING / max(total.values())
+
+    def share(gram, split, sign):
+        side = [lang for lang, s in zip(langs, split, strict=True) if s == sign]
+        return sum(counts[lang][gram] / total[lang] for lang in side) / len(side) + floor
+
+    @functools.cache
+    def weight(gram, b):
+        ratio = math.log(share(gram, splits[b], 1) / share(gram, splits[b], -1))
+        return max(-4.0, min(4.0, ratio))
+
+    bits = range(len(splits))
+    mean = {lang: [sum(n * weight(g, b) for g, n in counts[lang].items()) / total[lang] for b in bits]
+            for lang in langs}
+    trust = [max(min(mean[lang][b] * splits[b][k] for k, lang in enumerate(langs)), 0) + 1e-3 for b in bits]
+    trust = [t / sum(trust) for t in trust]
+    scale = 1 / (sum(abs(m) for ms in mean.values() for m in ms) / (len(langs) * len(splits)))
+    for i, _, t in texts:
+        if not t or not any(c.isalpha() for c in t):
+            assert got[i][:2] == ("und", 0.0)
+            continue
+        found = plain_grams(t)
+        margin = [sum(weight(g, b) for g in found) / len(found) for b in bits]
+        loss = [sum(trust[b] * math.log1p(math.exp(-4 * scale * margin[b] * splits[b][k])) for b in bits)
+                for k in range(len(langs))]
+        order = sorted(range(len(langs)), key=loss.__getitem__)
+        gap = loss[order[1]] - loss[order[0]]
+        assert got[i][1] == pytest.approx(1 / sum(math.exp(-8 * (x - min(loss))) for x in loss), abs=1e-4)
+        if gap > 1e-4:  # float32 weights may order nearly equal losses otherwise
+            assert got[i][0] == langs[order[0]]
+        if abs(gap - language_id.AMBIGUOUS_MARGIN) > 1e-4:
+            assert got[i][2] == (gap < language_id.AMBIGUOUS_MARGIN)
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 6, 40):
         code = language_id.codewords(n)
