@@ -55,6 +55,27 @@ def test_sentencepiece_equals_library(docs, none):
     assert sentencepiece_codec.encode_decode(none, sentencepiece_codec.default_model()).count() == 0
 
 
+def test_sentencepiece_table_of_distinct_chunks(docs, none, monkeypatch):
+    model = sentencepiece_codec.default_model()
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("_t"))
+    cut = sentencepiece_codec.ChunkCodec.chunks
+    want = {c for r in texts.collect() for c in cut(r["_t"])}
+    rows = sentencepiece_codec.chunk_table(texts, model).collect()
+    assert sorted(r["chunk"] for r in rows) == sorted(
+        c for c in want if len(c) <= sentencepiece_codec.LONGEST_REMEMBERED)
+    whole = by_id(sentencepiece_codec.encode_decode(docs, model))
+    # a bounded table, an empty one and none at all give the same rows
+    for most in (len(rows) // 2, 0):
+        monkeypatch.setattr(sentencepiece_codec, "MAX_TABLE_CHUNKS", most)
+        assert sentencepiece_codec.chunk_table(texts, model).count() <= most
+        assert by_id(sentencepiece_codec.encode_decode(docs, model)) == whole
+    monkeypatch.setattr(sentencepiece_codec.ChunkCodec, "_chunks_are_independent", lambda self: False)
+    sentencepiece_codec._codec.cache_clear()
+    assert by_id(sentencepiece_codec.encode_decode(docs, model)) == whole
+    sentencepiece_codec._codec.cache_clear()
+    assert sentencepiece_codec.chunk_table(none.select(F.col("text").alias("_t")), model).count() == 0
+
+
 def test_sentencepiece_edges_and_small_table(monkeypatch):
     monkeypatch.setattr(sentencepiece_codec, "TABLE_CHUNKS", 3)
     codec = sentencepiece_codec.ChunkCodec(sentencepiece_codec.default_model())
