@@ -44,6 +44,22 @@ def accepted_window(ids: list[int], width: int, used: set[str], tok) -> tuple[in
     return None
 
 
+def row_windows(texts: list[str | None], width: int, tok) -> list[tuple[int, str, int, int]]:
+    """``(sig, response, start, n_tokens)`` of one row; its equal texts are encoded once, without
+    offsets, which nothing here reads."""
+    used: set[str] = set()
+    encoded: dict[str, list[int]] = {}
+    rows = []
+    for sig, text in enumerate(text or "" for text in texts):
+        if text not in encoded:
+            encoded[text] = tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = encoded[text]
+        start, chosen = accepted_window(ids, width, used, tok) or (WHOLE, text)
+        used.add(chosen)
+        rows.append((sig, chosen, start, len(ids) if start == WHOLE else width))
+    return rows
+
+
 def encoded_windows(df: DataFrame, row_id: str, responses: Column, width: int, file: str) -> DataFrame:
     """``(row_id, sig, response, start, n_tokens)``: for each text of the array ``responses`` its
     accepted window, or the whole text (start WHOLE) where no window is. Windows of one row are
@@ -57,12 +73,7 @@ def encoded_windows(df: DataFrame, row_id: str, responses: Column, width: int, f
         for batch in batches:
             rows = []
             for key, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                used: set[str] = set()
-                for sig, text in enumerate(texts or []):
-                    ids = tok.encode(text or "", add_special_tokens=False).ids
-                    start, chosen = accepted_window(ids, width, used, tok) or (WHOLE, text or "")
-                    used.add(chosen)
-                    rows.append((key, sig, chosen, start, len(ids) if start == WHOLE else width))
+                rows += [(key, *window) for window in row_windows(texts or [], width, tok)]
             cols = zip(*rows, strict=True) if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
